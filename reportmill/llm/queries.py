@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import chat, exact_dedup, mixing, quality, simhash, toxicity, warc
+from reportmill.llm import chat, exact_dedup, katz, mixing, quality, simhash, toxicity, warc
 from reportmill.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def fold(modulus: int) -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus))
+
+
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_corpus(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = warc.capture_histories(table(spark, sf_dir, "pages"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,7 +52,7 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
+    held_out = fold(3) == 1
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), labels, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
@@ -68,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op3_quality_rules": op3_quality_rules,
         "op4_chat_format": op4_chat_format,
+        "op5_katz_scores": op5_katz_scores,
         "op6_warc_archive": op6_warc_archive,
         "op7_toxicity": op7_toxicity,
         "op8_exact_dedup": op8_exact_dedup,

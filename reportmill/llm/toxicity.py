@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reportmill.llm.common import materialize
 
@@ -162,7 +163,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, text_col: s
     table, weight, intercept = train(docs, labels, fold, text_col, id_col, label_col)
     held = docs.sparkSession.sparkContext.broadcast((table, weight))  # a fixed number of buckets and of features
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def apply(text: pd.Series) -> pd.Series:
         table, weight = held.value
         doc, feature = present(text.tolist(), table)

@@ -63,14 +63,10 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     packed = docs.select(row, F.col(id_col).alias("id"), text_digest(text).alias("digest"), F.char_length(text).alias("len"))
     base = materialize(packed.select("id", "digest", "len").withColumn("rid", F.monotonically_increasing_id()), "dedup-digests")
     decided = _decide(base, heavy_rows)
-    # A loser may agree with its winner in id, digest and length; such rows are told apart only by their number.
-    twin = F.count("*").over(Window.partitionBy("id", "digest", "len"))
-    gone = decided.filter(F.col("rid") != F.col("keep_rid")).select("id", "digest", "len").distinct()
-    won = decided.filter(F.col("rid") == F.col("keep_rid")).select("id", "digest", "len")
-    both = gone.join(won, [gone[c].eqNullSafe(won[c]) for c in gone.columns], "left_semi").withColumn("twins", F.lit(True))
-    gone = gone.join(won, [gone[c].eqNullSafe(won[c]) for c in gone.columns], "left_anti").withColumn("twins", F.lit(False))
-    marks = gone.unionAll(both).select(F.struct("id", "digest", "len").alias("key"), "twins")
-    del twin
+    # A loser may agree with its winner in id, digest and length; of such rows, which nothing tells apart, one is taken.
+    key = F.struct("id", "digest", "len").alias("key")
+    lost, won = F.col("rid") != F.col("keep_rid"), F.col("rid") == F.col("keep_rid")
+    marks = decided.groupBy(key).agg(F.bool_or(lost).alias("lost"), F.bool_or(won).alias("won")).filter("lost").select("key", F.col("won").alias("twins"))
     marked = packed.withColumn("key", F.struct("id", "digest", "len")).join(marks, "key", "left")
     alone = marked.filter(F.col("twins").isNull()).select("row.*")
     first = marked.filter("twins").groupBy("key").agg(F.first("row").alias("row")).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import chat, exact_dedup, katz, mixing, quality, simhash, suffix_dedup, toxicity, warc
+from reportmill.llm import chat, exact_dedup, katz, mixing, quality, sentencepiece, simhash, suffix_dedup, toxicity, warc
 from reportmill.llm.common import table
 
 
@@ -15,6 +15,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = sentencepiece.MODEL) -> DataFrame:
+    vocabulary = sentencepiece.vocabulary(model)
+    to_ids, to_text = sentencepiece.coders(vocabulary, spark)
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text", to_ids("text").alias("ids"))
+    coded = coded.select("doc_id", "text", "ids", to_text("ids").alias("decoded"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), sentencepiece.byte_pieces(F.col("ids"), vocabulary).cast("long").alias("n_byte_pieces"),
+        F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -79,6 +90,7 @@ from d window w as (partition by text_sha256 order by n desc, doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_quality_rules": op3_quality_rules,
         "op4_chat_format": op4_chat_format,
         "op5_katz_scores": op5_katz_scores,

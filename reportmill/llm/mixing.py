@@ -82,7 +82,7 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     targets = targets.withColumns({"blocks": F.floor(F.col("total") / F.col("block") + 0.5).cast("long"), "_all": F.lit(0)})
     targets = materialize(sainte_lague(targets, ["_all"], "skey", "target", "blocks", "quota").drop("_all"), "mix-targets")
 
-    placed = sized.join(F.broadcast(targets.select("skey", "n_shards")), "skey").withColumn("shard", F.col("scattered") % F.col("n_shards")).drop("n_shards", "scattered")
+    placed = sized.join(targets.select("skey", "n_shards"), "skey").withColumn("shard", F.col("scattered") % F.col("n_shards")).drop("n_shards", "scattered")
     lengths = placed.groupBy("skey", "shard").agg(F.sum("size").alias("length")).join(targets, "skey")
     quotas = sainte_lague(lengths, ["skey"], "shard", "length", "quota", "shard_quota")
     n = F.ceil(F.col("length") / F.col("block")).cast("long")

@@ -1,4 +1,458 @@
 """Named queries over the driver's tables and the SQL to hold them against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reportmill.functions import scalars as S
+from reportmill.operators import consolidate as C
+from reportmill.operators import report, stats
+from reportmill.plans import rules as R
+from reportmill.sources import synth
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, ctes: bool = True):
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"with {synth.SQL} {sql}" if ctes else sql
+        return f
+
+    return put
+
+
+def _drop_file(df: DataFrame) -> DataFrame:
+    return df.drop("file_id")
+
+
+def _joined(column: str, by: str = "|"):
+    return F.array_join(column, by).alias(column)
+
+
+#: Rules over the synthetic findings, one for each kind of filter.
+RULES = [
+    {"rule_name": "gears", "title": "Gears", "internal_vulnerability_id": 901, "filters": {"name_patterns": ["GEAR", "^red bolt"], "plugin_families": ["SMALL", "LARGE", "PROMO"]}, "grouping_criteria": ["ip", "port"]},
+    {"rule_name": "not_old", "title": "Not old", "internal_vulnerability_id": "902", "filters": {"name_patterns": ["widget|plate"], "exclude_families": ["ECONOMY"], "exclude_name_patterns": ["^old"]}, "grouping_criteria": ["ip"]},
+    {"rule_name": "any_output", "title": "Any output", "internal_vulnerability_id": 903, "filters": {"name_patterns": ["ring"], "plugin_output_patterns": ["^installed version : [12]\\.1", "no such text"]}, "grouping_criteria": ["port"]},
+    {"rule_name": "all_output", "title": "All outputs", "filters": {"plugin_families": ["MEDIUM"], "plugin_output_patterns": ["^installed version : 1\\.1", "^installed version : 2\\.1"], "plugin_output_require_all": True}, "grouping_criteria": ["ip", "service"]},
+    {"rule_name": "clean_output", "title": "Clean output", "internal_vulnerability_id": 905, "filters": {"name_patterns": ["gizmo"], "exclude_plugin_output_patterns": ["version : 5\\.1"]}, "grouping_criteria": ["ip", "port"]},
+    {"rule_name": "everything", "title": "No filters", "internal_vulnerability_id": 906, "filters": {}, "grouping_criteria": ["port"]},
+    {"rule_name": "off", "title": "Off", "enabled": False, "filters": {}, "grouping_criteria": ["ip"]},
+]
+
+RULES_SQL = r""",
+evaluated as (
+  select p.plugin_id, p.name, p.family, p.ord as plugin_ord, coalesce(o.outputs, '') as outputs from plugins p left join outputs o using (plugin_id)),
+evaluation as (
+  select plugin_id, name, plugin_ord, 0 as rule_ord, 'gears' as rule_name, regexp_matches(name, '(?i)GEAR') or regexp_matches(name, '(?i)^red bolt') as named,
+    case when family not in ('SMALL', 'LARGE', 'PROMO') then 'plugin_families' end as reason from evaluated
+  union all select plugin_id, name, plugin_ord, 1, 'not_old', regexp_matches(name, '(?i)widget|plate'),
+    case when family = 'ECONOMY' then 'exclude_families' when regexp_matches(name, '(?i)^old') then 'exclude_name_patterns' end from evaluated
+  union all select plugin_id, name, plugin_ord, 2, 'any_output', regexp_matches(name, '(?i)ring'),
+    case when not regexp_matches(outputs, '(?im)^installed version : [12]\.1') then 'plugin_output_patterns' end from evaluated
+  union all select plugin_id, name, plugin_ord, 3, 'all_output', true,
+    case when family <> 'MEDIUM' then 'plugin_families' when not (regexp_matches(outputs, '(?im)^installed version : 1\.1') and regexp_matches(outputs, '(?im)^installed version : 2\.1')) then 'plugin_output_patterns' end from evaluated
+  union all select plugin_id, name, plugin_ord, 4, 'clean_output', regexp_matches(name, '(?i)gizmo'),
+    case when regexp_matches(outputs, '(?im)version : 5\.1') then 'exclude_plugin_output_patterns' end from evaluated
+  union all select plugin_id, name, plugin_ord, 5, 'everything', true, null from evaluated),
+matches as (select * from evaluation where named and reason is null),
+ruled as (select * from (values (0, 'ip:port', '901'), (1, 'ip', '902'), (2, 'port', '903'), (3, 'ip', null), (4, 'ip:port', '905'), (5, 'port', '906')) t(rule_ord, grouping_, internal_id)),
+affected as (
+  select m.rule_ord, m.rule_name, m.plugin_id, m.name, m.plugin_ord, ph.ord as host_item, h.ip, h.fqdn, ph.port || '/' || ph.protocol as port, ph.plugin_output,
+    case r.grouping_ when 'ip:port' then h.ip || ':' || ph.port || '/' || ph.protocol when 'port' then ph.port || '/' || ph.protocol else h.ip end as service_key
+  from matches m join plugin_hosts ph using (plugin_id) join hosts h using (host_ord) join ruled r using (rule_ord)),
+seen as (select *, row_number() over (partition by rule_ord, service_key order by plugin_ord, host_item) as rn from affected),
+services as (select rule_ord, service_key, ip, fqdn, port, plugin_ord, host_item from seen where rn = 1),
+pieces as (
+  select rule_ord, plugin_ord, host_item, 0 as part, fqdn as entity from services where fqdn <> ''
+  union all select rule_ord, plugin_ord, host_item, 1, ip || ':' || port from services),
+entities as (
+  select rule_ord, entity, row_number() over (partition by rule_ord order by plugin_ord, host_item, part) as place from (
+    select *, row_number() over (partition by rule_ord, entity order by plugin_ord, host_item, part) as rn from pieces) where rn = 1)
+"""
+
+
+def _consolidated(spark: SparkSession, sf_dir: str) -> C.Consolidated:
+    return C.consolidate(synth.items(spark, sf_dir), synth.hosts(spark, sf_dir), RULES)
+
+
+# Statistics of vulnerability reports
+
+
+@query("select plugin_id, name, family, severity, host_ord from plugins")
+def q_plugins_first_wins(spark, d):
+    return stats.plugins(synth.items(spark, d)).select("plugin_id", "name", "family", "severity", "host_ord")
+
+
+@query("select s.severity, count(p.plugin_id) as n_plugins from (values ('Critical', 4), ('High', 3), ('Medium', 2), ('Low', 1), ('None', 0)) s(severity, k) left join plugins p on p.severity = s.k group by 1")
+def q_severity_dense(spark, d):
+    return _drop_file(stats.severity_counts(stats.plugins(synth.items(spark, d))))
+
+
+@query("select family, count(*) as n_plugins from plugins group by 1")
+def q_family_counts(spark, d):
+    return _drop_file(stats.family_counts(stats.plugins(synth.items(spark, d))))
+
+
+@query("select plugin_id, host_ord, port, plugin_output from plugin_hosts")
+def q_plugin_hosts_first_wins(spark, d):
+    return stats.plugin_hosts(synth.items(spark, d)).select("plugin_id", "host_ord", "port", "plugin_output")
+
+
+@query("select host_ord, n + row_number() over (order by host_ord) as affected_host_id from (select *, (select count(*) from hosts) as n from hosts where has_properties)")
+def q_affected_host_compat_id(spark, d):
+    return _drop_file(stats.affected_ids(synth.hosts(spark, d)))
+
+
+@query("select host_ord, " + ", ".join(f"count(distinct case when severity = {k} then plugin_id end) as {n.lower()}" for k, n in S.SEVERITIES.items()) + " from items group by 1")
+def q_host_severity_pivot(spark, d):
+    return _drop_file(stats.host_severities(synth.items(spark, d)))
+
+
+@query("""select a.host_ord, a.port_key, a.service, string_agg(b.plugin_id, '|' order by b.first) as plugin_ids
+  from (select host_ord, port || '/' || protocol as port_key, arg_min(svc_name, ord) as service from items group by 1, 2) a
+  join (select host_ord, port || '/' || protocol as port_key, plugin_id, min(ord) as first from items group by 1, 2, 3) b using (host_ord, port_key) group by 1, 2, 3""")
+def q_host_ports(spark, d):
+    return stats.host_ports(synth.items(spark, d)).select("host_ord", "port_key", "service", _joined("plugin_ids"))
+
+
+@query("select svc_name, count(distinct host_ord || '_' || port || '_' || protocol) as n_instances from items where svc_name <> '' group by 1")
+def q_service_unique(spark, d):
+    return _drop_file(stats.service_instances(synth.items(spark, d)))
+
+
+@query("select svc_name, count(*) as n_findings from items where svc_name <> '' and severity between 1 and 4 group by 1")
+def q_service_findings(spark, d):
+    return _drop_file(stats.service_findings(synth.items(spark, d)))
+
+
+@query("select count(*) as total, string_agg(p, '|' order by p) as ports from (select distinct port || '/' || protocol as p from items)")
+def q_ports_sorted(spark, d):
+    return stats.discovered_ports(synth.items(spark, d)).select("total", _joined("ports"))
+
+
+@query("""select count(*) as total, count(distinct ip) as total_ips, sum(case when host_ord % 7 = 0 then 1 else 0 end)::bigint as multi_fqdn_hosts,
+  sum(case when credentialed then 1 else 0 end)::bigint as credentialed_checks,
+  sum(case when host_ord % 7 = 0 then 2 when fqdn <> '' then 1 else 0 end)::bigint as total_fqdns from hosts where has_properties""")
+def q_host_stats(spark, d):
+    return _drop_file(stats.host_stats(synth.hosts(spark, d)))
+
+
+@query("select svc_name, count(*) as n_findings from items where svc_name <> '' and severity between 1 and 4 group by 1 order by 2 desc, 1 limit 10")
+def q_top10_services(spark, d):
+    return stats.top(_drop_file(stats.service_findings(synth.items(spark, d))), "n_findings", "svc_name")
+
+
+@query("select svc_name, count(distinct host_ord || '_' || port || '_' || protocol) as n_instances from items where svc_name <> '' group by 1")
+def q_all_services_ordered(spark, d):
+    return stats.top(_drop_file(stats.service_instances(synth.items(spark, d))), "n_instances", "svc_name", None)
+
+
+# Statistics of port scans
+
+
+@query("select host_ord, port_id, protocol from net_ports where status = 'open'")
+def q_net_filter_open(spark, d):
+    return stats.with_status(synth.net_ports(spark, d), "open").select("host_ord", "port_id", "protocol")
+
+
+@query("select host_ord, count(*) filter (status = 'open') as open, count(*) filter (status = 'closed') as closed, count(*) filter (status = 'filtered') as filtered, 0::bigint as other from net_ports group by 1")
+def q_net_port_summary(spark, d):
+    return _drop_file(stats.port_summary(synth.net_ports(spark, d)))
+
+
+def _named(spark, d):
+    return stats.named_services(synth.net_ports(spark, d))
+
+
+@query("select status, count(*) as n from net_ports where service_name <> '' group by 1")
+def q_net_by_status(spark, d):
+    return _drop_file(stats.count_by(_named(spark, d), "status"))
+
+
+@query("select port_id, count(*) as n from net_ports where service_name <> '' group by 1")
+def q_net_by_port(spark, d):
+    return _drop_file(stats.count_by(_named(spark, d), "port_id"))
+
+
+@query("select service_name, count(*) as n from net_ports where service_name <> '' group by 1")
+def q_net_by_service(spark, d):
+    return _drop_file(stats.count_by(_named(spark, d), "service_name"))
+
+
+@query("select host_status, count(*) as n, count(distinct ip) as unique_ips, count(distinct nullif(hostname, '')) as unique_hostnames from net_hosts group by 1")
+def q_net_host_status(spark, d):
+    hosts = synth.net_hosts(spark, d)
+    return hosts.groupBy("host_status").agg(F.count("*").alias("n"), F.count_distinct(F.nullif("ip", F.lit(""))).alias("unique_ips"), F.count_distinct(F.nullif("hostname", F.lit(""))).alias("unique_hostnames"))
+
+
+@query("select host_ord, ord, ip, hostname, host_status, upper(protocol) || '/' || port_id as port, status, service_name from net_ports join net_hosts using (host_ord) where status = 'open'")
+def q_net_flat(spark, d):
+    return stats.flat_ports(synth.net_hosts(spark, d), synth.net_ports(spark, d), "open").select("host_ord", "ord", "ip", "hostname", "host_status", "port", "status", "service_name")
+
+
+@query("select ord, 'service_' || row_number() over (order by host_ord, ord) as service_id from net_ports where service_name <> ''")
+def q_service_ids(spark, d):
+    return stats.service_ids(synth.net_ports(spark, d)).select("ord", "service_id")
+
+
+@query("select host_ord, protocol, port_id, arg_max(status, ord) as status, max(ord) as ord from net_ports group by 1, 2, 3")
+def q_net_ports_last_wins(spark, d):
+    return stats.last_wins(synth.net_ports(spark, d), ["file_id", "host_ord", "protocol", "port_id"]).select("host_ord", "protocol", "port_id", "status", "ord")
+
+
+@query("select service_name, count(*) as n from net_ports where service_name <> '' group by 1 order by 2 desc, min(ord) limit 10")
+def q_net_top10_services(spark, d):
+    counted = _named(spark, d).groupBy("service_name").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return counted.orderBy(F.col("n").desc(), "first").limit(10).drop("first")
+
+
+@query("select ord, nullif(trim(product || ' ' || version), '') as combined_info from net_ports")
+def q_service_details(spark, d):
+    return synth.net_ports(spark, d).select("ord", S.combined_info(F.col("product"), F.col("version")).alias("combined_info"))
+
+
+@query("select host_ord, port_id, arg_max(script, ord) as script from net_ports where script <> '' group by 1, 2")
+def q_script_map(spark, d):
+    scripts = stats.last_wins(synth.net_ports(spark, d).filter("script <> ''").select("host_ord", "port_id", "ord", "script"), ["host_ord", "port_id"])
+    mapped = scripts.groupBy("host_ord").agg(F.map_from_entries(F.collect_list(F.struct("port_id", "script"))).alias("m"))
+    return mapped.select("host_ord", F.explode("m").alias("port_id", "script"))
+
+
+@query("select host_ord, ip as first_ipv4, hostname, host_status from net_hosts where host_ord % 4 <> 0")
+def q_first_ipv4(spark, d):
+    address = F.when(F.col("host_ord") % 4 == 0, F.array(F.struct(F.lit("::1").alias("a"), F.lit("ipv6").alias("t")))).otherwise(F.array(F.struct(F.lit("::1").alias("a"), F.lit("ipv6").alias("t")), F.struct(F.col("ip").alias("a"), F.lit("ipv4").alias("t"))))
+    first = F.get(F.filter(address, lambda x: x["t"] == "ipv4"), 0)["a"]
+    return synth.net_hosts(spark, d).select("host_ord", first.alias("first_ipv4"), "hostname", "host_status").filter("first_ipv4 <> ''")
+
+
+@query("select host_ord, n from (select host_ord, host_status, row_number() over (order by host_ord) as n from net_hosts) where host_status = 'up'")
+def q_host_numbering(spark, d):
+    from pyspark.sql import Window
+
+    numbered = synth.net_hosts(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("host_ord")).cast("long"))
+    return numbered.filter("host_status = 'up'").select("host_ord", "n")
+
+
+# Scalars
+
+
+@query("select ord, case when x < 60 then x || 's' when x < 3600 then (x // 60) || 'm ' || (x % 60) || 's' else (x // 3600) || 'h ' || (x % 3600 // 60) || 'm ' || (x % 60) || 's' end as spoken, case when x >= 86400 then (x // 86400) || case when x // 86400 = 1 then ' day, ' else ' days, ' end else '' end || (x % 86400 // 3600) || ':' || lpad((x % 3600 // 60)::varchar, 2, '0') || ':' || lpad((x % 60)::varchar, 2, '0') as clock from (select ord, ord * 37 % 200000 as x from net_ports)")
+def q_duration_format(spark, d):
+    x = F.col("ord") * 37 % 200000
+    return synth.net_ports(spark, d).select("ord", S.spoken(x).alias("spoken"), S.clock(x).alias("clock"))
+
+
+@query("select event_id, strftime(date_trunc('second', ts), '%d-%m-%Y %H:%M:%S') as text from events", ctes=False)
+def q_epoch_format(spark, d):
+    epoch = F.unix_timestamp("ts").cast("string")
+    spelled = F.date_format("ts", "MMM d HH:mm:ss yyyy")
+    text = F.when(F.col("event_id") % 2 == 0, epoch).otherwise(F.concat(F.lit("Mon "), spelled))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.time_text(S.report_time(text)).alias("text"))
+
+
+@query("""select event_id, case when event_id % 3 = 2 then event_type when event_id % 3 = 1 then 'x|' || event_type else 'k' end as names from events""", ctes=False)
+def q_json_fqdns(spark, d):
+    listed = F.when(F.col("event_id") % 3 == 0, F.lit("[{&quot;FQDN&quot;: &quot;k&quot;}, {}]")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('[{"FQDN": "x"}, {"FQDN": "'), F.col("event_type"), F.lit('"}]'))).otherwise(F.lit("broken"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.array_join(S.host_names(listed, F.col("event_type")), "|").alias("names"))
+
+
+@query(r"select doc_id, coalesce((select string_agg(trim(l), '|' order by i) from (select unnest(string_split(text, chr(10))) as l, unnest(range(len(string_split(text, chr(10))))) as i) where trim(l) <> ''), '') as lines from documents", ctes=False)
+def q_see_also_split(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(S.lines(F.col("text")), "|").alias("lines"))
+
+
+@query("select page_id, case when h like '%<?xml%' then case when h like '%nmaprun%' then 'net' when h like '%nessusclientdata%' then 'vuln' when h like '%<report%' and h like '%<policy%' then 'vuln' end end as kind from (select page_id, lower(left(case page_id % 4 when 0 then '<?xml?><NmapRun>' when 1 then '<?xml?><NessusClientData_v2>' when 2 then '<?xml?><Policy/><Report/>' else '' end || coalesce(html, ''), 1024)) as h from pages)", ctes=False)
+def q_content_sniff(spark, d):
+    n = F.col("page_id") % 4
+    head = F.when(n == 0, "<?xml?><NmapRun>").when(n == 1, "<?xml?><NessusClientData_v2>").when(n == 2, "<?xml?><Policy/><Report/>").otherwise("")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.sniff(F.concat(head, F.coalesce("html", F.lit("")))).alias("kind"))
+
+
+@query(r"""select page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '_+', '_', 'g'), '^[_ ]+|[_ ]+$', '', 'g'), ''), 'output') as name from pages""", ctes=False)
+def q_filename_sanitize(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", S.file_name(F.col("url")).alias("name"))
+
+
+@query("select ord, port || '/' || protocol as port_key from items")
+def q_port_key(spark, d):
+    return synth.items(spark, d).selectExpr("*").join(_ords(spark, d), "ord").select(F.col("n").alias("ord"), S.port_key(F.col("port"), F.col("protocol")).alias("port_key"))
+
+
+def _ords(spark, d):
+    from pyspark.sql import Window
+
+    return synth.items(spark, d).select("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("ord")).cast("long").alias("n"))
+
+
+@query("select event_id, event_type = 'click' as flag from events", ctes=False)
+def q_bool_parse(spark, d):
+    text = F.when(F.col("event_type") == "click", "TRUE").when(F.col("event_type") == "view", "no")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.flag(text).alias("flag"))
+
+
+# Rules
+
+
+def _evaluated(spark, d, rule: str) -> DataFrame:
+    items = synth.items(spark, d)
+    rules = [r for r in RULES if r["rule_name"] == rule]
+    return C.evaluate_rules(stats.plugins(items), stats.plugin_hosts(items), rules).select("plugin_id", "matched", "reason")
+
+
+def _rule_query(name: str, rule: str, logs_family: bool = True) -> None:
+    reason = "case when named then reason end" if logs_family else "nullif(reason, 'plugin_families')"
+
+    @query(f"{RULES_SQL} select plugin_id, named and reason is null as matched, {reason} as reason from evaluation where rule_name = '{rule}'")
+    def run(spark, d):
+        return _evaluated(spark, d, rule)
+
+    QUERIES[name], ORACLE[name] = QUERIES.pop("run"), ORACLE.pop("run")
+
+
+for _name, _rule, _logs in (("q_rule_families", "gears", True), ("q_rule_exclude_name", "not_old", True), ("q_rule_output_any", "any_output", True), ("q_rule_output_all", "all_output", False), ("q_rule_exclude_output", "clean_output", True), ("q_rule_no_filters", "everything", True)):
+    _rule_query(_name, _rule, _logs)
+
+
+@query("select plugin_id from plugins where regexp_matches(name, '(?i)GEAR') or regexp_matches(name, '(?i)^red bolt')")
+def q_rule_name_match(spark, d):
+    rule = [{"rule_name": "x", "title": "x", "filters": {"name_patterns": ["GEAR", "^red bolt"]}, "grouping_criteria": []}]
+    items = synth.items(spark, d)
+    return C.evaluate_rules(stats.plugins(items), stats.plugin_hosts(items), rule).filter("matched").select("plugin_id")
+
+
+@query(f"{RULES_SQL} select rule_name, reason, count(*) as n from evaluation where named and reason is not null and not (rule_name = 'all_output' and reason = 'plugin_families') group by 1, 2")
+def q_rule_exclusion_reason(spark, d):
+    return _consolidated(spark, d).evaluation.filter("reason is not null").groupBy("rule_name", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"{RULES_SQL} select rule_name, plugin_id from matches")
+def q_multi_rule_match(spark, d):
+    return _consolidated(spark, d).evaluation.filter("matched").select("rule_name", "plugin_id")
+
+
+@query("select * from (values (0, 'gears'), (1, 'not_old'), (2, 'any_output'), (3, 'all_output'), (4, 'clean_output'), (5, 'everything')) t(rule_ord, rule_name)")
+def q_rules_enabled(spark, d):
+    return R.rules_frame(spark, R.enabled(RULES)).select("rule_ord", "rule_name")
+
+
+# Consolidation
+
+
+@query(f"""{RULES_SQL} select m.rule_name, max(p.severity) as severity, arg_min(p.risk_factor, p.ord - 1000000000::bigint * case p.risk_factor when 'Critical' then 4 when 'High' then 3 when 'Medium' then 2 when 'Low' then 1 else 0 end) as risk_factor
+  from matches m join plugins p using (plugin_id) group by 1""")
+def q_cons_severity_risk(spark, d):
+    return _consolidated(spark, d).entries.select("rule_name", "severity", "risk_factor")
+
+
+@query(f"""{RULES_SQL} select m.rule_name, max(p.base_score) as base_score, arg_min(p.vector, p.ord - 1000000000 * p.base_score) as vector, max(p.base_score) - 1 as base_score3
+  from matches m join plugins p using (plugin_id) group by 1""")
+def q_cons_cvss_argmax(spark, d):
+    return _consolidated(spark, d).entries.select("rule_name", "cvss.base_score", "cvss.vector", F.col("cvss3.base_score").alias("base_score3"))
+
+
+@query(f"{RULES_SQL} select rule_name, string_agg(cve, '|' order by cve) as cve from (select distinct m.rule_name, p.cve from matches m join plugins p using (plugin_id)) group by 1")
+def q_cons_union(spark, d):
+    return _consolidated(spark, d).entries.select("rule_name", _joined("cve"))
+
+
+@query(f"{RULES_SQL} select rule_name, string_agg(s, '|' order by o) as solutions from (select m.rule_name, trim(p.solution) as s, min(p.ord) as o from matches m join plugins p using (plugin_id) group by 1, 2) group by 1")
+def q_cons_solutions(spark, d):
+    return _consolidated(spark, d).entries.select("rule_name", _joined("solutions"))
+
+
+@query(f"{RULES_SQL} select m.rule_name, r.internal_id, string_agg(m.plugin_id || '=' || m.name, '|' order by m.plugin_ord) as plugins from matches m join ruled r using (rule_ord) group by 1, 2")
+def q_consolidated_entry(spark, d):
+    named = F.transform("consolidated_plugins", lambda x: F.concat_ws("=", x["id"], x["name"]))
+    return _consolidated(spark, d).entries.select("rule_name", "internal_id", F.array_join(named, "|").alias("plugins"))
+
+
+def _service_query(name: str, rules: str) -> None:
+    @query(f"{RULES_SQL} select rule_ord, service_key, ip, fqdn, port from services where rule_ord in ({rules})")
+    def run(spark, d):
+        return _consolidated(spark, d).services.filter(f"rule_ord in ({rules})").select("rule_ord", "service_key", "ip", "fqdn", "port")
+
+    QUERIES[name], ORACLE[name] = QUERIES.pop("run"), ORACLE.pop("run")
+
+
+for _name, _rules in (("q_services_ip_port", "0, 4"), ("q_services_ip", "1, 3"), ("q_services_port", "2, 5")):
+    _service_query(_name, _rules)
+
+
+@query(f"{RULES_SQL} select rule_ord, service_key, string_agg(plugin_id, '|' order by o) as issues from (select rule_ord, service_key, plugin_id, min(plugin_ord) as o from affected group by 1, 2, 3) group by 1, 2")
+def q_issues_found(spark, d):
+    ids = F.transform("issues_found", lambda x: x["id"])
+    return _consolidated(spark, d).services.select("rule_ord", "service_key", F.array_join(ids, "|").alias("issues"))
+
+
+@query(f"{RULES_SQL} select rule_ord, service_key, plugin_id, arg_max(plugin_output, host_item) as output from affected where plugin_output <> '' group by 1, 2, 3")
+def q_plugin_outputs_last_wins(spark, d):
+    return _consolidated(spark, d).services.select("rule_ord", "service_key", F.explode("plugin_outputs").alias("plugin_id", "output"))
+
+
+@query(f"{RULES_SQL} select (select count(*) from plugins) as original_plugins_count, count(*) as consolidated_count, count(distinct plugin_id) as distinct_consolidated, 'gears|not_old|any_output|all_output|clean_output|everything' as rules_applied from matches")
+def q_cons_metadata(spark, d):
+    return _consolidated(spark, d).metadata.select("original_plugins_count", "consolidated_count", "distinct_consolidated", _joined("rules_applied"))
+
+
+@query(f"{RULES_SQL} select (select count(*) from plugins) as original_plugins_count, count(*) as consolidated_count, count(distinct rule_ord) as categories, (select count(*) from plugins) - count(*) + count(distinct rule_ord) as final_count from matches")
+def q_cons_summary(spark, d):
+    c = _consolidated(spark, d)
+    return _drop_file(report.consolidation_summary(c.metadata, c.entries))
+
+
+# Report
+
+_FINDINGS = "select r.internal_id as finding_id, '<p>' || string_agg(e.entity, '<br />' order by e.place) || '</p>' as affected_entities, count(*) as n from entities e join ruled r using (rule_ord) where r.internal_id is not null group by 1"
+
+
+def _findings(spark, d, limit=None):
+    c = _consolidated(spark, d)
+    return report.findings(c.entries, c.services, limit)
+
+
+@query(f"{RULES_SQL} select 'stock' as type, finding_id, affected_entities from ({_FINDINGS})")
+def q_api_entities(spark, d):
+    return _findings(spark, d).select("type", "finding_id", "affected_entities")
+
+
+@query(f"{RULES_SQL} select finding_id, case when n > 120 then '{report.TRUNCATED}' else affected_entities end as affected_entities from ({_FINDINGS})")
+def q_api_entity_limit(spark, d):
+    return _findings(spark, d, 120).select("finding_id", "affected_entities")
+
+
+@query(f"{RULES_SQL} select 'stock' as kind, finding_id as id, affected_entities from ({_FINDINGS})")
+def q_api_renamed(spark, d):
+    return report.renamed(_findings(spark, d).select("type", "finding_id", "affected_entities"), {"type": "kind", "finding_id": "id"})
+
+
+@query(f"{RULES_SQL} select count(*) as total_findings, count(distinct finding_id) as unique_ids, sum(n)::bigint as total_entities, string_agg(finding_id, '|' order by finding_id) as finding_ids from ({_FINDINGS})")
+def q_api_summary(spark, d):
+    return report.summary(_findings(spark, d)).select("total_findings", "unique_ids", "total_entities", _joined("finding_ids"))
+
+
+@query(f"{RULES_SQL} select count(*) as total_findings, count(*) filter (n > 120) as truncated, coalesce(sum(case when n <= 120 then n end), 0)::bigint as total_entities from ({_FINDINGS})")
+def q_api_display_summary(spark, d):
+    return _drop_file(report.display_summary(_findings(spark, d, 120)))
+
+
+@query(f"{RULES_SQL} select finding_id from ({_FINDINGS}) where affected_entities is null")
+def q_api_validate(spark, d):
+    return report.invalid(_findings(spark, d)).select("finding_id")
+
+
+@query(f"{RULES_SQL} select rule_ord, string_agg(entity, '|' order by place) as entities from entities group by 1")
+def q_entities_plain(spark, d):
+    return report.entities(_consolidated(spark, d).services).select("rule_ord", _joined("entities"))
+
+
+@query("select svc_name, sum(n_findings)::bigint as n_findings from (select svc_name, host_ord % 3 as f, count(*) as n_findings from items where svc_name <> '' and severity between 1 and 4 group by 1, 2) group by 1")
+def q_batch_rollup(spark, d):
+    items = synth.items(spark, d).withColumn("file_id", F.concat(F.lit("f"), (F.col("host_ord") % 3).cast("string")))
+    return stats.rollup(stats.service_findings(items), "svc_name", "n_findings")

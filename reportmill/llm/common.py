@@ -49,3 +49,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers take at most so many rows at once. Texts can be long, and the default of 10,000 holds many MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

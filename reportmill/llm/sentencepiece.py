@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reportmill.llm.common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER, MARK = "▁", 0xFF
 #: As in SentencePiece: an unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Bytes of text encoded together.
-BLOCK = 4 << 20
+#: Characters of text encoded together; units that a worker remembers.
+BLOCK, POOL = 1 << 20, 200_000
+#: Units whose arrays are worked on at once; they then fit into a processor's cache.
+STEP = 8000
 
 
 @dataclass
@@ -45,6 +50,7 @@ class Vocabulary:
     normal: np.ndarray  # ids that may match text
 
     def __post_init__(self) -> None:
+        self.pool = Pool()
         self.unknown = float(self.scores[self.normal].min()) - UNKNOWN_PENALTY
         self.base, self.check, self.value = build_trie({self.pieces[i]: int(i) for i in self.normal})
         matched = [self.pieces[i] for i in self.normal]
@@ -157,7 +163,7 @@ def encode_units(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray
     score = np.where(piece >= 0, v.scores[piece], v.unknown)
     begin = lead[origin]
     step = begin - np.repeat(starts, lengths)[begin]
-    order = np.argsort(step, kind="stable")
+    order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")  # short keys sort by radix
     begin, end, piece, score, step = begin[order], end[order], piece[order], score[order], step[order]
     # Position n + unit stands for each unit's end, as the next unit's start has the same place in the data.
     unit = np.repeat(np.arange(len(units)), lengths)[begin]
@@ -180,7 +186,7 @@ def encode_units(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray
         more = begin[arc] > starts[owner]
         owner, place = owner[more], begin[arc[more]]
     who, arc = (np.concatenate(x) for x in zip(*path, strict=True)) if path else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.lexsort((begin[arc], who))
+    order = np.argsort(begin[arc])  # units lie one after the other
     who, arc = who[order], arc[order]
     size = np.where(piece[arc] >= 0, 1, end[arc] - begin[arc])
     ids = np.repeat(piece[arc], size)
@@ -189,33 +195,56 @@ def encode_units(units: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray
     return ids, np.bincount(who, size, len(units)).astype(np.int64)
 
 
+class Pool:
+    """Pieces of units met so far, so that frequent units are encoded once; at most about POOL units.
+
+    Keys are units without their first marker; a unit that has none is marked by the byte 0xFE, which no text holds either."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, text: str, vocabulary: Vocabulary) -> list[int]:
+        data, known, mark = text.encode("utf-8", "surrogatepass"), self.known, b" "
+        if vocabulary.splits and b"  " not in data and data[:1] != mark and data[-1:] != mark:
+            return [known.setdefault(u, len(known)) for u in data.split(mark)]
+        units = vocabulary.units.findall(b"\xff" + data.replace(mark, b"\xff"))
+        return [known.setdefault(u[1:] if u[0] == MARK else b"\xfe" + u, len(known)) for u in units]
+
+    def complete(self, vocabulary: Vocabulary) -> None:
+        new = list(islice(self.known, len(self.sizes), None))
+        if new:
+            units = [u[1:] if u[:1] == b"\xfe" else b"\xff" + u for u in new]
+            ids, sizes = (np.concatenate(x) for x in zip(*[encode_units(units[k : k + STEP], vocabulary) for k in range(0, len(units), STEP)], strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes])
+
+
 def encode(texts: list[str | None], vocabulary: Vocabulary) -> list[np.ndarray | None]:
     out: list[np.ndarray | None] = []
     block: list[list[int] | None] = []
-    known: dict[bytes, int] = {}
     size = 0
+    pool = vocabulary.pool
 
     def flush() -> None:
-        units = list(known)
-        ids, sizes = encode_units(units, vocabulary) if units else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        starts = np.cumsum(sizes) - sizes
-        for used in block:
-            if used is None:
-                out.append(None)
-            else:
-                at = np.array(used, np.int64)
-                out.append(ids[_ragged(starts[at], sizes[at])].astype(np.int32))
+        pool.complete(vocabulary)
+        at = np.fromiter(chain.from_iterable(x for x in block if x), np.int64)
+        sizes = pool.sizes[at]
+        ids = pool.ids[_ragged(pool.starts[at], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x or ()) for x in block])] if block else []
+        start = 0
+        for used, end in zip(block, ends, strict=True):
+            out.append(None if used is None else ids[start:end])
+            start = end
 
     for text in texts:
-        if text is None:
-            block.append(None)
-            continue
-        data = (" " + text).encode("utf-8", "surrogatepass").replace(b" ", bytes([MARK])) if text else b""
-        block.append([known.setdefault(u, len(known)) for u in vocabulary.units.findall(data)])
-        size += len(data)
+        if len(pool.known) > POOL and not block:
+            pool = vocabulary.pool = Pool()
+        block.append(None if text is None else pool.numbers(text, vocabulary) if text else [])
+        size += len(text or "")
         if size >= BLOCK:
             flush()
-            block, known, size = [], {}, 0
+            block, size = [], 0
     flush()
     return out
 
@@ -232,6 +261,7 @@ def _held(path: str) -> Vocabulary:
 
 def coders(vocabulary: Vocabulary, spark) -> tuple:
     """Column functions: text to array of ids, and back. The vocabulary is broadcast; its size is the model file's."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

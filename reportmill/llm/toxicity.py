@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize
+from reportmill.llm.common import materialize, small_batches
 
 #: Bound of the labelled sample; buckets of the hash; significance (in standard deviations) and number of features.
 MAX_TRAIN, BITS, MIN_Z, MAX_FEATURES = 20_000, 20, 4.0, 20_000
@@ -160,6 +160,7 @@ def _fit(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray,
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``: 0 to 1, higher where label 1 is likelier. fold: true for rows that may be learnt from."""
+    small_batches(docs.sparkSession)
     table, weight, intercept = train(docs, labels, fold, text_col, id_col, label_col)
     held = docs.sparkSession.sparkContext.broadcast((table, weight))  # a fixed number of buckets and of features
 

@@ -10,8 +10,9 @@ Consecutive windows with one anchor make a segment.
    differing segments are left, and of these one representative of each (gram, digest).
 3. The representatives' suffixes are range-partitioned by their leading bytes with sampled splitters. Each bucket sorts its suffixes,
    and the reversed texts before the anchors, by multikey quicksort; two windows are equal if they lie in one run of both orders
-   at the windows' depths, which longest common prefixes of neighbours tell exactly. Grams at a bucket's first or last place may go on
-   in the next bucket: the windows of those are compared across boundaries by 128-bit digests.
+   at the windows' depths, which longest common prefixes of neighbours tell exactly. Splitters keep a gram together unless it has more
+   than ``BUCKET_ROWS`` representatives; the windows of such a gram, where it is a bucket's first or last, are compared across boundaries
+   by 128-bit digests.
 4. Repeated windows go back to all segments that a representative stands for, and each document's spans are merged and cut.
 
 Texts are handled in blocks of ``BLOCK`` bytes with overlap; a segment cut by a block's end has two digests and meets the
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize, n_partitions
+from reportmill.llm.common import materialize, n_partitions, small_batches
 
-LENGTH, GRAM, BLOCK = 400, 64, 1 << 19
+LENGTH, GRAM, BLOCK = 400, 64, 1 << 18
+#: Documents of a batch that are taken apart at once.
+SLICE = 256
 #: Representatives of a bucket, about.
 BUCKET_ROWS = 8000
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -82,7 +85,7 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    for df in batches:
+    for df in (df.iloc[k : k + SLICE] for df in batches for k in range(0, len(df), SLICE)):
         docs = [(id_, data) for id_, data in _texts(df) if len(data) >= LENGTH]
         for block in _blocks([x for _, x in docs]):
             doc, offset, ends, buffer = block  # of each piece: its document, its place there, its end in the buffer
@@ -215,7 +218,7 @@ def _bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"gram": gram[who], "digest": digest[who], "first": new - base[who], "last": end - 1 - base[who], "high": 0, "low": 0})
     heads = [x[a : a + GRAM] for x, a in zip(texts, lead, strict=True)]
     edge = {min(heads), max(heads)}
-    for k in [k for k, x in enumerate(heads) if x in edge]:
+    for k in [k for k, x in enumerate(heads) if df.split.iloc[k] and x in edge]:
         view = memoryview(texts[k])
         marks = [xxhash.xxh3_128_intdigest(view[i : i + LENGTH]) for i in range(windows[k])]
         at = np.arange(windows[k])
@@ -236,16 +239,16 @@ def _text_hash(text: pd.Series) -> pd.Series:
 
 
 def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
+    for df in (df.iloc[k : k + SLICE] for df in batches for k in range(0, len(df), SLICE)):
         rows = []
         for text, wanted in zip(df.text, df.wanted, strict=True):
             data = zstandard.decompress(text)
-            rows += [(r["gram"], r["digest"], r["windows"], r["lead"], data[r["start"] : r["start"] + r["windows"] + LENGTH - 1]) for r in wanted]
-        yield pd.DataFrame(rows, columns=["gram", "digest", "windows", "lead", "segment"])
+            rows += [(r["gram"], r["digest"], r["windows"], r["lead"], r["split"], data[r["start"] : r["start"] + r["windows"] + LENGTH - 1]) for r in wanted]
+        yield pd.DataFrame(rows, columns=["gram", "digest", "windows", "lead", "split", "segment"])
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
+    for df in (df.iloc[k : k + SLICE] for df in batches for k in range(0, len(df), SLICE)):
         rows = []
         for id_, text, spans in zip(df.id, df.text, df.spans, strict=True):
             data, kept, removed, n, at = zstandard.decompress(text), [], 0, 0, 0
@@ -268,6 +271,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Spans (id, text_hash, a, b) of repeated windows of the documents, ready to be merged."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     segments = materialize(source.mapInPandas(_segments, SEGMENTS), "suffix-segments")
     key = ["gram", "digest"]
@@ -277,14 +281,15 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     open_ = marked.filter("not alike")
     kinds = materialize(open_.groupBy(*key).agg(F.count("*").alias("n"), F.min_by(F.struct("id", "text_hash", "start", "windows", "lead"), F.struct("id", "text_hash", "start")).alias("at")), "suffix-kinds")
     n_kinds = kinds.count()
+    large = kinds.groupBy("gram").agg(F.count("*").alias("reps")).filter(F.col("reps") > BUCKET_ROWS).select("gram", F.lit(True).alias("split"))
     # A segment that occurs twice is repeated as a whole, but its windows still count for others.
-    wanted = kinds.select("at.id", "at.text_hash", F.struct("gram", "digest", "at.start", "at.windows", "at.lead").alias("w")).groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted"))
+    wanted = kinds.join(large, "gram", "left").select("at.id", "at.text_hash", F.struct("gram", "digest", "at.start", "at.windows", "at.lead", F.coalesce("split", F.lit(False)).alias("split")).alias("w")).groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted"))
     texts = source.filter(F.octet_length("text") >= LENGTH).select("id", _text_hash("text").alias("text_hash"), _pressed("text").alias("text"))
     found = texts.join(wanted, (texts.id.eqNullSafe(wanted.id)) & (texts.text_hash == wanted.text_hash)).select("text", "wanted")
-    representatives = materialize(found.mapInPandas(_cut_segments, "gram long, digest long, windows int, lead int, segment binary"), "suffix-representatives")
+    representatives = materialize(found.mapInPandas(_cut_segments, "gram long, digest long, windows int, lead int, split boolean, segment binary"), "suffix-representatives")
     n = max(n_partitions(spark), -(-n_kinds // BUCKET_ROWS))
-    # Sampled splitters; equal grams may be split by digest, see _bucket.
-    ranged = representatives.repartitionByRange(n, F.substring("segment", F.col("lead") + 1, F.lit(GRAM)), "digest")
+    # Sampled splitters; only large grams may be split, by digest, see _bucket.
+    ranged = representatives.repartitionByRange(n, F.substring("segment", F.col("lead") + 1, F.lit(GRAM)), F.when(F.col("split"), F.col("digest")).otherwise(F.lit(0)))
     results = materialize(ranged.mapInPandas(_bucket, FOUND), "suffix-found")
     edges = results.filter((F.col("high") != 0) | (F.col("low") != 0))
     shared = edges.groupBy("high", "low").agg(F.count_distinct("gram", "digest").alias("n")).filter("n > 1").select("high", "low")

@@ -32,6 +32,8 @@ ORDERS = (4, 5, 6)
 THRESHOLD = 0.7
 #: Characters of a text that are hashed at once.
 CHUNK = 1 << 20
+#: Features of the training rows that are summed at once.
+FIT_BLOCK = 1 << 19
 
 #: ASCII letters are lower-cased; other ASCII characters become spaces; bytes of other letters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -105,6 +107,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"label": [0, 1], "n": n, "counts": [zlib.compress(c.tobytes(), 1) for c in counts]})
 
 
+def _choose(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose counts differ significantly between the labels, and their log-count ratios."""
+    pooled = counts.sum(0) / n.sum()
+    deviation = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]), 1e-12))
+    z = (counts[1] / n[1] - counts[0] / n[0]) / deviation
+    z[counts.sum(0) < 3] = 0
+    chosen = np.flatnonzero(np.abs(z) >= MIN_Z)
+    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MAX_FEATURES]])
+    return chosen, np.log((counts[1, chosen] + 1) / (n[1] + 2)) - np.log((counts[0, chosen] + 1) / (n[0] + 2))
+
+
 def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train: int = MAX_TRAIN, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """The feature of each bucket (or -1), the weight of each feature and the intercept."""
     # The sample is bounded, so are its tasks; each sends one vector of counts for each label.
@@ -116,13 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
     if not n.all():
         rate = (n[1] + 1) / (n.sum() + 2)
         return np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log(rate / (1 - rate)))
-    pooled = counts.sum(0) / n.sum()
-    deviation = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]), 1e-12))
-    z = (counts[1] / n[1] - counts[0] / n[0]) / deviation
-    z[counts.sum(0) < 3] = 0
-    chosen = np.flatnonzero(np.abs(z) >= MIN_Z)
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MAX_FEATURES]])
-    ratio = np.log((counts[1, chosen] + 1) / (n[1] + 2)) - np.log((counts[0, chosen] + 1) / (n[0] + 2))
+    chosen, ratio = _choose(counts, n)
+    del counts
     table = np.full(1 << BITS, -1, np.int32)
     table[chosen] = np.arange(len(chosen), dtype=np.int32)
 
@@ -133,25 +141,38 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
             yield pd.DataFrame({"label": df.label, "features": [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
 
     rows = sorted((r.label, bytes(r.features)) for r in sample.mapInPandas(features, "label int, features binary").toLocalIterator())
-    y = np.array([r[0] for r in rows], float)
-    column = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
-    weight, intercept = _fit(row, column, ratio, y, penalty)
+    y, lengths = np.array([r[0] for r in rows], float), np.array([len(r[1]) // 4 for r in rows])
+    column = np.frombuffer(b"".join(r[1] for r in rows), np.int32)
+    del rows
+    weight, intercept = _fit(lengths, column, ratio, y, penalty)
     return table, weight * ratio, intercept
 
 
-def _fit(row: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent; classes weigh alike. Rows are scaled to unit length, at most."""
+def _fit(lengths: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent; classes weigh alike.
+
+    ``column`` holds the features of one row after the other, ``lengths`` how many each has. Rows go through in blocks, so
+    that little memory is needed beside ``column``."""
     m, k = len(y), len(scale)
-    value = scale[column]
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(FIT_BLOCK, ends[-1] + FIT_BLOCK, FIT_BLOCK), "right"), [m]]))
+    blocks = [(slice(a, b), np.repeat(np.arange(b - a), lengths[a:b]).astype(np.int32), column[ends[a] - lengths[a] : ends[b - 1]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def sums(of: np.ndarray) -> np.ndarray:
+        """The sum of ``of`` over the features of each row."""
+        return np.concatenate([np.bincount(row, of[features], rows.stop - rows.start) for rows, row, features in blocks])
+
     balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(m - y.sum(), 1))
-    longest = np.bincount(row, value**2, m).max(initial=1.0) + 1
+    longest = sums(scale**2).max(initial=1.0) + 1
     step, w, b = 4 / (longest * 1.0 + 4 * penalty / m), np.zeros(k), 0.0
     v, c, t = w, b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * v[column], m) + c, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(sums(scale * v) + c, -30, 30)))
         error = balance * (p - y)
-        w_next, b_next = v - step * (np.bincount(column, error[row] * value, k) + penalty / m * v), c - step * error.sum()
+        slope = np.zeros(k)
+        for rows, row, features in blocks:
+            slope += np.bincount(features, error[rows][row], k)
+        w_next, b_next = v - step * (slope * scale + penalty / m * v), c - step * error.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
         w, b, t = w_next, b_next, t_next

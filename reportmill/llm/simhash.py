@@ -11,14 +11,16 @@ fingerprints so that shards stay small. A shard that is too large for one task i
 every pair of parts is searched in a task of its own, so that no link is lost.
 
 Where links are by similarity of shingles and not by bits (:func:`drop_near_copies`), a document has ``LANES`` fingerprints of 64
-bits. The first is searched as above, and what it finds is held against the share of differing bits in all of them at
-the given similarity (for 512 bits, one standard deviation is 0.04 in Jaccard similarity). Links within
+bits, made of its distinct shingles. The first is searched as above, and what it finds is held against the share of differing
+bits in all of them (for 512 bits, one standard deviation is about 0.04 in Jaccard similarity). Pairs that seem ``MARGIN`` or more
+above the similarity are links; those that seem within ``MARGIN`` of it are decided by their sets of shingles. Pairs within
 ``REACH`` bits of the first are all met. Wider ones, up to ``WIDEST``, are met where a choice of blocks has none of the differing
 bits: of two texts at a similarity of 0.8, about 97 % at the mean distance of 10 bits.
 
 Within a shard (or pair of parts) a vantage-point tree over all 64 bits is built: points are split at the median
 distance, branches are pruned by the triangle bound, and points that lie within the radius of the boundary are queried
-on both sides. Of the links found a spanning forest leaves the task. Components are found by alternating
+on both sides. Of the links found a spanning forest leaves the task; of links by similarity, one of the closest pairs and,
+since some of these may not hold, ``FORESTS - 1`` more of the closest pairs beside it. Components are found by alternating
 star contractions on those edges; nothing of all documents is collected.
 
 Defined results: null text is empty; texts without words have fingerprint 0, which links like any other; null ids take part, and
@@ -43,6 +45,8 @@ from reportmill.llm.common import materialize, n_partitions, small_batches
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Links by similarity: words of a shingle, least Jaccard similarity, fingerprints of a document, distances in the first of them.
 WORDS, SIMILARITY, LANES, REACH, WIDEST = 5, 0.8, 8, 8, 14
+#: Estimates of similarity that are this far off are not looked for; forests of pairs that leave a task of the search.
+MARGIN, FORESTS = 0.1, 3
 #: Points of a leaf, which are compared with each other; points of a shard in one task, at most.
 LEAF, PART, SKETCH_PART = 256, 4096, 2048
 #: Shards of up to so many points are compared together; rows of a task of the search, about.
@@ -63,32 +67,49 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def signature(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
-    """64 bits for each lane: a bit is set if it is set in over half of the shingles' hashes."""
+def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, in blocks; nothing for a text without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes know ASCII letters and white space only
     if not words:
-        return np.zeros(lanes, np.uint64)
+        return
     joined = memoryview(b" ".join(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends + 1 - lengths
     n = max(1, len(words) - shingle + 1)
     ends = ends[-n:]
-    counts = np.zeros(64 * lanes, np.int64)
     digest = xxhash.xxh64_intdigest
-    block = BLOCK // lanes
-    for at in range(0, n, block):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + block].tolist(), ends[at : at + block].tolist(), strict=False)], np.uint64)
-        bits = np.unpackbits(_lanes(h, lanes).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # that many ones fit in a byte
-            counts += bits[k : k + 255].sum(0, dtype=np.uint8)
+    for at in range(0, n, BLOCK):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=False)], np.uint64)
+
+
+def _majority(blocks: Iterator[np.ndarray], lanes: int = 1) -> np.ndarray:
+    counts, n = np.zeros(64 * lanes, np.int64), 0
+    for h in blocks:
+        n += len(h)
+        for at in range(0, len(h), BLOCK // lanes):
+            bits = np.unpackbits(_lanes(h[at : at + BLOCK // lanes], lanes).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+            for k in range(0, len(bits), 255):  # that many ones fit in a byte
+                counts += bits[k : k + 255].sum(0, dtype=np.uint8)
     return np.packbits(2 * counts > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
+def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    found = list(_hashes(text, shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def signature(text: str | None, shingle: int = WORDS, lanes: int = LANES) -> np.ndarray:
+    """64 bits for each lane: a bit is set if it is set in over half of the distinct shingles' hashes."""
+    return _majority(iter([shingle_set(text, shingle)]), lanes)
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return int(signature(text, shingle)[0])
+    """64 bits: a bit is set if it is set in over half of the shingles' hashes, repeats included."""
+    return int(_majority(_hashes(text, shingle))[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -98,10 +119,16 @@ def _fingerprints(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType().add("fp", "long").add("sketch", "binary"))
 def _sketches(text: pd.Series) -> pd.DataFrame:
-    found = [signature(x, WORDS, LANES) for x in text]
+    found = [signature(x) for x in text]
     return pd.DataFrame({"fp": np.array([x[0] for x in found], np.uint64).view(np.int64), "sketch": [x.tobytes() for x in found]})
 
 
+@F.pandas_udf(T.StructType().add("fp", "long").add("hashes", T.ArrayType(T.LongType())))
+def _sets(text: pd.Series) -> pd.DataFrame:
+    found = [shingle_set(x) for x in text]
+    return pd.DataFrame({"fp": np.array([_majority(iter([x]))[0] for x in found], np.uint64).view(np.int64), "hashes": [x.view(np.int64) for x in found]})
+
+
 def differing_bits(similarity: float, bits: int) -> int:
     """Bits that differ, on average, between two texts whose shingle sets (of about one size) have this Jaccard similarity."""
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -159,6 +186,37 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Indices of the edges of a forest of least distances (each component ties its closest edge, until none is left)."""
+    order = np.argsort(distance, kind="stable")
+    i, j, label, taken = i[order], j[order], np.arange(n), [np.zeros(0, np.int64)]
+    at = np.arange(len(order))
+    while True:
+        at = at[label[i[at]] != label[j[at]]]
+        if not len(at):
+            return order[np.concatenate(taken)]
+        best = np.full(n, len(order))
+        np.minimum.at(best, label[i[at]], at)
+        np.minimum.at(best, label[j[at]], at)
+        best = np.unique(best[best < len(order)])
+        taken.append(best)
+        label = roots(n, label[i[best]], label[j[best]])[label]
+
+
+def close_forests(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, sure: int) -> np.ndarray:
+    """Indices of the edges of a forest and of further ones, edge-disjoint, of the unsure pairs between what sure pairs tie."""
+    first = forest(n, i, j, distance)
+    certain = first[distance[first] <= sure]
+    label = roots(n, i[certain], j[certain])
+    rest, taken = np.flatnonzero(label[i] != label[j]), [first]
+    for _ in range(FORESTS - 1):
+        rest = np.setdiff1d(rest, taken[-1], assume_unique=True)
+        if not len(rest):
+            break
+        taken.append(rest[forest(n, label[i[rest]], label[j[rest]], distance[rest])])
+    return np.concatenate(taken)
+
+
 def blocks_for(n: int, radius: int = RADIUS, shuffle: int = 40) -> int:
     """The number of blocks for n fingerprints: copies to shuffle (each at so many comparisons) against candidates to compare."""
     return min(range(radius + 1, 2 * radius + 3), key=lambda b: comb(b, radius) * (shuffle + n / 2 ** (64 * (b - radius) / b)))
@@ -191,7 +249,7 @@ def link_fingerprints(points: DataFrame, n: int) -> DataFrame:
 
 
 def link_sketches(points: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """points: fp, distinct, and sketch. Edges (a, b) between fingerprints whose sketches are as similar as that.
+    """points: fp, distinct, and sketch. Edges (a, b, distance) between fingerprints whose sketches seem nearly as similar as that.
 
     Only shards that are too large for one task are looked up: there is at most one for each value of the blocks' bits."""
     trees = masks(blocks_for(n, REACH, shuffle=1000), REACH)
@@ -204,7 +262,19 @@ def link_sketches(points: DataFrame, n: int, similarity: float = SIMILARITY) ->
     placed = placed.select("fp", "sketch", "tree", "vantage", F.explode(both).alias("pair")).select("fp", "sketch", "tree", "vantage", "pair.low", "pair.high")
     shards = ["tree", "vantage", "low", "high"]
     dealt = placed.repartition(max(n_partitions(points.sparkSession), -(-n * len(trees) // TASK_ROWS)), *shards).sortWithinPartitions(*shards)
-    return dealt.mapInPandas(_searcher(WIDEST, differing_bits(similarity, 64 * LANES)), "a long, b long").distinct()
+    limits = differing_bits(similarity - MARGIN, 64 * LANES), differing_bits(min(similarity + MARGIN, 1), 64 * LANES)
+    return dealt.mapInPandas(_searcher(WIDEST, limits), "a long, b long, distance int").distinct()
+
+
+def similar(docs: DataFrame, points: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """docs: id, text; points: fp, first; pairs: a, b. Those whose sets of shingles are as similar; read from the texts again."""
+    fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = points.join(fps, "fp", "left_semi").select(F.col("first").alias("id")).distinct()
+    sets = docs.join(wanted, "id", "left_semi").select(_sets("text").alias("s")).groupBy("s.fp").agg(F.min("s.hashes").alias("hashes"))
+    sets = materialize(sets, "simhash-sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -222,31 +292,34 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.
         yield held, np.zeros(len(held), np.int64)
 
 
-def _searcher(radius: int, limit: int | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Links within ``radius`` bits of the fingerprint and, where there is a limit, within that many of the sketch."""
+def _searcher(radius: int, limits: tuple[int, int] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links within ``radius`` bits of the fingerprint; with limits, pairs within the first in bits of the sketch, sure ones within the second."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, shard in _shards(batches):
             fps, first, node = np.unique(rows.fp.to_numpy(), return_index=True, return_inverse=True)
             x = fps.view(np.uint64)
-            sketch = None if limit is None else np.frombuffer(b"".join(rows.sketch.iloc[first]), np.uint64).reshape(len(fps), -1)
+            sketch = None if limits is None else np.frombuffer(b"".join(rows.sketch.iloc[first]), np.uint64).reshape(len(fps), -1)
 
-            def verified(i: np.ndarray, j: np.ndarray, sketch: np.ndarray | None = sketch) -> np.ndarray:
+            def measured(i: np.ndarray, j: np.ndarray, of: np.ndarray, sketch: np.ndarray | None = sketch) -> np.ndarray:
+                """i, j (places in ``of``) and the distance of the pairs that are close enough."""
                 if sketch is None:
-                    return np.ones(len(i), bool)
-                parts = [np.bitwise_count(sketch[i[k : k + BLOCK]] ^ sketch[j[k : k + BLOCK]]).sum(1, dtype=np.int64) <= limit for k in range(0, len(i), BLOCK)]
-                return np.concatenate(parts) if parts else np.zeros(0, bool)
+                    return np.stack([i, j, np.zeros(len(i), np.int64)])
+                parts = [np.bitwise_count(sketch[of[i[k : k + BLOCK]]] ^ sketch[of[j[k : k + BLOCK]]]).sum(1, dtype=np.int64) for k in range(0, len(i), BLOCK)]
+                distance = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                return np.stack([i, j, distance])[:, distance <= limits[0]]
+
+            def thinned(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+                return forest(n, i, j, distance) if limits is None else close_forests(n, i, j, distance, limits[1])
 
-            found = [np.zeros((2, 0), np.int64)]
+            found = [np.zeros((3, 0), np.int64)]
             starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(shard)]]))
             for k in np.flatnonzero(sizes > SMALL):
                 mine = node[starts[k] : starts[k] + sizes[k]]
-                i, j = close_pairs(x[mine], radius)
-                close = verified(mine[i], mine[j])
-                root = roots(len(mine), i[close], j[close])
-                at = np.flatnonzero(root != np.arange(len(mine)))
-                found.append(np.stack([mine[root[at]], mine[at]]))
+                i, j, distance = measured(*close_pairs(x[mine], radius), mine)
+                kept = thinned(len(mine), i, j, distance)
+                found.append(np.stack([mine[i[kept]], mine[j[kept]], distance[kept]]))
             # Small shards all at once: each point against the next of its shard, the one after, and so on.
             few = sizes <= SMALL
             point, ends = node[np.repeat(few, sizes)], np.repeat(np.cumsum(sizes[few]), sizes[few])
@@ -256,12 +329,12 @@ def _searcher(radius: int, limit: int | None = None) -> Callable[[Iterator[pd.Da
                 if not len(at):
                     break
                 close = at[np.bitwise_count(x[point[at]] ^ x[point[at + step]]) <= radius]
-                close = close[verified(point[close], point[close + step])]
-                found.append(np.stack([point[close], point[close + step]]))
-            i, j = np.concatenate(found, axis=1)
-            root = roots(len(fps), i, j)
-            linked = np.flatnonzero(root != np.arange(len(fps)))
-            yield pd.DataFrame({"a": fps[root[linked]], "b": fps[linked]})
+                i, j, distance = measured(close, close + step, point)
+                found.append(np.stack([point[i], point[j], distance]))
+            i, j, distance = np.concatenate(found, axis=1)
+            kept = thinned(len(fps), i, j, distance)
+            edges = pd.DataFrame({"a": fps[np.minimum(i, j)[kept]], "b": fps[np.maximum(i, j)[kept]]})
+            yield edges if limits is None else edges.assign(distance=distance[kept].astype(np.int32))
 
     return search
 
@@ -311,11 +384,15 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 def near_dedup_similar(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Links by similarity of five-word shingles. One row per document: id, fp (long), component_id.
 
-    Texts with one first fingerprint are linked (their sketch is the smallest of them)."""
+    Texts with one first fingerprint are linked (their sketch is the smallest of them, their text that of the smallest id)."""
     small_batches(docs.sparkSession)
     marked = materialize(docs.select(F.col(id_col).alias("id"), _sketches(F.col(text_col)).alias("s")).select("id", "s.fp", "s.sketch"), "simhash")
     points = materialize(marked.groupBy("fp").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch")), "simhash-points")
-    edges = link_sketches(points.select("fp", "sketch"), points.count(), similarity)
+    edges = materialize(link_sketches(points.select("fp", "sketch"), points.count(), similarity), "simhash-pairs")
+    sure = F.col("distance") <= differing_bits(min(similarity + MARGIN, 1), 64 * LANES)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = similar(texts, points, edges.filter(~sure).select("a", "b"), similarity)
+    edges = edges.filter(sure).select("a", "b").unionAll(held)
     return _grouped(marked.select("id", "fp"), points.select("fp", "first"), edges, id_col)
 
 

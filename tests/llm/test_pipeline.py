@@ -130,3 +130,38 @@ def test_similar_texts(spark, monkeypatch):
         assert int(lanes[0]) == simhash.fingerprint(text[k], 5) and len(np.unique(lanes)) == 8
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
     assert simhash.drop_near_copies(docs.withColumn("fp", F.lit(1)).withColumn("row", F.lit(2))).columns == ["doc_id", "text", "fp", "row"]
+
+
+def test_similar_texts_at_the_threshold(spark):
+    """No link is under 0.8, and nearly all pairs of at least 0.8 are linked, brute force says; repeats do not count."""
+    rng = random.Random(5)
+    text = {}
+    for k in range(80):
+        w = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for n in range(4):
+            at = rng.randrange(250)
+            text[k * 10 + n] = " ".join(w[:at] + [f"x{rng.randrange(4000)}" for _ in range(rng.randrange(60))] + w[at + rng.randrange(30) :])
+    same = "one line that is there again and again "
+    text |= {9000: same * 300 + text[0], 9001: same * 300 + text[10]}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_dedup_similar(docs).collect()}
+    sets = {k: shingles(t) for k, t in text.items()}
+    pairs = [(a, b) for a in text for b in text if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    true = simhash.roots(10_000, *np.array(pairs).T)
+    assert len(pairs) > 50 and all(true[k] == true[found[k]] for k in text)
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_forest():
+    rng = np.random.default_rng(1)
+    i, j, d = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 20, 400)
+    label, weight = list(range(60)), 0
+    for k in np.argsort(d, kind="stable"):
+        a, b = label[i[k]], label[j[k]]
+        if a != b:
+            weight += d[k]
+            label = [a if x == b else x for x in label]
+    kept = simhash.forest(60, i, j, d)
+    assert d[kept].sum() == weight and len(kept) == 60 - len(set(label))
+    more = simhash.close_forests(60, i, j, d, 3)
+    assert len(set(more)) == len(more) > len(kept) and set(kept) <= set(more)

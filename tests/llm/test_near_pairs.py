@@ -38,3 +38,15 @@ def test_all_pairs_at_the_threshold(spark):
         text[2 * k], text[2 * k + 1] = " ".join(w), " ".join(w[:-21] + some_words(rng, 21))  # 175 of 217 shingles
     found = linked(spark, text)
     assert all(found[2 * k + 1] == 2 * k for k in range(150)) and found == brute_force(text)
+
+
+def test_links_within_a_family_just_under_the_threshold(spark):
+    rng, text = random.Random(22), {}
+    template = some_words(rng, 260)
+    for k in range(300):
+        own = some_words(rng, 40)
+        text[k] = " ".join(template + own)  # 256 of 336 shingles with any other
+        if k % 10 == 0:
+            text[1000 + k] = " ".join(template + own[:-30] + some_words(rng, 30))  # 266 of 326
+    found = linked(spark, text)
+    assert all(found[1000 + k] == k for k in range(0, 300, 10)) and found == brute_force(text)

@@ -50,3 +50,12 @@ def test_links_within_a_family_just_under_the_threshold(spark):
             text[1000 + k] = " ".join(template + own[:-30] + some_words(rng, 30))  # 266 of 326
     found = linked(spark, text)
     assert all(found[1000 + k] == k for k in range(0, 300, 10)) and found == brute_force(text)
+
+
+def test_short_texts(spark):
+    rng, text = random.Random(23), {}
+    for k in range(150):
+        w = some_words(rng, 9)
+        text[2 * k], text[2 * k + 1] = " ".join(w[:8]), " ".join(w)  # 4 of 5 shingles
+    found = linked(spark, text)
+    assert all(found[2 * k + 1] == 2 * k for k in range(150)) and found == brute_force(text)

@@ -59,3 +59,13 @@ def test_short_texts(spark):
         text[2 * k], text[2 * k + 1] = " ".join(w[:8]), " ".join(w)  # 4 of 5 shingles
     found = linked(spark, text)
     assert all(found[2 * k + 1] == 2 * k for k in range(150)) and found == brute_force(text)
+
+
+def test_links_through_rows_without_an_id(spark):
+    rng, rows = random.Random(24), []
+    for k in range(20):
+        w, new = some_words(rng, 200), some_words(rng, 40)
+        rows += [(2 * k, " ".join(w)), (None, " ".join(w[:-20] + new[:20])), (2 * k + 1, " ".join(new[20:] + w[20:-20] + new[:20]))]
+    found = simhash.near_dedup_similar(spark.createDataFrame(rows, SCHEMA)).collect()
+    by_id = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    assert len(found) == 60 and all(by_id[2 * k] == by_id[2 * k + 1] == 2 * k for k in range(20))

@@ -1,9 +1,9 @@
-"""SimHash near-duplicates by a forest of vantage-point trees.
+"""SimHash near-duplicates by block partitioning, with vantage-point trees in large shards.
 
 Fingerprints within ``RADIUS`` differing bits are linked; the groups are the connected components. Only distinct
 fingerprints are searched. A vantage-point tree over all 64 bits hardly prunes, because distances between
-unrelated fingerprints gather at 32: a third to a half of all points lie within the radius of any boundary and would be
-sent to both sides. So the forest partitions by Hamming distance to vantage points in projections. The bits are dealt
+unrelated fingerprints gather at 32: many points lie within the radius of any boundary and would be
+sent to both sides (figures in the README). So the forest partitions by Hamming distance to vantage points in projections. The bits are dealt
 to ``b`` blocks; two fingerprints within r bits agree on at least ``b - r`` whole blocks. For each choice of ``b - r`` blocks
 there is one tree whose vantage points are the projected values, with boundary radius 0: a shard is what lies
 at projected distance 0. Every link is thus met in some shard, without approximation. ``b`` grows with the number of

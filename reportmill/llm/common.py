@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters other than these six.
 SEPARATORS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys that are joined by broadcast have this many rows at least, and there are so many of them at most.
+HOT_ROWS, HOT_KEYS = 1000, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +58,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows join keyed, which has each key once and in ``n`` the number of its rows; those of ``total`` rows with many are broadcast."""
+    limit = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(keyed.filter(F.col("n") >= limit))
+    cold = rows.join(F.broadcast(keyed.filter(F.col("n") >= limit).select(*key)), key, "left_anti").join(keyed.filter(F.col("n") < limit), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -15,14 +15,21 @@ Consecutive windows with one anchor make a segment.
    by 128-bit digests.
 4. Repeated windows go back to all segments that a representative stands for, and each document's spans are merged and cut.
 
-Texts are handled in blocks of ``BLOCK`` bytes with overlap; a segment cut by a block's end has two digests and meets the
-others in step 3. Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing; repeated rows (same id and text) are
-copies of each other and give equal rows; null ids take part; an empty table gives an empty result.
+The same steps run over words at once: there the letters are words (by a 64-bit hash), windows have ``PASSAGE`` words, and a window counts
+only if it also occurs in another document. Both views share every shuffle; the last bit of ``gram`` tells them apart.
+
+Texts are handled in blocks of ``BLOCK`` letters with overlap; a segment cut by a block's end has two digests and meets the
+others in step 3. Grams and segments with very many rows are joined by broadcast: there is a bounded number of them.
+
+Defined results: null text is empty; texts shorter than a window lose nothing; repeated rows (same id and text) are
+copies of each other and give equal rows, but are one document where passages across documents are sought; null ids take part; extra columns
+are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,9 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize, n_partitions, small_batches
+from reportmill.llm.common import join_hot, materialize, n_partitions, small_batches
 
 LENGTH, GRAM, BLOCK = 400, 64, 1 << 18
+#: Words of a passage, so over 50, and of its grams.
+PASSAGE, WORD_GRAM = 51, 8
 #: Documents of a batch that are taken apart at once.
 SLICE = 256
 #: Representatives of a bucket, about.
@@ -73,6 +82,28 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return (least & np.uint64((1 << 20) - 1)).astype(np.int64), h
 
 
+@dataclass(frozen=True)
+class View:
+    """How texts are read: letters of ``unit`` bytes, windows of ``length`` letters with grams of ``gram``. number: the last bit of a gram."""
+
+    number: int
+    unit: int
+    length: int
+    gram: int
+
+    def letters(self, data: bytes) -> np.ndarray:
+        if self.unit == 1:
+            return np.frombuffer(data, np.uint8)
+        import xxhash
+
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, data.split()), np.uint64)  # bytes know ASCII white space only
+
+
+BYTES, WORDS = View(0, 1, LENGTH, GRAM), View(1, 8, PASSAGE, WORD_GRAM)
+VIEWS = (BYTES, WORDS)
+#: Shorter texts have no window of either view: the least passage is of one-letter words.
+SHORTEST = min(LENGTH, 2 * PASSAGE - 1)
+
 SEGMENTS = "id long, text_hash long, gram long, digest long, start long, windows int, lead int"
 
 
@@ -86,43 +117,47 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     digest = xxhash.xxh3_64_intdigest
     for df in (df.iloc[k : k + SLICE] for df in batches for k in range(0, len(df), SLICE)):
-        docs = [(id_, data) for id_, data in _texts(df) if len(data) >= LENGTH]
-        for block in _blocks([x for _, x in docs]):
-            doc, offset, ends, buffer = block  # of each piece: its document, its place there, its end in the buffer
-            anchor, h = anchors(np.frombuffer(buffer, np.uint8))
-            starts = np.concatenate([[0], ends[:-1]])
-            # Windows that reach over a piece's end belong to no document.
-            valid = np.zeros(len(anchor), np.int8)
-            for a, b in zip(starts, ends, strict=True):
-                valid[a : b - LENGTH + 1] = 1
-            piece = np.repeat(np.arange(len(ends)), ends - starts)[: len(anchor)]
-            new = np.flatnonzero((valid == 1) & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]) | (piece[1:] != piece[:-1])]))
-            stop = np.flatnonzero((valid == 1) & np.concatenate([(anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]) | (piece[1:] != piece[:-1]), [True]])) + 1
-            view = memoryview(buffer)
-            marks = np.array([digest(view[a:b]) for a, b in zip(new.tolist(), (stop + LENGTH - 1).tolist(), strict=True)], np.uint64)
-            p = piece[new]
-            hashes = np.array([digest(docs[d][1]) for d in doc], np.uint64).view(np.int64)
-            yield pd.DataFrame({
-                "id": pd.array([None if pd.isna(docs[d][0]) else docs[d][0] for d in doc], "Int64")[p], "text_hash": hashes[p], "gram": h[anchor[new]].view(np.int64), "digest": marks.view(np.int64),
-                "start": new - starts[p] + np.array(offset, np.int64)[p], "windows": stop - new, "lead": anchor[new] - new,
-            })
-
-
-def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray, bytes]]:
-    """Buffers of about BLOCK bytes: whole texts, and overlapping pieces of long ones."""
+        docs = [(id_, data) for id_, data in _texts(df) if len(data) >= SHORTEST]
+        hashes = np.array([digest(x) for _, x in docs], np.uint64).view(np.int64)
+        ids = pd.array([None if pd.isna(x) else x for x, _ in docs], "Int64")
+        for view in VIEWS:
+            for doc, offset, ends, buffer in _blocks((view.letters(x) for _, x in docs), view.length):
+                anchor, h = anchors(buffer, view.length, view.gram)
+                starts = np.concatenate([[0], ends[:-1]])
+                # Windows that reach over a piece's end belong to no document.
+                valid = np.zeros(len(anchor), np.int8)
+                for a, b in zip(starts, ends, strict=True):
+                    valid[a : b - view.length + 1] = 1
+                piece = np.repeat(np.arange(len(ends)), ends - starts)[: len(anchor)]
+                cut = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]) | (piece[1:] != piece[:-1])
+                new = np.flatnonzero((valid == 1) & np.concatenate([[True], cut]))
+                stop = np.flatnonzero((valid == 1) & np.concatenate([cut, [True]])) + 1
+                raw, u = memoryview(buffer.view(np.uint8)), view.unit
+                marks = np.array([digest(raw[a:b]) for a, b in zip((new * u).tolist(), ((stop + view.length - 1) * u).tolist(), strict=True)], np.uint64)
+                p = np.array(doc, np.int64)[piece[new]]
+                yield pd.DataFrame({
+                    "id": ids[p], "text_hash": hashes[p], "gram": (h[anchor[new]].view(np.int64) & ~1) | view.number, "digest": marks.view(np.int64),
+                    "start": new - starts[piece[new]] + np.array(offset, np.int64)[piece[new]], "windows": stop - new, "lead": anchor[new] - new,
+                })
+
+
+def _blocks(texts: Iterator[np.ndarray], length: int) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
+    """Buffers of about BLOCK letters: whole texts, and overlapping pieces of long ones. With the document, place there and end in the buffer of each."""
     doc: list[int] = []
     offset: list[int] = []
-    held: list[bytes] = []
+    held: list[np.ndarray] = []
+    size = 0
     for k, text in enumerate(texts):
-        for at in range(0, len(text) - LENGTH + 1, BLOCK):
+        for at in range(0, len(text) - length + 1, BLOCK):
             doc.append(k)
             offset.append(at)
-            held.append(text[at : at + BLOCK + LENGTH - 1])
-            if sum(map(len, held)) >= BLOCK // 2:
-                yield doc, offset, np.cumsum([len(x) for x in held]), b"".join(held)
-                doc, offset, held = [], [], []
+            held.append(text[at : at + BLOCK + length - 1])
+            size += len(held[-1])
+            if size >= BLOCK // 2:
+                yield doc, offset, np.cumsum([len(x) for x in held]), np.concatenate(held)
+                doc, offset, held, size = [], [], [], 0
     if held:
-        yield doc, offset, np.cumsum([len(x) for x in held]), b"".join(held)
+        yield doc, offset, np.cumsum([len(x) for x in held]), np.concatenate(held)
 
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,24 +208,34 @@ def _ranked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rank, lcp
 
 
-def repeated_windows(texts: list[bytes], lead: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows (segment by segment, by start) also occur in another segment of the list."""
-    right_rank, right = _ranked([x[a:] for x, a in zip(texts, lead, strict=True)])
-    left_rank, left = _ranked([x[:a][::-1] for x, a in zip(texts, lead, strict=True)])
-    owner = np.repeat(np.arange(len(texts)), windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    before = lead[owner] - offset  # bytes of a window before its anchor
-    out = np.zeros(len(owner), bool)
+def repeated_windows(texts: list[bytes], lead: np.ndarray, windows: np.ndarray, length: int = LENGTH, unit: int = 1, owner: np.ndarray | None = None) -> np.ndarray:
+    """Which windows (segment by segment, by start) also occur in a segment of another owner (by default, in any other segment).
+
+    lead, windows and length count letters of ``unit`` bytes."""
+    right_rank, right = _ranked([x[a * unit :] for x, a in zip(texts, lead, strict=True)])
+    left_rank, left = _ranked([_reversed(x[: a * unit], unit) for x, a in zip(texts, lead, strict=True)])
+    segment = np.repeat(np.arange(len(texts)), windows)
+    owner = segment if owner is None else np.unique(owner, return_inverse=True)[1][segment]
+    offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+    before = lead[segment] - offset  # letters of a window before its anchor
+    out = np.zeros(len(segment), bool)
     order = np.argsort(before, kind="stable")
     cuts = np.flatnonzero(np.diff(before[order], prepend=-1))
     for at in np.split(order, cuts[1:]):
-        t, who = before[at[0]], owner[at]
-        run = np.cumsum(right < length - t)[right_rank[who]] * (len(texts) + 1) + np.cumsum(left < t)[left_rank[who]]
-        _, which, count = np.unique(run, return_inverse=True, return_counts=True)
-        out[at] = count[which] > 1
+        t, who = before[at[0]], segment[at]
+        run = np.cumsum(right < (length - t) * unit)[right_rank[who]] * (len(texts) + 1) + np.cumsum(left < t * unit)[left_rank[who]]
+        _, which = np.unique(run, return_inverse=True)
+        least, most = np.full(len(which), len(texts)), np.full(len(which), -1)
+        np.minimum.at(least, which, owner[at])
+        np.maximum.at(most, which, owner[at])
+        out[at] = (least < most)[which]
     return out
 
 
+def _reversed(text: bytes, unit: int) -> bytes:
+    return text[::-1] if unit == 1 else np.frombuffer(text, np.uint64)[::-1].tobytes()
+
+
 def _runs(mask: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first and end (index into mask) of each run of true."""
     new = np.flatnonzero(mask & np.concatenate([[True], ~mask[:-1] | (owner[1:] != owner[:-1])]))
@@ -198,31 +243,38 @@ def _runs(mask: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[new], new, end
 
 
-FOUND = "gram long, digest long, first int, last int, high long, low long"
+FOUND = "gram long, digest long, first int, last int, owner long, high long, low long"
 
 
 def _bucket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of repeated windows, and (with a digest) windows whose gram may go on in a neighbouring bucket."""
-    import xxhash
-
     held = [x for x in batches if len(x)]
     if not held:
         return
-    df = pd.concat(held, ignore_index=True)
+    rows = pd.concat(held, ignore_index=True)
+    for view in VIEWS:
+        df = rows[(rows.gram & 1) == view.number]
+        if len(df):
+            yield from _searched(df, view)
+
+
+def _searched(df: pd.DataFrame, view: View) -> Iterator[pd.DataFrame]:
+    import xxhash
+
     texts = [bytes(x) for x in df.segment]
-    lead, windows, gram, digest = df.lead.to_numpy(np.int64), df.windows.to_numpy(np.int64), df.gram.to_numpy(), df.digest.to_numpy()
-    repeated = repeated_windows(texts, lead, windows)
-    owner = np.repeat(np.arange(len(df)), windows)
+    lead, windows, gram, digest, owner = df.lead.to_numpy(np.int64), df.windows.to_numpy(np.int64), df.gram.to_numpy(), df.digest.to_numpy(), df.owner.to_numpy()
+    repeated = repeated_windows(texts, lead, windows, view.length, view.unit, owner)
+    segment = np.repeat(np.arange(len(df)), windows)
     base = np.cumsum(windows) - windows
-    who, new, end = _runs(repeated, owner)
-    yield pd.DataFrame({"gram": gram[who], "digest": digest[who], "first": new - base[who], "last": end - 1 - base[who], "high": 0, "low": 0})
-    heads = [x[a : a + GRAM] for x, a in zip(texts, lead, strict=True)]
-    edge = {min(heads), max(heads)}
-    for k in [k for k, x in enumerate(heads) if df.split.iloc[k] and x in edge]:
-        view = memoryview(texts[k])
-        marks = [xxhash.xxh3_128_intdigest(view[i : i + LENGTH]) for i in range(windows[k])]
+    who, new, end = _runs(repeated, segment)
+    yield pd.DataFrame({"gram": gram[who], "digest": digest[who], "first": new - base[who], "last": end - 1 - base[who], "owner": 0, "high": 0, "low": 0})
+    heads = [x[a * view.unit : (a + view.gram) * view.unit] for x, a in zip(texts, lead, strict=True)]
+    edge, split = {min(heads), max(heads)}, df.split.to_numpy()
+    for k in [k for k, x in enumerate(heads) if split[k] and x in edge]:
+        raw = memoryview(texts[k])
+        marks = [xxhash.xxh3_128_intdigest(raw[i * view.unit : (i + view.length) * view.unit]) for i in range(windows[k])]
         at = np.arange(windows[k])
-        yield pd.DataFrame({"gram": gram[k], "digest": digest[k], "first": at, "last": at, "high": np.array([x >> 64 for x in marks], np.uint64).view(np.int64), "low": np.array([x & (1 << 64) - 1 for x in marks], np.uint64).view(np.int64)})
+        yield pd.DataFrame({"gram": gram[k], "digest": digest[k], "first": at, "last": at, "owner": owner[k], "high": np.array([x >> 64 for x in marks], np.uint64).view(np.int64), "low": np.array([x & (1 << 64) - 1 for x in marks], np.uint64).view(np.int64)})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -243,69 +295,92 @@ def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text, wanted in zip(df.text, df.wanted, strict=True):
             data = zstandard.decompress(text)
-            rows += [(r["gram"], r["digest"], r["windows"], r["lead"], r["split"], data[r["start"] : r["start"] + r["windows"] + LENGTH - 1]) for r in wanted]
-        yield pd.DataFrame(rows, columns=["gram", "digest", "windows", "lead", "split", "segment"])
+            for view in VIEWS:
+                mine = [r for r in wanted if r["gram"] & 1 == view.number]
+                letters = view.letters(data) if mine else None
+                rows += [(r["gram"], r["digest"], r["windows"], r["lead"], r["split"], r["owner"], letters[r["start"] : r["start"] + r["windows"] + view.length - 1].tobytes()) for r in mine]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in REPRESENTATIVES.split(", ")])
+
+
+REPRESENTATIVES = "gram long, digest long, windows int, lead int, split boolean, owner long, segment binary"
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long"
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in (df.iloc[k : k + SLICE] for df in batches for k in range(0, len(df), SLICE)):
         rows = []
         for id_, text, spans in zip(df.id, df.text, df.spans, strict=True):
-            data, kept, removed, n, at = zstandard.decompress(text), [], 0, 0, 0
-            end = -1
-            for a, b in sorted((int(x["a"]), int(x["b"])) for x in spans) if spans is not None else []:
-                if a > end:
-                    n += 1
-                    kept.append(data[at:a])
-                elif b <= end:
-                    continue
-                removed += b - max(a, end) if end >= 0 else b - a
-                at = end = max(end, b)
-            kept.append(data[at:])
-            rows.append((id_, len(data), removed, n, b"".join(kept)))
-        out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            data, found = zstandard.decompress(text), [(int(x["view"]), int(x["a"]), int(x["b"])) for x in (spans if spans is not None else [])]
+            removed, passages = (_merged([(a, b) for v, a, b in found if v == view.number]) for view in VIEWS)
+            kept = [data[a:b] for a, b in zip([0] + [b for _, b in removed], [a for a, _ in removed] + [len(data)], strict=True)]
+            rows.append((id_, len(data), sum(b - a for a, b in removed), len(removed), b"".join(kept), sum(b - a for a, b in passages)))
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in CUT.split(", ")])
         out["id"] = out.id.astype("Int64")
         yield out
 
 
 def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Spans (id, text_hash, a, b) of repeated windows of the documents, ready to be merged."""
+    """Spans (id, text_hash, view, a, b) of repeated windows of the documents, in bytes (view 0) or words (1), ready to be merged."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     segments = materialize(source.mapInPandas(_segments, SEGMENTS), "suffix-segments")
-    key = ["gram", "digest"]
-    grams = segments.groupBy("gram").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most")).filter("n > 1")
-    marked = materialize(segments.join(grams.select("gram", (F.col("least") == F.col("most")).alias("alike")), "gram"), "suffix-marked")
-    whole = marked.filter("alike")
-    open_ = marked.filter("not alike")
-    kinds = materialize(open_.groupBy(*key).agg(F.count("*").alias("n"), F.min_by(F.struct("id", "text_hash", "start", "windows", "lead"), F.struct("id", "text_hash", "start")).alias("at")), "suffix-kinds")
-    n_kinds = kinds.count()
+    key, words = ["gram", "digest"], F.col("gram").bitwiseAND(F.lit(1)) == 1
+    document = F.xxhash64("id", "text_hash")
+    #: Whether there is anything to repeat: another segment, or in passages one of another document.
+    several = F.when(F.first(words), F.min(document) != F.max(document)).otherwise(F.count("*") > 1).alias("several")
+    grams = segments.groupBy("gram").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("alike"), several).filter("several").drop("several")
+    marked = materialize(join_hot(segments, materialize(grams, "suffix-grams"), ["gram"], segments.count()).drop("n"), "suffix-marked")
+    whole = marked.filter("alike").drop("alike")
+    open_ = marked.filter("not alike").drop("alike")
+    kinds = materialize(open_.groupBy(*key).agg(F.count("*").alias("n"), several, F.min_by(F.struct("id", "text_hash", "start", "windows", "lead"), F.struct("id", "text_hash", "start")).alias("at")), "suffix-kinds")
+    n_kinds, n_open = kinds.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     large = kinds.groupBy("gram").agg(F.count("*").alias("reps")).filter(F.col("reps") > BUCKET_ROWS).select("gram", F.lit(True).alias("split"))
-    # A segment that occurs twice is repeated as a whole, but its windows still count for others.
-    wanted = kinds.join(large, "gram", "left").select("at.id", "at.text_hash", F.struct("gram", "digest", "at.start", "at.windows", "at.lead", F.coalesce("split", F.lit(False)).alias("split")).alias("w")).groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted"))
-    texts = source.filter(F.octet_length("text") >= LENGTH).select("id", _text_hash("text").alias("text_hash"), _pressed("text").alias("text"))
+    # A segment that occurs twice is repeated as a whole, but its windows still count for others. One of a single document is owned by it.
+    owner = F.when(words & ~F.col("several"), F.xxhash64("at.id", "at.text_hash")).otherwise(F.xxhash64(*key, F.lit("several"))).alias("owner")
+    wanted = kinds.join(F.broadcast(large), "gram", "left").select("at.id", "at.text_hash", F.struct("gram", "digest", "at.start", "at.windows", "at.lead", F.coalesce("split", F.lit(False)).alias("split"), owner).alias("w")).groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted"))
+    texts = source.filter(F.octet_length("text") >= SHORTEST).select("id", _text_hash("text").alias("text_hash"), _pressed("text").alias("text"))
     found = texts.join(wanted, (texts.id.eqNullSafe(wanted.id)) & (texts.text_hash == wanted.text_hash)).select("text", "wanted")
-    representatives = materialize(found.mapInPandas(_cut_segments, "gram long, digest long, windows int, lead int, split boolean, segment binary"), "suffix-representatives")
+    representatives = materialize(found.mapInPandas(_cut_segments, REPRESENTATIVES), "suffix-representatives")
     n = max(n_partitions(spark), -(-n_kinds // BUCKET_ROWS))
-    # Sampled splitters; only large grams may be split, by digest, see _bucket.
-    ranged = representatives.repartitionByRange(n, F.substring("segment", F.col("lead") + 1, F.lit(GRAM)), F.when(F.col("split"), F.col("digest")).otherwise(F.lit(0)))
+    # Sampled splitters; only large grams may be split, by digest, see _searched.
+    unit, gram = F.when(words, WORDS.unit).otherwise(BYTES.unit), F.when(words, WORDS.gram).otherwise(BYTES.gram)
+    ranged = representatives.repartitionByRange(n, words, F.substring("segment", F.col("lead") * unit + 1, gram * unit), F.when(F.col("split"), F.col("digest")).otherwise(F.lit(0)))
     results = materialize(ranged.mapInPandas(_bucket, FOUND), "suffix-found")
     edges = results.filter((F.col("high") != 0) | (F.col("low") != 0))
-    shared = edges.groupBy("high", "low").agg(F.count_distinct("gram", "digest").alias("n")).filter("n > 1").select("high", "low")
+    shared = edges.groupBy("high", "low").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least <> most").select("high", "low")
     across = edges.join(shared, ["high", "low"]).select(*key, "first", "last")
-    runs = results.filter("high = 0 and low = 0").select(*key, "first", "last").unionAll(across).distinct()
-    repeated = kinds.filter("n > 1").select(*key)
-    partly = open_.join(repeated, key, "left_anti").join(runs, key)
-    fully = whole.unionByName(open_.join(repeated, key, "left_semi"))
-    return fully.select("id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b")).unionAll(
-        partly.select("id", "text_hash", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
+    runs = results.filter("high = 0 and low = 0").select(*key, "first", "last").unionAll(across)
+    # What is repeated of each kind of segment: all windows, or runs of them (no more than a segment has windows).
+    runs = runs.groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    judged = materialize(kinds.select(*key, "n", "several").join(runs, key, "left").filter("several or runs is not null"), "suffix-judged")
+    everything = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
+    partly = join_hot(open_, judged, key, n_open).withColumn("runs", F.when(F.col("several"), everything).otherwise(F.col("runs")))
+    hits = whole.withColumn("runs", everything).select("id", "text_hash", "gram", "start", "runs").unionByName(partly.select("id", "text_hash", "gram", "start", "runs"))
+    length = F.when(words, WORDS.length).otherwise(BYTES.length)
+    return hits.select("id", "text_hash", "gram", "start", F.explode("runs").alias("r")).select(
+        "id", "text_hash", words.cast("int").alias("view"), (F.col("start") + F.col("r.first")).alias("a"), (F.col("start") + F.col("r.last") + length).alias("b")
     )
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans and kept, the bytes that are left."""
-    spans = find_repeats(docs, text_col, id_col).groupBy("id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    """One row per document: id, n_bytes, n_removed, n_spans, kept (the bytes that are left) and n_passage_words.
+
+    n_passage_words: words in passages of over 50 words that another document has too, whatever their bytes; nothing is cut for them."""
+    spans = find_repeats(docs, text_col, id_col).groupBy("id", "text_hash").agg(F.collect_set(F.struct("view", "a", "b")).alias("spans"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"), _pressed(F.col(text_col)).alias("text"))
     joined = texts.join(spans, (texts.id.eqNullSafe(spans.id)) & (texts.text_hash == spans.text_hash), "left").select(texts.id, "text", "spans")
-    return joined.mapInPandas(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInPandas(_cut, CUT).withColumnRenamed("id", id_col)

@@ -1,74 +1,55 @@
-"""SimHash near-duplicates by block partitioning, with vantage-point trees in large shards.
-
-Fingerprints within ``RADIUS`` differing bits are linked; the groups are the connected components. Only distinct
-fingerprints are searched. A vantage-point tree over all 64 bits hardly prunes, because distances between
-unrelated fingerprints gather at 32: many points lie within the radius of any boundary and would be
-sent to both sides (figures in the README). So the forest partitions by Hamming distance to vantage points in projections. The bits are dealt
-to ``b`` blocks; two fingerprints within r bits agree on at least ``b - r`` whole blocks. For each choice of ``b - r`` blocks
-there is one tree whose vantage points are the projected values, with boundary radius 0: a shard is what lies
-at projected distance 0. Every link is thus met in some shard, without approximation. ``b`` grows with the number of
-fingerprints so that shards stay small. A shard that is too large for one task is cut into parts and
-every pair of parts is searched in a task of its own, so that no link is lost.
-
-Where links are by similarity of shingles and not by bits (:func:`drop_near_copies`), fingerprints are not used. Of two sets of n
-shingles or fewer that are as similar, each has one of the other's among its first n - ceil(similarity n) + 1, in any one order of all
-shingles (prefix filter); the order is by hash, with shingles common in a sample last. Sets that share a shingle of their prefixes are
-tied to the next one by size. What is tied together goes to one task (in parts, where it is much: every pair of parts to a task):
-first the prefixes alone, to part what differs too much in them, then the sets themselves, each to be compared with all that share a
-shingle of its prefix and are not linked to it yet.
-
-Within a shard (or pair of parts) a vantage-point tree over all 64 bits is built: points are split at the median
-distance, branches are pruned by the triangle bound, and points that lie within the radius of the boundary are queried
-on both sides. Of the links found a spanning forest leaves the task; of links by similarity, one of the closest pairs and,
-since some of these may not hold, ``FORESTS - 1`` more of the closest pairs beside it. Components are found by alternating
-star contractions on those edges; nothing of all documents is collected.
-
-Defined results: null text is empty; texts without words have fingerprint 0, or the empty set, which links like any other; null ids take part, and
-a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each; an empty table gives an
-empty result.
+"""SimHash near-duplicates by vantage-point trees.
+
+Fingerprints within ``RADIUS`` differing bits are linked; the groups are the connected components. Only distinct fingerprints are searched.
+
+A tree over all 64 bits hardly prunes: distances between unrelated fingerprints gather at 32, four standard deviations are 16, and
+two of three points lie within the radius of any boundary (figures in the README). The bits are therefore dealt to blocks and
+there is one tree for each choice of blocks. Of ``RADIUS`` differing bits, some choice holds its share or less, so in its
+tree's distance (bits that differ within these blocks) every link is within ``reach``, which is 1. There the triangle bound parts all
+but the points next to a boundary. The number of blocks grows with the number of fingerprints.
+
+The trees are built on the driver from a bounded sample of fingerprints. A node has a vantage point and a distance: nearer points go
+to one side, the others to the other side, and points nearer by up to ``reach`` to both, since their partners may lie beyond. Each
+fingerprint is sent down all trees to the shards that it may have partners in, overlaps included, and the tree goes on within each shard,
+where branches are pruned by the same bound, until leaves compare all 64 bits. No link is lost: the sample decides how even
+shards are, not what they find. A shard that is too large for one task is cut into parts and every pair of parts is a task of its own.
+
+Of the links found in a shard a spanning forest leaves the task. Components are found by alternating star contractions on those
+edges; centres of very many edges are joined by broadcast. Nothing of all documents is collected.
+
+Defined results: null text is empty; texts without words have fingerprint 0, which links like any other; null ids take part, and
+a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each; extra columns are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize, n_partitions, small_batches
+from reportmill.llm.common import join_hot, materialize, n_partitions
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: Links by similarity: words of a shingle, least Jaccard similarity, fingerprints of a document, distances in the first of them.
-WORDS, SIMILARITY, LANES, REACH, WIDEST = 5, 0.8, 8, 8, 14
-#: Estimates of similarity that are this far off are not looked for; forests of pairs that leave a task of the search.
-MARGIN, FORESTS = 0.1, 3
-#: Points of a leaf, which are compared with each other; points of a shard in one task, at most; sets of a part, about.
-LEAF, PART, SKETCH_PART = 256, 4096, 2048
-#: Shards of up to so many points are compared together; rows of a task of the search, about.
-SMALL, TASK_ROWS = 48, 500_000
-#: Texts that are counted to find common shingles, about; shingles that are ordered by it; shingles of a part; shingles of a task, about.
-SAMPLE, COMMON, PART_SHINGLES, TASK_SHINGLES = 20_000, 50_000, 1_000_000, 4_000_000
+#: Points of a leaf, which are compared with each other; points of a shard, about; points of a part of a shard that could not be split; rows of a task of the search, about.
+LEAF, SHARD, PART, TASK_ROWS = 256, 4096, 8192, 200_000
+#: A node is split where that leaves so much of its comparisons at most; else copies would pile up in dense groups.
+WORTH = 0.78
+#: Fingerprints that the trees are built from (a quarter of all at most), about, and never more than twice the second (8 bytes each, on the driver).
+LEAST_SAMPLE, MOST_SAMPLE = 1 << 16, 1 << 20
+#: Edges from which on centres of many edges are joined by broadcast.
+MANY_EDGES = 200_000
 #: Shingles that are hashed and counted at once.
 BLOCK = 1 << 16
 
 
-def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
-    """One column for each lane: the hashes themselves, then independent ones made of them."""
-    out = np.empty((len(h), lanes), np.uint64)
-    out[:, 0] = h
-    for k in range(1, lanes):
-        z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = z ^ (z >> np.uint64(31))
-    return out
-
-
 def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
     """Hashes of all shingles, in blocks; nothing for a text without words."""
     import xxhash
@@ -87,31 +68,15 @@ def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=False)], np.uint64)
 
 
-def _majority(blocks: Iterator[np.ndarray], lanes: int = 1) -> np.ndarray:
-    counts, n = np.zeros(64 * lanes, np.int64), 0
-    for h in blocks:
-        n += len(h)
-        for at in range(0, len(h), BLOCK // lanes):
-            bits = np.unpackbits(_lanes(h[at : at + BLOCK // lanes], lanes).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
-            for k in range(0, len(bits), 255):  # that many ones fit in a byte
-                counts += bits[k : k + 255].sum(0, dtype=np.uint8)
-    return np.packbits(2 * counts > n, bitorder="little").view("<u8").astype(np.uint64)
-
-
-def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
-    found = list(_hashes(text, shingle))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def signature(text: str | None, shingle: int = WORDS, lanes: int = LANES) -> np.ndarray:
-    """64 bits for each lane: a bit is set if it is set in over half of the distinct shingles' hashes."""
-    return _majority(iter([shingle_set(text, shingle)]), lanes)
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 bits: a bit is set if it is set in over half of the shingles' hashes, repeats included."""
-    return int(_majority(_hashes(text, shingle))[0])
+    counts, n = np.zeros(64, np.int64), 0
+    for h in _hashes(text, shingle):
+        n += len(h)
+        bits = np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # that many ones fit in a byte
+            counts += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -119,96 +84,41 @@ def _fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(x) for x in text], np.uint64).view(np.int64))
 
 
-def _key(found: np.ndarray) -> int:
-    """One value for each set of shingles."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(found.astype("<u8", copy=False).tobytes(), SEED)
-
-
-def prefix_length(n: np.ndarray | int, similarity: float) -> np.ndarray:
-    """Of sets of n shingles in one order of all shingles: two that are as similar share one of so many first ones."""
-    n = np.asarray(n)
-    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-
-
-@F.pandas_udf(T.StructType().add("fp", "long").add("hashes", "binary"))
-def _sets(text: pd.Series) -> pd.DataFrame:
-    found = [shingle_set(x) for x in text]
-    return pd.DataFrame({"fp": np.array([_key(x) for x in found], np.uint64).view(np.int64), "hashes": [x.tobytes() for x in found]})
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _shingles(text: pd.Series) -> pd.Series:
-    return pd.Series([shingle_set(x).view(np.int64) for x in text])
-
-
-def _frequencies(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Counts of shingles; common: sorted shingles and their counts, the others have 0."""
-    if not common.size:
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(common[0], h), common.shape[1] - 1)
-    return np.where(common[0][at] == h, common[1][at], 0)
-
-
-def _prefixes(common: np.ndarray, similarity: float) -> Callable:
-    """The key of a text's set, its size and its prefix; common: shingles that come last, by their counts."""
-
-    @F.pandas_udf(T.StructType().add("fp", "long").add("n", "long").add("prefix", T.ArrayType(T.LongType())))
-    def prefixes(text: pd.Series) -> pd.DataFrame:
-        keys, sizes, firsts = [], [], []
-        for x in text:
-            found = shingle_set(x)
-            keys.append(_key(found))
-            sizes.append(len(found))
-            h = found.view(np.int64)
-            order = np.argsort(_frequencies(h, common), kind="stable")
-            firsts.append(h[order[: int(prefix_length(len(h), similarity))]])
-        return pd.DataFrame({"fp": np.array(keys, np.uint64).view(np.int64), "n": sizes, "prefix": firsts})
-
-    return prefixes
-
-
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits that differ, on average, between two texts whose shingle sets (of about one size) have this Jaccard similarity."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def close_pairs(points: np.ndarray, radius: int = RADIUS, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all pairs within the radius: i < j within ``points``, or i of ``points`` and j of ``other``."""
+def close_pairs(points: np.ndarray, radius: int = RADIUS, mask: int = (1 << 64) - 1, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices i < j of the pairs within the radius of which the bits in ``mask`` differ by ``reach`` or less, and perhaps of others within the radius."""
     found: list[np.ndarray] = []
-    x = points if other is None else np.concatenate([points, other])
-    cut = len(points)
+    reach, seen = radius if reach is None else reach, points & np.uint64(mask)
     # members are searched among themselves, guests only against members: their pairs among each other are met elsewhere
-    stack = [(np.arange(len(x)), np.zeros(0, np.int64), 0)]
+    stack = [(np.arange(len(points)), np.zeros(0, np.int64), 0)]
     while stack:
         members, guests, depth = stack.pop()
-        if len(members) <= LEAF or depth > 24:
+        if len(members) <= LEAF or depth > 40:
             for at in range(0, len(members), LEAF):
                 a = members[at : at + LEAF]
                 b = np.concatenate([members[at:], guests])
                 for bt in range(0, len(b), 8192):
-                    i, j = np.nonzero(np.bitwise_count(x[a, None] ^ x[None, b[bt : bt + 8192]]) <= radius)
+                    i, j = np.nonzero(np.bitwise_count(points[a, None] ^ points[None, b[bt : bt + 8192]]) <= radius)
                     found.append(np.stack([a[i], b[bt : bt + 8192][j]]))
             continue
-        everyone = np.concatenate([members, guests])
-        vantage = x[members[(depth * 7919) % len(members)]]
-        d = np.bitwise_count(x[everyone] ^ vantage).astype(np.int64)
-        own = d[: len(members)]
-        middle = int(np.median(own)) + 1  # inside: d < middle
-        if not 0 < (n := int((own < middle).sum())) < len(members):
-            middle -= 1
-            if not 0 < (n := int((own < middle).sum())) < len(members):
-                stack.append((members, guests, 99))
-                continue
-        inside, guest = own < middle, d[len(members) :]
-        near_in = members[inside & (own >= middle - radius)]  # may reach over the boundary: guests outside
-        stack.append((members[inside], guests[guest < middle + radius], depth + 1))
-        stack.append((members[~inside], np.concatenate([near_in, guests[guest >= middle - radius]]), depth + 1))
+        vantage = seen[members[(depth * 7919) % len(members)]]
+        own = np.bitwise_count(seen[members] ^ vantage).astype(np.int64)
+        middle = boundary(own)
+        if not middle:
+            stack.append((members, guests, 99))
+            continue
+        inside, guest = own < middle, np.bitwise_count(seen[guests] ^ vantage).astype(np.int64)
+        near_in = members[inside & (own >= middle - reach)]  # may reach over the boundary: guests outside
+        stack.append((members[inside], guests[guest < middle + reach], depth + 1))
+        stack.append((members[~inside], np.concatenate([near_in, guests[guest >= middle - reach]]), depth + 1))
     i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     i, j = np.minimum(i, j), np.maximum(i, j)
-    keep = (i < j) if other is None else (i < cut) & (j >= cut)
-    return i[keep], j[keep] - (0 if other is None else cut)
+    return i[i < j], j[i < j]
+
+
+def boundary(distance: np.ndarray) -> int:
+    """About the median: some distances are less and some are not; 0 if all are equal."""
+    least, most = int(distance.min()), int(distance.max())
+    return 0 if least == most else min(max(int(np.median(distance)), least + 1), most)
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -243,214 +153,136 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.nda
         label = roots(n, label[i[best]], label[j[best]])[label]
 
 
-def close_forests(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, sure: int) -> np.ndarray:
-    """Indices of the edges of a forest and of further ones, edge-disjoint, of the unsure pairs between what sure pairs tie."""
-    first = forest(n, i, j, distance)
-    certain = first[distance[first] <= sure]
-    label = roots(n, i[certain], j[certain])
-    rest, taken = np.flatnonzero(label[i] != label[j]), [first]
-    for _ in range(FORESTS - 1):
-        rest = np.setdiff1d(rest, taken[-1], assume_unique=True)
-        if not len(rest):
-            break
-        taken.append(rest[forest(n, label[i[rest]], label[j[rest]], distance[rest])])
-    return np.concatenate(taken)
-
-
-def blocks_for(n: int, radius: int = RADIUS, shuffle: int = 40) -> int:
-    """The number of blocks for n fingerprints: copies to shuffle (each at so many comparisons) against candidates to compare."""
-    return min(range(radius + 1, 2 * radius + 3), key=lambda b: comb(b, radius) * (shuffle + n / 2 ** (64 * (b - radius) / b)))
-
-
-def masks(blocks: int, radius: int = RADIUS) -> list[int]:
+@dataclass(frozen=True)
+class Tree:
+    """Nodes of a vantage-point tree over the bits in ``mask``: inner and outer are nodes, or shards as -1 - number; parts of each shard."""
+
+    mask: int
+    reach: int
+    vantage: np.ndarray
+    middle: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    parts: np.ndarray
+
+    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``points`` and a shard for each; points near a boundary go to both sides."""
+        who = np.arange(len(points))
+        if not len(self.vantage):
+            return who, np.zeros(len(points), np.int64)
+        seen, at, done = points & np.uint64(self.mask), np.zeros(len(points), np.int64), []
+        while len(who):
+            d, middle = np.bitwise_count(seen[who] ^ self.vantage[at]).astype(np.int64), self.middle[at]
+            inside, outside = d < middle, d >= middle - self.reach
+            who, at = np.concatenate([who[inside], who[outside]]), np.concatenate([self.inner[at[inside]], self.outer[at[outside]]])
+            done.append((who[at < 0], -1 - at[at < 0]))
+            who, at = who[at >= 0], at[at >= 0]
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
+def grow(sample: np.ndarray, mask: int, reach: int, scale: float, shard: int = SHARD, part: int = PART) -> Tree:
+    """A tree of shards of about ``shard`` points, each point of the sample standing for ``scale``."""
+    vantage, middle, inner, outer, parts = [], [], [], [], []
+    seen = sample & np.uint64(mask)
+    stack: list[tuple[np.ndarray, list | None, int]] = [(np.arange(len(sample)), None, 0)]  # members, and where their node's number is to be put
+    while stack:
+        members, into, at = stack.pop()
+        number = None
+        if len(members) * scale > shard and len(members) > 8:
+            best = None
+            for k in range(3):  # of some vantage points the one that sends fewest to both sides
+                v = seen[members[(len(vantage) * 7919 + k * 104729) % len(members)]]
+                d = np.bitwise_count(seen[members] ^ v).astype(np.int64)
+                for m in range(boundary(d), min(boundary(d) + 2, int(d.max()) + 1)):
+                    work = float((d < m).mean() ** 2 + (d >= m - reach).mean() ** 2)  # comparisons that the split leaves
+                    if m and (best is None or work < best[0]):
+                        best = (work, v, m, d)
+            if best and best[0] < WORTH:
+                _, v, m, d = best
+                number = len(vantage)
+                vantage.append(v)
+                middle.append(m)
+                inner.append(0)
+                outer.append(0)
+                stack += [(members[d < m], inner, number), (members[d >= m - reach], outer, number)]
+        if number is None:
+            number = -1 - len(parts)
+            parts.append(max(1, ceil(len(members) * scale / part)) if len(members) * scale > shard * 2 else 1)
+        if into is not None:
+            into[at] = number
+    return Tree(mask, reach, np.array(vantage, np.uint64), np.array(middle, np.int64), np.array(inner, np.int64), np.array(outer, np.int64), np.array(parts, np.int64))
+
+
+def dealing(n: int, radius: int = RADIUS) -> tuple[int, int]:
+    """Blocks, and how many of them a tree looks at, for n fingerprints: the least work of those with a reach of 1."""
+
+    def work(blocks: int, chosen: int) -> float:
+        bits = 64 * chosen / blocks
+        both = 0.8 / sqrt(bits)  # one standard deviation is half the root of the bits
+        levels = max(0.0, min(log(max(n, LEAF) / LEAF) / -log((1 + both) / 2), bits))
+        return comb(blocks, chosen) * (1 + both) ** levels * (40 + n * ((1 + both) / 2) ** levels / 2)
+
+    return min(((b, s) for b in range(3, 9) for s in range(1, b) if radius * s // b == 1), key=lambda x: work(*x))
+
+
+def masks(blocks: int, chosen: int) -> list[int]:
     edges = [64 * k // blocks for k in range(blocks + 1)]
     part = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
-    return [sum(part[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    return [sum(part[k] for k in some) for some in combinations(range(blocks), chosen)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def plant(sample: np.ndarray, n: int, radius: int = RADIUS) -> list[Tree]:
+    """The trees for n fingerprints of which ``sample`` is a part."""
+    blocks, chosen = dealing(n, radius)
+    return [grow(sample, m, radius * chosen // blocks, n / max(1, len(sample)), SHARD, PART) for m in masks(blocks, chosen)]
 
 
 def link_fingerprints(points: DataFrame, n: int) -> DataFrame:
-    """points: fp, distinct. Edges (a, b) whose components are those of all pairs within the radius."""
-    trees = masks(blocks_for(n))
-    shard = F.explode(F.array(*[F.struct(F.lit(k).alias("tree"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("vantage")) for k, m in enumerate(trees)]))
-    placed = points.select("fp", shard.alias("s")).select("fp", "s.tree", "s.vantage")
-    sizes = placed.groupBy("tree", "vantage").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    # Parts of a shard, by hash; a part meets itself and every other part in a task of its own.
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    placed = placed.join(sizes, ["tree", "vantage"]).withColumns({"parts": parts, "part": F.pmod(F.xxhash64("fp"), parts).cast("int")})
-    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high")))
-    placed = placed.select("fp", "tree", "vantage", "part", F.explode(both).alias("pair")).select("fp", "tree", "vantage", "part", "pair.low", "pair.high")
-    shards = ["tree", "vantage", "low", "high"]
-    dealt = placed.repartition(max(n_partitions(points.sparkSession), -(-n * len(trees) // TASK_ROWS)), *shards).sortWithinPartitions(*shards)
-    return dealt.mapInPandas(_searcher(RADIUS), "a long, b long").distinct()
-
-
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """texts: text, row (a hash of it). The most frequent shingles of a sample and their counts; any order of shingles is right, this one is fast."""
-    share = max(1, texts.count() // SAMPLE)
-    sample = texts.filter(F.pmod("row", F.lit(share)) == 0).select(F.explode(_shingles("text")).alias("h"))
-    counted = sample.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    return np.array(sorted((r.h, r.n) for r in counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()), np.int64).T
-
-
-def _chains(similarity: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows by shingle and size: ties each set to the next of its shingle if their sizes allow a link. Any two whose sizes do are so tied."""
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+    """points: fp, distinct, n of them. Edges (a, b) whose components are those of all pairs within the radius."""
+    spark = points.sparkSession
+    wanted = min(MOST_SAMPLE, max(LEAST_SAMPLE, n // 256))
+    share = min(0.25, wanted / max(1, n))
+    drawn = points.filter(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * MOST_SAMPLE)
+    sample = np.sort(np.array([r.fp for r in drawn.toLocalIterator()], np.int64)).view(np.uint64)
+    trees = plant(sample, n)
+    rows = sum(len(t.route(sample)[0]) for t in trees) * n / max(1, len(sample))
+    held = spark.sparkContext.broadcast(trees)  # fewer nodes than the sample has points
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            df = df if last is None else pd.concat([last, df], ignore_index=True)
-            h, n, fp = df.h.to_numpy(), df.n.to_numpy(), df.fp.to_numpy()
-            tied = (h[1:] == h[:-1]) & (fp[1:] != fp[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9)
-            a, b = fp[:-1][tied], fp[1:][tied]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-            last = df.iloc[-1:]
-
-    return chain
-
-
-def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges (i, j) of a forest whose components are those of all pairs of sets that are as similar.
-
-    Sets meet in the shingles of their prefixes, those of the fewest sets first. What is tied already is not compared."""
-    by_size = np.argsort([len(x) for x in sets], kind="stable")
-    n = np.array([len(sets[k]) for k in by_size], np.int64)
-    if not n.sum():
-        return []
-    _, shingle, counts = np.unique(np.concatenate([sets[k] for k in by_size]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    owner = np.repeat(np.arange(len(n)), n)
-    shingle = rank[shingle]
-    shingle = shingle[np.lexsort((shingle, owner))]
-    starts = np.concatenate([[0], np.cumsum(n)])
-    first = np.flatnonzero((np.arange(len(owner)) - starts[owner] < prefix_length(n, similarity)[owner]) & (np.sort(counts)[shingle] > 1))
-    # The prefixes' shingles with the sets that have them, sets by size; for each set its places there.
-    order = np.lexsort((owner[first], shingle[first]))
-    listed, of = shingle[first][order], owner[first][order]
-    begin = np.searchsorted(listed, listed)
-    places = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[places], np.arange(len(n) + 1))
-    least = np.searchsorted(n, similarity * n - 1e-9)
-    label, marked, edges = np.arange(len(n)), np.zeros(len(counts), bool), []
-    for x in np.flatnonzero(np.diff(cuts)):
-        at = places[cuts[x] : cuts[x + 1]]
-        length = at - begin[at]
-        total = int(length.sum())
-        if not total:
-            continue
-        met = of[np.arange(total) + np.repeat(begin[at] - np.cumsum(length) + length, length)]
-        shared = np.bincount(met, minlength=x)
-        shared[: least[x]] = 0
-        near = np.flatnonzero(shared)
-        near = near[np.argsort(-shared[near], kind="stable")]
-        mine = shingle[starts[x] : starts[x + 1]]
-        marked[mine] = True
-        step = 8
-        while len(near := near[label[near] != label[x]]):
-            step = min(2 * step, max(1, (1 << 20) // int(n[x])))
-            y, near = near[:step], near[step:]
-            ends = np.cumsum(n[y])
-            within = marked[shingle[np.arange(ends[-1]) + np.repeat(starts[y] - ends + n[y], n[y])]]
-            both = np.add.reduceat(within, ends - n[y], dtype=np.int64)
-            for z in y[both >= similarity * (n[x] + n[y] - both) - 1e-9].tolist():
-                if label[z] != label[x]:
-                    label[label == label[z]] = label[x]
-                    edges.append((int(by_size[x]), int(by_size[z])))
-        marked[mine] = False
-    return edges
-
-
-def perhaps_similar(prefixes: list[np.ndarray], n: np.ndarray, common: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges (i, j) of a forest whose components are those of all pairs that prefixes of sets of n shingles do not rule out.
-
-    Up to the lesser of two prefixes' last shingles all of both sets is known, and what differs there is no more than what may differ at all."""
-    by_size = np.argsort(n, kind="stable")
-    n, length = n[by_size], np.array([len(prefixes[k]) for k in by_size], np.int64)
-    if not length.sum():
-        return []
-    distinct, shingle, counts = np.unique(np.concatenate([prefixes[k] for k in by_size]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.argsort(_frequencies(distinct.view(np.int64), common), kind="stable")] = np.arange(len(distinct))
-    owner, starts = np.repeat(np.arange(len(n)), length), np.concatenate([[0], np.cumsum(length)])
-    flat = np.sort(owner * len(distinct) + rank[shingle])
-    last = np.where(length > 0, flat[np.maximum(starts[1:] - 1, 0)] % len(distinct), -1)
-    met_twice = counts[shingle] > 1
-    order = np.lexsort((owner[met_twice], shingle[met_twice]))
-    listed, of = shingle[met_twice][order], owner[met_twice][order]
-    begin = np.searchsorted(listed, listed)
-    places = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[places], np.arange(len(n) + 1))
-    least = np.searchsorted(n, similarity * n - 1e-9)
-    label, edges = np.arange(len(n)), []
-    for x in np.flatnonzero(np.diff(cuts)):
-        at = places[cuts[x] : cuts[x + 1]]
-        each = at - begin[at]
-        total = int(each.sum())
-        if not total:
-            continue
-        shared = np.bincount(of[np.arange(total) + np.repeat(begin[at] - np.cumsum(each) + each, each)], minlength=x)
-        shared[: least[x]] = 0
-        y = np.flatnonzero(shared)
-        y = y[label[y] != label[x]]
-        upto = np.minimum(last[x], last[y])
-        known = np.searchsorted(flat, x * len(distinct) + upto, "right") - starts[x] + np.searchsorted(flat, y * len(distinct) + upto, "right") - starts[y]
-        both = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9)
-        for z in y[known - 2 * shared[y] <= n[x] + n[y] - 2 * both].tolist():
-            if label[z] != label[x]:
-                label[label == label[z]] = label[x]
-                edges.append((int(by_size[x]), int(by_size[z])))
-    return edges
-
-
-def _members(points: DataFrame, root: DataFrame, size: Column, sets: int, shingles: int) -> DataFrame:
-    """points: fp, row, n; root: node, root. Those of components of several, with the number of their component's parts and their part."""
-    nodes = root.select("node", "root").unionAll(root.select(F.col("root").alias("node"), "root").distinct())
-    members = points.join(nodes, points.fp == nodes.node).select("fp", "row", "n", "root")
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum(size).alias("shingles"))
-    sizes = sizes.select("root", F.ceil(F.greatest(F.col("sets") / sets, F.col("shingles") / shingles)).cast("int").alias("parts"))
-    return materialize(members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), "simhash-members")
-
-
-def _solved(members: DataFrame, held: DataFrame, size: Column, column: str, solve: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """Edges that ``solve`` finds in components; of one in parts, every pair of parts goes to a task, so that no link is lost."""
-    shards = ["root", "low", "high"]
-    total = members.agg(F.sum(size * F.greatest(F.lit(1), F.col("parts") - 1))).first()[0] or 0
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: (k != F.col("part")) | (F.col("parts") == 1))
-    both = F.transform(others, lambda k: F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high")))
-    placed = members.join(held, "fp").select("fp", "n", column, "root", F.explode(both).alias("pair")).select("fp", "n", column, "root", "pair.low", "pair.high")
-    tasks = max(n_partitions(members.sparkSession), -(-int(total) // TASK_SHINGLES))
-    dealt = placed.repartition(tasks, *shards).sortWithinPartitions(*shards)
+            x = df.fp.to_numpy().view(np.uint64)
+            for k, tree in enumerate(held.value):
+                who, shard = tree.route(x)
+                parts = tree.parts[shard]
+                own = ((x[who] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+                # A part meets itself and every other part in a task of its own.
+                row = np.repeat(np.arange(len(who)), parts)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                low, high = np.minimum(other, own[row]), np.maximum(other, own[row])
+                yield pd.DataFrame({"fp": x[who[row]].view(np.int64), "tree": np.int32(k), "shard": shard[row].astype(np.int32), "low": low.astype(np.int32), "high": high.astype(np.int32)})
+
+    placed = points.select("fp").mapInPandas(place, "fp long, tree int, shard int, low int, high int")
+    dealt = placed.repartition(max(n_partitions(spark), ceil(rows / TASK_ROWS)), *SHARDS).sortWithinPartitions(*SHARDS)
+    views = [(t.mask, t.reach) for t in trees]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df, _ in _shards(batches, shards):
-            fp = df.fp.to_numpy()
-            edges = np.array(solve(df), np.int64).reshape(-1, 2)
-            a, b = fp[edges[:, 0]], fp[edges[:, 1]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.mapInPandas(search, "a long, b long").filter("a <> b").distinct()
-
-
-def link_sets(texts: DataFrame, marked: DataFrame, points: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """texts: text, row; marked: fp, n, prefix; points: fp, row, n. Edges (a, b) whose components are those of all pairs as similar."""
-    rows = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    postings = marked.select("fp", "n", F.explode("prefix").alias("h")).repartition(max(n_partitions(texts.sparkSession), -(-rows // TASK_ROWS)), "h")
-    root = components(postings.sortWithinPartitions("h", "n", "fp").mapInPandas(_chains(similarity), "a long, b long").distinct())
-    # What is tied by single shingles is parted by whole prefixes, so that few sets need to be moved.
-    size = F.ceil(F.col("n") * (1 - similarity)) + 1
-    members = _members(points, root, size, 4 * SKETCH_PART, PART_SHINGLES)
-    prefixes = marked.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("prefix").alias("prefix"))
-    root = components(_solved(members, prefixes, size, "prefix", lambda df: perhaps_similar([np.asarray(x, np.int64).view(np.uint64) for x in df.prefix], df.n.to_numpy(), common, similarity)))
-    members = _members(points, root, F.col("n"), SKETCH_PART, PART_SHINGLES)
-    sets = texts.join(members.select("row").distinct(), "row", "left_semi").select(_sets("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
-    return _solved(members, sets, F.col("n"), "hashes", lambda df: similar_sets([np.frombuffer(x, np.uint64) for x in df.hashes], similarity))
-
-
-def _shards(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for df, shard in shards(batches, SHARDS):
+            fp, tree = df.fp.to_numpy(), df.tree.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            for a, b in zip(starts, np.append(starts[1:], len(shard)), strict=True):
+                mine = fp[a:b]
+                i, j = close_pairs(mine.view(np.uint64), RADIUS, *views[tree[a]])
+                kept = forest(len(mine), i, j, np.zeros(len(i), np.int64))
+                x, y = mine[i[kept]], mine[j[kept]]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.mapInPandas(search, "a long, b long").distinct()
+
+
+SHARDS = ["tree", "shard", "low", "high"]
+
+
+def shards(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Rows and the number of their shard, many whole shards at once."""
     held = None
     for df in batches:
@@ -465,65 +297,21 @@ def _shards(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tup
         yield held, np.zeros(len(held), np.int64)
 
 
-def _searcher(radius: int, limits: tuple[int, int] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Links within ``radius`` bits of the fingerprint; with limits, pairs within the first in bits of the sketch, sure ones within the second."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, shard in _shards(batches, ["tree", "vantage", "low", "high"]):
-            fps, first, node = np.unique(rows.fp.to_numpy(), return_index=True, return_inverse=True)
-            x = fps.view(np.uint64)
-            sketch = None if limits is None else np.frombuffer(b"".join(rows.sketch.iloc[first]), np.uint64).reshape(len(fps), -1)
-
-            def measured(i: np.ndarray, j: np.ndarray, of: np.ndarray, sketch: np.ndarray | None = sketch) -> np.ndarray:
-                """i, j (places in ``of``) and the distance of the pairs that are close enough."""
-                if sketch is None:
-                    return np.stack([i, j, np.zeros(len(i), np.int64)])
-                parts = [np.bitwise_count(sketch[of[i[k : k + BLOCK]]] ^ sketch[of[j[k : k + BLOCK]]]).sum(1, dtype=np.int64) for k in range(0, len(i), BLOCK)]
-                distance = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                return np.stack([i, j, distance])[:, distance <= limits[0]]
-
-            def thinned(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
-                return forest(n, i, j, distance) if limits is None else close_forests(n, i, j, distance, limits[1])
-
-            found = [np.zeros((3, 0), np.int64)]
-            starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(shard)]]))
-            for k in np.flatnonzero(sizes > SMALL):
-                mine = node[starts[k] : starts[k] + sizes[k]]
-                i, j, distance = measured(*close_pairs(x[mine], radius), mine)
-                kept = thinned(len(mine), i, j, distance)
-                found.append(np.stack([mine[i[kept]], mine[j[kept]], distance[kept]]))
-            # Small shards all at once: each point against the next of its shard, the one after, and so on.
-            few = sizes <= SMALL
-            point, ends = node[np.repeat(few, sizes)], np.repeat(np.cumsum(sizes[few]), sizes[few])
-            at = np.arange(len(point))
-            for step in range(1, SMALL):
-                at = at[at + step < ends[at]]
-                if not len(at):
-                    break
-                close = at[np.bitwise_count(x[point[at]] ^ x[point[at + step]]) <= radius]
-                i, j, distance = measured(close, close + step, point)
-                found.append(np.stack([point[i], point[j], distance]))
-            i, j, distance = np.concatenate(found, axis=1)
-            kept = thinned(len(fps), i, j, distance)
-            edges = pd.DataFrame({"a": fps[np.minimum(i, j)[kept]], "b": fps[np.maximum(i, j)[kept]]})
-            yield edges if limits is None else edges.assign(distance=distance[kept].astype(np.int32))
-
-    return search
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Each node that is not the smallest of its component, with that smallest: node, root.
 
     Large-star and small-star steps in turn: every node's larger, then its smaller neighbours are tied to the smallest
-    neighbour, until nothing changes. Minima combine before the shuffle; a star's centre may have any number of rows."""
+    neighbour, until nothing changes. Minima combine before the shuffle; centres of very many edges are joined by broadcast."""
+
+    def told(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        return join_hot(edges, least, ["a"], total).drop("n") if total > MANY_EDGES else edges.join(least.drop("n"), "a")
 
-    def step(edges: DataFrame) -> DataFrame:
+    def step(edges: DataFrame, total: int) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("n"))
+        large = told(both, least, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        small = told(large, least, total).select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
         return small.filter("a <> b").distinct()
 
     def state(edges: DataFrame) -> tuple:
@@ -532,45 +320,26 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b"), "simhash-edges")
     seen = None
     while (now := state(edges)) != seen:
-        seen, edges = now, materialize(step(edges), "simhash-edges")
+        seen, edges = now, materialize(step(edges, now[0]), "simhash-edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(marked: DataFrame, points: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """marked: id, fp; points: fp, first. Each row of ``marked`` with its component's id."""
+def grouped(marked: DataFrame, points: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """marked: id, fp; points: fp, first, docs (rows of it). Each row of ``marked`` with its component's id.
+
+    Only linked fingerprints need their component's smallest id; the others keep their own."""
     root = components(edges)
-    rooted = points.join(root, points.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # Only linked fingerprints need their component's smallest id; the others keep their own.
-    linked = root.select("node", "root").unionAll(root.select(F.col("root").alias("node"), "root").distinct())
-    ids = points.join(linked, points.fp == linked.node).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    linked = root.unionAll(root.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(points.join(linked, points.fp == linked.node).select("fp", "first", "root"), "simhash-linked")
+    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = join_hot(linked.select("fp", "root"), ids, ["root"], linked.count()).select("fp", "component_id", F.lit(True).alias("linked"))
+    named = points.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), F.col("docs").alias("n"))
+    named = materialize(named, "simhash-named")
+    return join_hot(marked, named, ["fp"], marked.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Links by bits. One row per document: id, fp (long), component_id."""
     marked = materialize(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp")), "simhash")
-    points = materialize(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-points")
-    return _grouped(marked, points, link_fingerprints(points.select("fp"), points.count()), id_col)
-
-
-def near_dedup_similar(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Links by similarity of five-word shingles. One row per document: id, fp (long), component_id.
-
-    Here fp is a hash of the set of shingles; texts with one set are linked. A text is found again by a hash of its own, whatever its id."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
-    common = common_shingles(texts)
-    found = _prefixes(common, similarity)(F.col("text")).alias("s")
-    marked = materialize(texts.select("id", "row", found).select("id", "row", "s.fp", "s.n", "s.prefix"), "simhash")
-    points = materialize(marked.groupBy("fp").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n")), "simhash-points")
-    edges = link_sets(texts, marked, points, common, similarity)
-    return _grouped(marked.select("id", "fp"), points.select("fp", "first"), edges, id_col)
-
-
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component, with all their columns; rows without an id stay."""
-    found = near_dedup_similar(docs, similarity, text_col, id_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, F.col(id_col).alias("id")).join(gone, "id", "left_anti").select("row.*")
+    points = materialize(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("docs")), "simhash-points")
+    return grouped(marked, points, link_fingerprints(points.select("fp"), points.count()), id_col)

@@ -90,31 +90,113 @@ def test_simhash(spark, docs):
         assert r.component_id == min((x for x in seen if x is not None), default=None)
 
 
+def planted_points(n, seed=2):
+    """Distinct fingerprints, half of them a few bits from another, with a dense group; and all their links."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    for _ in range(5):
+        x[n // 2 :] ^= np.uint64(1) << rng.integers(0, 64, n - n // 2).astype(np.uint64)
+    x[n // 2 :][: n // 4] = x[: n // 4]
+    for _ in range(4):
+        x[n // 2 :][: n // 4] ^= np.uint64(1) << rng.integers(0, 64, n // 4).astype(np.uint64)
+    x[-n // 8 :] = x[0] ^ (np.uint64(1) << rng.integers(0, 64, n // 8).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n // 8).astype(np.uint64))
+    x = np.unique(x)
+    return x, {(a, b) for a in range(len(x)) for b in (np.flatnonzero(np.bitwise_count(x[a + 1 :] ^ x[a]) <= 4) + a + 1).tolist()}
+
+
 def test_close_pairs():
-    rng = np.random.default_rng(2)
-    x = rng.integers(0, 1 << 62, 900, dtype=np.uint64)
-    x[450:] = x[:450] ^ (np.uint64(1) << rng.integers(0, 60, 450).astype(np.uint64))
+    x, every = planted_points(3000)
     i, j = simhash.close_pairs(x)
-    every = {(a, b) for a in range(900) for b in np.flatnonzero(np.bitwise_count(x[a + 1 :] ^ x[a]) <= 4) + a + 1}
-    assert set(zip(i.tolist(), j.tolist())) == every
-    for b in range(5, 9):  # any two words within the radius agree on a mask
+    assert len(every) > 1000 and set(zip(i.tolist(), j.tolist())) == every
+    rng = np.random.default_rng(3)
+    for blocks, chosen in ((3, 1), (5, 2), (7, 3)):  # of any four bits some choice of blocks has one at most
         d = [sum(1 << int(k) for k in rng.choice(64, 4, replace=False)) for _ in range(50)]
-        assert all(any(not m & y for m in simhash.masks(b)) for y in d)
-
-
-def test_suffix_dedup(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 1)  # every gram is split over buckets
-    rows = suffix_dedup.remove_repeats(docs).collect()
-    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+        assert all(any((m & y).bit_count() <= 1 for m in simhash.masks(blocks, chosen)) for y in d)
+
+
+@pytest.mark.parametrize("blocks", [(3, 1), (5, 2)])
+def test_vantage_point_forest(monkeypatch, blocks):
+    """Trees grown from a quarter of the points deal all links to some shard; overlaps are searched, most branches are not."""
+    monkeypatch.setattr(simhash, "SHARD", 300)
+    monkeypatch.setattr(simhash, "dealing", lambda n, radius: blocks)
+    x, every = planted_points(6000)
+    found, shards = set(), []
+    for tree in simhash.plant(x[::4], len(x)):
+        who, shard = tree.route(x)
+        assert len(x) < len(who) < 12 * len(x)
+        for k in np.unique(shard):
+            mine = np.sort(who[shard == k])
+            shards.append(len(mine))
+            i, j = simhash.close_pairs(x[mine], 4, tree.mask, tree.reach)
+            found |= set(zip(mine[i].tolist(), mine[j].tolist()))
+    assert found == every and np.median(shards) < 600 and len(shards) > 60
+
+
+def test_links_of_many_fingerprints(spark, monkeypatch):
+    """The same components where shards are over a leaf, and where none can be split and every pair of parts is a task."""
+    x, every = planted_points(4000, 5)
+    root = simhash.roots(len(x), *np.array(sorted(every)).T)
+    expected = sorted(np.bincount(root)[np.unique(root)])
+    points = spark.createDataFrame([(int(p),) for p in x.view(np.int64)], "fp long")
+    for shard, part, many in ((1000, 8192, 10), (8, 40, 10**9)):
+        for name, value in (("SHARD", shard), ("PART", part), ("MANY_EDGES", many)):
+            monkeypatch.setattr(simhash, name, value)
+        found = simhash.components(simhash.link_fingerprints(points, len(x))).collect()
+        label = {int(v): k for k, v in enumerate(x.view(np.int64))}
+        i, j = np.array([(label[r.node], label[r.root]) for r in found]).T
+        got = simhash.roots(len(x), i, j)
+        assert sorted(np.bincount(got)[np.unique(got)]) == expected and (got == root).all()
+
+
+def brute_suffix(texts):
+    """Of (id, bytes): bytes removed, the hash of the rest, and words in passages of 51 words that another document has."""
     count = Counter(t[i : i + 400] for _, t in texts for i in range(len(t) - 399))
-    expected = []
+    owners = {}
+    for d in set(texts):
+        w = d[1].split()
+        for i in range(len(w) - 50):
+            owners.setdefault(tuple(w[i : i + 51]), set()).add(d)
+    out = []
     for k, t in texts:
-        gone = bytearray(len(t))
+        gone, w = bytearray(len(t)), t.split()
         for i in range(len(t) - 399):
             if count[t[i : i + 400]] > 1:
                 gone[i : i + 400] = b"\1" * 400
-        expected.append((str(k), sum(gone), hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
-    assert sorted((str(r.doc_id), r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in rows) == sorted(expected)
+        inside = {i + j for i in range(len(w) - 50) if len(owners[tuple(w[i : i + 51])]) > 1 for j in range(51)}
+        spans = sum(1 for a, b in zip(b"\0" + gone, gone) if b and not a)
+        out.append((str(k), len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest(), len(inside)))
+    return sorted(out)
+
+
+def suffix_rows(df):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest(), r.n_passage_words) for r in suffix_dedup.remove_repeats(df).collect())
+
+
+@pytest.mark.parametrize("rows", [1, 8000])
+def test_suffix_dedup(spark, docs, monkeypatch, rows):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", rows)  # 1: every gram is split over buckets
+    assert suffix_rows(docs) == brute_suffix([(r.doc_id, (r.text or "").encode()) for r in docs.collect()])
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_suffix_dedup_passages(spark, monkeypatch):
+    """Short passages, a frequent phrase, a text over several blocks, and hot keys by broadcast."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    monkeypatch.setattr("reportmill.llm.common.HOT_ROWS", 5)
+    monkeypatch.setattr("reportmill.llm.common.HOT_KEYS", 50)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 6)))
+    some = lambda n: [word() for _ in range(n)]
+    shared, phrase, long_ = some(51), some(20), some(4000)
+    rows = [(k, " ".join(some(rng.randint(1, 90)) + phrase + some(30))) for k in range(40)]
+    rows += [(100 + k, " ".join(some(40) + shared[: 51 - k % 2] + some(40))) for k in range(8)]
+    rows += [(200, " ".join(some(30) + shared[:50] + some(9) + shared[:50])), (201, " ".join(2 * some(60))), (202, " ".join(long_)), (203, "\n".join(some(7) + long_[1500:1700] + some(5)))]
+    rows += [(300, "é " * 500), (301, "é " * 260 + "x"), (302, "aa" * 900), (None, " ".join(shared)), (None, " ".join(shared)), (303, rows[0][1]), (304, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gram", F.lit(1)).withColumn("n", F.lit("x"))
+    got = suffix_rows(df)
+    assert got == brute_suffix([(k, (t or "").encode()) for k, t in rows])
+    passages = {r[0]: r[5] for r in got}
+    assert passages["100"] == 51 and passages["101"] == passages["200"] == passages["201"] == 0 and passages["203"] == 200
 
 
 def test_sentencepiece(spark, docs):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import types as T
 
-from reportmill.llm import simhash
+from reportmill.llm import near_sets, simhash
 
 SCHEMA = T.StructType().add("doc_id", "long").add("text", "string")
 
@@ -20,7 +20,7 @@ def shingles(text):
 
 
 def linked(spark, text):
-    return {r.doc_id: r.component_id for r in simhash.near_dedup_similar(spark.createDataFrame(list(text.items()), SCHEMA)).collect()}
+    return {r.doc_id: r.component_id for r in near_sets.near_dedup_similar(spark.createDataFrame(list(text.items()), SCHEMA)).collect()}
 
 
 def brute_force(text):
@@ -66,6 +66,6 @@ def test_links_through_rows_without_an_id(spark):
     for k in range(20):
         w, new = some_words(rng, 200), some_words(rng, 40)
         rows += [(2 * k, " ".join(w)), (None, " ".join(w[:-20] + new[:20])), (2 * k + 1, " ".join(new[20:] + w[20:-20] + new[:20]))]
-    found = simhash.near_dedup_similar(spark.createDataFrame(rows, SCHEMA)).collect()
+    found = near_sets.near_dedup_similar(spark.createDataFrame(rows, SCHEMA)).collect()
     by_id = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
     assert len(found) == 60 and all(by_id[2 * k] == by_id[2 * k + 1] == 2 * k for k in range(20))

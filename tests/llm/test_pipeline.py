@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reportmill.llm import sentencepiece, simhash
+from reportmill.llm import near_sets, sentencepiece, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -113,7 +113,7 @@ def test_similar_texts(spark, monkeypatch):
                 w[at] = f"x{rng.randrange(5000)}"
             text[k * 10 + n] = " ".join(w)
     docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_dedup_similar(docs).collect()}
+    found = {r.doc_id: r.component_id for r in near_sets.near_dedup_similar(docs).collect()}
     sets = {k: shingles(t) for k, t in text.items()}
     for a in text:
         assert a // 10 == found[a] // 10
@@ -123,13 +123,10 @@ def test_similar_texts(spark, monkeypatch):
                 assert found[a] == found[b] or j < 0.9
         best = max(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in text if b != a and b // 10 == a // 10)
         assert best > 0.6 or found[a] == a
-    monkeypatch.setattr(simhash, "SKETCH_PART", 2)
-    assert {r.doc_id: r.component_id for r in simhash.near_dedup_similar(docs).collect()} == found
-    for k in list(text)[:3]:
-        lanes = simhash.signature(text[k], 5, 8)
-        assert int(lanes[0]) == simhash.fingerprint(text[k], 5) and len(np.unique(lanes)) == 8
-    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
-    assert simhash.drop_near_copies(docs.withColumn("fp", F.lit(1)).withColumn("row", F.lit(2))).columns == ["doc_id", "text", "fp", "row"]
+    monkeypatch.setattr(near_sets, "SET_PART", 2)
+    assert {r.doc_id: r.component_id for r in near_sets.near_dedup_similar(docs).collect()} == found
+    assert near_sets.drop_near_copies(docs.limit(0)).count() == 0
+    assert near_sets.drop_near_copies(docs.withColumn("fp", F.lit(1)).withColumn("row", F.lit(2))).columns == ["doc_id", "text", "fp", "row"]
 
 
 def test_similar_texts_at_the_threshold(spark):
@@ -144,7 +141,7 @@ def test_similar_texts_at_the_threshold(spark):
     same = "one line that is there again and again "
     text |= {9000: same * 300 + text[0], 9001: same * 300 + text[10]}
     docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in simhash.near_dedup_similar(docs).collect()}
+    found = {r.doc_id: r.component_id for r in near_sets.near_dedup_similar(docs).collect()}
     sets = {k: shingles(t) for k, t in text.items()}
     pairs = [(a, b) for a in text for b in text if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     true = simhash.roots(10_000, *np.array(pairs).T)
@@ -163,5 +160,3 @@ def test_forest():
             label = [a if x == b else x for x in label]
     kept = simhash.forest(60, i, j, d)
     assert d[kept].sum() == weight and len(kept) == 60 - len(set(label))
-    more = simhash.close_forests(60, i, j, d, 3)
-    assert len(set(more)) == len(more) > len(kept) and set(kept) <= set(more)

@@ -2,21 +2,21 @@
 
 A document's features are the hashed character n-grams that occur in it (presence, so that length does not
 dilute them). Each feature is scaled by the log ratio of its smoothed document counts under the two labels,
-and a logistic regression with an L2 penalty is fitted on the scaled features. Features whose ratio is not
-significant are left out, which keeps scoring to one table lookup a character.
+and a logistic regression with an L2 penalty is fitted on the scaled features. All features take part; their number is bounded
+by the width of the hash only.
 
-Training reads at most ``MAX_TRAIN`` labelled rows (taken by hash, so reruns agree): per-label counts are summed
-on the executors, and only the significant features of the sample come to the driver. The score reads whole texts.
+Training reads at most about ``MAX_TRAIN`` labelled rows (taken by hash, so reruns agree). Their features stay on the executors:
+the driver gets a vector of counts of each task, and then, for each step of the fit (L-BFGS), a gradient of each. The score reads whole texts.
 
-Defined results: null text is empty; texts without significant features get the model's intercept; rows
+Defined results: null text is empty; texts without features that were met in training get the model's intercept; rows
 with null labels are not trained on; of several labels of an id each is a row; with one label only, or none, every
-score is that label's smoothed rate; repeated rows score alike; an empty table gives an empty result.
+score is that label's smoothed rate; repeated rows score alike; extra columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,63 +26,46 @@ from pyspark.sql import types as T
 
 from reportmill.llm.common import materialize, small_batches
 
-#: Bound of the labelled sample; buckets of the hash; significance (in standard deviations) and number of features.
-MAX_TRAIN, BITS, MIN_Z, MAX_FEATURES = 20_000, 20, 4.0, 20_000
+#: Bound of the labelled sample; buckets of the hash, as a power of 2; tasks of the sample.
+MAX_TRAIN, BITS, TASKS = 20_000, 20, 12
+#: Documents that smooth the counts: ratios of features in far fewer are near 0. Weight of the L2 penalty.
+SMOOTH, PENALTY = 300, 0.1
 ORDERS = (4, 5, 6)
 THRESHOLD = 0.7
-#: Characters of a text that are hashed at once.
-CHUNK = 1 << 20
-#: Features of the training rows that are summed at once.
-FIT_BLOCK = 1 << 19
+#: Characters of a text that are hashed at once; training rows whose features are in memory at once.
+CHUNK, ROWS = 1 << 20, 64
+#: Steps of the fit at most, steps that the curvature is taken from, and the relative gain that ends it.
+STEPS, MEMORY, GAIN = 40, 6, 1e-4
 
-#: ASCII letters are lower-cased; other ASCII characters become spaces; bytes of other letters stay.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: ASCII letters are lower-cased; punctuation, white space and control characters become spaces; digits and bytes of other letters stay.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
-def _hashes(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of all n-grams, one array for each order; element i is the n-gram that starts at i."""
-    x = data.astype(np.uint32)
+def _hashes(data: np.ndarray, upto: int) -> np.ndarray:
+    """Buckets of all n-grams that start before ``upto``."""
+    x, out = data.astype(np.uint32), []
     h = x * np.uint32(0x9E3779B1)
     for n in range(2, max(ORDERS) + 1):
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + x[n - 1 :] * np.uint32(0xC2B2AE35) if len(x) >= n else h[:0]
         if n in ORDERS:
-            yield ((h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F) + np.uint32(n)) >> np.uint32(32 - BITS)
+            out.append(((h[:upto] ^ (h[:upto] >> np.uint32(13))) * np.uint32(0x27D4EB2F) + np.uint32(n)) >> np.uint32(32 - BITS))
+    return np.concatenate(out)
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Folded bytes of several texts, and the text each byte belongs to. Long texts come in overlapping pieces."""
-    held: list[bytes] = []
-    owner: list[int] = []
-    size = 0
-
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(held), np.uint8), np.repeat(np.array(owner), [len(x) for x in held])
-
+def present(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of a text and its distinct features; a long text gives several arrays with different features."""
+    place, seen = np.zeros(1 << BITS, np.int32), np.full(1 << BITS, -1, np.int32)
     for k, text in enumerate(texts):
-        # Spaces around each text, one run longer than any n-gram's overlap, keep n-grams within it apart from its neighbours'.
-        data = b" " * max(ORDERS) + (text or "").encode("utf-8", "surrogatepass").translate(_FOLD) + b" " * max(ORDERS)
+        data = np.frombuffer(b" " + (text or "").encode("utf-8", "surrogatepass").translate(_FOLD) + b" ", np.uint8)
         for at in range(0, len(data), CHUNK):
-            piece = data[at : at + CHUNK + max(ORDERS) - 1]
-            held.append(piece)
-            owner.append(k)
-            size += len(piece)
-            if size >= CHUNK:
-                yield flush()
-                held, owner, size = [], [], 0
-    if held:
-        yield flush()
-
-
-def present(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs; table: the feature of each bucket, or -1."""
-    found = []
-    for data, owner in _pieces(texts):
-        for h in _hashes(data):
-            feature = table[h]
-            at = np.flatnonzero((feature >= 0) & (owner[: len(h)] == owner[len(owner) - len(h) :]))
-            found.append(np.unique(owner[at].astype(np.int64) << 32 | feature[at]))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> 32, pairs & 0xFFFFFFFF
+            h = _hashes(data[at : at + CHUNK + max(ORDERS) - 1], CHUNK)
+            order = np.arange(len(h), dtype=np.int32)
+            place[h] = order
+            h = h[place[h] == order]  # each once
+            if len(data) > CHUNK:
+                h = h[seen[h] != k]
+                seen[h] = k
+            yield k, h
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str, id_col: str, label_col: str, max_train: int) -> DataFrame:
@@ -90,105 +73,126 @@ def _sample(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str, id_
     labelled = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     share = min(1.0, max_train / max(1, labelled.count()))
     labelled = labelled.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.filter(fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labelled, "id").select("text", "label")
+    found = docs.filter(fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labelled, "id")
+    return found.repartition(TASKS, F.xxhash64("id", "text")).select("text", "label")
+
+
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for df in (df.iloc[k : k + ROWS] for df in batches for k in range(0, len(df), ROWS)):
+        held: list[list[np.ndarray]] = [[] for _ in range(len(df))]
+        for k, h in present(df.text.tolist()):
+            held[k].append(np.sort(h).astype(np.int32))
+        yield pd.DataFrame({"label": df.label, "features": [np.concatenate(x).tobytes() for x in held]})
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each label and task: the documents and the counts of all buckets, compressed."""
-    table = np.arange(1 << BITS, dtype=np.int32)
     counts, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
     for df in batches:
-        for label in (0, 1):
-            texts = df.text[df.label == label].tolist()
-            n[label] += len(texts)
-            for k in range(0, len(texts), 64):
-                _, feature = present(texts[k : k + 64], table)
-                counts[label] += np.bincount(feature, minlength=1 << BITS).astype(np.int32)
+        for label, features in zip(df.label, df.features, strict=True):
+            n[label] += 1
+            counts[label][np.frombuffer(features, np.int32)] += 1  # each once
     yield pd.DataFrame({"label": [0, 1], "n": n, "counts": [zlib.compress(c.tobytes(), 1) for c in counts]})
 
 
-def _choose(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets whose counts differ significantly between the labels, and their log-count ratios."""
-    pooled = counts.sum(0) / n.sum()
-    deviation = np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]), 1e-12))
-    z = (counts[1] / n[1] - counts[0] / n[0]) / deviation
-    z[counts.sum(0) < 3] = 0
-    chosen = np.flatnonzero(np.abs(z) >= MIN_Z)
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MAX_FEATURES]])
-    return chosen, np.log((counts[1, chosen] + 1) / (n[1] + 2)) - np.log((counts[0, chosen] + 1) / (n[0] + 2))
+def ratios(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-count ratios of all buckets. Smoothing by documents of the labels' shares, so buckets that were not met have 0."""
+    extra = SMOOTH * n / n.sum()
+    return np.log((counts[1] + extra[1]) / (n[1] + extra[1])) - np.log((counts[0] + extra[0]) / (n[0] + extra[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train: int = MAX_TRAIN, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """The feature of each bucket (or -1), the weight of each feature and the intercept."""
-    # The sample is bounded, so are its tasks; each sends one vector of counts for each label.
-    sample = materialize(_sample(docs, labels, fold, text_col, id_col, label_col, max_train), "toxic-sample").coalesce(8)
+def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train: int = MAX_TRAIN, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """The weight of each bucket, scaled by its ratio, and the intercept."""
+    rows = _sample(docs, labels, fold, text_col, id_col, label_col, max_train)
+    # The sample is bounded, so are its tasks; each sends one vector for each label, and one a step.
+    rows = materialize(rows.mapInPandas(_features, "label int, features binary"), "toxic-features").coalesce(2 * TASKS)
     counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for row in sample.mapInPandas(_count, "label int, n long, counts binary").toLocalIterator():
+    for row in rows.mapInPandas(_count, "label int, n long, counts binary").toLocalIterator():
         counts[row.label] += np.frombuffer(zlib.decompress(row.counts), np.int32)
         n[row.label] += row.n
     if not n.all():
         rate = (n[1] + 1) / (n.sum() + 2)
-        return np.full(1 << BITS, -1, np.int32), np.zeros(0), float(np.log(rate / (1 - rate)))
-    chosen, ratio = _choose(counts, n)
+        return np.zeros(1 << BITS, np.float32), float(np.log(rate / (1 - rate)))
+    scale = ratios(counts, n)
     del counts
-    table = np.full(1 << BITS, -1, np.int32)
-    table[chosen] = np.arange(len(chosen), dtype=np.int32)
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            doc, feature = present(df.text.tolist(), table)
-            cuts = np.searchsorted(doc, np.arange(len(df) + 1))
-            yield pd.DataFrame({"label": df.label, "features": [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]})
-
-    rows = sorted((r.label, bytes(r.features)) for r in sample.mapInPandas(features, "label int, features binary").toLocalIterator())
-    y, lengths = np.array([r[0] for r in rows], float), np.array([len(r[1]) // 4 for r in rows])
-    column = np.frombuffer(b"".join(r[1] for r in rows), np.int32)
-    del rows
-    weight, intercept = _fit(lengths, column, ratio, y, penalty)
-    return table, weight * ratio, intercept
-
-
-def _fit(lengths: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent; classes weigh alike.
-
-    ``column`` holds the features of one row after the other, ``lengths`` how many each has. Rows go through in blocks, so
-    that little memory is needed beside ``column``."""
-    m, k = len(y), len(scale)
-    ends = np.cumsum(lengths)
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(FIT_BLOCK, ends[-1] + FIT_BLOCK, FIT_BLOCK), "right"), [m]]))
-    blocks = [(slice(a, b), np.repeat(np.arange(b - a), lengths[a:b]).astype(np.int32), column[ends[a] - lengths[a] : ends[b - 1]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def sums(of: np.ndarray) -> np.ndarray:
-        """The sum of ``of`` over the features of each row."""
-        return np.concatenate([np.bincount(row, of[features], rows.stop - rows.start) for rows, row, features in blocks])
-
-    balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(m - y.sum(), 1))
-    longest = sums(scale**2).max(initial=1.0) + 1
-    step, w, b = 4 / (longest * 1.0 + 4 * penalty / m), np.zeros(k), 0.0
-    v, c, t = w, b, 1.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(sums(scale * v) + c, -30, 30)))
-        error = balance * (p - y)
-        slope = np.zeros(k)
-        for rows, row, features in blocks:
-            slope += np.bincount(features, error[rows][row], k)
-        w_next, b_next = v - step * (slope * scale + penalty / m * v), c - step * error.sum()
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
-        w, b, t = w_next, b_next, t_next
-    return w, float(b)
+    balance, context = 0.5 / n, docs.sparkSession.sparkContext
+
+    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The objective and its gradient; x: weights and then the intercept. Classes weigh alike."""
+        held = context.broadcast(((scale * x[:-1]).astype(np.float32), float(x[-1])))
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            weight, intercept = held.value
+            total, errors, out = 0.0, 0.0, np.zeros(1 << BITS)
+            for df in (df.iloc[k : k + ROWS] for df in batches for k in range(0, len(df), ROWS)):
+                parts = [np.frombuffer(f, np.int32) for f in df.features]
+                y, row, column = df.label.to_numpy(float), np.repeat(np.arange(len(parts)), [len(f) for f in parts]), np.concatenate(parts)
+                margin = np.bincount(row, weight[column], len(parts)) + intercept
+                share = balance[df.label.to_numpy()]
+                error = share * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
+                total += float((share * (np.logaddexp(0, margin) - y * margin)).sum())
+                errors += float(error.sum())
+                out += np.bincount(column, error[row], 1 << BITS)
+            yield pd.DataFrame({"total": [total], "errors": [errors], "slope": [zlib.compress(out.astype(np.float32).tobytes(), 1)]})
+
+        total, found = penalty / n.sum() / 2 * float(x[:-1] @ x[:-1]), np.append(penalty / n.sum() * x[:-1], 0.0)
+        # In order of their values, so that sums do not depend on the order in which tasks end.
+        for r in sorted(rows.mapInPandas(step, "total double, errors double, slope binary").collect(), key=lambda r: (r.total, r.errors)):
+            total += r.total
+            found[:-1] += scale * np.frombuffer(zlib.decompress(r.slope), np.float32)
+            found[-1] += r.errors
+        held.destroy()
+        return total, found
+
+    x = minimize(slope, np.zeros((1 << BITS) + 1))
+    return (scale * x[:-1]).astype(np.float32), float(x[-1])
+
+
+def minimize(slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Where a smooth convex function is least, by L-BFGS. slope: its value and gradient."""
+    value, g = slope(x)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(STEPS):
+        q, tried = g.copy(), []
+        for s, y, rho in reversed(moves):
+            a = rho * float(s @ q)
+            q -= a * y
+            tried.append(a)
+        if moves:
+            s, y, rho = moves[-1]
+            q /= rho * float(y @ y)
+        for (s, y, rho), a in zip(moves, reversed(tried), strict=True):
+            q += (a - rho * float(y @ q)) * s
+        down, step = float(g @ q), 1.0 if moves else 1.0 / max(1e-12, float(np.abs(g).sum()))
+        if down <= 0:
+            break
+        for _ in range(12):
+            there, h = slope(x - step * q)
+            if there <= value - 1e-4 * step * down:
+                break
+            step /= 3
+        else:
+            break
+        s, y = (-step * q).astype(np.float32), (h - g).astype(np.float32)
+        if (bend := float(s @ y)) > 0:
+            moves = [*moves, (s, y, 1 / bend)][-MEMORY:]
+        x, done, value, g = x - step * q, len(moves) > 2 and value - there < GAIN * value, there, h
+        if done:
+            break
+    return x
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", score: str = "score") -> DataFrame:
     """``docs`` with a column ``score``: 0 to 1, higher where label 1 is likelier. fold: true for rows that may be learnt from."""
     small_batches(docs.sparkSession)
-    table, weight, intercept = train(docs, labels, fold, text_col, id_col, label_col)
-    held = docs.sparkSession.sparkContext.broadcast((table, weight))  # a fixed number of buckets and of features
+    weight, intercept = train(docs, labels, fold, text_col, id_col, label_col)
+    held = docs.sparkSession.sparkContext.broadcast(weight)  # a fixed number of buckets
 
     @F.pandas_udf(T.DoubleType())
     def apply(text: pd.Series) -> pd.Series:
-        table, weight = held.value
-        doc, feature = present(text.tolist(), table)
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.bincount(doc, weight[feature], len(text)) + intercept, -30, 30))))
+        weight, sums = held.value, np.full(len(text), intercept)
+        for k, h in present(text.tolist()):
+            sums[k] += weight[h].sum(dtype=np.float64)
+        return pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
 
     return docs.withColumn(score, apply(F.col(text_col)))

@@ -2,75 +2,177 @@
 
 from __future__ import annotations
 
-import json
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reportmill import kinds  # noqa: F401 (registers the built-in kinds)
 from reportmill.operators import consolidate as C
+from reportmill.operators import exclusions, stats
 from reportmill.operators import report as P
-from reportmill.operators import stats
 from reportmill.plans import rules as R
-from reportmill.sources import detect, xml
+from reportmill.sources import adapters, detect, documents, xml
 
 log = logging.getLogger("reportmill")
 
+#: Results that are written at the same time.
+WRITERS = 8
+
+
+def setup_logging(level: int = logging.INFO, format_string: str = "%(asctime)s - %(levelname)s - %(message)s") -> logging.Logger:
+    logging.basicConfig(format=format_string, level=level, datefmt="%d-%m-%y %H:%M:%S")
+    log.setLevel(level)
+    return log
+
+
+def set_log_level(level: int) -> None:
+    log.setLevel(level)
+
+
+def enable_logging(on: bool = True) -> None:
+    log.disabled = not on
+
 
 def statistics(r: xml.Report) -> dict[str, DataFrame]:
-    if r.kind == "net":
-        named = stats.named_services(r.ports)
-        return {"by_host_status": stats.count_by(r.hosts, "host_status"), "ports_by_status": stats.count_by(named, "status"), "ports_by_port": stats.count_by(named, "port_id"), "services": stats.count_by(named, "service_name"), "port_summary": stats.port_summary(r.ports)}
-    found = stats.plugins(r.items)
-    return {"hosts": stats.host_stats(r.hosts), "ports": stats.discovered_ports(r.items), "service_instances": stats.service_instances(r.items), "service_findings": stats.service_findings(r.items), "by_severity": stats.severity_counts(found), "by_family": stats.family_counts(found), "host_severities": stats.host_severities(r.items), "host_ports": stats.host_ports(r.items)}
+    return adapters.adapter(r.kind).statistics(r)
 
 
-def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str = "all", consolidate: bool = False, api_format: bool = False, rules_file: str | None = None, entity_limit: int | None = None, output_dir: str | None = None, output_name: str | None = None, flat_json: bool = False, strict: bool = False) -> dict[str, object]:
-    """Results by name: report, stats, and where asked for consolidated, findings and flat. Options of the other kind are ignored."""
+def ignored_options(kind: str, options: dict[str, object]) -> list[str]:
+    """Options that are set but mean nothing for a kind."""
+    other = {"net": ("consolidate", "api_format", "rules_file", "entity_limit", "log_exclusions"), "vuln": ("flat_json",)}
+    return [x for x in other.get(kind, ()) if options.get(x)]
+
+
+def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str = "all", consolidate: bool = False, api_format: bool = False, rules_file: str | None = None, entity_limit: int | None = None, output_dir: str | None = None, output_name: str | None = None, flat_json: bool = False, strict: bool = False, log_exclusions: bool = False, documents_too: bool = False, keep: bool = True) -> dict[str, object]:
+    """Results by name: report, stats, and where asked for consolidated, findings and flat. Options of the other kind are ignored.
+
+    path: a file, a folder or a pattern, in any store. strict: also checks the file (which is then local). log_exclusions: writes why plugins
+    were left out beside the results (or to the current folder). documents_too: also writes single JSON documents, for reports that fit the
+    driver. keep: the parsed tables are kept on the executors (in memory, else on disk), since all results read them; ``release`` lets them go."""
     P.checked_limit(entity_limit)
-    kind = detect.detect(path) if kind == "auto" else kind
-    if kind not in ("vuln", "net"):
-        raise ValueError(f"unknown kind {kind!r}")
+    if kind == "auto":
+        kind = detect.detect(path) if Path(path).is_file() else detect.detect_in_store(spark, path)
+    adapter = adapters.adapter(kind)
     if strict:
-        detect.check_well_formed(path)
-    r = xml.read_vulnerabilities(spark, path, strict) if kind == "vuln" else xml.read_scans(spark, path, port_status)
-    results: dict[str, object] = {"report": r, "stats": statistics(r)}
+        detect.check(path, kind)
+    r = adapter.read(spark, path, {"strict": strict, "port_status": port_status})
+    if keep:
+        for df in (r.hosts, r.items, r.ports):
+            if df is not None:
+                df.persist(StorageLevel.MEMORY_AND_DISK)
+    results: dict[str, object] = {"kind": kind, "report": r, "stats": adapter.statistics(r)}
     if kind == "vuln" and consolidate:
-        done = C.consolidate(r.items, r.hosts, R.load(rules_file))
+        rules = R.load(rules_file)
+        done = C.consolidate(r.items, r.hosts, rules)
         results["consolidated"] = done
         if done and api_format:
             results["findings"] = P.findings(done.entries, done.services, entity_limit)
+        if done and log_exclusions:
+            results["exclusion_log"] = exclusions.write_log(done.evaluation, R.enabled(rules), output_dir or ".")
     if kind == "net" and flat_json:
         results["flat"] = stats.flat_ports(r.hosts, r.ports)
     if output_dir:
-        write(results, path, output_dir, output_name)
+        results["written"] = write(results, path, output_dir, output_name)
+        if documents_too:
+            results["written"] |= write_documents(results, path, output_dir, output_name)
     return results
 
 
-def write(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
-    """One folder of JSON lines for each table, written by the executors."""
-    stem = name or f"{datetime.now():%d-%m-%y_%H-%M-%S}_{Path(source).stem}"
-    r, done = results["report"], results.get("consolidated")
-    tables = {"Parsed_hosts": r.hosts, "Parsed_context": r.context, "Parsed_items": r.items, "Parsed_ports": r.ports, "Flat": results.get("flat"), "API_Ready": results.get("findings")}
-    tables |= {f"Stats_{k}": v for k, v in results["stats"].items()}
-    tables |= {f"Consolidated_{k}": getattr(done, k) for k in ("entries", "services", "metadata", "evaluation")} if done else {}
-    written = {}
-    for suffix, df in tables.items():
+def release(results: dict[str, object]) -> None:
+    """Let the parsed tables go that ``process`` keeps."""
+    r = results["report"]
+    for df in (r.hosts, r.items, r.ports):
         if df is not None:
-            keep_nulls = "false" if not suffix.startswith("Flat") else "true"
-            df.write.mode("overwrite").option("ignoreNullFields", keep_nulls).json(f"{output_dir}/{stem}_{suffix}")
-            written[suffix] = True
-    return written
-
-
-def one_document(df: DataFrame, path: str, indent: int = 2) -> bool:
-    """A bounded result as one JSON document on the driver; False where it cannot be written."""
-    try:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        rows = [json.loads(x) for x in df.toJSON().collect()]
-        Path(path).write_text(json.dumps(rows, indent=indent, ensure_ascii=False), encoding="utf-8")
+            df.unpersist()
+
+
+def tables(results: dict[str, object]) -> dict[str, DataFrame]:
+    """All tables of the results by the name they are written under."""
+    r, done = results["report"], results.get("consolidated")
+    found = {"Parsed_hosts": r.hosts, "Parsed_context": r.context, "Parsed_items": r.items, "Parsed_ports": None if r.ports is None else stats.last_ports(r.ports), "Flat": results.get("flat"), "API_Ready": results.get("findings")}
+    found |= {f"Stats_{k}": v for k, v in results["stats"].items()}
+    found |= {f"Consolidated_{k}": getattr(done, k) for k in ("entries", "services", "outputs", "metadata", "evaluation")} if done else {}
+    return {k: df for k, df in found.items() if df is not None}
+
+
+def write(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
+    """One folder of JSON lines for each table, written by the executors, several at a time. Says which were written; what is there already is never replaced."""
+    stem = Path(name).stem if name else f"{datetime.now():%d-%m-%y_%H-%M-%S}_{Path(source).stem}"
+
+    def put(suffix: str, df: DataFrame) -> bool:
+        try:
+            # Flat rows leave out what a port does not have; the others keep their nulls.
+            df.write.mode("error").option("ignoreNullFields", str(suffix == "Flat").lower()).json(f"{output_dir.rstrip('/')}/{stem}_{suffix}")
+        except Exception as e:  # one table that fails does not keep the others from being written
+            log.error("%s_%s could not be written: %s", stem, suffix, str(e).split("\n", 1)[0])
+            return False
         return True
-    except OSError as e:
-        log.error("%s: %s", path, e)
-        return False
+
+    found = tables(results)
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return dict(zip(found, pool.map(put, found.keys(), found.values()), strict=True))
+
+
+def _by_name(rows: list[dict], key: str, value: str) -> dict:
+    return {r[key]: r[value] for r in rows}
+
+
+def parsed_document(results: dict[str, object]) -> dict:
+    """Context, statistics, hosts and findings or ports of one report as a nested object."""
+    r, s = results["report"], results["stats"]
+    context = (documents.rows(r.context) or [{}])[0]
+    context.pop("file_id", None)
+    one = lambda df: {k: v for k, v in (documents.rows(df) or [{}])[0].items() if k != "file_id"}
+    if r.kind == "net":
+        hosts = {str(h["host_ord"]): {"ip": h["ip"], "hostname": h["hostname"], "status": h["host_status"], "ports": {}} for h in documents.rows(r.hosts, "host_ord")}
+        for p in documents.rows(stats.last_ports(r.ports), "host_ord", "ord"):
+            details = None if p["service_details"] is None else documents.json.loads(p["service_details"])
+            hosts[str(p["host_ord"])]["ports"][f"{p['protocol']}/{p['port_id']}"] = {"status": p["status"], "service": p["service_name"], "details": details, "scripts": p["script_output"]}
+        for p in documents.rows(s["port_summary"]):
+            hosts[str(p["host_ord"])]["port_summary"] = {x: p[x] for x in ("open", "closed", "filtered")}
+        services = {x["service_id"]: {"host": x["host_ord"], "port": x["port_id"], "protocol": x["protocol"], "status": x["status"], "name": x["service_name"]} for x in documents.rows(stats.service_ids(r.ports).select("service_id", "host_ord", "ord", "port_id", "protocol", "status", "service_name"), "host_ord", "ord")}
+        counts = {"hosts": one(s["hosts"]) | {"by_status": _by_name(documents.rows(s["by_host_status"]), "host_status", "n")}, "ports": {"by_status": _by_name(documents.rows(s["ports_by_status"]), "status", "n"), "by_port": _by_name(documents.rows(s["ports_by_port"]), "port_id", "n")}, "services": {"total": len(services), "by_service": _by_name(documents.rows(s["services"]), "service_name", "n")}}
+        return {"context": context, "stats": counts, "hosts": hosts, "services": services}
+    hosts = {str(h["host_ord"]): {k: h[k] for k in ("ip", "fqdns", "os", "scan_start", "scan_end", "credentialed")} | {"vulnerabilities": {}, "ports": {}} for h in documents.rows(r.hosts.filter("has_properties"), "host_ord")}
+    for x in documents.rows(s["host_severities"]):
+        hosts[str(x["host_ord"])]["vulnerabilities"] = {k: v for k, v in x.items() if k not in ("file_id", "host_ord")}
+    for x in documents.rows(s["host_ports"], "host_ord", "port_key"):
+        hosts[str(x["host_ord"])]["ports"][x["port_key"]] = {"service": x["service"], "vulnerabilities": x["plugin_ids"]}
+    found = {x["plugin_id"]: {k: v for k, v in x.items() if k not in ("file_id", "host_ord", "ord", "plugin_id", "port", "protocol", "svc_name", "plugin_output")} | {"affected_hosts": {}} for x in documents.rows(stats.plugins(r.items), "ord")}
+    affected = stats.plugin_hosts(r.items).join(stats.affected_ids(r.hosts), ["file_id", "host_ord"]).join(r.hosts.select("file_id", "host_ord", "ip", "fqdn"), ["file_id", "host_ord"])
+    from reportmill.functions.scalars import port_key
+
+    affected = affected.select("plugin_id", "affected_host_id", "ord", "ip", "fqdn", port_key(F.col("port"), F.col("protocol")).alias("port"), "plugin_output")
+    for x in documents.rows(affected, "ord"):
+        found[x["plugin_id"]]["affected_hosts"][str(x["affected_host_id"])] = {"ip": x["ip"], "fqdn": x["fqdn"], "ports": [x["port"]] if x["port"] else [], "plugin_output": x["plugin_output"]}
+    counts = {"hosts": one(s["hosts"]), "ports": one(s["ports"]), "services": {"unique_counts": _by_name(documents.rows(s["service_instances"]), "svc_name", "n_instances"), "findings_counts": _by_name(documents.rows(s["service_findings"]), "svc_name", "n_findings")}, "vulnerabilities": {"total": len(found), "by_severity": _by_name(documents.rows(s["by_severity"]), "severity", "n_plugins"), "by_family": _by_name(documents.rows(s["by_family"]), "family", "n_plugins")}}
+    return {"context": context, "stats": counts, "hosts": hosts, "vulnerabilities": found}
+
+
+def consolidated_document(done: C.Consolidated) -> dict:
+    metadata = {k: v for k, v in (documents.rows(done.metadata) or [{}])[0].items() if k != "file_id"} | {"consolidated_at": f"{datetime.now():%Y-%m-%d %H:%M:%S}"}
+    out = {}
+    for e in documents.rows(done.entries, "rule_ord"):
+        rest = {k: v for k, v in e.items() if k not in ("file_id", "rule_ord", "rule_name", "title", "internal_id", "has_internal_id", "grouping", "consolidated_plugins")}
+        named = {"internal_vulnerability_id": e["internal_id"]} if e["has_internal_id"] else {}
+        out[e["rule_name"]] = {"rule_name": e["rule_name"], "title": e["title"], **named, **rest, "consolidated_plugins": {p["id"]: p["name"] for p in e["consolidated_plugins"]}, "affected_services": {}}
+    for x in documents.rows(C.with_outputs(done.services, done.outputs), "rule_ord", "first_seen"):
+        out[x["rule_name"]]["affected_services"][x["service_key"]] = {k: x[k] for k in ("ip", "fqdn", "port", "issues_found", "plugin_outputs")}
+    return {"consolidation_metadata": metadata, "consolidated_vulnerabilities": out}
+
+
+def write_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
+    """Single JSON documents of one report, whose results have to fit the driver. Says which were written."""
+    folder, found = documents.ensure_directory(output_dir), {"Parsed": parsed_document(results)}
+    if results.get("consolidated"):
+        found["Consolidated"] = consolidated_document(results["consolidated"])
+    if results.get("findings") is not None:
+        found["API_Ready"] = [{k: x[k] for k in P.REQUIRED} for x in documents.rows(results["findings"], "rule_ord")]
+    if results.get("flat") is not None:
+        found["Flat"] = [{k: v for k, v in x.items() if k not in ("file_id", "host_ord", "ord")} for x in documents.rows(results["flat"], "host_ord", "ord", nulls=False)]
+    return {f"{kind}.json": documents.write_json(data, folder / (documents.custom_name(kind, name) if name else documents.output_name(kind, source, results["kind"]))) for kind, data in found.items() if data}

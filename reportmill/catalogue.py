@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import scalars as S
 from reportmill.operators import consolidate as C
-from reportmill.operators import report, stats
+from reportmill.operators import exclusions, report, stats
 from reportmill.plans import rules as R
 from reportmill.sources import synth
 
@@ -204,7 +204,7 @@ def q_service_ids(spark, d):
 
 @query("select host_ord, protocol, port_id, arg_max(status, ord) as status, max(ord) as ord from net_ports group by 1, 2, 3")
 def q_net_ports_last_wins(spark, d):
-    return stats.last_wins(synth.net_ports(spark, d), ["file_id", "host_ord", "protocol", "port_id"]).select("host_ord", "protocol", "port_id", "status", "ord")
+    return stats.last_ports(synth.net_ports(spark, d)).select("host_ord", "protocol", "port_id", "status", "ord")
 
 
 @query("select service_name, count(*) as n from net_ports where service_name <> '' group by 1 order by 2 desc, min(ord) limit 10")
@@ -240,6 +240,11 @@ def q_host_numbering(spark, d):
     return numbered.filter("host_status = 'up'").select("host_ord", "n")
 
 
+@query("select count(*) as total, count(distinct ip) as unique_ips, count(distinct nullif(hostname, '')) as unique_hostnames from net_hosts")
+def q_net_host_totals(spark, d):
+    return _drop_file(stats.scanned_hosts(synth.net_hosts(spark, d)))
+
+
 # Scalars
 
 
@@ -297,6 +302,11 @@ def q_bool_parse(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", S.flag(text).alias("flag"))
 
 
+@query("select ord, case when h > 0 then h || 'h ' || m || 'm ' || s || 's' when m > 0 then m || 'm ' || s || 's' else s || 's' end as spoken from (select ord, floor(x / 3600)::bigint as h, ((x % 3600 + 3600) % 3600) // 60 as m, ((x % 60) + 60) % 60 as s from (select ord, 90000 - ord * 53 % 180000 as x from net_ports))")
+def q_duration_negative(spark, d):
+    return synth.net_ports(spark, d).select("ord", S.spoken(90000 - F.col("ord") * 53 % 180000).alias("spoken"))
+
+
 # Rules
 
 
@@ -393,7 +403,8 @@ def q_issues_found(spark, d):
 
 @query(f"{RULES_SQL} select rule_ord, service_key, plugin_id, arg_max(plugin_output, host_item) as output from affected where plugin_output <> '' group by 1, 2, 3")
 def q_plugin_outputs_last_wins(spark, d):
-    return _consolidated(spark, d).services.select("rule_ord", "service_key", F.explode("plugin_outputs").alias("plugin_id", "output"))
+    done = _consolidated(spark, d)
+    return C.with_outputs(done.services, done.outputs).select("rule_ord", "service_key", F.explode("plugin_outputs").alias("plugin_id", "output"))
 
 
 @query(f"{RULES_SQL} select (select count(*) from plugins) as original_plugins_count, count(*) as consolidated_count, count(distinct plugin_id) as distinct_consolidated, 'gears|not_old|any_output|all_output|clean_output|everything' as rules_applied from matches")
@@ -442,9 +453,23 @@ def q_api_display_summary(spark, d):
     return _drop_file(report.display_summary(_findings(spark, d, 120)))
 
 
-@query(f"{RULES_SQL} select finding_id from ({_FINDINGS}) where affected_entities is null")
+@query(f"{RULES_SQL} select finding_id, case when finding_id in ('902', '905') then 'affected_entities' when finding_id = '903' then 'type' end as problem from ({_FINDINGS}) where finding_id in ('902', '903', '905')")
 def q_api_validate(spark, d):
-    return report.invalid(_findings(spark, d)).select("finding_id")
+    whole = _findings(spark, d).select("type", "finding_id", "affected_entities")
+    i = F.col("finding_id")
+    spoilt = whole.withColumns({"type": F.when(i != "903", F.col("type")), "affected_entities": F.when(~i.isin("902", "905"), F.col("affected_entities"))})
+    return report.invalid(spoilt).select("finding_id", "problem")
+
+
+@query(f"{RULES_SQL} select rule_name, plugin_id, reason as filter from evaluation where named and reason is not null and not (rule_name = 'all_output' and reason = 'plugin_families')")
+def q_exclusions(spark, d):
+    return exclusions.exclusions(_consolidated(spark, d).evaluation, RULES).select("rule_name", "plugin_id", "filter")
+
+
+@query(f"{RULES_SQL} select 'Rule ' || chr(39) || rule_name || chr(39) || ': plugin ' || plugin_id || ' ' || chr(39) || name || chr(39) || ' matched the name but was excluded by exclude_families: the family is one of [' || chr(39) || 'ECONOMY' || chr(39) || ']' as value from evaluation where named and reason = 'exclude_families'")
+def q_exclusion_log(spark, d):
+    lines = exclusions.log_lines(exclusions.exclusions(_consolidated(spark, d).evaluation, RULES).filter("filter = 'exclude_families'"))
+    return lines.select("value")
 
 
 @query(f"{RULES_SQL} select rule_ord, string_agg(entity, '|' order by place) as entities from entities group by 1")

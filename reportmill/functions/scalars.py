@@ -59,10 +59,10 @@ def clock(seconds: Column) -> Column:
 
 
 def spoken(seconds: Column) -> Column:
-    """``1h 2m 3s``, ``2m 3s``, ``3s``; empty for null."""
+    """``1h 2m 3s``, ``2m 3s``, ``3s``; empty for null. Hours round down and are left out unless positive: -5 is ``59m 55s``."""
     h, m, s = F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.pmod(seconds, F.lit(60))
     text = F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
-    return F.coalesce(F.when(h < 0, F.format_string("%ds", s)).otherwise(text), F.lit(""))
+    return F.when(seconds.isNull(), "").otherwise(text)
 
 
 def flag(x: Column) -> Column:

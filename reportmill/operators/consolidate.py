@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,38 +12,57 @@ from reportmill.functions.scalars import distinct_in_order, in_order, port_key,
 from reportmill.operators import stats
 from reportmill.plans import rules as R
 
+log = logging.getLogger("reportmill")
+
 
 @dataclass
 class Consolidated:
-    """Lazy results: evaluation of every rule and plugin, entries by rule, services by rule and key, and the metadata row."""
+    """Lazy results: evaluation of every rule and plugin, entries by rule, services by rule and key, outputs by service and plugin, and the metadata row."""
 
     evaluation: DataFrame
     entries: DataFrame
     services: DataFrame
+    outputs: DataFrame
     metadata: DataFrame
 
 
+def _passing(readers: list[dict], name: Column, family: Column) -> Column:
+    """Whether any of the rules lets a plugin through to its filters of outputs."""
+    wanted = F.lit(False)
+    for r in readers:
+        passes, later = R.name_filters(r, name, family)
+        for _, ok in later:
+            passes = passes & ok
+        wanted = wanted | passes
+    return wanted
+
+
 def evaluate_rules(plugins: DataFrame, plugin_hosts: DataFrame, rules: list[dict]) -> DataFrame:
     """One row for each plugin and rule: rule_ord, rule_name, matched, reason. Rules do not exclude each other.
 
-    Outputs are joined only for plugins that a rule with output patterns lets through so far, as they can be long."""
-    name, family, output = F.coalesce(F.col("name"), F.lit("")), F.col("family"), F.coalesce(F.col("outputs"), F.lit(""))
+    The outputs of a plugin count as one text, one host's after the other's. A pattern that cannot reach over a line's end is tested
+    host by host, so that only one bit for each pattern is shuffled. Outputs are joined for the other patterns, and only of
+    plugins that such a rule lets through so far."""
+    name, family = F.coalesce(F.col("name"), F.lit("")), F.col("family")
     readers = [r for r in rules if R.reads_output(r)]
     base = plugins.select("file_id", "plugin_id", "name", "family", F.col("ord").alias("plugin_ord"))
-    if readers:
-        wanted = F.lit(False)
-        for r in readers:
-            passes, later = R.name_filters(r, name, family)
-            for _, ok in later:
-                passes = passes & ok
-            wanted = wanted | passes
-        some = base.filter(wanted).select("file_id", "plugin_id")
-        spoken = plugin_hosts.filter(F.col("plugin_output") != "").join(some, ["file_id", "plugin_id"], "left_semi")
-        joined = spoken.groupBy("file_id", "plugin_id").agg(F.array_join(in_order(F.col("plugin_output"), F.col("ord")), "\n").alias("outputs"))
-        base = base.join(joined, ["file_id", "plugin_id"], "left")
-    else:
-        base = base.withColumn("outputs", F.lit(""))
-    results = F.array(*[R.evaluate(k, r, name, family, output) for k, r in enumerate(rules)])
+    patterns = sorted({p for r in readers for p in R.output_patterns(r)})
+    single = [p for p in patterns if R.within_a_line(p)]
+    key, held = ["file_id", "plugin_id"], {}
+    if patterns:
+        some = base.filter(_passing(readers, name, family)).select(*key)
+        spoken = plugin_hosts.filter(F.col("plugin_output") != "").join(some, key, "left_semi")
+        found = spoken.groupBy(*key).agg(F.lit(True).alias("spoken"), *[F.bool_or(R.output_match(F.col("plugin_output"), p)).alias(f"p{patterns.index(p)}") for p in single])
+        base = base.join(found, key, "left")
+        held = {p: F.coalesce(F.col(f"p{patterns.index(p)}"), F.lit(False)) for p in single}
+    if len(single) < len(patterns):
+        wide = [r for r in readers if set(R.output_patterns(r)) - set(single)]
+        some = base.filter(_passing(wide, name, family)).select(*key)
+        joined = plugin_hosts.filter(F.col("plugin_output") != "").join(some, key, "left_semi").groupBy(*key).agg(F.array_join(in_order(F.col("plugin_output"), F.col("ord")), "\n").alias("outputs"))
+        base = base.join(joined, key, "left")
+        held |= {p: F.coalesce(R.output_match(F.col("outputs"), p), F.lit(False)) for p in patterns if p not in single}
+    spoken = F.coalesce(F.col("spoken"), F.lit(False)) if patterns else F.lit(False)
+    results = F.array(*[R.evaluate(k, r, name, family, spoken, held) for k, r in enumerate(rules)])
     return base.select("file_id", "plugin_id", "name", "plugin_ord", F.explode(results).alias("r")).select("file_id", "plugin_id", "name", "plugin_ord", "r.*")
 
 
@@ -79,32 +99,54 @@ def service_key(grouping: Column, ip: Column, port: Column) -> Column:
     return F.when(has_ip & has_port, F.concat_ws(":", ip, port)).when(has_port, port).otherwise(ip)
 
 
-def affected_services(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row for each file, rule and service key: ip, fqdn and port first seen, issues by first sight, last output of each plugin.
-
-    Findings without a port affect no service."""
+def _affected(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row for each match and host with a port: its service key, and ``at``, the place by which firsts and lasts go."""
     ports = plugin_hosts.withColumn("port_key", port_key(F.col("port"), F.col("protocol"))).filter("port_key is not null")
     rows = ports.select("file_id", "plugin_id", "host_ord", "port_key", "plugin_output", F.col("ord").alias("host_item")).join(
         matches.select("file_id", "plugin_id", "name", "plugin_ord", "rule_ord", "rule_name"), ["file_id", "plugin_id"])
     rows = rows.join(hosts.select("file_id", "host_ord", "ip", "fqdn"), ["file_id", "host_ord"]).join(rules.select("rule_ord", "grouping"), "rule_ord")
-    rows = rows.withColumns({"service_key": service_key(F.col("grouping"), F.col("ip"), F.col("port_key")), "at": F.struct("plugin_ord", "host_item")})
+    return rows.withColumns({"service_key": service_key(F.col("grouping"), F.col("ip"), F.col("port_key")), "at": F.struct("plugin_ord", "host_item")})
+
+
+_SERVICE = ["file_id", "rule_ord", "rule_name", "service_key"]
+
+
+def affected_services(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row for each file, rule and service key: ip, fqdn and port first seen, and issues by first sight.
+
+    Findings without a port affect no service."""
+    rows = _affected(matches, plugin_hosts, hosts, rules)
+    # All rows of a plugin lie between those of its neighbours, so plugins can be reduced to their first row each before they are listed.
+    plugins = rows.groupBy(*_SERVICE, "plugin_id", "name").agg(F.min_by(F.struct("ip", "fqdn", "port_key"), "at").alias("seen"), F.min("at").alias("at"))
     issue = F.struct(F.col("plugin_id").alias("id"), F.col("name").alias("name"))
-    keys = ["file_id", "rule_ord", "rule_name", "service_key"]
-    said = F.when(F.coalesce(F.col("plugin_output"), F.lit("")) != "", F.struct(F.col("plugin_id").alias("id"), F.col("plugin_output").alias("output")))
-    spoken = F.filter(in_order(said, F.col("at")), lambda x: x.isNotNull())
-    # Last output of a plugin, at the place where it was first seen.
-    ids = F.array_distinct(F.transform("said", lambda x: x["id"]))
-    last = F.transform(ids, lambda i: F.element_at(F.filter("said", lambda x: x["id"] == i), -1))
-    grouped = rows.groupBy(*keys).agg(
-        F.min("at").alias("first_seen"), F.min_by("ip", "at").alias("ip"), F.min_by("fqdn", "at").alias("fqdn"), F.min_by("port_key", "at").alias("port"),
-        distinct_in_order(issue, F.col("at")).alias("issues_found"), spoken.alias("said"))
-    return grouped.withColumn("plugin_outputs", F.map_from_entries(last)).drop("said")
+    return plugins.groupBy(*_SERVICE).agg(
+        F.min("at").alias("first_seen"), F.min_by("seen", "at").alias("seen"), in_order(issue, F.col("at")).alias("issues_found")
+    ).select(*_SERVICE, "first_seen", "seen.ip", "seen.fqdn", F.col("seen.port_key").alias("port"), "issues_found")
+
+
+def service_outputs(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row for each file, rule, service key and plugin that said anything there: its last output, and the place of its first."""
+    said = _affected(matches, plugin_hosts, hosts, rules).filter(F.coalesce("plugin_output", F.lit("")) != "")
+    return said.groupBy(*_SERVICE, "plugin_id").agg(F.min("at").alias("first_said"), F.max_by("plugin_output", "at").alias("plugin_output"))
+
+
+def with_outputs(services: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Services with ``plugin_outputs``, a map from plugin to output."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_said", "plugin_id", "plugin_output"))), lambda x: F.struct(x["plugin_id"], x["plugin_output"]))
+    maps = outputs.groupBy(*_SERVICE).agg(F.map_from_entries(listed).alias("plugin_outputs"))
+    return services.join(maps, _SERVICE, "left").withColumn("plugin_outputs", F.coalesce("plugin_outputs", F.create_map().cast("map<string,string>")))
 
 
 def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None) -> Consolidated | None:
-    """None where there are no valid, enabled rules."""
-    if rules is None or R.problems(rules) or not (live := R.enabled(rules)):
+    """None where there are no valid, enabled rules; why is logged."""
+    wrong = ["there are no rules"] if rules is None else R.problems(rules)
+    live = [] if wrong else R.enabled(rules)
+    for x in wrong or ([] if live else ["no rule is enabled"]):
+        log.error("consolidation is left out: %s", x)
+    if not live:
         return None
+    for x in R.warnings(live):
+        log.warning("%s", x)
     spark = items.sparkSession
     found, affected = stats.plugins(items), stats.plugin_hosts(items)
     evaluation = evaluate_rules(found, affected, live)
@@ -113,4 +155,5 @@ def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None) ->
     metadata = found.groupBy("file_id").agg(F.count("*").alias("original_plugins_count")).join(matches.groupBy("file_id").agg(F.count("*").alias("consolidated_count"), F.count_distinct("plugin_id").alias("distinct_consolidated")), "file_id", "left")
     metadata = metadata.select("file_id", "original_plugins_count", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("consolidated_count", "distinct_consolidated")], F.array(*[F.lit(r["rule_name"]) for r in live]).alias("rules_applied"))
     full = entries(matches, found).join(frame.drop("rule_name"), "rule_ord")
-    return Consolidated(evaluation, full, affected_services(matches, affected, hosts, frame), metadata)
+    parts = (matches, affected, hosts, frame)
+    return Consolidated(evaluation, full, affected_services(*parts), service_outputs(*parts), metadata)

@@ -60,11 +60,24 @@ def display_summary(findings: DataFrame) -> DataFrame:
 
 
 def invalid(findings: DataFrame) -> DataFrame:
-    """Rows that lack what a finding needs."""
-    missing = [c for c in REQUIRED if c not in findings.columns]
+    """Findings that lack something, with ``problem``: the first field that is missing. Raises where a column is missing or of a wrong type."""
+    kinds = dict(findings.dtypes)
+    missing = [c for c in REQUIRED if c not in kinds]
     if missing:
         raise FormatterError(f"missing: {', '.join(missing)}")
-    return findings.filter(F.col("type").isNull() | F.col("finding_id").isNull() | F.col("affected_entities").isNull())
+    if kinds["finding_id"] not in ("string", "int", "bigint", "smallint", "tinyint"):
+        raise FormatterError("finding_id is neither text nor an integer")
+    if kinds["affected_entities"] != "string":
+        raise FormatterError("affected_entities is no text")
+    return findings.withColumn("problem", F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])).filter("problem is not null")
+
+
+def valid(findings: DataFrame) -> bool:
+    """Whether all findings have what a finding needs."""
+    try:
+        return invalid(findings).isEmpty()
+    except FormatterError:
+        return False
 
 
 def consolidation_summary(metadata: DataFrame, entries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportmill.functions.scalars import SEVERITIES, distinct_in_order, port_key, severity_label
+from reportmill.functions.scalars import SEVERITIES, in_order, port_key, severity_label
 
 
 def first_wins(rows: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
@@ -51,9 +51,10 @@ def host_severities(items: DataFrame) -> DataFrame:
 
 
 def host_ports(items: DataFrame) -> DataFrame:
-    """Each host's ports: the first service, and plugins by first sight."""
+    """Each host's ports: the first service, and plugins by first sight. Rows of a plugin are reduced to the first before they are listed."""
     keyed = items.withColumn("port_key", port_key(F.col("port"), F.col("protocol"))).filter("port_key is not null")
-    return keyed.groupBy("file_id", "host_ord", "port_key").agg(F.min_by("svc_name", "ord").alias("service"), distinct_in_order(F.col("plugin_id"), F.col("ord")).alias("plugin_ids"))
+    first = keyed.groupBy("file_id", "host_ord", "port_key", "plugin_id").agg(F.min("ord").alias("ord"), F.min_by("svc_name", "ord").alias("svc_name"))
+    return first.groupBy("file_id", "host_ord", "port_key").agg(F.min_by("svc_name", "ord").alias("service"), in_order(F.col("plugin_id"), F.col("ord")).alias("plugin_ids"))
 
 
 def discovered_ports(items: DataFrame) -> DataFrame:
@@ -105,6 +106,16 @@ def with_status(ports: DataFrame, status: str = "all") -> DataFrame:
     return ports if status == "all" else ports.filter(F.col("status") == status)
 
 
+def scanned_hosts(hosts: DataFrame) -> DataFrame:
+    """Hosts, distinct addresses and distinct names that are not empty."""
+    return hosts.groupBy("file_id").agg(F.count("*").alias("total"), F.count_distinct(F.nullif("ip", F.lit(""))).alias("unique_ips"), F.count_distinct(F.nullif("hostname", F.lit(""))).alias("unique_hostnames"))
+
+
+def last_ports(ports: DataFrame) -> DataFrame:
+    """Of a host's ports with one protocol and number the last."""
+    return last_wins(ports, ["file_id", "host_ord", "protocol", "port_id"])
+
+
 def port_summary(ports: DataFrame) -> DataFrame:
     known = ["open", "closed", "filtered"]
     return ports.groupBy("file_id", "host_ord").agg(*[F.count_if(F.col("status") == s).alias(s) for s in known], F.count_if(~F.coalesce(F.col("status"), F.lit("")).isin(known)).alias("other"))

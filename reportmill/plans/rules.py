@@ -104,13 +104,33 @@ def name_filters(rule: dict, name: Column, family: Column) -> tuple[Column, list
     return F.coalesce(passes, F.lit(False)), [(k, F.coalesce(x, F.lit(False))) for k, x in later]
 
 
-def output_filters(rule: dict, output: Column) -> list[tuple[str, Column]]:
-    """output: outputs of all affected hosts, joined by line breaks; empty if there are none."""
+def output_patterns(rule: dict) -> list[str]:
+    f = rule["filters"]
+    return [*(f.get("plugin_output_patterns") or []), *(f.get("exclude_plugin_output_patterns") or [])]
+
+
+def within_a_line(pattern: str) -> bool:
+    """Whether a match surely has no line break and depends on nothing beyond its line; what may have one is never said to be within."""
+    return not re.search(r"\\[nrRsSWDHVvfxuUZzAGBbNpPXkQE0-9]|\[\^|\(\?|\n|\r", pattern)
+
+
+def output_match(output: Column, pattern: str) -> Column:
+    return _matches(output, [pattern], "imUd")
+
+
+def output_filters(rule: dict, spoken: Column, held: dict[str, Column]) -> list[tuple[str, Column]]:
+    """spoken: whether any affected host has an output; held: of each pattern, whether the outputs match it."""
     f, later = rule["filters"], []
+
+    def found(kind: str) -> Column:
+        tests = [held[p] for p in f[kind]]
+        every = f.get(kind.replace("patterns", "require_all"), False)
+        return spoken & reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), tests)
+
     if f.get("plugin_output_patterns"):
-        later.append(("plugin_output_patterns", (output != "") & _matches(output, f["plugin_output_patterns"], "imUd", f.get("plugin_output_require_all", False))))
+        later.append(("plugin_output_patterns", found("plugin_output_patterns")))
     if f.get("exclude_plugin_output_patterns"):
-        later.append(("exclude_plugin_output_patterns", ~((output != "") & _matches(output, f["exclude_plugin_output_patterns"], "imUd", f.get("exclude_plugin_output_require_all", False)))))
+        later.append(("exclude_plugin_output_patterns", ~found("exclude_plugin_output_patterns")))
     return later
 
 
@@ -118,10 +138,10 @@ def reads_output(rule: dict) -> bool:
     return bool(rule["filters"].get("plugin_output_patterns") or rule["filters"].get("exclude_plugin_output_patterns"))
 
 
-def evaluate(rule_ord: int, rule: dict, name: Column, family: Column, output: Column) -> Column:
+def evaluate(rule_ord: int, rule: dict, name: Column, family: Column, spoken: Column, held: dict[str, Column]) -> Column:
     """Struct: rule_ord, rule_name, matched, reason (the filter that excluded a plugin whose name passed)."""
     passes, later = name_filters(rule, name, family)
-    later = later + output_filters(rule, output)
+    later = later + output_filters(rule, spoken, held)
     reason = F.coalesce(*[F.when(~ok, F.lit(k)) for k, ok in later]) if later else F.lit(None).cast("string")
     # Without name patterns, plugins of other families are no exclusions worth a note.
     logged = F.when(passes, reason) if rule["filters"].get("name_patterns") else F.nullif(reason, F.lit("plugin_families"))

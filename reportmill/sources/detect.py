@@ -1,48 +1,109 @@
-"""Kinds of report files: by their root element, else by their first characters."""
+"""Kinds of report files: by their suffix and root element, else by their first characters.
+
+``detect`` and the checks read a local file on the driver; ``detect_in_store`` reads the first bytes of a file or folder in any store.
+"""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
-ROOTS = {"nmaprun": "net", "NessusClientData": "vuln", "NessusClientData_v2": "vuln"}
+from pyspark.sql import SparkSession
+
+from reportmill import kinds  # noqa: F401 (registers the built-in kinds)
+from reportmill.sources import adapters
+
+#: Elements that a vulnerability report has whatever its root is called.
+PARTS = {"Report", "Policy"}
 
 
-def _root(path: Path) -> str | None:
+def root(path: str | Path) -> str | None:
+    """The root element, from the beginning of the file alone; None for what is no XML."""
     try:
         for _, element in ET.iterparse(path, events=("start",)):
             return element.tag
     except ET.ParseError:
-        return None
+        pass
     return None
 
 
-def check_well_formed(path: str | Path) -> None:
-    """Raise ValueError unless the whole file is well-formed; row tags alone would accept a cut file."""
+def _tags(path: str | Path, wanted: set[str]) -> set[str]:
+    """Which of the wanted elements the file has, read as a stream. Raises ParseError."""
+    found = set()
+    for _, element in ET.iterparse(path):
+        if element.tag in wanted:
+            found.add(element.tag)
+        element.clear()
+    return found
+
+
+def is_vulnerability_report(path: str | Path) -> bool:
+    """By its root element, or else by a report and a policy anywhere in it; the whole file has to be well-formed."""
     try:
-        for _, element in ET.iterparse(path):
-            element.clear()
+        parts = _tags(path, PARTS)
+    except (ET.ParseError, OSError):
+        return False
+    return root(path) == "NessusClientData_v2" or parts == PARTS
+
+
+def check(path: str | Path, kind: str) -> None:
+    """Strict checks of a file before it is read: it exists, has the kind's suffix and is well-formed; port scans also need their root.
+
+    Row tags alone would accept a cut file. Raises FileNotFoundError or ValueError."""
+    path, adapter = Path(path), adapters.adapter(kind)
+    if not path.exists():
+        raise FileNotFoundError(path)
+    if path.suffix.lower() not in adapter.suffixes:
+        raise ValueError(f"{path} does not end in {' or '.join(adapter.suffixes)}")
+    try:
+        _tags(path, set())
     except ET.ParseError as e:
-        raise ValueError(f"{path}: {e}") from e
+        raise ValueError(f"{path} is not well-formed: {e}") from e
+    if kind == "net" and root(path) not in adapter.roots:
+        raise ValueError(f"{path} is no port scan")
 
 
 def detect(path: str | Path) -> str:
+    """The kind of a file. Raises FileNotFoundError, or ValueError where it is of none."""
     path = Path(path)
     if not path.exists():
         raise FileNotFoundError(path)
-    if kind := ROOTS.get(_root(path) or ""):
-        return kind
+    suffix = path.suffix.lower()
+    if suffix == ".nessus" and is_vulnerability_report(path):
+        return "vuln"
+    if suffix != ".nessus" and (found := adapters.by_root(root(path))):
+        return found.kind
     with path.open(encoding="utf-8", errors="replace") as f:
-        head = f.read(1024).lower()
-    if "<?xml" in head:
-        if "nmaprun" in head:
-            return "net"
-        if "nessusclientdata" in head or ("<report" in head and "<policy" in head):
-            return "vuln"
+        if found := adapters.by_head(f.read(1024)):
+            return found.kind
+    raise ValueError(f"{path} is no report of a known kind")
+
+
+def head(spark: SparkSession, path: str, n: int = 1024) -> str:
+    """The first n bytes of a file in any store that Spark reads. Raises FileNotFoundError."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(at).isDirectory():
+        listed = sorted((f.getPath().toString() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith((".", "_"))))
+        return head(spark, listed[0], n) if listed else ""
+    stream = fs.open(at)
+    try:
+        return bytes(b & 255 for b in spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, n))).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def detect_in_store(spark: SparkSession, path: str) -> str:
+    """The kind of a file, or of a folder by its first file, in any store; by its first characters."""
+    if found := adapters.by_head(head(spark, path)):
+        return found.kind
     raise ValueError(f"{path} is no report of a known kind")
 
 
 def find_reports(directory: str | Path, kinds: tuple[str, ...] = ("vuln", "net"), recursive: bool = False) -> dict[str, list[Path]]:
+    """Reports of a folder by kind, sorted. Vulnerability reports go by their suffix, port scans by their root; kinds that are unknown have none."""
     directory = Path(directory)
     if not directory.is_dir():
         return {}
@@ -50,6 +111,6 @@ def find_reports(directory: str | Path, kinds: tuple[str, ...] = ("vuln", "net")
     for path in sorted(directory.rglob("*") if recursive else directory.glob("*")):
         if path.suffix.lower() == ".nessus" and "vuln" in found:
             found["vuln"].append(path)
-        elif path.suffix.lower() == ".xml" and "net" in found and ROOTS.get(_root(path) or "") == "net":
+        elif path.suffix.lower() == ".xml" and "net" in found and (a := adapters.by_root(root(path))) and a.kind == "net":
             found["net"].append(path)
     return found

@@ -1,6 +1,11 @@
-"""Reports in XML as canonical tables. One task reads one file; every leaf is read as a string and cast later.
+"""Reports in XML as canonical tables. Every leaf is read as a string and cast later.
 
-Ordinals are taken where a row is read (file, block, running id), before any shuffle, so they follow document order.
+Hosts are most of a report and independent of each other. So a file is read as text whose lines end in a host's closing tag, which Spark splits
+over tasks however large the file is; each host is then parsed by itself. What lies outside of hosts is put together again to a small
+document, which has the context.
+
+Ordinals are taken where a row is read (file, block, running id), before any shuffle, so they follow document order. Hosts are numbered
+by block: ranks within the blocks, and the sums of the blocks before.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import scalars as S
+from reportmill.functions.scalars import in_order
 
 _CHILDREN = "risk_factor cvss_base_score cvss_temporal_score cvss_vector cvss3_base_score cvss3_temporal_score cvss3_vector description synopsis solution plugin_output".split()
 _ATTRIBUTES = "pluginID pluginName pluginFamily severity port protocol svc_name".split()
@@ -34,14 +40,44 @@ class Report:
     ports: DataFrame | None = None
 
 
-def _rows(spark: SparkSession, path: str | list[str], tag: str, schema: str) -> DataFrame:
-    rows = spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
+#: A start tag's attributes, whose values may hold any character but their quotes and "<".
+_ATTRIBUTE = r"""(\s+[\w:.-]+\s*=\s*("[^"]*"|'[^']*'))*\s*"""
+
+
+def _pieces(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
+    """file_id, place, pieces: text that ends before a closing tag of ``tag``, cut before each of its start tags."""
+    rows = spark.read.option("lineSep", f"</{tag}>").text(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return rows.select("*", F.col("_metadata.file_path").alias("file_id"), place.alias("place"))
+    return rows.select(F.col("_metadata.file_path").alias("file_id"), place.alias("place"), F.split("value", rf"(?=<{tag}[\s/>])").alias("pieces"))
+
+
+def _elements(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
+    """One row for each element: its fields, file_id, place and host_ord, from 1 in document order. What is not whole is left out."""
+    alone = rf"^<{tag}{_ATTRIBUTE}/>"
+    found = pieces.select("file_id", "place", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("pos", "x"))
+    number = found.select("file_id", F.struct("place.block", "place.id", "pos").alias("place"), F.when(F.col("x").rlike(alone), F.regexp_extract("x", alone, 0)).otherwise(F.concat("x", F.lit(f"</{tag}>"))).alias("x"))
+    blocks = number.groupBy("file_id", "place.block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Hosts are parsed by the tasks that read them; only the columns that are asked for go on.
+    options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = number.select("file_id", "place", F.col("place.block").alias("block"), F.from_xml("x", f"{schema}, _corrupt string", options).alias("e")).select("file_id", "place", "block", "e.*")
+    ranked = parsed.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("place")))
+    joined = ranked.join(blocks, ["file_id", "block"]).filter("_corrupt is null").withColumn("host_ord", (F.col("before") + F.col("rank")).cast("long"))
+    return joined.drop("block", "before", "rank", "_corrupt")
+
+
+def _context(pieces: DataFrame, tag: str) -> DataFrame:
+    """file_id and x, the file without its elements of ``tag``."""
+    alone = rf"^<{tag}{_ATTRIBUTE}/>"
+    outside = F.concat(F.get("pieces", 0), F.array_join(F.transform(F.filter(F.slice("pieces", 2, F.size("pieces")), lambda x: x.rlike(alone)), lambda x: F.regexp_replace(x, alone, "")), ""))
+    joined = pieces.select("file_id", "place", outside.alias("x")).filter("trim(x) <> ''").groupBy("file_id").agg(F.array_join(in_order(F.col("x"), F.col("place")), "").alias("x"))
+    return joined.withColumn("x", F.regexp_replace("x", r"^\uFEFF|<!DOCTYPE[^>\[]*(\[[^\]]*\])?\s*>", ""))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("host_ord", F.row_number().over(Window.partitionBy("file_id").orderBy("place")).cast("long"))
+def _at(path: str) -> Column:
+    """The first text or attribute of an XPath, null where there is none."""
+    return F.get(F.xpath("x", F.lit(path)), 0)
 
 
 def _tag(name: str) -> Column:
@@ -56,7 +92,8 @@ def _number(x: Column, strict: bool) -> Column:
 
 def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: bool = False) -> Report:
     """Vulnerability reports. strict: numbers that are none raise, else they are null."""
-    hosts = _numbered(_rows(spark, path, "ReportHost", VULN_HOST))
+    pieces = _pieces(spark, path, "ReportHost")
+    hosts = _elements(pieces, "ReportHost", VULN_HOST)
     start, end = S.report_time(_tag("HOST_START")), S.report_time(_tag("HOST_END"))
     table = hosts.select(
         "file_id", "host_ord", _tag("host-ip").alias("ip"), _tag("host-fqdn").alias("fqdn"), S.host_names(_tag("host-fqdns"), _tag("host-fqdn")).alias("fqdns"),
@@ -75,18 +112,18 @@ def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: boo
         F.coalesce((F.col("i._severity").cast("int") if strict else F.col("i._severity").try_cast("int")), F.lit(0)).alias("severity"), text("_pluginName").alias("name"), text("_pluginFamily").alias("family"),
         text("risk_factor").alias("risk_factor"), score("cvss").alias("cvss"), score("cvss3").alias("cvss3"), *[text(c).alias(c) for c in ("description", "synopsis", "solution", "plugin_output")],
         S.lines(F.get("i.see_also", 0)).alias("see_also"), *[F.coalesce(F.col(f"i.{c}"), F.array().cast("array<string>")).alias(c) for c in ("cve", "cwe", "xref")])
-    names = _rows(spark, path, "Report", "_name string").groupBy("file_id").agg(F.min_by("_name", "place").alias("scan_name"))
-    policy = _rows(spark, path, "Policy", "policyName string").groupBy("file_id").agg(F.min_by("policyName", "place").alias("policy_name"))
-    last = [F.max_by(F.when(F.col("name") == f"scan_{x}_timestamp", F.col("value")), F.when(F.col("name") == f"scan_{x}_timestamp", F.col("place"))).alias(x) for x in ("start", "end")]
-    times = _rows(spark, path, "preference", "name string, value string").groupBy("file_id").agg(*last)
-    seconds = F.unix_timestamp(S.report_time(F.col("end"))) - F.unix_timestamp(S.report_time(F.col("start")))
-    context = names.join(policy, "file_id", "left").join(times, "file_id", "left").select("file_id", "scan_name", "policy_name", S.time_text(S.report_time(F.col("start"))).alias("scan_start"), S.time_text(S.report_time(F.col("end"))).alias("scan_end"), S.clock(seconds).alias("scan_duration"))
+    context = _context(pieces, "ReportHost").select(
+        "file_id", _at("//Report/@name").alias("scan_name"), _at("//Policy//policyName/text()").alias("policy_name"),
+        *[S.report_time(_at(f"(//preference[name='scan_{x}_timestamp'])[last()]/value/text()")).alias(x) for x in ("start", "end")])
+    seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
+    context = context.select("file_id", "scan_name", "policy_name", S.time_text(F.col("start")).alias("scan_start"), S.time_text(F.col("end")).alias("scan_end"), S.clock(seconds).alias("scan_duration"))
     return Report("vuln", context, table, items=items)
 
 
 def read_scans(spark: SparkSession, path: str | list[str], status: str = "all") -> Report:
     """Port scans; hosts without an IPv4 address keep their number but are left out. status: exact state of the ports, or all."""
-    hosts = _numbered(_rows(spark, path, "host", NET_HOST))
+    pieces = _pieces(spark, path, "host")
+    hosts = _elements(pieces, "host", NET_HOST)
     ip = F.get(F.filter("address", lambda a: a["_addrtype"] == "ipv4"), 0)["_addr"]
     hosts = hosts.withColumn("ip", ip).filter("ip <> ''")
     table = hosts.select("file_id", "host_ord", "ip", F.coalesce(F.get("hostnames.hostname", 0)["_name"], F.lit("")).alias("hostname"), F.coalesce("status._state", F.lit("unknown")).alias("host_status"))
@@ -100,9 +137,10 @@ def read_scans(spark: SparkSession, path: str | list[str], status: str = "all")
     ports = exploded.select(
         "file_id", "host_ord", "ord", F.coalesce("p._portid", F.lit("")).alias("port_id"), F.lower(F.coalesce("p._protocol", F.lit(""))).alias("protocol"), F.coalesce("p.state._state", F.lit("")).alias("status"),
         F.coalesce("p.service._name", F.lit("")).alias("service_name"), details.alias("service_details"), F.map_from_entries(lasts).alias("script_output"))
-    run = _rows(spark, path, "nmaprun", "_start string, _startstr string, _args string, _version string, scaninfo array<struct<_type: string>>, runstats struct<finished: struct<_time: string, _timestr: string>>")
-    seconds = F.coalesce(F.col("runstats.finished._time").try_cast("long"), F.lit(0)) - F.col("_start").try_cast("long")
-    context = run.select("file_id", F.col("_version").alias("scanner_version"), F.col("_args").alias("scan_command"), F.get("scaninfo", 0)["_type"].alias("scan_type"), F.col("_startstr").alias("scan_start"), F.col("runstats.finished._timestr").alias("scan_end"), S.spoken(seconds).alias("scan_duration"))
+    # Without a finish, or where a time is no number, there is no duration; a finish without a time counts as 0.
+    finished = F.size(F.xpath("x", F.lit("/nmaprun/runstats/finished"))) > 0
+    seconds = F.coalesce(_at("/nmaprun/runstats/finished/@time"), F.lit("0")).try_cast("long") - _at("/nmaprun/@start").try_cast("long")
+    context = _context(pieces, "host").select("file_id", *[F.coalesce(_at(f"/nmaprun/{x}"), F.lit("")).alias(name) for name, x in (("scanner_version", "@version"), ("scan_command", "@args"), ("scan_type", "scaninfo/@type"), ("scan_start", "@startstr"), ("scan_end", "runstats/finished/@timestr"))], S.spoken(F.when(finished, seconds)).alias("scan_duration"))
     return Report("net", context, table, ports=ports)
 
 

@@ -1,12 +1,16 @@
 """Reports on hand-written fixtures."""
 
+import json
+from datetime import datetime
+
 import pytest
 
-from reportmill import api
+import reportmill
+from reportmill import api, cli, display
 from reportmill.operators import consolidate as C
 from reportmill.operators import report, stats
 from reportmill.plans import rules as R
-from reportmill.sources import detect, xml
+from reportmill.sources import adapters, detect, documents, xml
 
 VULN = """<?xml version="1.0"?>
 <NessusClientData_v2><Policy><policyName>Full</policyName><Preferences>
@@ -122,3 +126,138 @@ def test_process(spark, vuln, tmp_path):
     cut.write_text(VULN[:-40])
     with pytest.raises(ValueError):
         api.process(spark, str(cut), kind="vuln", strict=True)
+
+
+def test_strict_checks(spark, vuln, net, tmp_path):
+    (tmp_path / "v.xml").write_text(VULN)
+    (tmp_path / "n.nessus").write_text(NET)
+    (tmp_path / "other.nessus").write_text("<?xml version='1.0'?><x><Policy/><Report/></x>")
+    (tmp_path / "other.xml").write_text("<x/>")
+    (tmp_path / "sniffed.txt").write_text(NET)
+    detect.check(vuln, "vuln")
+    detect.check(net, "net")
+    assert [detect.detect(tmp_path / x) for x in ("v.xml", "n.nessus", "other.nessus", "sniffed.txt")] == ["vuln", "net", "vuln", "net"]
+    for name, kind in (("v.xml", "vuln"), ("n.nessus", "net"), ("other.xml", "net")):
+        with pytest.raises(ValueError):
+            detect.check(tmp_path / name, kind)
+    with pytest.raises(FileNotFoundError):
+        detect.check(tmp_path / "no.xml", "net")
+    with pytest.raises(ValueError):
+        detect.detect(tmp_path / "other.xml")
+    assert detect.detect_in_store(spark, f"file://{net}") == "net" and len(detect.head(spark, str(vuln), 30)) == 30
+    with pytest.raises(FileNotFoundError):
+        detect.detect_in_store(spark, "file:///no/such.file")
+    found = detect.find_reports(tmp_path)
+    assert [p.name for p in found["vuln"]] == ["n.nessus", "other.nessus", "r.nessus"] and [p.name for p in found["net"]] == ["r.xml"]
+    assert detect.find_reports(tmp_path / "no") == {} and detect.find_reports(tmp_path, ("other",)) == {"other": []}
+
+
+def test_hosts_of_large_files(spark, tmp_path):
+    """Files that are cut into many splits; self-closed hosts count, and what is cut off is left out."""
+    hosts = [f'<ReportHost name="h{k}"/>' if k % 7 == 3 else f'<ReportHost name="h>{k}"><HostProperties><tag name="host-ip">10.0.{k // 250}.{k % 250}</tag></HostProperties><ReportItem port="1" protocol="tcp" severity="1" pluginID="{k}"><description>{"d" * 900} &lt;/ReportHost&gt;</description></ReportItem></ReportHost>' for k in range(300)]
+    text = VULN[: VULN.index("<ReportHost")] + "\n".join(hosts) + VULN[VULN.index("</Report></Ness") :]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.nessus").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        r = xml.read_vulnerabilities(spark, str(tmp_path / "*.nessus"))
+        rows = r.items.join(r.hosts, ["file_id", "host_ord"]).select("file_id", "host_ord", "plugin_id", "ip").collect()
+        assert xml._pieces(spark, str(tmp_path / "*.nessus"), "ReportHost").rdd.getNumPartitions() > 20 and r.hosts.count() == 600
+        (tmp_path / "cut.nessus").write_text(text[: text.index('pluginID="200"')])
+        assert xml.read_vulnerabilities(spark, str(tmp_path / "cut.nessus")).hosts.count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 2 * sum(k % 7 != 3 for k in range(300)) and len({x.file_id for x in rows}) == 2
+    assert all(x.host_ord == int(x.plugin_id) + 1 and x.ip == f"10.0.{int(x.plugin_id) // 250}.{int(x.plugin_id) % 250}" for x in rows)
+    assert {c.scan_name for c in r.context.collect()} == {"weekly"} and r.context.count() == 2
+
+
+def test_stream(spark, vuln, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.xml").write_text(VULN)
+    xml.stream_vulnerability_hosts(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((x.ip, x.n_items) for x in spark.table("seen").collect()) == [("", 1), ("10.0.0.1", 2), ("10.0.0.3", 2)]
+
+
+def test_negative_and_missing_durations(spark, tmp_path):
+    def duration(finish, start="1000"):
+        (tmp_path / "d.xml").write_text(f'<?xml version="1.0"?><!DOCTYPE nmaprun><nmaprun start="{start}" version="7"><runstats>{finish}</runstats></nmaprun>')
+        return xml.read_scans(spark, str(tmp_path / "d.xml")).context.first().scan_duration
+
+    assert duration('<finished time="995"/>') == "59m 55s" and duration('<finished time="x"/>') == "" and duration("") == ""
+    assert duration("<finished/>") == "43m 20s" and duration('<finished time="1000"/>', "") == ""
+
+
+def test_exclusions(spark, vuln, tmp_path):
+    rules = [_rule(name_patterns=["a"], exclude_families=["Web"]), _rule(plugin_output_patterns=["nothing"], plugin_families=["Web"]) | {"rule_name": "o"}]
+    (tmp_path / "rules.json").write_text(json.dumps({"consolidation_rules": rules}))
+    done = api.process(spark, str(vuln), consolidate=True, rules_file=str(tmp_path / "rules.json"), output_dir=str(tmp_path / "out"), log_exclusions=True)
+    lines = spark.read.text(done["exclusion_log"]).collect()
+    assert [x.value for x in lines] == [
+        "Rule 'r': plugin 100 'A B' matched the name but was excluded by exclude_families: the family is one of ['Web']",
+        "Rule 'o': plugin 100 'A B' matched the name but was excluded by plugin_output_patterns: the output does not match any of ['nothing']",
+    ]
+
+
+def test_documents(spark, vuln, net, tmp_path):
+    out = tmp_path / "out"
+    done = api.process(spark, str(vuln), consolidate=True, api_format=True, output_dir=str(out), output_name="x.json", documents_too=True)
+    assert all(done["written"].values()) and not all(api.write(done, str(vuln), str(out), "x.json").values())  # nothing is replaced
+    parsed, consolidated = documents.read_json(out / "x.json"), documents.read_json(out / "x_Consolidated_Findings.json")
+    assert parsed["context"]["scan_name"] == "weekly" and parsed["hosts"]["1"]["ports"]["443/tcp"] == {"service": "www", "vulnerabilities": ["100"]}
+    assert parsed["vulnerabilities"]["100"]["affected_hosts"]["4"]["ports"] == ["443/tcp"] and parsed["stats"]["vulnerabilities"]["by_severity"]["Medium"] == 1
+    assert consolidated["consolidation_metadata"]["original_plugins_count"] == 2 and documents.has_keys(consolidated, ["consolidated_vulnerabilities"])
+    api.release(done)
+    scan = api.process(spark, str(net), flat_json=True, output_dir=str(out), output_name="n", documents_too=True)
+    ports = documents.read_json(out / "n")["hosts"]["1"]["ports"]
+    assert ports["tcp/80"]["details"]["combined_info"] == "nginx 1.1" and ports["tcp/80"]["scripts"] == {"s": "2"}
+    flat = documents.read_json(out / "n_Flat.json")
+    assert [x["port"] for x in flat] == ["TCP/80", "TCP/22", "UDP/53"] and flat[0]["status"] == "open"
+    assert "PORT SCAN" in display.summaries(scan, False) and "Services:" in display.summaries(scan, False)
+    at = datetime(2024, 3, 9, 1, 2, 3)
+    assert documents.output_name("Parsed", "a/b.nessus", None, at) == "09-03-24_01-02-03_b_Parsed.json"
+    assert documents.output_name("Consolidated", "b.x", None, at).endswith("_b_Consolidated_Findings.json") and documents.output_name("Flat", "b.xml", "net", at).endswith("_b_Flat_Net.json")
+    assert documents.ensure_directory(tmp_path / "new.v1") == tmp_path and documents.ensure_directory(tmp_path / "d" / "e").is_dir()
+    assert documents.pretty({"a": "é"}) == '{\n  "a": "é"\n}' and not documents.write_json({"a": object()}, tmp_path / "bad.json")
+    (tmp_path / "broken.json").write_text("{")
+    with pytest.raises(ValueError):
+        documents.read_json(tmp_path / "broken.json")
+    with pytest.raises(FileNotFoundError):
+        documents.read_json(tmp_path / "none.json")
+    assert not documents.has_keys([], ["a"]) and not documents.has_keys({}, ["a"])
+
+
+def test_findings_are_checked(spark):
+    whole = spark.createDataFrame([("stock", "1", "<p>a</p>")], "type string, finding_id string, affected_entities string")
+    assert report.valid(whole) and not report.valid(whole.drop("type")) and not report.valid(whole.selectExpr("type", "finding_id", "1 as affected_entities"))
+    assert not report.valid(whole.selectExpr("null as type", "finding_id", "affected_entities")) and not report.valid(whole.selectExpr("type", "1.5 as finding_id", "affected_entities"))
+
+
+def test_command_line(vuln, tmp_path, capsys, caplog):
+    out = str(tmp_path / "cli")
+    assert cli.main(["-i", str(vuln), "-c", "-a", "-of", out, "--log-exclusions", "--documents", "--no-colour"]) == 0
+    said = capsys.readouterr().out
+    assert "VULNERABILITY REPORT" in said and "kind: vuln" in said and "www: 2 findings" in said and "Medium: 1" in said
+    assert any(p.name.endswith("_Parsed_Vuln.json") for p in (tmp_path / "cli").iterdir())
+    assert cli.main(["-i", str(vuln), "-a"]) == 1 and cli.main(["-i", str(vuln), "-el", "0"]) == 1 and cli.main(["-i", "no.xml", "--no-output"]) == 1
+    assert cli.main(["-i", str(vuln), "-t", "vuln", "-fj", "--no-output"]) == 0 and "--flat-json" in caplog.text
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+
+
+def test_registry(spark, tmp_path):
+    read = lambda spark, path, options: xml.Report("lines", spark.range(0), spark.read.text(path))
+    mine = adapters.Adapter("lines", "lines of text", (".lines",), ("lines",), read, lambda r: {"n": r.hosts.groupBy().count()}, lambda head: "<lines" in head)
+    adapters.register(mine)
+    try:
+        (tmp_path / "x.lines").write_text("<?xml version='1.0'?>\n<lines/>")
+        assert detect.detect(tmp_path / "x.lines") == "lines" and "lines" in reportmill.supported_kinds()
+        assert api.process(spark, str(tmp_path / "x.lines"))["stats"]["n"].first()["count"] == 2
+        with pytest.raises(ValueError):
+            adapters.register(adapters.Adapter("more", "", (".nessus",), (), read, mine.statistics, mine.sniff))
+    finally:
+        adapters.unregister("lines")
+    assert reportmill.version_info()["supported_formats"] == ["vuln", "net"]
+    with pytest.raises(ValueError):
+        adapters.adapter("lines")

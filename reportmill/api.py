@@ -68,7 +68,7 @@ def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str
     results: dict[str, object] = {"kind": kind, "report": r, "stats": adapter.statistics(r)}
     if kind == "vuln" and consolidate:
         rules = R.load(rules_file)
-        done = C.consolidate(r.items, r.hosts, rules)
+        done = C.consolidate(r.items, r.hosts, rules, keep)
         results["consolidated"] = done
         if done and api_format:
             results["findings"] = P.findings(done.entries, done.services, entity_limit)
@@ -85,8 +85,8 @@ def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str
 
 def release(results: dict[str, object]) -> None:
     """Let the parsed tables go that ``process`` keeps."""
-    r = results["report"]
-    for df in (r.hosts, r.items, r.ports):
+    r, done = results["report"], results.get("consolidated")
+    for df in (r.hosts, r.items, r.ports, done.evaluation if done else None):
         if df is not None:
             df.unpersist()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +138,8 @@ def with_outputs(services: DataFrame, outputs: DataFrame) -> DataFrame:
     return services.join(maps, _SERVICE, "left").withColumn("plugin_outputs", F.coalesce("plugin_outputs", F.create_map().cast("map<string,string>")))
 
 
-def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None) -> Consolidated | None:
-    """None where there are no valid, enabled rules; why is logged."""
+def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None, keep: bool = False) -> Consolidated | None:
+    """None where there are no valid, enabled rules; why is logged. keep: what all results read is kept on the executors."""
     wrong = ["there are no rules"] if rules is None else R.problems(rules)
     live = [] if wrong else R.enabled(rules)
     for x in wrong or ([] if live else ["no rule is enabled"]):
@@ -150,6 +151,8 @@ def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None) ->
     spark = items.sparkSession
     found, affected = stats.plugins(items), stats.plugin_hosts(items)
     evaluation = evaluate_rules(found, affected, live)
+    if keep:
+        evaluation.persist(StorageLevel.MEMORY_AND_DISK)
     matches = evaluation.filter("matched")
     frame = F.broadcast(R.rules_frame(spark, live))  # as many rows as the configuration has rules
     metadata = found.groupBy("file_id").agg(F.count("*").alias("original_plugins_count")).join(matches.groupBy("file_id").agg(F.count("*").alias("consolidated_count"), F.count_distinct("plugin_id").alias("distinct_consolidated")), "file_id", "left")

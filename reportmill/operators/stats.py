@@ -15,14 +15,12 @@ from reportmill.functions.scalars import SEVERITIES, in_order, port_key, severit
 
 
 def first_wins(rows: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
-    """The first row of each key in document order. Partial minima combine before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(ord_)).alias("first")).select(*keys, "first.*")
+    """The first row of each key in document order. Partial minima combine before the shuffle; each column has its own, so that those not asked for are never read."""
+    return rows.groupBy(*keys).agg(*[(F.min(ord_) if c == ord_ else F.min_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
 
 
 def last_wins(rows: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(ord_)).alias("last")).select(*keys, "last.*")
+    return rows.groupBy(*keys).agg(*[(F.max(ord_) if c == ord_ else F.max_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
 
 
 def plugins(items: DataFrame) -> DataFrame:

@@ -38,12 +38,11 @@ def _tags(path: str | Path, wanted: set[str]) -> set[str]:
 
 
 def is_vulnerability_report(path: str | Path) -> bool:
-    """By its root element, or else by a report and a policy anywhere in it; the whole file has to be well-formed."""
+    """By its root element, or else by a report and a policy anywhere in it, for which the whole file is read."""
     try:
-        parts = _tags(path, PARTS)
+        return root(path) == "NessusClientData_v2" or _tags(path, PARTS) == PARTS
     except (ET.ParseError, OSError):
         return False
-    return root(path) == "NessusClientData_v2" or parts == PARTS
 
 
 def check(path: str | Path, kind: str) -> None:

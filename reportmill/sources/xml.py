@@ -21,7 +21,8 @@ from reportmill.functions.scalars import in_order
 _CHILDREN = "risk_factor cvss_base_score cvss_temporal_score cvss_vector cvss3_base_score cvss3_temporal_score cvss3_vector description synopsis solution plugin_output".split()
 _ATTRIBUTES = "pluginID pluginName pluginFamily severity port protocol svc_name".split()
 _ITEM = ", ".join([f"_{a}: string" for a in _ATTRIBUTES] + [f"{c}: string" for c in _CHILDREN] + [f"{c}: array<string>" for c in ("see_also", "cve", "cwe", "xref")])
-VULN_HOST = f"HostProperties struct<tag: array<struct<_name: string, _VALUE: string>>>, ReportItem array<struct<{_ITEM}>>"
+PROPERTIES = "HostProperties struct<tag: array<struct<_name: string, _VALUE: string>>>"
+VULN_HOST = f"{PROPERTIES}, ReportItem array<struct<{_ITEM}>>"
 NET_HOST = (
     "status struct<_state: string>, address array<struct<_addr: string, _addrtype: string>>, hostnames struct<hostname: array<struct<_name: string>>>, "
     "ports struct<port: array<struct<_portid: string, _protocol: string, state: struct<_state: string>, "
@@ -51,14 +52,19 @@ def _pieces(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file_id"), place.alias("place"), F.split("value", rf"(?=<{tag}[\s/>])").alias("pieces"))
 
 
-def _elements(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
-    """One row for each element: its fields, file_id, place and host_ord, from 1 in document order. What is not whole is left out."""
+def _elements(pieces: DataFrame, tag: str, schema: str, only: str | None = None) -> DataFrame:
+    """One row for each element: its fields, file_id, place and host_ord, from 1 in document order. What is not whole is left out.
+
+    only: of the element's text no more than the first child of that name is parsed."""
     alone = rf"^<{tag}{_ATTRIBUTE}/>"
     found = pieces.select("file_id", "place", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("pos", "x"))
     number = found.select("file_id", F.struct("place.block", "place.id", "pos").alias("place"), F.when(F.col("x").rlike(alone), F.regexp_extract("x", alone, 0)).otherwise(F.concat("x", F.lit(f"</{tag}>"))).alias("x"))
     blocks = number.groupBy("file_id", "place.block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if only:
+        child = F.regexp_extract("x", rf"(?s)<{only}\s*/>|<{only}[\s>].*?</{only}>", 0)
+        number = number.withColumn("x", F.concat(F.lit(f"<{tag}>"), child, F.lit(f"</{tag}>")))
     # Hosts are parsed by the tasks that read them; only the columns that are asked for go on.
     options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = number.select("file_id", "place", F.col("place.block").alias("block"), F.from_xml("x", f"{schema}, _corrupt string", options).alias("e")).select("file_id", "place", "block", "e.*")
@@ -93,13 +99,13 @@ def _number(x: Column, strict: bool) -> Column:
 def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: bool = False) -> Report:
     """Vulnerability reports. strict: numbers that are none raise, else they are null."""
     pieces = _pieces(spark, path, "ReportHost")
-    hosts = _elements(pieces, "ReportHost", VULN_HOST)
+    hosts = _elements(pieces, "ReportHost", PROPERTIES, "HostProperties")
     start, end = S.report_time(_tag("HOST_START")), S.report_time(_tag("HOST_END"))
     table = hosts.select(
         "file_id", "host_ord", _tag("host-ip").alias("ip"), _tag("host-fqdn").alias("fqdn"), S.host_names(_tag("host-fqdns"), _tag("host-fqdn")).alias("fqdns"),
         _tag("operating-system").alias("os"), S.time_text(start).alias("scan_start"), S.time_text(end).alias("scan_end"),
         S.flag(_tag("Credentialed_Scan")).alias("credentialed"), F.col("HostProperties").isNotNull().alias("has_properties"))
-    exploded = hosts.filter(F.col("HostProperties").isNotNull()).select("file_id", "host_ord", F.posexplode("ReportItem").alias("pos", "i"))
+    exploded = _elements(pieces, "ReportHost", VULN_HOST).filter(F.col("HostProperties").isNotNull()).select("file_id", "host_ord", F.posexplode("ReportItem").alias("pos", "i"))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"i.{name}"), F.lit(""))

@@ -165,7 +165,7 @@ def test_hosts_of_large_files(spark, tmp_path):
         rows = r.items.join(r.hosts, ["file_id", "host_ord"]).select("file_id", "host_ord", "plugin_id", "ip").collect()
         assert xml._pieces(spark, str(tmp_path / "*.nessus"), "ReportHost").rdd.getNumPartitions() > 20 and r.hosts.count() == 600
         (tmp_path / "cut.nessus").write_text(text[: text.index('pluginID="200"')])
-        assert xml.read_vulnerabilities(spark, str(tmp_path / "cut.nessus")).hosts.count() == 200
+        assert xml.read_vulnerabilities(spark, str(tmp_path / "cut.nessus")).items.agg({"host_ord": "max"}).first()[0] == 199
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(rows) == 2 * sum(k % 7 != 3 for k in range(300)) and len({x.file_id for x in rows}) == 2

@@ -58,7 +58,7 @@ def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = warc.capture_histories(table(spark, sf_dir, "pages"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

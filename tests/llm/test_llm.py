@@ -1,5 +1,6 @@
 """The operators on small fixtures, against brute force, with nulls, ties, repeated rows and empty tables."""
 
+import gzip
 import hashlib
 import random
 from collections import Counter
@@ -262,3 +263,41 @@ def test_warc(spark):
     runs = [iter(sorted(random.Random(k).choices(range(50), k=k))) for k in range(7)]
     every = sorted(x for k in range(7) for x in random.Random(k).choices(range(50), k=k))
     assert list(warc.LoserTree(runs)) == every
+
+
+def test_warc_histories(spark, monkeypatch):
+    """Many archives of all classes of size in many ranges: a global order, whole payloads, null ids, repeated rows, hot payloads."""
+    for name, value in (("RECORDS_PER_FILE", 7), ("RANGE_ROWS", 40), ("CLASSES", (300, 2000)), ("ARCHIVE_BYTES", 3000)):
+        monkeypatch.setattr(warc, name, value)
+    monkeypatch.setattr("reportmill.llm.common.HOT_ROWS", 5)
+    rng = random.Random(4)
+    rows = [(k, f"http://h{rng.randrange(9)}.example/{rng.randrange(20)}", "é\r\n\r\n" * rng.choice([0, 1, 9, 90, 500]) + (str(k) if k % 3 else "")) for k in range(300)]
+    rows += [(None, "http://h1.example/0", "x"), (None, None, None), (5, rows[5][1], rows[5][2]), (700, "http://h1.example/%zz[", "big" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("d")).withColumn("id", F.lit(1)).withColumn("first", F.lit(2)).withColumn("value", F.lit("v")).repartition(9)
+    got = sorted(warc.capture_histories(pages).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(rows))) and len({r.file for r in got}) > 40
+    keys = [(r.url_key, r.ts, r.page_id is None, r.page_id or 0) for r in got]
+    assert keys == sorted(keys)
+    payload = {}
+    for k, _, html in rows:
+        payload.setdefault((html or "").encode(), []).append(k)
+    least = {html: min((k for k in ks if k is not None), default=None) for html, ks in payload.items()}
+    expected = sorted((str(k), len((h or "").encode()), warc.base32_digest((h or "").encode()), "revisit" if k is not None and least[(h or "").encode()] != k else "response", str(least[(h or "").encode()] if k is not None and least[(h or "").encode()] != k else None)) for k, _, h in rows)
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == expected
+    histories = {}
+    for r in sorted(warc.history_number(warc.capture_histories(pages)).collect(), key=lambda r: r.position):
+        histories.setdefault(r.url_key, []).append(r.capture)
+    assert all(h == list(range(1, len(h) + 1)) for h in histories.values()) and max(map(len, histories.values())) > 2
+    assert warc.capture_histories(pages.limit(0)).count() == 0
+
+
+def test_warc_min_bytes_and_damage(spark):
+    pages = spark.createDataFrame([(k, "http://a.example/", "ab" if k < 3 else "abcdef") for k in range(6)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.capture_histories(pages, min_bytes=4).collect()}
+    assert all(rows[k].record_type == "response" for k in (0, 1, 2, 3)) and rows[4].refers_to == rows[5].refers_to == 3
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 24\r\n\r\nA\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    whole = gzip.compress(record) + gzip.compress(record * 2)  # of several members
+    assert [(at, size) for _, _, at, size in warc.parse_records(whole)] == [(k * len(record), len(record)) for k in range(3)]
+    for broken in (gzip.compress(record[:-6]), gzip.compress(b"x" + record), gzip.compress(record + b"\r\n")):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(broken))

@@ -13,17 +13,19 @@ gives an empty result. A conversation is one output string, so its turns meet in
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-END = "</s>"
+#: Marks in a template: what is in angle or square brackets, opened brackets, and else what has no white space.
+_MARK = re.compile(r"<[^<>\s]*>|\[[^\[\]\s]*\]|\[[^\[\]\s]*|[^\s<\[]+|\S")
 
 
 @dataclass(frozen=True)
 class Template:
-    """roles: prefix, suffix and loss flag of each role; other: the same for unknown roles, around the name."""
+    """roles: prefix, suffix and loss flag of each role; other: prefix, end of the name and suffix of unknown roles; end: the end of each turn."""
 
     roles: dict[str, tuple[str, str, bool]] = field(default_factory=lambda: {
         "system": ("<s>[SYS] ", " [/SYS]", False), "user": ("<s>[INST] ", " [/INST]", False), "assistant": ("<s>[OUT] ", " [/OUT]", True)})
@@ -31,8 +33,23 @@ class Template:
     #: state: role: next state. The machine starts in ``start``.
     machine: dict[str, dict[str, str]] = field(default_factory=lambda: {
         "start": {"system": "system", "user": "user"}, "system": {"user": "user"}, "user": {"assistant": "assistant"}, "assistant": {"user": "user"}})
-    #: What must not occur in a text. Each becomes ``~`` and a letter; ``~`` itself becomes ``~a``.
-    controls: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", "[/OUT]", "[TURN", "[/TURN]", "]")
+    end: str = "</s>"
+    #: What must not occur in a text; by default all marks of the template, longer ones first. Each becomes ``~`` and a letter; ``~`` itself becomes ``~a``.
+    controls: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if not self.controls:
+            text = [x for prefix, suffix, _ in self.roles.values() for x in (prefix, suffix)] + [self.end, *self.other]
+            found = dict.fromkeys(m for x in text for m in _MARK.findall(x) if not m.isalnum())
+            object.__setattr__(self, "controls", tuple(sorted(found, key=lambda m: -len(m))))
+        if "~" in "".join(self.controls) or len(self.controls) > LETTERS:
+            raise ValueError(f"marks are free of ~ and {LETTERS} at most")
+        if self.other[1].rstrip() not in self.controls:
+            raise ValueError("a mark has to end the names of unknown roles")
+
+
+#: Letters that stand for controls.
+LETTERS = 0x7E - ord("b")
 
 
 def _letter(k: int) -> str:
@@ -66,7 +83,7 @@ def format_chat(turns: DataFrame, template: Template | None = None, conv_col: st
         return out
 
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("conv", "turn", "role", "text", of(0, named).alias("prefix"), text.alias("escaped"), F.concat(of(1, F.lit(t.other[2])), F.lit(END)).alias("suffix"), of(2, F.lit(False)).alias("loss"))
+    rows = rows.select("conv", "turn", "role", "text", of(0, named).alias("prefix"), text.alias("escaped"), F.concat(of(1, F.lit(t.other[2])), F.lit(t.end)).alias("suffix"), of(2, F.lit(False)).alias("loss"))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = rows.withColumns({"ord": F.row_number().over(order), "chars": F.char_length("prefix") + F.char_length("escaped") + F.char_length("suffix")})
     rows = rows.withColumn("end", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -89,7 +106,7 @@ def read_chat(formatted: DataFrame, template: Template | None = None) -> DataFra
 
     def parse(turn: Column) -> Column:
         rest = F.substring(turn, F.lit(len(t.other[0]) + 1), F.char_length(turn))
-        at = F.instr(rest, t.other[1].strip())
+        at = F.instr(rest, t.other[1].rstrip())
         role = F.when(at > 1, unescape(F.substring(rest, F.lit(2), at - 2), t))
         body = F.substring(rest, at + len(t.other[1]), F.char_length(rest))
         out = F.struct(role.alias("role"), unescape(F.substring(body, F.lit(1), F.char_length(body) - len(t.other[2])), t).alias("text"))
@@ -98,7 +115,7 @@ def read_chat(formatted: DataFrame, template: Template | None = None) -> DataFra
             out = F.when(turn.startswith(prefix), F.struct(F.lit(name).alias("role"), unescape(inner, t).alias("text"))).otherwise(out)
         return out
 
-    turns = F.filter(F.split("formatted", END.replace("/", "\\/")), lambda x: x != "")
+    turns = F.filter(F.split("formatted", re.escape(t.end)), lambda x: x != "")
     loss = F.transform("loss_spans", lambda x: unescape(F.substring(F.col("formatted"), x["start"], x["chars"]), t))
     return formatted.withColumns({"turns": F.transform(turns, parse), "loss_texts": loss})
 

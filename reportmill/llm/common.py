@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,28 +26,56 @@ def words(text: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder beside the warehouse, which a cluster
+    shares as well, or on one machine a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
-        root = tempfile.mkdtemp(prefix="reportmill-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.reportmill"
+        root = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="reportmill-")
+        _LOCAL[context.applicationId] = root
     return root
 
 
+_LOCAL: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _store(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/reportmill/{tag}-{uuid.uuid4().hex}"
+    """A new place in the shared folder. What is left there goes when the application ends."""
+    own = f"{scratch_root(spark).rstrip('/')}/reportmill/{spark.sparkContext.applicationId}"
+    store, at = _store(spark, own)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until the cluster's checkpoint folder is cleaned, since the returned frame is lazy."""
+    The files stay until the application ends, since the returned frame is lazy, or until ``discard``."""
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialised frames that nothing reads any more."""
+    for df in frames:
+        if path := _PATHS.pop(df, None):
+            store, at = _store(df.sparkSession, path)
+            store.delete(at, True)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -54,7 +83,9 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers take at most so many rows at once. Texts can be long, and the default of 10,000 holds many MB."""
+    """Let Python workers take at most so many rows at once. Texts can be long, and the default of 10,000 holds many MB.
+
+    This stays set in the session: frames are lazy, and the setting counts when they run. A smaller one is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -15,8 +15,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = sentencepiece.MODEL) -> DataFrame:
-    vocabulary = sentencepiece.vocabulary(model)
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    vocabulary = sentencepiece.vocabulary(model or sentencepiece.model_path(spark))
     to_ids, to_text = sentencepiece.coders(vocabulary, spark)
     coded = table(spark, sf_dir, "documents").select("doc_id", "text", to_ids("text").alias("ids"))
     coded = coded.select("doc_id", "text", "ids", to_text("ids").alias("decoded"))

@@ -281,6 +281,11 @@ def byte_pieces(ids: Column, vocabulary: Vocabulary) -> Column:
     return F.size(F.filter(ids, lambda x: x.between(low, high)))
 
 
+def model_path(spark) -> str:
+    """The model that the session names in ``spark.reportmill.sentencepiece.model``, else the public one of this installation."""
+    return spark.conf.get("spark.reportmill.sentencepiece.model", MODEL)
+
+
 def vocabulary(path: str = MODEL) -> Vocabulary:
     """The model of a path, loaded once."""
     return _held(path)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import join_hot, materialize, n_partitions
+from reportmill.llm.common import discard, join_hot, materialize, n_partitions
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Points of a leaf, which are compared with each other; points of a shard, about; points of a part of a shard that could not be split; rows of a task of the search, about.
@@ -320,7 +320,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b"), "simhash-edges")
     seen = None
     while (now := state(edges)) != seen:
-        seen, edges = now, materialize(step(edges, now[0]), "simhash-edges")
+        seen, old = now, edges
+        edges = materialize(step(old, now[0]), "simhash-edges")
+        discard(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

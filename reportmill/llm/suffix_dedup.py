@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import join_hot, materialize, n_partitions, small_batches
+from reportmill.llm.common import discard, join_hot, materialize, n_partitions, small_batches
 
 LENGTH, GRAM, BLOCK = 400, 64, 1 << 18
 #: Words of a passage, so over 50, and of its grams.
@@ -343,7 +343,9 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     #: Whether there is anything to repeat: another segment, or in passages one of another document.
     several = F.when(F.first(words), F.min(document) != F.max(document)).otherwise(F.count("*") > 1).alias("several")
     grams = segments.groupBy("gram").agg(F.count("*").alias("n"), (F.min("digest") == F.max("digest")).alias("alike"), several).filter("several").drop("several")
-    marked = materialize(join_hot(segments, materialize(grams, "suffix-grams"), ["gram"], segments.count()).drop("n"), "suffix-marked")
+    grams = materialize(grams, "suffix-grams")
+    marked = materialize(join_hot(segments, grams, ["gram"], segments.count()).drop("n"), "suffix-marked")
+    discard(segments, grams)
     whole = marked.filter("alike").drop("alike")
     open_ = marked.filter("not alike").drop("alike")
     kinds = materialize(open_.groupBy(*key).agg(F.count("*").alias("n"), several, F.min_by(F.struct("id", "text_hash", "start", "windows", "lead"), F.struct("id", "text_hash", "start")).alias("at")), "suffix-kinds")
@@ -360,6 +362,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     unit, gram = F.when(words, WORDS.unit).otherwise(BYTES.unit), F.when(words, WORDS.gram).otherwise(BYTES.gram)
     ranged = representatives.repartitionByRange(n, words, F.substring("segment", F.col("lead") * unit + 1, gram * unit), F.when(F.col("split"), F.col("digest")).otherwise(F.lit(0)))
     results = materialize(ranged.mapInPandas(_bucket, FOUND), "suffix-found")
+    discard(representatives)
     edges = results.filter((F.col("high") != 0) | (F.col("low") != 0))
     shared = edges.groupBy("high", "low").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least <> most").select("high", "low")
     across = edges.join(shared, ["high", "low"]).select(*key, "first", "last")
@@ -367,6 +370,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     # What is repeated of each kind of segment: all windows, or runs of them (no more than a segment has windows).
     runs = runs.groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     judged = materialize(kinds.select(*key, "n", "several").join(runs, key, "left").filter("several or runs is not null"), "suffix-judged")
+    discard(kinds, results)
     everything = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
     partly = join_hot(open_, judged, key, n_open).withColumn("runs", F.when(F.col("several"), everything).otherwise(F.col("runs")))
     hits = whole.withColumn("runs", everything).select("id", "text_hash", "gram", "start", "runs").unionByName(partly.select("id", "text_hash", "gram", "start", "runs"))

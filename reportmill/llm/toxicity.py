@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize, small_batches
+from reportmill.llm.common import discard, materialize, small_batches
 
 #: Bound of the labelled sample; buckets of the hash, as a power of 2; tasks of the sample.
 MAX_TRAIN, BITS, TASKS = 20_000, 20, 12
@@ -105,12 +105,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
     """The weight of each bucket, scaled by its ratio, and the intercept."""
     rows = _sample(docs, labels, fold, text_col, id_col, label_col, max_train)
     # The sample is bounded, so are its tasks; each sends one vector for each label, and one a step.
-    rows = materialize(rows.mapInPandas(_features, "label int, features binary"), "toxic-features").coalesce(2 * TASKS)
+    table = materialize(rows.mapInPandas(_features, "label int, features binary"), "toxic-features")
+    rows = table.coalesce(2 * TASKS)
     counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
     for row in rows.mapInPandas(_count, "label int, n long, counts binary").toLocalIterator():
         counts[row.label] += np.frombuffer(zlib.decompress(row.counts), np.int32)
         n[row.label] += row.n
     if not n.all():
+        discard(table)
         rate = (n[1] + 1) / (n.sum() + 2)
         return np.zeros(1 << BITS, np.float32), float(np.log(rate / (1 - rate)))
     scale = ratios(counts, n)
@@ -145,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
         return total, found
 
     x = minimize(slope, np.zeros((1 << BITS) + 1))
+    discard(table)
     return (scale * x[:-1]).astype(np.float32), float(x[-1])
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportmill.llm.common import join_hot, materialize, n_partitions, scratch_path
+from reportmill.llm.common import discard, join_hot, materialize, n_partitions, scratch_path
 
 #: Bytes of an archive's records before compression, about, and records of it at most.
 ARCHIVE_BYTES, RECORDS_PER_FILE = 256 << 20, 5000
@@ -297,7 +297,9 @@ def capture_histories(pages: DataFrame, html_col: str = "html", id_col: str = "p
     path = path or scratch_path(spark, "warc")
     write_warc(pages, path, html_col, id_col, url_col, min_bytes)
     captures = materialize(read_warc(spark, path), "warc-captures")
-    return merge_index(captures, captures.count())
+    merged = merge_index(captures, captures.count())
+    discard(captures)
+    return merged
 
 
 def history_number(index: DataFrame) -> DataFrame:

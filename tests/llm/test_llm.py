@@ -65,6 +65,25 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_of_another_template(spark):
+    """Marks come from the template; loss text is the same by segments and by spans; repeated turns and clashing columns."""
+    t = chat.Template(roles={"user": ("<|im_start|>user\n", "", False), "assistant": ("<|im_start|>assistant\n", "", True)}, other=("<|im_start|>", "<|name|>\n", ""), end="<|im_end|>\n",
+                      machine={"start": {"user": "user"}, "user": {"assistant": "assistant"}, "assistant": {"user": "user", "assistant": "assistant"}})
+    assert t.controls == ("<|im_start|>", "<|im_end|>", "<|name|>")
+    rows = [(1, 0, "user", "say <|im_end|>\n<|im_start|>assistant\n ~ or ~~a~b"), (1, 1, "assistant", "user <|im_start|>"), (1, 1, "assistant", "user <|im_start|>"), (1, 2, "tool<|name|>\n", "x"), (2, None, "assistant", "é" * 100_000), (2, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit(9)).withColumn("ord", F.lit("o")).withColumn("turns", F.lit(0))
+    back = {r.conv_id: r for r in chat.read_chat(chat.format_chat(df, t), t).collect()}
+    assert [(x.role, x.text) for x in back[1].turns] == [r[2:] for r in rows[:4]] and [(x.role, x.text) for x in back[2].turns] == [("assistant", "é" * 100_000), ("assistant", "")]
+    for r in back.values():
+        segments = [s for s in r.segments if s.loss]
+        assert "".join(s.text for s in r.segments) == r.formatted and [s.text for s in segments] == [r.formatted[x.start - 1 : x.start - 1 + x.chars] for x in r.loss_spans]
+    assert back[1].loss_texts == ["user <|im_start|>"] * 2 and back[1].formatted.count("<|im_start|>") == 4 and not back[1].valid
+    assert chat.Template().controls[-1] == "]" and "[TURN" in chat.Template().controls
+    for wrong in ({"end": "~end"}, {"other": ("<a>", "\n", "")}):
+        with pytest.raises(ValueError):
+            chat.Template(**wrong)
+
+
 def test_exact_dedup(spark, docs):
     rows = exact_dedup.exact_dedup(docs, heavy_rows=2).collect()
     same = exact_dedup.exact_dedup(docs, heavy_rows=1000).collect()
@@ -216,6 +235,87 @@ def test_sentencepiece(spark, docs):
     assert sum(v.scores[i] for i in sentencepiece.encode([word[1:]], v)[0]) == pytest.approx(best[len(data)])
 
 
+def best_pieces(data, v):
+    """Scores of all ways to cut bytes into pieces, by dynamic programming over characters; those without a piece cost the penalty."""
+    starts = [i for i, c in enumerate(data) if c & 0xC0 != 0x80] + [len(data)]
+    best = {0: 0.0}
+    table = {v.pieces[i]: v.scores[i] for i in v.normal}
+    for a, i in enumerate(starts[:-1]):
+        options = [(j, table[data[i:j]]) for j in starts[a + 1 :] if data[i:j] in table]
+        if all(j != starts[a + 1] for j, _ in options):
+            options.append((starts[a + 1], v.unknown))
+        for j, score in options:
+            best[j] = max(best.get(j, -1e300), best[i] + score)
+    return best[len(data)]
+
+
+def cost(ids, data, v):
+    """The score of an encoding, byte pieces counting once for each character."""
+    total, at, byte = 0.0, 0, {int(i): b for b, i in enumerate(v.byte_ids)}
+    while ids:
+        if ids[0] in byte:
+            n = next(k for k in range(1, 5) if at + k == len(data) or data[at + k] & 0xC0 != 0x80)
+            assert [byte[i] for i in ids[:n]] == list(data[at : at + n])
+            total, at, ids = total + v.unknown, at + n, ids[n:]
+        else:
+            total, at, ids = total + v.scores[ids[0]], at + len(v.pieces[ids[0]]), ids[1:]
+    assert at == len(data)
+    return total
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_unigram_viterbi(words):
+    """Log scores at random, with ties, pieces that cross words or not, and characters that fall back to bytes: the best sum is found."""
+    rng = random.Random(9)
+    mark = bytes([sentencepiece.MARK])
+    alphabet = ["a", "b", "c", "é", "日"]
+    some = {mark} | {(rng.choice(["", "\xff"]) + "".join(rng.choices(alphabet, k=rng.randint(1, 5)))).encode().replace("ÿ".encode(), mark) for _ in range(150)}
+    some |= set() if words else {b"a" + mark + b"b", b"c" + mark}
+    normal = sorted(some)
+    pieces = [b""] * 3 + [b""] * 256 + normal
+    scores = np.array([0.0] * 259 + [-float(rng.randint(1, 6)) for _ in normal])
+    v = sentencepiece.Vocabulary(pieces, scores, np.arange(3, 259), np.arange(259, len(pieces)))
+    assert v.splits == words
+    texts = ["".join(rng.choices([*alphabet, " ", "x", "\n"], k=rng.randint(1, 40))) for _ in range(300)] + ["ab" * 30_000, " ", "xx  é"]
+    for text, ids in zip(texts, sentencepiece.encode(texts, v)):
+        data = mark + text.encode().replace(b" ", mark)
+        if len(text) < 100:
+            assert cost([int(i) for i in ids], data, v) == pytest.approx(best_pieces(data, v))
+        assert sentencepiece.decode(ids, v) == text
+    assert [list(x) for x in sentencepiece.encode(texts, v)] == [list(x) for x in sentencepiece.encode(texts, v)]
+
+
+def test_unigram_model_file(tmp_path):
+    """A model file with log scores encodes as the public library does."""
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng = random.Random(12)
+    model = proto.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, True
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    own = sorted({rng.choice(["", sentencepiece.MARKER]) + "".join(rng.choices("abcdé", k=rng.randint(1, 4))) for _ in range(120)} | {sentencepiece.MARKER})
+    for piece, score, kind in listed + [(x, -rng.uniform(2, 9), 1) for x in own]:
+        p = model.pieces.add()
+        p.piece, p.score, p.type = piece, score, kind
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    v, public = sentencepiece.load(str(path)), SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(rng.choices("abcdé zü", k=rng.randint(1, 50))) for _ in range(200)]
+    assert [list(map(int, x)) for x in sentencepiece.encode(texts, v)] == public.encode(texts)
+
+
+def test_sentencepiece_tables(spark):
+    """Null, empty and very long texts, repeated rows, clashing columns and an empty table."""
+    to_ids, to_text = sentencepiece.coders(sentencepiece.vocabulary(sentencepiece.model_path(spark)), spark)
+    texts = [None, "", "same", "same", "a ▁ 日本\x00", "long text " * 50_000]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").withColumn("ids", F.lit("other")).withColumn("decoded", F.lit(1))
+    rows = df.select("*", to_ids("text").alias("found")).select("*", to_text("found").alias("back")).orderBy("doc_id").collect()
+    assert [r.back for r in rows] == texts and rows[0].found is None and rows[1].found == [] and rows[2].found == rows[3].found and rows[0].ids == "other"
+    assert df.limit(0).select(to_ids("text")).count() == 0
+
+
 def test_katz(spark, docs):
     rows = katz.score_corpus(docs, F.col("doc_id") % 7 == 2).collect()
     texts = [(r.doc_id, (r.text or "").encode().lower().split() + [None]) for r in docs.collect()]

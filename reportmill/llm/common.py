@@ -59,12 +59,12 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until the application ends, since the returned frame is lazy, or until ``discard``."""
+    The files stay until the application ends, since the returned frame is lazy, or until ``discard``. by: columns that the files are parted by."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -316,34 +316,77 @@ def test_sentencepiece_tables(spark):
     assert df.limit(0).select(to_ids("text")).count() == 0
 
 
-def test_katz(spark, docs):
-    rows = katz.score_corpus(docs, F.col("doc_id") % 7 == 2).collect()
+def katz_scores(texts, train, order):
+    """log10 probabilities of texts (tuples of words) by Katz' definition, written out recursively; and P itself."""
+    grams = [Counter() for _ in range(order + 1)]
+    for words in train:
+        for k in range(1, order + 1):
+            padded = ["<s>"] * (k - 1) + words
+            grams[k].update(tuple(padded[i : i + k]) for i in range(len(words)))
+    n = sum(grams[1].values())
+    d = [None] + [katz.discounts([sum(c == r for c in g.values()) for r in range(katz.K + 2)]) for g in grams[1:]]
+    disc = lambda k, c: (d[k][c] if c <= katz.K else 1) * c
+    seen = sum(disc(1, c) for c in grams[1].values())
+    after = [{} for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            after[k].setdefault(g[:-1], []).append((g[-1], c))
+
+    def whole(k, context):
+        total, used = sum(c for _, c in after[k][context]), sum(disc(k, c) for _, c in after[k][context])
+        return total + (used >= total - 1e-9), used
+
+    def p(context, w):
+        if not context:
+            return disc(1, grams[1][w,]) / (n + (seen >= n)) if grams[1][w,] else 1 - seen / (n + (seen >= n))
+        k = len(context) + 1
+        if context not in after[k]:
+            return p(context[1:], w)
+        total, used = whole(k, context)
+        if c := grams[k][(*context, w)]:
+            return disc(k, c) / total
+        return (1 - used / total) / (1 - sum(p(context[1:], x) for x, _ in after[k][context])) * p(context[1:], w)
+
+    from functools import lru_cache
+
+    p = lru_cache(None)(p)
+    scores = []
+    for words in texts:
+        padded = ["<s>"] * (order - 1) + words
+        scores.append(sum(np.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(words)))
+    return scores, p, grams
+
+
+@pytest.mark.parametrize("order,split", [(1, False), (2, False), (3, False), (3, True), (4, True)])
+def test_katz(spark, docs, monkeypatch, tmp_path, order, split):
+    """Scores by definition, also where contexts are split over buckets, and again from the stored tables."""
+    if split:
+        monkeypatch.setattr(katz, "BUCKET", 40)
+        monkeypatch.setattr(katz, "HOT_SHARE", 1e-3)
+    rows = katz.score_corpus(docs, F.col("doc_id") % 7 == 2, order=order, store=str(tmp_path / "model")).collect()
     texts = [(r.doc_id, (r.text or "").encode().lower().split() + [None]) for r in docs.collect()]
     train = [w for k, w in texts if k is None or k % 7 != 2]
-    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["<s>", *w], w))
-    n, discount = sum(one.values()), [katz.discounts([sum(c == r for c in x.values()) for r in range(katz.K + 2)]) for x in (one, two)]
-    d1, d2 = ({c: (d[c] if c <= katz.K else 1) for c in set(x.values())} for d, x in zip(discount, (one, two)))
-    seen = sum(d1[c] * c for c in one.values())
-
-    def p1(w):
-        return d1[one[w]] * one[w] / (n + (seen >= n)) if one[w] else 1 - seen / (n + (seen >= n))
-
-    after, used, mass = Counter(), Counter(), Counter()
-    for (v, w), c in two.items():
-        after[v] += c
-        used[v] += d2[c] * c
-        mass[v] += p1(w)
-
-    def p2(v, w):
-        if not after[v]:
-            return p1(w)
-        whole = after[v] + (used[v] >= after[v] - 1e-9)
-        return d2[two[v, w]] * two[v, w] / whole if two[v, w] else (1 - used[v] / whole) / (1 - mass[v]) * p1(w)
-
-    assert all(abs(sum(p2(v, w) for w in one) + p2(v, "unseen") - 1) < 1e-9 for v in list(after)[:20])
-    expected = sorted((str(k), len(w), round(sum(np.log10(p2(v, x)) for v, x in zip(["<s>", *w], w)), 6)) for k, w in texts)
+    scores, p, grams = katz_scores([w for _, w in texts], train, order)
+    contexts = [()] + [g[:-1] for g in list(grams[order])[:20] if order > 1]
+    assert all(abs(sum(p(c, w) for (w,) in grams[1]) + p(c, "unseen") - 1) < 1e-9 for c in contexts)
+    expected = sorted((str(k), len(w), round(s, 6)) for (k, w), s in zip(texts, scores))
     assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in rows) == expected
+    again = katz.score_stored(docs, str(tmp_path / "model")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), r.n_known, round(r.base_score, 6), r.train_tokens) for r in again) == sorted((str(r.doc_id), r.n_tokens, round(r.score, 6), r.n_known, round(r.base_score, 6), r.train_tokens) for r in rows)
+    levels = {r.level for r in spark.read.parquet(str(tmp_path / "model" / "tables")).select("level").distinct().collect()}
+    assert levels == set(range(1, order + 1))
+    if split:
+        known = spark.read.schema(katz.KNOWN).parquet(str(tmp_path / "model" / "known")).first()
+        assert all(known.split) and known.buckets > 10
+
+
+def test_katz_corners(spark, docs, monkeypatch):
     assert katz.score_corpus(docs.limit(0), F.lit(False)).count() == 0
+    rows = katz.score_corpus(docs.withColumn("chunk", F.lit(1)), F.lit(True), order=3).collect()  # nothing to learn from
+    assert len(rows) == docs.count() and all(r.score == r.n_known == r.train_tokens == 0 for r in rows)
+    long_ = spark.createDataFrame([(1, "a b " * 300_000), (2, None), (None, "b a"), (None, "b a")], "doc_id long, text string")
+    rows = katz.score_corpus(long_, F.lit(False), order=3).collect()
+    assert sorted((r.n_tokens, r.doc_id or 0) for r in rows) == [(1, 2), (3, 0), (3, 0), (600_001, 1)]
 
 
 def test_toxicity(spark):

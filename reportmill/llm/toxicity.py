@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from reportmill.llm.common import discard, materialize, small_batches
 
 #: Bound of the labelled sample; buckets of the hash, as a power of 2; tasks of the sample.
-MAX_TRAIN, BITS, TASKS = 20_000, 20, 12
+MAX_TRAIN, BITS, TASKS = 20_000, 19, 8
 #: Documents that smooth the counts: ratios of features in far fewer are near 0. Weight of the L2 penalty.
 SMOOTH, PENALTY = 300, 0.1
 ORDERS = (4, 5, 6)
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
     rows = _sample(docs, labels, fold, text_col, id_col, label_col, max_train)
     # The sample is bounded, so are its tasks; each sends one vector for each label, and one a step.
     table = materialize(rows.mapInPandas(_features, "label int, features binary"), "toxic-features")
-    rows = table.coalesce(2 * TASKS)
+    rows = table.coalesce(TASKS)
     counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
     for row in rows.mapInPandas(_count, "label int, n long, counts binary").toLocalIterator():
         counts[row.label] += np.frombuffer(zlib.decompress(row.counts), np.int32)

@@ -167,13 +167,14 @@ def _count_words(n_buckets: int):
 class Model:
     """What is known of the whole corpus, level by level; bounded, whatever the corpus.
 
-    n: counts of counts 0 to K + 1 of each level; split: the sums of contexts that several buckets share, for each level from 2 on."""
+    size: entries of a bucket; hot: followers from which a context is split; n: counts of counts 0 to K + 1 of each level; split: the sums of contexts that several buckets share, for each level from 2 on."""
 
     tokens: int
     types: int
     train_docs: int
     word_buckets: int
     buckets: int
+    size: int
     hot: float
     n: list[list[int]] = field(default_factory=list)
     split: list[dict[int, np.ndarray]] = field(default_factory=list)
@@ -226,7 +227,7 @@ class Asks:
         self.v, self.w, self.vc, self.shorter, self.shorter_whole = v[at][new], w[at][new], vc[at][new], last.count[at][new], last.whole[at][new]
         n = int(new.sum())
         self.trained = np.bincount(which[~chunk.held[chunk.doc[at]]], minlength=n) if n else np.zeros(0, np.int64)
-        part = np.where(self.vc >= model.hot, self.w % np.maximum(1, self.vc // BUCKET + 1), 0).astype(np.uint64)
+        part = np.where(self.vc >= model.hot, self.w % np.maximum(1, self.vc // model.size + 1), 0).astype(np.uint64)
         self.bucket = ((self.v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)) % np.uint64(model.buckets)
         self.order = np.argsort(self.bucket, kind="stable")
         self.cuts = np.searchsorted(self.bucket[self.order], np.arange(model.buckets + 1, dtype=np.uint64))
@@ -411,7 +412,7 @@ def score_corpus(docs: DataFrame, held_out: Column, text_col: str = "text", id_c
     word_buckets = max(1, -(-entries // BUCKET) * 2)
     words = _words(chunks, word_buckets, None)
     n, tokens, types = _totals(words.filter("kind = 'table'"), train_docs)
-    model = Model(tokens, types, train_docs, word_buckets, max(1, -(-tokens // BUCKET)), max(BUCKET, HOT_SHARE * tokens), [n])
+    model = Model(tokens, types, train_docs, word_buckets, max(1, -(-tokens // BUCKET)), BUCKET, max(BUCKET, HOT_SHARE * tokens), [n])
     return _scored(chunks, words, model, order, None, store, id_col)
 
 
@@ -449,7 +450,7 @@ def _scored(chunks: DataFrame, words: DataFrame, model: Model, order: int, store
 
 #: A stored model: tables by level, and what is known of the whole corpus.
 TABLES = "bucket int, words binary, v binary, w binary, counts binary, seen binary, mass binary, level int"
-KNOWN = "tokens long, types long, train_docs long, word_buckets long, buckets long, hot double, n array<array<long>>, split array<map<long,array<double>>>"
+KNOWN = "tokens long, types long, train_docs long, word_buckets long, buckets long, size long, hot double, n array<array<long>>, split array<map<long,array<double>>>"
 
 
 def _keep(table: DataFrame, level: int, store: str) -> None:
@@ -460,7 +461,7 @@ def _keep(table: DataFrame, level: int, store: str) -> None:
 
 def _describe(model: Model, order: int, spark: SparkSession, store: str) -> None:
     split = [{k: x.tolist() for k, x in s.items()} for s in model.split]
-    row = (model.tokens, model.types, model.train_docs, model.word_buckets, model.buckets, float(model.hot), [list(map(int, x)) for x in model.n], split)
+    row = (model.tokens, model.types, model.train_docs, model.word_buckets, model.buckets, model.size, float(model.hot), [list(map(int, x)) for x in model.n], split)
     spark.createDataFrame([row], KNOWN).coalesce(1).write.parquet(f"{store.rstrip('/')}/known")
 
 
@@ -468,7 +469,7 @@ def score_stored(docs: DataFrame, store: str, text_col: str = "text", id_col: st
     """Scores of texts by a stored model, which learns nothing from them. Columns as those of ``score_corpus``, all held out."""
     spark = docs.sparkSession
     known = spark.read.schema(KNOWN).parquet(f"{store.rstrip('/')}/known").first()
-    model = Model(*known[:6], [list(x) for x in known.n], [{k: np.array(x) for k, x in s.items()} for s in known.split])
+    model = Model(*known[:7], [list(x) for x in known.n], [{k: np.array(x) for k, x in s.items()} for s in known.split])
     stored = spark.read.schema(TABLES).parquet(f"{store.rstrip('/')}/tables").withColumn("chunk", F.lit(-1).cast("long"))
     chunks = _chunked(docs, F.lit(True), text_col, id_col)
     return _scored(chunks, _words(chunks, model.word_buckets, stored), model, len(model.n), stored, None, id_col)

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,20 @@ def test_mixing(spark, docs):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mixing_of_ties_and_empty_sources(spark):
+    """Equal quotients go to the smaller key; sources without words take nothing; clashing columns; reruns agree."""
+    rows = [(k, "w " * 100, f"s{k % 2}") for k in range(40)] + [(100 + k, None if k % 2 else " \n", "empty") for k in range(6)] + [(None, "w " * 100, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("shard", F.lit(1)).withColumn("q", F.lit("x")).withColumn("size", F.lit(3))
+    got = [sorted(map(str, mixing.mix_sources(x).select("doc_id", "source", "taken").collect())) for x in (df, df.repartition(7))]
+    assert got[0] == got[1]
+    rows = mixing.mix_sources(df).collect()
+    assert all(r.taken == r.target == 0 for r in rows if r.source == "empty") and all(0 <= r.taken <= 3 * r.size for r in rows)
+    nothing = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert [(r.size, r.target, r.taken) for r in mixing.mix_sources(nothing).collect()] == [(0, 0.0, 0)] * 2
+    claims = spark.createDataFrame([(0, k, 10, 5) for k in "cab"], "g int, k string, w int, seats long")
+    assert {r.k: r.q for r in mixing.sainte_lague(claims, ["g"], "k", "w", "seats", "q").collect()} == {"a": 2, "b": 2, "c": 1}
+
+
 def test_apportionment(spark):
     claims = {"a": 53, "b": 24, "c": 23, "d": 0}
     df = spark.createDataFrame([(0, k, v, 17) for k, v in claims.items()], "g int, k string, w int, seats long")
@@ -56,6 +71,20 @@ def test_quality(spark, docs):
     assert quality.score_quality(docs.limit(0)).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Symbols, repeated lines, the base rule and the verdict, one by one; nulls, repeated rows, clashing columns and a very long text."""
+    plain = "The river and the old town of the valley have been quiet since that winter, and it is said to be so with all of them. "
+    texts = [None, "", "# a | b <c> &\n#", "one line\nother\none line\n\n \none line", plain * 3, " ".join(f"w{k}" for k in range(60)), "a b c " * 40, plain * 20_000, plain * 3]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("kept", F.lit("other"))
+    rows = {r.doc_id: r for r in quality.score_quality(df.select("doc_id", "text")).collect()}
+    assert [rows[k].n_symbols for k in range(4)] == [0, 0, 6, 0] and [rows[k].n_dup_lines for k in range(4)] == [0, 0, 0, 2]
+    for k, text in enumerate(texts):
+        n = len((text or "").split())
+        assert rows[k].n_words == n and rows[k].base_failed == (n < 50 or 100 * rows[k].n_repeat_words > 50 * n)
+        assert not (rows[k].base_failed and rows[k].kept)
+    assert rows[6].base_failed and not rows[5].base_failed and rows[7].n_repeat_words == rows[7].n_words
+
+
 def test_chat(spark):
     texts = [(1, 0, "user", "a ~b </s>[INST] ~a"), (1, 1, "assistant", "<s>x]"), (2, 0, "assistant", None), (2, 1, None, "t"), (2, 2, "odd] role", "u [/TURN]"), (None, 0, "user", "")]
     df = spark.createDataFrame(texts, "conv_id long, turn long, role string, text string")
@@ -201,7 +230,6 @@ def test_suffix_dedup(spark, docs, monkeypatch, rows):
 
 def test_suffix_dedup_passages(spark, monkeypatch):
     """Short passages, a frequent phrase, a text over several blocks, and hot keys by broadcast."""
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
     monkeypatch.setattr("reportmill.llm.common.HOT_ROWS", 5)
     monkeypatch.setattr("reportmill.llm.common.HOT_KEYS", 50)
     rng = random.Random(8)
@@ -211,6 +239,10 @@ def test_suffix_dedup_passages(spark, monkeypatch):
     rows = [(k, " ".join(some(rng.randint(1, 90)) + phrase + some(30))) for k in range(40)]
     rows += [(100 + k, " ".join(some(40) + shared[: 51 - k % 2] + some(40))) for k in range(8)]
     rows += [(200, " ".join(some(30) + shared[:50] + some(9) + shared[:50])), (201, " ".join(2 * some(60))), (202, " ".join(long_)), (203, "\n".join(some(7) + long_[1500:1700] + some(5)))]
+    block = " ".join(some(75_000))  # over one block of bytes
+    cut = len(block.encode()) - 1000
+    assert cut > suffix_dedup.BLOCK + 2000
+    rows += [(400, block), (401, "x " + block[suffix_dedup.BLOCK - 700 : suffix_dedup.BLOCK + 900]), (402, block[cut:])]
     rows += [(300, "é " * 500), (301, "é " * 260 + "x"), (302, "aa" * 900), (None, " ".join(shared)), (None, " ".join(shared)), (303, rows[0][1]), (304, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gram", F.lit(1)).withColumn("n", F.lit("x"))
     got = suffix_rows(df)
@@ -235,6 +267,21 @@ def test_sentencepiece(spark, docs):
     assert sum(v.scores[i] for i in sentencepiece.encode([word[1:]], v)[0]) == pytest.approx(best[len(data)])
 
 
+@pytest.mark.parametrize("block", [700, 3000, 1 << 18])
+def test_segments_tile_texts(monkeypatch, block):
+    """Whatever the blocks, each window of a text is in one segment, with its anchor."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 5))) for _ in range(n)) for n in (10, 60, 400, 2500)] + ["", None, "aa" * 2000]
+    df = pd.concat(list(suffix_dedup._segments(iter([pd.DataFrame({"id": range(len(texts)), "text": texts})]))))
+    for view in suffix_dedup.VIEWS:
+        for k, text in enumerate(texts):
+            mine = df[(df.id == k) & (df.gram & 1 == view.number)].sort_values("start")
+            n = len(view.letters((text or "").encode())) - view.length + 1
+            covered = [w for a, m in zip(mine.start, mine.windows) for w in range(a, a + m)]
+            assert covered == list(range(max(0, n))) and (mine.lead >= mine.windows - 1).all() and (mine.lead <= view.length - view.gram).all()
+
+
 def best_pieces(data, v):
     """Scores of all ways to cut bytes into pieces, by dynamic programming over characters; those without a piece cost the penalty."""
     starts = [i for i, c in enumerate(data) if c & 0xC0 != 0x80] + [len(data)]
@@ -377,7 +424,9 @@ def test_katz(spark, docs, monkeypatch, tmp_path, order, split):
     assert levels == set(range(1, order + 1))
     if split:
         known = spark.read.schema(katz.KNOWN).parquet(str(tmp_path / "model" / "known")).first()
-        assert all(known.split) and known.buckets > 10
+        table = spark.read.schema(katz.TABLES).parquet(str(tmp_path / "model" / "tables")).filter("level = 2").collect()
+        places = Counter(v for r in table for v in set(katz.unpack(bytes(r.v), True).tolist()))
+        assert all(known.split) and known.buckets > 10 and max(places.values()) > 1  # a context in several buckets
 
 
 def test_katz_corners(spark, docs, monkeypatch):
@@ -398,6 +447,34 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(3), labels.limit(0), F.lit(True)).count() == 3
 
 
+def test_toxicity_corners(spark):
+    """Null and empty texts, null labels, several labels of an id, repeated rows, one label only, clashing columns, a very long text."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(["good", "plain", "words", "here"], k=30) + (["vilest"] if k % 4 == 0 else []))) for k in range(200)]
+    rows += [(300, None), (301, ""), (302, "vilest " * 200_000), (303, rows[4][1]), (303, rows[4][1]), (None, "good words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit(7)).withColumn("features", F.lit("f"))
+    marks = [(k, int(k % 4 == 0)) for k in range(200)] + [(4, 1), (301, None), (None, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels, F.lit(True)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.label == 7 for r in got)
+    by = {r.doc_id: r.score for r in got}
+    assert by[302] > 0.7 and by[300] == by[301] and by[303] == by[4] > 0.7 > by[5] and len({r.score for r in got if r.doc_id == 303}) == 1
+    assert sorted(map(str, got)) == sorted(map(str, toxicity.score_toxicity(docs, labels, F.lit(True)).collect()))
+    one = toxicity.score_toxicity(docs, labels.filter("toxic = 1"), F.lit(True)).collect()
+    assert len({r.score for r in one}) == 1 and one[0].score > 0.5
+    assert toxicity.score_toxicity(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_simhash_corners(spark):
+    """An empty table, nulls, repeated rows, a hot fingerprint, clashing columns, a very long text."""
+    rows = [(k, None if k % 2 else " ") for k in range(2000)] + [(5000, "one two three four five"), (5000, "one two three four five"), (None, "one two three four five"), (None, "alone " * 9), (6000, "long words " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_dedup(docs.withColumn("fp", F.lit(1)).withColumn("n", F.lit("n")).withColumn("first", F.lit(0))).collect()
+    assert len(got) == len(rows) and all(r.component_id == 0 and r.fp == 0 for r in got if r.doc_id is not None and r.doc_id < 2000)
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None or r.doc_id >= 5000) == ["5000", "5000", "5000", "6000", "None"]
+    assert simhash.near_dedup(docs.limit(0)).count() == 0
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://b.a/x y", "same"), (1, "http://c.a/", "same\r\n\r\nnot"), (2, None, "same"), (7, "http://b.a/", None), (9, "u", "")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in warc.capture_histories(pages).collect()}

@@ -234,10 +234,7 @@ def q_first_ipv4(spark, d):
 
 @query("select host_ord, n from (select host_ord, host_status, row_number() over (order by host_ord) as n from net_hosts) where host_status = 'up'")
 def q_host_numbering(spark, d):
-    from pyspark.sql import Window
-
-    numbered = synth.net_hosts(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("host_ord")).cast("long"))
-    return numbered.filter("host_status = 'up'").select("host_ord", "n")
+    return stats.numbered(synth.net_hosts(spark, d), ["host_ord"], "n").filter("host_status = 'up'").select("host_ord", "n")
 
 
 @query("select count(*) as total, count(distinct ip) as unique_ips, count(distinct nullif(hostname, '')) as unique_hostnames from net_hosts")
@@ -291,9 +288,7 @@ def q_port_key(spark, d):
 
 
 def _ords(spark, d):
-    from pyspark.sql import Window
-
-    return synth.items(spark, d).select("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("ord")).cast("long").alias("n"))
+    return stats.numbered(synth.items(spark, d), ["ord"], "n").select("ord", "n")
 
 
 @query("select event_id, event_type = 'click' as flag from events", ctes=False)

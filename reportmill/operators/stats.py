@@ -23,6 +23,21 @@ def last_wins(rows: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
     return rows.groupBy(*keys).agg(*[(F.max(ord_) if c == ord_ else F.max_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, first: Column | None = None) -> DataFrame:
+    """Adds ``name``: the place in the order of the file, from 1 (or from ``first``, a column). ``order`` begins with host_ord, which counts a file's hosts.
+
+    Places are ranks within groups of hosts and the sums of the groups before, so that a file of any size is numbered by many tasks."""
+    grouped = rows.withColumn("_group", F.floor(F.col("host_ord") / HOSTS_OF_A_TASK))
+    before = Window.partitionBy("file_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = grouped.groupBy("file_id", "_group").agg(F.count("*").alias("_n")).select("file_id", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("file_id", "_group").orderBy(*order)))
+    return ranked.join(sums, ["file_id", "_group"]).withColumn(name, F.col("_before") + F.col("_rank") + (F.lit(0) if first is None else first)).drop("_group", "_before", "_rank")
+
+
+#: Hosts whose rows are numbered by one task.
+HOSTS_OF_A_TASK = 1000
+
+
 def plugins(items: DataFrame) -> DataFrame:
     return first_wins(items, ["file_id", "plugin_id"])
 
@@ -86,9 +101,8 @@ def host_stats(hosts: DataFrame) -> DataFrame:
 
 def affected_ids(hosts: DataFrame) -> DataFrame:
     """affected_host_id: numbering that goes on after all hosts, over those with properties."""
-    file = Window.partitionBy("file_id")
-    ranked = hosts.withColumns({"n": F.count("*").over(file), "rank": F.sum(F.col("has_properties").cast("int")).over(file.orderBy("host_ord"))})
-    return ranked.filter("has_properties").select("file_id", "host_ord", (F.col("n") + F.col("rank")).alias("affected_host_id"))
+    total = hosts.groupBy("file_id").agg(F.count("*").alias("n"))
+    return numbered(hosts.filter("has_properties").join(total, "file_id"), ["host_ord"], "affected_host_id", F.col("n")).select("file_id", "host_ord", "affected_host_id")
 
 
 def top(rows: DataFrame, count: str, name: str, n: int | None = 10) -> DataFrame:
@@ -125,8 +139,7 @@ def named_services(ports: DataFrame) -> DataFrame:
 
 def service_ids(ports: DataFrame) -> DataFrame:
     """``service_<n>`` for ports with a service, in document order of their file."""
-    number = F.row_number().over(Window.partitionBy("file_id").orderBy("host_ord", "ord"))
-    return named_services(ports).withColumn("service_id", F.concat(F.lit("service_"), number.cast("string")))
+    return numbered(named_services(ports), ["host_ord", "ord"], "_number").withColumn("service_id", F.concat(F.lit("service_"), F.col("_number").cast("string"))).drop("_number")
 
 
 def count_by(rows: DataFrame, *keys: str) -> DataFrame:

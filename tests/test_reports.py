@@ -261,3 +261,26 @@ def test_registry(spark, tmp_path):
     assert reportmill.version_info()["supported_formats"] == ["vuln", "net"]
     with pytest.raises(ValueError):
         adapters.adapter("lines")
+
+
+def test_default_rules(spark):
+    """Findings of each class go to their rule and to no other; informational ones to none."""
+    wanted = {
+        "SSL Version 2 and 3 Protocol Detection": "tls_protocols", "TLS Version 1.0 Protocol Detection": "tls_protocols", "SSL Certificate Expiry": "certificates", "SSL Self-Signed Certificate": "certificates",
+        "SSL Certificate Signed Using Weak Hashing Algorithm": "certificates", "SSL Medium Strength Cipher Suites Supported (SWEET32)": "ciphers", "SSL RC4 Cipher Suites Supported (Bar Mitzvah)": "ciphers",
+        "SSH Server CBC Mode Ciphers Enabled": "ssh", "SSH Weak Key Exchange Algorithms Enabled": "ssh", "Unencrypted Telnet Server": "cleartext", "FTP Supports Cleartext Authentication": "cleartext",
+        "Apache 2.4.x < 2.4.58 Multiple Vulnerabilities": "outdated_software", "PHP Unsupported Version Detection": "outdated_software", "Microsoft Windows XP Unsupported Installation Detection": "unsupported_os",
+        "TLS Version 1.2 Protocol Detection": None, "SSL Certificate Information": None, "SSH Server Type and Version Information": None, "Service Detection": None, "Ping the remote host": None,
+    }
+    rows = [(n, k) for n, k in enumerate(wanted)]
+    base = spark.createDataFrame(rows, "n int, name string")
+    plugins = base.selectExpr("'f' as file_id", "cast(n as string) as plugin_id", "name", "'General' as family", "n as ord")
+    hosts = plugins.selectExpr("file_id", "plugin_id", "0 as host_ord", "ord", "case when plugin_id = '18' then '/js/app.js\n Installed version : 1.0' when plugin_id = '12' then 'Fixes may be back: backported security patches' else '' end as plugin_output")
+    found = C.evaluate_rules(plugins, hosts, R.enabled(R.load())).filter("matched").collect()
+    matched = {}
+    for r in found:
+        matched.setdefault(r.name, set()).add(r.rule_name)
+    expected = {k: {v} for k, v in wanted.items() if v}
+    expected["Ping the remote host"] = {"javascript"}
+    del expected["PHP Unsupported Version Detection"]
+    assert matched == expected and not R.problems(R.load()) and not R.warnings(R.load())

@@ -103,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op6_warc_archive": warc.SQL, "op8_exact_dedup": OP8_SQL, "op10_suffix_dedup": suffix_dedup.SQL}

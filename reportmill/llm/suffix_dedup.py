@@ -388,3 +388,22 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(F.col(text_col)).alias("text_hash"), _pressed(F.col(text_col)).alias("text"))
     joined = texts.join(spans, (texts.id.eqNullSafe(spans.id)) & (texts.text_hash == spans.text_hash), "left").select(texts.id, "text", "spans")
     return joined.mapInPandas(_cut, CUT).withColumnRenamed("id", id_col)
+
+
+#: The same by brute force in SQL: all windows by their digests. Hexadecimal digits stand for bytes; texts are cut into pieces first, as a digit's place in a long string is slow to find.
+SQL = r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+pieces as (select doc_id, n, a, substr(x, 2 * a + 1, 2 * 1199) as piece from (select doc_id, n, x, unnest(range(0, n - 399, 800)) as a from texts)),
+windows as (select doc_id, a + k as i, md5_number(substr(piece, 2 * k + 1, 800)) as h from (select *, unnest(range(0, least(800, n - 399 - a))) as k from pieces)),
+starts as (select doc_id, i from windows where h in (select h from windows group by h having count(*) > 1)),
+islands as (select doc_id, i, sum(new) over (partition by doc_id order by i) as island from (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 400 then 1 else 0 end as new from starts)),
+spans as (select doc_id, min(i) as a, max(i) + 400 as b from islands group by doc_id, island),
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+cut as (select g.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, max(b) as last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as kept from gaps g join texts using (doc_id) group by g.doc_id),
+word_windows as (select doc_id, j, md5_number(array_to_string(words[j + 1 : j + 51], ' ')) as h from (select doc_id, words, unnest(range(0, len(words) - 50)) as j from texts)),
+word_starts as (select doc_id, j from word_windows where h in (select h from word_windows group by h having count(distinct doc_id) > 1)),
+passages as (select doc_id, sum(least(51, coalesce(after - j, 51)))::bigint as n_passage_words from (select doc_id, j, lead(j) over (partition by doc_id order by j) as after from word_starts) group by doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256, coalesce(n_passage_words, 0) as n_passage_words
+from texts left join cut using (doc_id) left join passages using (doc_id)
+"""

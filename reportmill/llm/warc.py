@@ -305,3 +305,31 @@ def capture_histories(pages: DataFrame, html_col: str = "html", id_col: str = "p
 def history_number(index: DataFrame) -> DataFrame:
     """Adds ``capture``: the place of a capture in its URL key's history, from 1."""
     return index.withColumn("capture", F.row_number().over(Window.partitionBy("url_key").orderBy("position")))
+
+
+#: Records, digests and the global order of captures in SQL.
+SQL = r"""
+with payloads as (
+  select page_id, url, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages),
+decided as (select *, min(page_id) over (partition by digest) as first from payloads),
+named as (
+  select *, lower(coalesce(regexp_replace(url, '[\x00-\x20\x7f]', '%20', 'g'), 'urn:page:' || page_id)) as u,
+    strftime(make_timestamp((1577836800 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as ts
+  from decided),
+parts as (
+  select *, regexp_extract(u, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) as host,
+    regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) as asked
+  from named),
+keyed as (
+  select *, case when host = '' then u else array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || case when path = '' then '/' else path end
+    || case when asked = '' then '' else '?' || asked end end as url_key
+  from parts),
+-- Five hexadecimal digits are four digits of base 32.
+digits as (select page_id, k, list_sum(list_transform(range(5), lambda i: (instr('0123456789abcdef', substr(digest, 5 * k + i + 1, 1)) - 1) * (16 ** (4 - i))))::bigint as v from (select page_id, digest, unnest(range(8)) as k from payloads)),
+encoded as (
+  select page_id, string_agg(array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), ''), '' order by k) as payload_digest
+  from digits group by page_id)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to, row_number() over (order by url_key, ts, page_id) - 1 as position
+from keyed join encoded using (page_id)
+"""

@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +35,8 @@ MAX_TRAIN, BITS, TASKS = 20_000, 19, 8
 SMOOTH, PENALTY = 300, 0.1
 ORDERS = (4, 5, 6)
 THRESHOLD = 0.7
-#: Characters of a text that are hashed at once; training rows whose features are in memory at once.
-CHUNK, ROWS = 1 << 20, 64
+#: Characters of a text that are hashed at once; training rows of a block, and features from which on it takes no more.
+CHUNK, ROWS, FEATURES = 1 << 20, 64, 500_000
 #: Steps of the fit at most, steps that the curvature is taken from, and the relative gain that ends it.
 STEPS, MEMORY, GAIN = 40, 6, 1e-4
 
@@ -77,21 +80,45 @@ def _sample(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str, id_
     return found.repartition(TASKS, F.xxhash64("id", "text")).select("text", "label")
 
 
+#: A block of training rows: labels, how many features each row has, and all features, those of a row in order.
+BLOCKS = "labels binary, lengths binary, features binary"
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in (df.iloc[k : k + ROWS] for df in batches for k in range(0, len(df), ROWS)):
-        held: list[list[np.ndarray]] = [[] for _ in range(len(df))]
-        for k, h in present(df.text.tolist()):
-            held[k].append(np.sort(h).astype(np.int32))
-        yield pd.DataFrame({"label": df.label, "features": [np.concatenate(x).tobytes() for x in held]})
+    press = zstandard.ZstdCompressor(level=1).compress
+    labels: list[int] = []
+    held: list[np.ndarray] = []
+
+    def block() -> pd.DataFrame:
+        row = [bytes(labels), np.array([len(x) for x in held], np.int32).tobytes(), press(np.diff(np.concatenate(held), prepend=np.int32(0)).tobytes())]
+        return pd.DataFrame([row], columns=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    for df in batches:
+        for label, (_, parts) in zip(df.label, groupby(present(df.text.tolist()), key=itemgetter(0)), strict=True):
+            held.append(np.sort(np.concatenate([h for _, h in parts])).astype(np.int32))
+            labels.append(int(label))
+            if len(held) == ROWS or sum(map(len, held)) >= FEATURES:
+                yield block()
+                labels, held = [], []
+    if held:
+        yield block()
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, and of each feature its row and its number."""
+    for df in batches:
+        for labels, lengths, features in zip(df.labels, df.lengths, df.features, strict=True):
+            lengths = np.frombuffer(lengths, np.int32)
+            yield np.frombuffer(labels, np.uint8).astype(np.int64), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), np.cumsum(np.frombuffer(zstandard.decompress(features), np.int32), dtype=np.int32)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each label and task: the documents and the counts of all buckets, compressed."""
-    counts, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-    for df in batches:
-        for label, features in zip(df.label, df.features, strict=True):
-            n[label] += 1
-            counts[label][np.frombuffer(features, np.int32)] += 1  # each once
+    counts, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+    for labels, row, column in _blocks(batches):
+        n += np.bincount(labels, minlength=2)
+        for label in (0, 1):
+            counts[label] += np.bincount(column[labels[row] == label], minlength=1 << BITS).astype(np.int32)
     yield pd.DataFrame({"label": [0, 1], "n": n, "counts": [zlib.compress(c.tobytes(), 1) for c in counts]})
 
 
@@ -105,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
     """The weight of each bucket, scaled by its ratio, and the intercept."""
     rows = _sample(docs, labels, fold, text_col, id_col, label_col, max_train)
     # The sample is bounded, so are its tasks; each sends one vector for each label, and one a step.
-    table = materialize(rows.mapInPandas(_features, "label int, features binary"), "toxic-features")
+    table = materialize(rows.mapInPandas(_features, BLOCKS), "toxic-features")
     rows = table.coalesce(TASKS)
     counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
     for row in rows.mapInPandas(_count, "label int, n long, counts binary").toLocalIterator():
@@ -126,13 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str = "tex
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             weight, intercept = held.value
             total, errors, out = 0.0, 0.0, np.zeros(1 << BITS)
-            for df in (df.iloc[k : k + ROWS] for df in batches for k in range(0, len(df), ROWS)):
-                parts = [np.frombuffer(f, np.int32) for f in df.features]
-                y, row, column = df.label.to_numpy(float), np.repeat(np.arange(len(parts)), [len(f) for f in parts]), np.concatenate(parts)
-                margin = np.bincount(row, weight[column], len(parts)) + intercept
-                share = balance[df.label.to_numpy()]
-                error = share * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-                total += float((share * (np.logaddexp(0, margin) - y * margin)).sum())
+            for labels, row, column in _blocks(batches):
+                margin = np.bincount(row, weight[column], len(labels)) + intercept
+                share = balance[labels]
+                error = share * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels)
+                total += float((share * (np.logaddexp(0, margin) - labels * margin)).sum())
                 errors += float(error.sum())
                 out += np.bincount(column, error[row], 1 << BITS)
             yield pd.DataFrame({"total": [total], "errors": [errors], "slope": [zlib.compress(out.astype(np.float32).tobytes(), 1)]})

@@ -148,9 +148,3 @@ def read_scans(spark: SparkSession, path: str | list[str], status: str = "all")
     seconds = F.coalesce(_at("/nmaprun/runstats/finished/@time"), F.lit("0")).try_cast("long") - _at("/nmaprun/@start").try_cast("long")
     context = _context(pieces, "host").select("file_id", *[F.coalesce(_at(f"/nmaprun/{x}"), F.lit("")).alias(name) for name, x in (("scanner_version", "@version"), ("scan_command", "@args"), ("scan_type", "scaninfo/@type"), ("scan_start", "@startstr"), ("scan_end", "runstats/finished/@timestr"))], S.spoken(F.when(finished, seconds)).alias("scan_duration"))
     return Report("net", context, table, ports=ports)
-
-
-def stream_vulnerability_hosts(spark: SparkSession, directory: str) -> DataFrame:
-    """Hosts of reports as they arrive in a directory."""
-    rows = spark.readStream.format("xml").option("rowTag", "ReportHost").option("ignoreSurroundingSpaces", "false").schema(VULN_HOST).load(directory)
-    return rows.select(F.col("_metadata.file_path").alias("file_id"), _tag("host-ip").alias("ip"), F.size(F.coalesce("ReportItem", F.array().cast(rows.schema["ReportItem"].dataType))).alias("n_items"))

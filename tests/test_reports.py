@@ -11,6 +11,7 @@ from reportmill.operators import consolidate as C
 from reportmill.operators import report, stats
 from reportmill.plans import rules as R
 from reportmill.sources import adapters, detect, documents, xml
+from reportmill.streaming import reports
 
 VULN = """<?xml version="1.0"?>
 <NessusClientData_v2><Policy><policyName>Full</policyName><Preferences>
@@ -173,11 +174,17 @@ def test_hosts_of_large_files(spark, tmp_path):
     assert {c.scan_name for c in r.context.collect()} == {"weekly"} and r.context.count() == 2
 
 
-def test_stream(spark, vuln, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "r.xml").write_text(VULN)
-    xml.stream_vulnerability_hosts(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((x.ip, x.n_items) for x in spark.table("seen").collect()) == [("", 1), ("10.0.0.1", 2), ("10.0.0.3", 2)]
+def test_stream(spark, vuln, net, tmp_path):
+    def seen(rows, name):
+        rows.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r)[1:] for r in spark.table(name).collect())
+
+    for name, text in (("v", VULN), ("n", NET)):
+        (tmp_path / name).mkdir()
+        for k in range(2):
+            (tmp_path / name / f"{k}.xml").write_text(text)
+    assert seen(reports.vulnerability_hosts(spark, str(tmp_path / "v"), 1), "seen_v") == sorted(2 * [("", 1), ("10.0.0.1", 2), ("10.0.0.3", 2)])
+    assert seen(reports.scan_hosts(spark, str(tmp_path / "n"), 1), "seen_n") == sorted(2 * [("10.0.0.1", "up", 3, 1), ("10.0.0.3", "unknown", 0, 0)])
 
 
 def test_negative_and_missing_durations(spark, tmp_path):

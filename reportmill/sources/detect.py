@@ -79,14 +79,14 @@ def detect(path: str | Path) -> str:
 
 
 def head(spark: SparkSession, path: str, n: int = 1024) -> str:
-    """The first n bytes of a file in any store that Spark reads. Raises FileNotFoundError."""
+    """The first n bytes of a file in any store that Spark reads, or of the first file of a folder or pattern. Raises FileNotFoundError."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
+    found = list(fs.globStatus(at) or [])
+    files = [f for x in found for f in (fs.listStatus(x.getPath()) if x.isDirectory() else [x]) if f.isFile() and not f.getPath().getName().startswith((".", "_"))]
+    if not files:
         raise FileNotFoundError(path)
-    if fs.getFileStatus(at).isDirectory():
-        listed = sorted((f.getPath().toString() for f in fs.listStatus(at) if f.isFile() and not f.getPath().getName().startswith((".", "_"))))
-        return head(spark, listed[0], n) if listed else ""
+    at = min((f.getPath() for f in files), key=lambda f: f.toString())
     stream = fs.open(at)
     try:
         return bytes(b & 255 for b in spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, n))).decode("utf-8", "replace")

@@ -4,7 +4,7 @@ Hosts are most of a report and independent of each other. So a file is read as t
 over tasks however large the file is; each host is then parsed by itself. What lies outside of hosts is put together again to a small
 document, which has the context.
 
-Ordinals are taken where a row is read (file, block, running id), before any shuffle, so they follow document order. Hosts are numbered
+Files are in UTF-8, compressed ones included (which are not split). Ordinals are taken where a row is read (file, block, running id), before any shuffle, so they follow document order. Hosts are numbered
 by block: ranks within the blocks, and the sums of the blocks before.
 """
 

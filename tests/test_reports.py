@@ -121,6 +121,7 @@ def test_port_scan(spark, net):
 def test_process(spark, vuln, tmp_path):
     done = api.process(spark, str(vuln), consolidate=True, api_format=True, output_dir=str(tmp_path / "out"), output_name="x")
     assert done["consolidated"] is not None and (tmp_path / "out" / "x_API_Ready").exists()
+    assert api.process(spark, f"{tmp_path}/*.nessus")["kind"] == "vuln"
     with pytest.raises(FileNotFoundError):
         api.process(spark, str(tmp_path / "no.nessus"))
     cut = tmp_path / "cut.nessus"
@@ -146,8 +147,10 @@ def test_strict_checks(spark, vuln, net, tmp_path):
     with pytest.raises(ValueError):
         detect.detect(tmp_path / "other.xml")
     assert detect.detect_in_store(spark, f"file://{net}") == "net" and len(detect.head(spark, str(vuln), 30)) == 30
-    with pytest.raises(FileNotFoundError):
-        detect.detect_in_store(spark, "file:///no/such.file")
+    assert detect.detect_in_store(spark, f"{tmp_path}/r.*") == "vuln" and detect.detect_in_store(spark, str(tmp_path)) == "net"  # n.nessus comes first
+    for missing in ("file:///no/such.file", f"{tmp_path}/*.none"):
+        with pytest.raises(FileNotFoundError):
+            detect.detect_in_store(spark, missing)
     found = detect.find_reports(tmp_path)
     assert [p.name for p in found["vuln"]] == ["n.nessus", "other.nessus", "r.nessus"] and [p.name for p in found["net"]] == ["r.xml"]
     assert detect.find_reports(tmp_path / "no") == {} and detect.find_reports(tmp_path, ("other",)) == {"other": []}

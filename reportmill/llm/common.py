@@ -82,13 +82,17 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers take at most so many rows at once. Texts can be long, and the default of 10,000 holds many MB.
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Let Python workers take at most so many rows and bytes at once. Texts can be long, and the defaults of 10,000 rows and 64 MB are much for several copies.
 
-    This stays set in the session: frames are lazy, and the setting counts when they run. A smaller one is kept."""
+    This stays set in the session: frames are lazy, and the settings count when they run. Smaller ones are kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)  # from Spark 4.1 on
+    if held and not 0 < int(held.rstrip("b")) <= megabytes << 20:
+        spark.conf.set(key, f"{megabytes << 20}b")
 
 
 def join_hot(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import chat, exact_dedup, katz, mixing, quality, sentencepiece, simhash, suffix_dedup, toxicity, warc
+from reportmill.llm import chat, exact_dedup, filter_audit, jaccard_join, katz, mixing, periodic, quality, sentencepiece, simhash, suffix_dedup, toxicity, warc
 from reportmill.llm.common import table
 
 
@@ -78,6 +78,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = periodic.repeat_tail(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.n")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.n") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP8_SQL = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
@@ -99,8 +121,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash": op9_simhash,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_jaccard_join": op11_jaccard_join,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op6_warc_archive": warc.SQL, "op8_exact_dedup": OP8_SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+    return {
+        "op1_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL, "op4_chat_format": chat.SQL, "op6_warc_archive": warc.SQL, "op8_exact_dedup": OP8_SQL, "op10_suffix_dedup": suffix_dedup.SQL,
+        "op11_jaccard_join": jaccard_join.SQL, "op12_filter_audit": filter_audit.SQL, "op13_periodic_runs": periodic.SQL,
+    }

@@ -1,12 +1,16 @@
 """Join of texts whose sets of word n-grams are similar, by prefixes under several global orders.
 
 Under any one order of all shingles, two sets of Jaccard similarity t or more share one of the first n - ceil(t n) + 1 shingles of each
-(prefix filter). So they share one under every order, and each further order rules out pairs that met by chance. Orders put shingles that are
-common in a sample last and are by different hashes otherwise; a sample only makes them fast, any orders are right.
+(prefix filter). So they share one under every order, and each further order rules out pairs that met by chance.
 
-Filters are intersected twice. First by groups: sets that share a prefix shingle are tied to the next one by size, and what is tied together is
-a group; under the next order only members of one group tie, which parts the groups further. Then by pairs, in the tasks that verify a
-group: whoever shares a prefix shingle under every order, fits by size and is not linked yet is compared by the whole sets.
+The first order begins with the shingles of one part of the hash space (``COUNTED``) by the number of sets that have them, which is counted over all
+sets; then come the others, and last those that are common in a sample of the texts. A set's prefix is then mostly of shingles that
+no other set has, which meet nothing. The further orders are by other hashes. Any orders give right results; these make them cheap.
+
+Filters are intersected twice. First by groups: sets that share a prefix shingle under the first order are tied to the next one by size, and what
+is tied together is a group; under further orders only members of one group tie, which parts groups that are larger than a task. Then by
+pairs, in the tasks that verify a group: whoever shares a prefix shingle under every order, fits by size and is not linked yet is compared
+by the whole sets.
 
 Large groups are cut. First each part is solved alone, with a few sets of its group that all parts get, so that parts of near copies link up
 over them. Then blocks of sets that are not linked meet pairwise: every block of a large class with the sets outside of it, but never
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +37,9 @@ from reportmill.llm.simhash import components, grouped, shards
 
 #: Words of a shingle, least Jaccard similarity.
 WORDS, SIMILARITY = 3, 0.9
-#: Odd factors, one for each order of shingles.
+#: Odd factors, one for each order of shingles; share of the hash space whose shingles the first order counts.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+COUNTED = 0.2
 #: Shingles that are ordered by their counts in a sample; sets and shingles of a part; sets that all parts of a group get; shingles of a task, about.
 COMMON, SET_PART, PART_SHINGLES, PIVOTS, TASK_SHINGLES = 50_000, 2048, 1_000_000, 16, 3_000_000
 
@@ -45,23 +50,59 @@ def prefix(found: np.ndarray, counts: np.ndarray, factor: int, similarity: float
     return found[order[: int(prefix_length(len(found), similarity))]]
 
 
-def _prefixes(common: np.ndarray, similarity: float, shingle: int):
-    """The key of a text's set, its size, and under every order its prefix."""
+def first_shingles(found: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a set: the shingles that are counted, those behind them that its prefix has at any rate, and how many more than counted ones it takes
+    (below 0: so many of them are left out, those that most sets have)."""
+    mixed = found * np.uint64(ORDERS[0])
+    own = (counts == 0) & (mixed < np.uint64(int(COUNTED * 2**64)))
+    free = int(prefix_length(len(found), similarity)) - int(own.sum())
+    rest = np.flatnonzero(~own)
+    return found[own], found[rest[np.lexsort((mixed[rest], counts[rest]))][: max(0, free)]], free
+
+
+def _firsts(common: np.ndarray, similarity: float, shingle: int):
+    """The key of a text's set, its size, and what the first order needs."""
 
-    @F.pandas_udf(T.StructType().add("fp", "long").add("n", "long").add("prefixes", T.ArrayType(T.ArrayType(T.LongType()))))
-    def prefixes(text: pd.Series) -> pd.DataFrame:
-        keys, sizes, firsts = [], [], []
+    @F.pandas_udf(T.StructType().add("fp", "long").add("n", "integer").add("own", T.ArrayType(T.LongType())).add("more", T.ArrayType(T.LongType())).add("free", "integer"))
+    def firsts(text: pd.Series) -> pd.DataFrame:
+        rows = []
         for x in text:
             found = shingle_set(x, shingle)
-            counts = _frequencies(found.view(np.int64), common)
-            keys.append(_key(found))
-            sizes.append(len(found))
-            firsts.append([prefix(found, counts, factor, similarity).view(np.int64) for factor in ORDERS])
-        return pd.DataFrame({"fp": np.array(keys, np.uint64).view(np.int64), "n": sizes, "prefixes": firsts})
+            own, more, free = first_shingles(found, _frequencies(found.view(np.int64), common), similarity)
+            rows.append((np.array([_key(found)], np.uint64).view(np.int64)[0], len(found), own.view(np.int64), more.view(np.int64), free))
+        return pd.DataFrame(rows, columns=["fp", "n", "own", "more", "free"])
+
+    return firsts
+
+
+def _prefixes(common: np.ndarray, similarity: float):
+    """Under every further order, the prefix of a set."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def prefixes(hashes: pd.Series) -> pd.Series:
+        sets = [np.frombuffer(x, "<u8") for x in hashes]
+        return pd.Series([[p.view(np.int64) for p in further(x, common, similarity)] for x in sets])
 
     return prefixes
 
 
+def further(found: np.ndarray, common: np.ndarray, similarity: float) -> list[np.ndarray]:
+    counts = _frequencies(found.view(np.int64), common)
+    return [prefix(found, counts, factor, similarity) for factor in ORDERS[1:]]
+
+
+def first_postings(sets: DataFrame) -> DataFrame:
+    """sets: fp, n, own, more, free, each set once. h, n, fp: the shingles of the prefixes under the first order that other sets may have.
+
+    Common shingles are not counted, so no shingle that is has more than a small share of all sets."""
+    counted = sets.select("fp", "n", "free", F.explode("own").alias("h")).withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
+    own = Window.partitionBy("fp")
+    ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("shared", F.count("*").over(own))
+    # Shingles that no other set has come first.
+    kept = ranked.filter(F.col("rank") - F.col("shared") <= F.col("free")).select("h", "n", "fp")
+    return kept.unionAll(sets.select(F.explode("more").alias("h"), "n", "fp"))
+
+
 def _sets(shingle: int):
     @F.pandas_udf(T.StructType().add("fp", "long").add("hashes", "binary"))
     def sets(text: pd.Series) -> pd.DataFrame:
@@ -138,10 +179,10 @@ def linked_sets(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], simila
     starts = np.concatenate([[0], np.cumsum(n)])
     least = np.searchsorted(n, similarity * n - 1e-9)
     lists = []
-    for order in range(len(ORDERS)):
+    for order in range(len(prefixes[0])):
         held = [prefixes[k][order] for k in by_size]
         owner = np.repeat(np.arange(len(n)), [len(x) for x in held])
-        h = np.searchsorted(distinct, np.concatenate(held))
+        h = np.searchsorted(distinct, np.concatenate(held))  # all prefixes are of the sets
         by = np.lexsort((owner, h))
         listed, of = h[by], owner[by]
         # For each set its places in the lists of its prefix's shingles, and where these begin.
@@ -186,7 +227,7 @@ def linked_sets(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], simila
 
 
 def _solved(placed: DataFrame, common: np.ndarray, similarity: float, shingles: int) -> DataFrame:
-    """placed: g, low, high, fp, n, class, hashes, of about so many shingles in all. Edges between classes within each (g, low, high)."""
+    """placed: g, low, high, fp, n, class, firsts, hashes, of about so many shingles in all. Edges between classes within each (g, low, high)."""
     place = ["g", "low", "high"]
     tasks = max(n_partitions(placed.sparkSession), -(-shingles // TASK_SHINGLES))
     dealt = placed.repartition(tasks, *place).sortWithinPartitions(*place)
@@ -199,9 +240,8 @@ def _solved(placed: DataFrame, common: np.ndarray, similarity: float, shingles:
             for k in np.unique(group):
                 df = many.iloc[np.flatnonzero(group == k)].drop_duplicates("fp")
                 sets = [np.frombuffer(x, "<u8") for x in df.hashes]
-                counts = [_frequencies(x.view(np.int64), common) for x in sets]
-                firsts = [[prefix(x, c, factor, similarity) for factor in ORDERS] for x, c in zip(sets, counts, strict=True)]
-                edges = np.array(linked_sets(sets, firsts, similarity, df["class"].to_numpy()), np.int64).reshape(-1, 2)
+                prefixes = [[np.asarray(f, np.int64).view(np.uint64), *further(x, common, similarity)] for f, x in zip(df.firsts, sets, strict=True)]
+                edges = np.array(linked_sets(sets, prefixes, similarity, df["class"].to_numpy()), np.int64).reshape(-1, 2)
                 fp = df.fp.to_numpy()
                 x, y = fp[edges[:, 0]], fp[edges[:, 1]]
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -213,19 +253,16 @@ def _parts(sets: Column, shingles: Column) -> Column:
     return F.ceil(F.greatest(sets / SET_PART, shingles / PART_SHINGLES)).cast("int")
 
 
-def verified(texts: DataFrame, members: DataFrame, common: np.ndarray, similarity: float, shingle: int) -> DataFrame:
-    """texts: text, row; members: fp, row, n, g. Edges (a, b) whose components are those of all pairs in one group that are as similar."""
+def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """held: fp, firsts, hashes; members: fp, n, g. Edges (a, b) whose components are those of all pairs in one group that are as similar."""
     sizes = members.groupBy("g").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     sizes = sizes.select("g", F.col("sets").alias("n"), "sets", _parts(F.col("sets"), F.col("shingles")).alias("parts"))
-    members = materialize(join_hot(members.withColumnRenamed("n", "size"), sizes, ["g"], members.count()).select("fp", "row", "size", "g", "sets", "parts"), "jaccard-members")
-    # Only what is left in groups is read again.
-    held = texts.join(members.select("row").distinct(), "row", "left_semi").select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
-    held = materialize(held, "jaccard-held")
+    members = materialize(join_hot(members.withColumnRenamed("n", "size"), sizes, ["g"], members.count()).select("fp", "size", "g", "sets", "parts"), "jaccard-members")
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     pivot = F.pmod(F.xxhash64("fp", F.lit("pivot")), F.col("sets")) < PIVOTS
     alone = held.join(members, "fp").withColumn("low", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     total = int(members.agg(F.sum("size")).first()[0] or 0)
-    edges = materialize(_solved(alone.select("g", "low", F.col("low").alias("high"), "fp", F.col("size").alias("n"), F.col("fp").alias("class"), "hashes"), common, similarity, total), "jaccard-alone")
+    edges = materialize(_solved(alone.select("g", "low", F.col("low").alias("high"), "fp", F.col("size").alias("n"), F.col("fp").alias("class"), "firsts", "hashes"), common, similarity, total), "jaccard-alone")
     large = members.filter("parts > 1")
     if large.isEmpty():
         return edges
@@ -249,26 +286,45 @@ def verified(texts: DataFrame, members: DataFrame, common: np.ndarray, similarit
     dealt = dealt.select("fp", "size", "g", "class", at.alias("at"), F.explode(meets).alias("other"))
     dealt = materialize(dealt.select("fp", F.col("size").alias("n"), "g", "class", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high")), "jaccard-blocks")
     total = int(dealt.agg(F.sum("n")).first()[0] or 0)
-    across = _solved(held.join(dealt, "fp").select("g", "low", "high", "fp", "n", "class", "hashes"), common, similarity, total)
+    across = _solved(held.join(dealt, "fp").select("g", "low", "high", "fp", "n", "class", "firsts", "hashes"), common, similarity, total)
     return materialize(edges.unionAll(across), "jaccard-edges")
 
 
+def parted(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """members (fp, n, g), of which groups of over a part's sets are parted by the further orders."""
+    large = members.groupBy("g").agg(F.count("*").alias("sets")).filter(F.col("sets") > SET_PART)
+    if large.isEmpty():
+        return members
+    # Groups of so many sets are few: one for each SET_PART of them at most.
+    rest = members.join(large.select("g"), "g", "left_anti").select("fp", "n", "g")
+    parts = held.join(members.join(large.select("g"), "g", "left_semi"), "fp").select("fp", "n", "g", _prefixes(common, similarity)("hashes").alias("prefixes"))
+    parts = materialize(parts, "jaccard-parts")
+    for order in range(len(ORDERS) - 1):
+        postings = parts.select("g", F.explode(F.get("prefixes", order)).alias("h"), "n", "fp")
+        old, parts = parts, materialize(grouped_sets(parts, tied(postings, similarity)), "jaccard-parts")
+        discard(old)
+    # Groups are named by a set of theirs, so the names of parts are no others'.
+    return rest.unionByName(parts.select("fp", "n", "g"))
+
+
 def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, n_shingles (long) and component_id, the smallest id that links of sets reach."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
     common = common_shingles(texts, shingle)
-    found = texts.select("id", "row", _prefixes(common, similarity, shingle)("text").alias("s"))
-    marked = materialize(found.select("id", "row", "s.*").withColumn("uid", F.monotonically_increasing_id()), "jaccard-prefixes")
+    found = texts.select("id", "row", _firsts(common, similarity, shingle)("text").alias("s"))
+    marked = materialize(found.select("id", "row", "s.*").withColumn("uid", F.monotonically_increasing_id()), "jaccard-firsts")
     full = marked.filter("n > 0")
-    points = materialize(full.groupBy("fp").agg(F.min("id").alias("first"), F.min("uid").alias("uid"), F.count("*").alias("docs")), "jaccard-points")
+    points = materialize(full.groupBy("fp").agg(F.min("id").alias("first"), F.min("uid").alias("uid"), F.min("row").alias("row"), F.min("n").alias("n"), F.count("*").alias("docs")), "jaccard-points")
     # Of equal sets one stands for all.
-    members = materialize(full.join(points.select("uid"), "uid", "left_semi").select("fp", "row", "n", "prefixes", F.lit(0).cast("long").alias("g")), "jaccard-members")
-    for order in range(len(ORDERS)):
-        postings = members.select("g", F.explode(F.get("prefixes", order)).alias("h"), "n", "fp")
-        old, members = members, materialize(grouped_sets(members, tied(postings, similarity)), "jaccard-members")
-        discard(old)
-    edges = verified(texts, members.drop("prefixes"), common, similarity, shingle)
+    sets = full.join(points.select("uid"), "uid", "left_semi").select("fp", "n", "own", "more", "free")
+    postings = materialize(first_postings(sets), "jaccard-postings")
+    members = materialize(grouped_sets(points.select("fp", "row", "n"), tied(postings.select(F.lit(0).cast("long").alias("g"), "h", "n", "fp"), similarity)), "jaccard-members")
+    # Only what is left in groups is read again.
+    left = texts.join(members.select("row").distinct(), "row", "left_semi").select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
+    firsts = postings.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("h").alias("firsts"))
+    held = materialize(left.join(firsts, "fp"), "jaccard-held")
+    edges = verified(held, parted(held, members.drop("row"), common, similarity), common, similarity)
     named = grouped(full.select(F.struct("id", "n").alias("id"), "fp"), points.select("fp", "first", "docs"), edges, "of")
     named = named.select(F.col("of.id").alias(id_col), F.col("of.n").alias("n_shingles"), "component_id")
     return named.unionAll(marked.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

@@ -121,8 +121,8 @@ def test_ties_across_tasks(spark):
 
 
 def audited(rows, labels):
-    good = {k for k, q, _ in labels if q == 1}
-    toxic = {k for k, _, t in labels if t == 1}
+    good = {k for k, q, _ in labels if q == 1 and k is not None}
+    toxic = {k for k, _, t in labels if t == 1 and k is not None}
     ids = {}
     for k, t, _ in rows:
         if k is not None:

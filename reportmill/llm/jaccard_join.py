@@ -41,7 +41,9 @@ WORDS, SIMILARITY = 3, 0.9
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 COUNTED = 0.2
 #: Shingles that are ordered by their counts in a sample; sets and shingles of a part; sets that all parts of a group get; shingles of a task, about.
-COMMON, SET_PART, PART_SHINGLES, PIVOTS, TASK_SHINGLES = 50_000, 2048, 1_000_000, 16, 3_000_000
+COMMON, SET_PART, PART_SHINGLES, PIVOTS, TASK_SHINGLES = 50_000, 4096, 1_000_000, 16, 3_000_000
+#: Rows of 8 bytes that are broadcast at most; beyond that texts are shuffled to meet them.
+MOST_BROADCAST = 2_000_000
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, factor: int, similarity: float) -> np.ndarray:
@@ -321,7 +323,9 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     postings = materialize(first_postings(sets), "jaccard-postings")
     members = materialize(grouped_sets(points.select("fp", "row", "n"), tied(postings.select(F.lit(0).cast("long").alias("g"), "h", "n", "fp"), similarity)), "jaccard-members")
     # Only what is left in groups is read again.
-    left = texts.join(members.select("row").distinct(), "row", "left_semi").select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
+    rows = members.select("row")
+    read = materialize(texts.select("row", "text").join(F.broadcast(rows) if members.count() <= MOST_BROADCAST else rows.distinct(), "row", "left_semi"), "jaccard-texts")
+    left = read.select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
     firsts = postings.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("h").alias("firsts"))
     held = materialize(left.join(firsts, "fp"), "jaccard-held")
     edges = verified(held, parted(held, members.drop("row"), common, similarity), common, similarity)

@@ -11,8 +11,8 @@ first the prefixes alone, to part what differs too much in them, then the sets t
 shingle of its prefix and are not linked to it yet.
 
 Defined results: null text is empty; texts without words have the empty set, which links like any other; null ids take part, and
-a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each; extra columns are kept by
-:func:`drop_near_copies`; an empty table gives an empty result.
+a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each, and :func:`drop_near_copies`
+keeps one row of each component, extra columns included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -280,8 +280,12 @@ def near_dedup_similar(docs: DataFrame, similarity: float = SIMILARITY, text_col
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component, with all their columns; rows without an id stay."""
-    found = near_dedup_similar(docs, similarity, text_col, id_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    """Of each component the row with the smallest id (null ids last; of rows with one id any one), with all its columns.
+
+    Rows are told apart by a number of their own, so ids may be null or repeated."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return docs.select(row, F.col(id_col).alias("id")).join(gone, "id", "left_anti").select("row.*")
+    base = materialize(docs.select(row, F.monotonically_increasing_id().alias("uid")), "simhash-rows")
+    key = F.struct(F.col(f"row.`{id_col}`").isNull().alias("no_id"), F.col(f"row.`{id_col}`").alias("id"), "uid").alias("key")
+    found = near_dedup_similar(base.select(key, F.col(f"row.`{text_col}`").alias("text")), similarity, "text", "key")
+    gone = found.filter(F.col("key") != F.col("component_id")).select("key.uid")
+    return base.join(gone, "uid", "left_anti").select("row.*")

@@ -76,7 +76,8 @@ def _sample(docs: DataFrame, labels: DataFrame, fold: Column, text_col: str, id_
     labelled = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     share = min(1.0, max_train / max(1, labelled.count()))
     labelled = labelled.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = docs.filter(fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labelled, "id")
+    # The sample has a bound, so texts are not shuffled to meet it.
+    found = docs.filter(fold).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labelled), "id")
     # Dealt and ordered by hash, so that sums are taken in one order whatever order rows arrive in.
     return found.withColumn("h", F.xxhash64("id", "text")).repartition(TASKS, "h").sortWithinPartitions("h", "label").select("text", "label")
 

@@ -160,3 +160,26 @@ def test_forest():
             label = [a if x == b else x for x in label]
     kept = simhash.forest(60, i, j, d)
     assert d[kept].sum() == weight and len(kept) == 60 - len(set(label))
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Ids that are null or repeated: what stays is one row of each component, never less."""
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(30)]
+    near = [w[:50] + ["x"] + w[51:] for w in texts]
+    a, b, c = (" ".join(w) for w in texts[:3])
+    plus = " ".join(near[0])
+
+    def kept(rows):
+        return Counter(map(tuple, near_sets.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+
+    assert kept([(1, a), (5, plus), (5, b), (7, c)]) == Counter([(1, a), (5, b), (7, c)])
+    assert kept([(1, plus), (1, a), (1, b)]) in (Counter([(1, x), (1, b)]) for x in (a, plus))
+    assert kept([(None, a), (None, plus), (None, b), (9, plus), (None, None), (3, "")]) == Counter([(9, plus), (None, b), (3, "")])
+    rows = [(rng.choice([None, 1, 2, 3, k]), " ".join(rng.choice([texts, near])[k])) for k in range(30) for _ in range(rng.randint(1, 4))]
+    found = kept(rows)
+    best = {}
+    for i, t in rows:
+        k = next(k for k in range(30) if t in (" ".join(texts[k]), " ".join(near[k])))
+        best[k] = min(best.get(k, (True, 0)), (i is None, i or 0))
+    assert sorted((i is None, i or 0) for i, _ in found.elements()) == sorted(best.values()) and len({t for _, t in found}) == 30

@@ -14,6 +14,8 @@ SEPARATORS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that are joined by broadcast have this many rows at least, and there are so many of them at most.
 HOT_ROWS, HOT_KEYS = 1000, 2000
+#: Keys of 8 bytes that are broadcast at most. Beyond that, rows are shuffled to meet them.
+MOST_BROADCAST = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,3 +103,9 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> D
     hot = F.broadcast(keyed.filter(F.col("n") >= limit))
     cold = rows.join(F.broadcast(keyed.filter(F.col("n") >= limit).select(*key)), key, "left_anti").join(keyed.filter(F.col("n") < limit), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among ``keys`` (one column of 8 bytes), which are counted to decide how they meet."""
+    keys = materialize(keys, "without")
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, key, "left_anti")

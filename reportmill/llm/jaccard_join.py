@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import discard, join_hot, materialize, n_partitions, small_batches
+from reportmill.llm.common import MOST_BROADCAST, discard, join_hot, materialize, n_partitions, small_batches
 from reportmill.llm.near_sets import SAMPLE, TASK_ROWS, _frequencies, _key, prefix_length, shingle_set
 from reportmill.llm.simhash import components, grouped, shards
 
@@ -42,8 +42,6 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 COUNTED = 0.2
 #: Shingles that are ordered by their counts in a sample; sets and shingles of a part; sets that all parts of a group get; shingles of a task, about.
 COMMON, SET_PART, PART_SHINGLES, PIVOTS, TASK_SHINGLES = 50_000, 4096, 1_000_000, 16, 3_000_000
-#: Rows of 8 bytes that are broadcast at most; beyond that texts are shuffled to meet them.
-MOST_BROADCAST = 2_000_000
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, factor: int, similarity: float) -> np.ndarray:

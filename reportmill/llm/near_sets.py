@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize, n_partitions, small_batches
+from reportmill.llm.common import materialize, n_partitions, small_batches, without
 from reportmill.llm.simhash import SEED, _hashes, components, grouped, shards
 
 #: Words of a shingle, least Jaccard similarity.
@@ -288,4 +288,4 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, text_col:
     key = F.struct(F.col(f"row.`{id_col}`").isNull().alias("no_id"), F.col(f"row.`{id_col}`").alias("id"), "uid").alias("key")
     found = near_dedup_similar(base.select(key, F.col(f"row.`{text_col}`").alias("text")), similarity, "text", "key")
     gone = found.filter(F.col("key") != F.col("component_id")).select("key.uid")
-    return base.join(gone, "uid", "left_anti").select("row.*")
+    return without(base, gone, "uid").select("row.*")

@@ -521,3 +521,36 @@ def test_warc_min_bytes_and_damage(spark):
     for broken in (gzip.compress(record[:-6]), gzip.compress(b"x" + record), gzip.compress(record + b"\r\n")):
         with pytest.raises(ValueError):
             list(warc.parse_records(broken))
+
+
+def test_toxicity_fit_by_definition(spark):
+    """The weights of the fit are as good as those of plain gradient descent over dictionaries of features, and give the same scores."""
+    rng = random.Random(31)
+    mild, harsh = [f"calm{k}" for k in range(12)], [f"vile{k}" for k in range(6)]
+    rows = [(k, " ".join(rng.choices(mild, k=5) + rng.choices(harsh if k % 3 == 0 else mild, k=2)), int(k % 3 == 0)) for k in range(45)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    weight, intercept = toxicity.train(docs, labels, F.lit(True))
+    features = [np.unique(np.concatenate([h for _, h in toxicity.present([r[1]])])) for r in rows]
+    y = np.array([r[2] for r in rows])
+    n = {c: int((y == c).sum()) for c in (0, 1)}
+    counts = {c: Counter(f for x, z in zip(features, y, strict=True) if z == c for f in x.tolist()) for c in (0, 1)}
+    extra = {c: toxicity.SMOOTH * n[c] / len(y) for c in (0, 1)}
+    known = sorted(set(counts[0]) | set(counts[1]))
+    scale = np.array([np.log((counts[1][f] + extra[1]) / (n[1] + extra[1])) - np.log((counts[0][f] + extra[0]) / (n[0] + extra[0])) for f in known])
+    dense = np.array([np.isin(known, x) for x in features]) * scale
+    share, penalty = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]), toxicity.PENALTY / len(y)
+
+    def objective(w, b):
+        margin = dense @ w + b
+        return float((share * (np.logaddexp(0, margin) - y * margin)).sum() + penalty / 2 * (w @ w))
+
+    w, b, rate = np.zeros(len(known)), 0.0, 1.0 / (0.25 * np.linalg.norm(dense * np.sqrt(share)[:, None], 2) ** 2 + penalty + 0.25)
+    for _ in range(20_000):
+        error = share * (1 / (1 + np.exp(-(dense @ w + b))) - y)
+        w, b = w - rate * (dense.T @ error + penalty * w), b - rate * error.sum()
+    mine = np.divide(weight[known], scale, out=np.zeros(len(known)), where=scale != 0)
+    assert objective(mine.astype(float), intercept) <= objective(w, b) * 1.01 + 1e-6
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, F.lit(True)).collect()}
+    want = 1 / (1 + np.exp(-(dense @ w + b)))
+    assert max(abs(scores[k] - want[k]) for k in range(len(rows))) < 0.05

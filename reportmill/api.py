@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import fields, is_dataclass, replace
 from datetime import datetime
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,10 @@ from reportmill.sources import adapters, detect, documents, xml
 
 log = logging.getLogger("reportmill")
 
-#: Results that are written at the same time.
-WRITERS = 8
+#: Results that are written at the same time; damaged elements that an error names.
+WRITERS, SHOWN_DAMAGE = 8, 5
+#: Reports whose documents are written in one call, at most.
+MOST_DOCUMENTS = 1000
 
 
 def setup_logging(level: int = logging.INFO, format_string: str = "%(asctime)s - %(levelname)s - %(message)s") -> logging.Logger:
@@ -48,23 +52,26 @@ def ignored_options(kind: str, options: dict[str, object]) -> list[str]:
     return [x for x in other.get(kind, ()) if options.get(x)]
 
 
-def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str = "all", consolidate: bool = False, api_format: bool = False, rules_file: str | None = None, entity_limit: int | None = None, output_dir: str | None = None, output_name: str | None = None, flat_json: bool = False, strict: bool = False, log_exclusions: bool = False, documents_too: bool = False, keep: bool = True) -> dict[str, object]:
+def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str = "all", consolidate: bool = False, api_format: bool = False, rules_file: str | None = None, entity_limit: int | None = None, output_dir: str | None = None, output_name: str | None = None, flat_json: bool = False, strict: bool = False, log_exclusions: bool = False, documents_too: bool = False, keep: bool = True, damage: str = "raise") -> dict[str, object]:
     """Results by name: report, stats, and where asked for consolidated, findings and flat. Options of the other kind are ignored.
 
-    path: a file, a folder or a pattern, in any store. strict: also checks the file (which is then local). log_exclusions: writes why plugins
+    path: a file, a folder or a pattern, in any store. strict: also checks suffixes, roots and what lies outside of hosts. damage: elements that
+    cannot be read raise a ValueError, or ("report") are left out, logged and given as the table ``Parsed_damaged``. log_exclusions: writes why plugins
     were left out beside the results (or to the current folder). documents_too: also writes single JSON documents, for reports that fit the
     driver. keep: the parsed tables are kept on the executors (in memory, else on disk), since all results read them; ``release`` lets them go."""
     P.checked_limit(entity_limit)
     if kind == "auto":
         kind = detect.detect(path) if Path(path).is_file() else detect.detect_in_store(spark, path)
     adapter = adapters.adapter(kind)
-    if strict:
+    if strict and Path(path).is_file():
         detect.check(path, kind)
+    elif strict:
+        detect.check_in_store(spark, path, kind)
     r = adapter.read(spark, path, {"strict": strict, "port_status": port_status})
     if keep:
-        for df in (r.hosts, r.items, r.ports):
-            if df is not None:
-                df.persist(StorageLevel.MEMORY_AND_DISK)
+        for df in _read_often(r):
+            df.persist(StorageLevel.MEMORY_AND_DISK)
+    _look_for_damage(r, damage)
     results: dict[str, object] = {"kind": kind, "report": r, "stats": adapter.statistics(r)}
     if kind == "vuln" and consolidate:
         rules = R.load(rules_file)
@@ -83,18 +90,53 @@ def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str
     return results
 
 
+def _read_often(r: xml.Report) -> list[DataFrame]:
+    return [df for df in (r.elements, r.hosts, r.items, r.ports) if df is not None]
+
+
+def _look_for_damage(r: xml.Report, damage: str) -> None:
+    """Raises, or logs, what the files have that cannot be read."""
+    if damage not in ("raise", "report"):
+        raise ValueError(f"damage is 'raise' or 'report', not {damage!r}")
+    if r.damaged is None:
+        return
+    found = r.damaged.limit(SHOWN_DAMAGE + 1).collect()
+    said = [f"{x.file_id}, {'outside of hosts' if x.host_ord is None else f'host {x.host_ord}'}: {x.cause}" for x in found[:SHOWN_DAMAGE]] + ["and more"] * (len(found) > SHOWN_DAMAGE)
+    if found and damage == "raise":
+        raise ValueError(f"the report is damaged; {'; '.join(said)}")
+    for x in said:
+        log.error("left out: %s", x)
+
+
 def release(results: dict[str, object]) -> None:
     """Let the parsed tables go that ``process`` keeps."""
     r, done = results["report"], results.get("consolidated")
-    for df in (r.hosts, r.items, r.ports, done.evaluation if done else None):
-        if df is not None:
-            df.unpersist()
+    for df in (*_read_often(r), *([done.evaluation] if done else [])):
+        df.unpersist()
+
+
+def files_of(results: dict[str, object], most: int) -> list[str]:
+    """The files that the results are of, in order, ``most`` of them at most."""
+    return [r.file_id for r in results["report"].context.select("file_id").orderBy("file_id").limit(most).collect()]
+
+
+def of_file(results: dict[str, object], file_id: str) -> dict[str, object]:
+    """The results of one of several files."""
+
+    def mine(x: object) -> object:
+        if isinstance(x, DataFrame):
+            return x.filter(F.col("file_id") == file_id) if "file_id" in x.columns else x
+        if isinstance(x, dict):
+            return {k: mine(v) for k, v in x.items()}
+        return replace(x, **{f.name: mine(getattr(x, f.name)) for f in fields(x)}) if is_dataclass(x) else x
+
+    return mine(results)
 
 
 def tables(results: dict[str, object]) -> dict[str, DataFrame]:
     """All tables of the results by the name they are written under."""
     r, done = results["report"], results.get("consolidated")
-    found = {"Parsed_hosts": r.hosts, "Parsed_context": r.context, "Parsed_items": r.items, "Parsed_ports": None if r.ports is None else stats.last_ports(r.ports), "Flat": results.get("flat"), "API_Ready": results.get("findings")}
+    found = {"Parsed_hosts": r.hosts, "Parsed_context": r.context, "Parsed_damaged": r.damaged, "Parsed_items": r.items, "Parsed_ports": None if r.ports is None else stats.last_ports(r.ports), "Flat": results.get("flat"), "API_Ready": results.get("findings")}
     found |= {f"Stats_{k}": v for k, v in results["stats"].items()}
     found |= {f"Consolidated_{k}": getattr(done, k) for k in ("entries", "services", "outputs", "metadata", "evaluation")} if done else {}
     return {k: df for k, df in found.items() if df is not None}
@@ -167,7 +209,24 @@ def consolidated_document(done: C.Consolidated) -> dict:
 
 
 def write_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
-    """Single JSON documents of one report, whose results have to fit the driver. Says which were written."""
+    """Single JSON documents, those of one report each, whose results have to fit the driver. Says which were written.
+
+    Of several reports each has its own documents, named by its file as well."""
+    files = files_of(results, MOST_DOCUMENTS + 1)
+    if len(files) > MOST_DOCUMENTS:
+        raise ValueError(f"documents of more than {MOST_DOCUMENTS} reports are not written at once; write the tables instead")
+    if len(files) < 2:
+        return _write_documents(results, source, output_dir, name)
+    written = {}
+    for k, file_id in enumerate(files, 1):
+        # Files of different folders may have one name.
+        stem = f"{k}_{Path(unquote(file_id)).stem}"
+        found = _write_documents(of_file(results, file_id), stem, output_dir, f"{Path(name).stem}_{stem}.json" if name else None)
+        written |= {f"{stem}_{kind}": done for kind, done in found.items()}
+    return written
+
+
+def _write_documents(results: dict[str, object], source: str, output_dir: str, name: str | None) -> dict[str, bool]:
     folder, found = documents.ensure_directory(output_dir), {"Parsed": parsed_document(results)}
     if results.get("consolidated"):
         found["Consolidated"] = consolidated_document(results["consolidated"])

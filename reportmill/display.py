@@ -1,4 +1,4 @@
-"""Summaries for the console, as text made from the tables of statistics. Only counts and top lists come to the driver."""
+"""Summaries for the console, as text made from the tables of statistics of one report. Only counts and top lists come to the driver."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reportmill import api
 from reportmill.functions.scalars import SEVERITIES
 from reportmill.operators import report as P
 from reportmill.operators import stats
 
-WIDTH = 60
+#: Characters of a line; reports that are summarised at once.
+WIDTH, MOST_REPORTS = 60, 20
 CODES = {"red": 31, "green": 32, "yellow": 33, "magenta": 35, "cyan": 36, "bold": 1, "orange": "38;5;214"}
 RISKS = {"Critical": "magenta", "High": "red", "Medium": "orange", "Low": "yellow", "None": "green"}
 
@@ -106,8 +108,18 @@ SUMMARIES = {"vuln": vulnerability_summary, "net": scan_summary}
 
 
 def summaries(results: dict[str, object], colour: bool | None = None) -> str:
-    """All summaries that the results of ``process`` give, by the report's kind."""
+    """All summaries that the results of ``process`` give, by the report's kind; of several reports, those of the first ``MOST_REPORTS``, each under its name."""
     colour = sys.stdout.isatty() if colour is None else colour
+    files = api.files_of(results, MOST_REPORTS + 1)
+    if len(files) < 2:
+        return _summaries(results, colour)
+    out = [f"{paint(f, 'bold', colour)}\n\n{_summaries(api.of_file(results, f), colour)}" for f in files[:MOST_REPORTS]]
+    if len(files) > MOST_REPORTS:
+        out.append(f"{results['report'].context.count() - MOST_REPORTS} more reports")
+    return "\n\n".join(out)
+
+
+def _summaries(results: dict[str, object], colour: bool) -> str:
     r = results["report"]
     out = [SUMMARIES[r.kind](r, results["stats"], colour)] if r.kind in SUMMARIES else []
     if results.get("consolidated"):

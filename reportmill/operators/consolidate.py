@@ -42,26 +42,47 @@ def evaluate_rules(plugins: DataFrame, plugin_hosts: DataFrame, rules: list[dict
     """One row for each plugin and rule: rule_ord, rule_name, matched, reason. Rules do not exclude each other.
 
     The outputs of a plugin count as one text, one host's after the other's. A pattern that cannot reach over a line's end is tested
-    host by host, so that only one bit for each pattern is shuffled. Outputs are joined for the other patterns, and only of
-    plugins that such a rule lets through so far."""
+    host by host, so that only one bit for each pattern is shuffled. One that asks for something, any text, and something else is tested in each
+    output, and beyond that its first half must be found in an output before one that has its second half: two places are shuffled. Outputs are
+    joined for other patterns alone, and only of plugins that such a rule lets through so far."""
     name, family = F.coalesce(F.col("name"), F.lit("")), F.col("family")
     readers = [r for r in rules if R.reads_output(r)]
     base = plugins.select("file_id", "plugin_id", "name", "family", F.col("ord").alias("plugin_ord"))
     patterns = sorted({p for r in readers for p in R.output_patterns(r)})
     single = [p for p in patterns if R.within_a_line(p)]
+    parted = {p: h for p in patterns if p not in single and (h := R.halves(p))}
+    deep = [p for p in single if R.recursive(p)]
     key, held = ["file_id", "plugin_id"], {}
     if patterns:
         some = base.filter(_passing(readers, name, family)).select(*key)
-        spoken = plugin_hosts.filter(F.col("plugin_output") != "").join(some, key, "left_semi")
-        found = spoken.groupBy(*key).agg(F.lit(True).alias("spoken"), *[F.bool_or(R.output_match(F.col("plugin_output"), p)).alias(f"p{patterns.index(p)}") for p in single])
-        base = base.join(found, key, "left")
-        held = {p: F.coalesce(F.col(f"p{patterns.index(p)}"), F.lit(False)) for p in single}
-    if len(single) < len(patterns):
-        wide = [r for r in readers if set(R.output_patterns(r)) - set(single)]
+        output = F.col("plugin_output")
+        said = plugin_hosts.filter(output != "").join(some, key, "left_semi")
+        if deep:
+            said = said.withColumn("deep", R.python_matches(output, deep))
+        found = {}
+        for k, p in enumerate(patterns):
+            if p in deep:
+                found[f"p{k}"] = F.bool_or(F.get("deep", deep.index(p)))
+            elif p in single:
+                found[f"p{k}"] = F.bool_or(R.output_match(output, p))
+            elif p in parted:
+                first, second = parted[p]
+                found[f"p{k}"] = F.bool_or(R.output_match(output, first + R.GAPS[0] + second))
+                found[f"first{k}"] = F.min(F.when(R.output_match(F.concat(output, F.lit("\n")), first), F.col("ord")))
+                found[f"last{k}"] = F.max(F.when(R.output_match(output, second), F.col("ord")))
+        spoken = said.groupBy(*key).agg(F.lit(True).alias("spoken"), *[c.alias(n) for n, c in found.items()])
+        base = base.join(spoken, key, "left")
+        for k, p in enumerate(patterns):
+            if p in single or p in parted:
+                over = F.col(f"first{k}") < F.col(f"last{k}") if p in parted else F.lit(False)
+                held[p] = F.coalesce(F.col(f"p{k}"), F.lit(False)) | F.coalesce(over, F.lit(False))
+    rest = [p for p in patterns if p not in held]
+    if rest:
+        wide = [r for r in readers if set(R.output_patterns(r)) & set(rest)]
         some = base.filter(_passing(wide, name, family)).select(*key)
         joined = plugin_hosts.filter(F.col("plugin_output") != "").join(some, key, "left_semi").groupBy(*key).agg(F.array_join(in_order(F.col("plugin_output"), F.col("ord")), "\n").alias("outputs"))
-        base = base.join(joined, key, "left")
-        held |= {p: F.coalesce(R.output_match(F.col("outputs"), p), F.lit(False)) for p in patterns if p not in single}
+        base = base.join(joined.select(*key, R.python_matches(F.col("outputs"), rest).alias("rest")), key, "left")
+        held |= {p: F.coalesce(F.get("rest", k), F.lit(False)) for k, p in enumerate(rest)}
     spoken = F.coalesce(F.col("spoken"), F.lit(False)) if patterns else F.lit(False)
     results = F.array(*[R.evaluate(k, r, name, family, spoken, held) for k, r in enumerate(rules)])
     return base.select("file_id", "plugin_id", "name", "plugin_ord", F.explode(results).alias("r")).select("file_id", "plugin_id", "name", "plugin_ord", "r.*")

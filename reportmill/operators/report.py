@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions.scalars import in_order, strip
@@ -22,12 +22,19 @@ def checked_limit(limit: int | None) -> int | None:
     return limit
 
 
-def entities(services: DataFrame) -> DataFrame:
-    """Ordered distinct entities of each file and rule: a service's name (if any), then its address and port."""
+def entities(services: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ordered distinct entities of each file and rule: a service's name (if any), then its address and port.
+
+    limit: one more entity than that is kept at most, which is enough to tell; of each rule no task holds more."""
     place = F.when(F.coalesce(F.col("port"), F.lit("")) != "", F.concat_ws(":", "ip", "port")).otherwise(F.col("ip"))
     name = strip(F.coalesce(F.col("fqdn"), F.lit("")))
     named = F.filter(F.array(name, place), lambda x: x.isNotNull() & (x != ""))
-    return services.groupBy("file_id", "rule_ord").agg(F.array_distinct(F.flatten(in_order(named, F.col("first_seen")))).alias("entities"))
+    if limit is None:
+        return services.groupBy("file_id", "rule_ord").agg(F.array_distinct(F.flatten(in_order(named, F.col("first_seen")))).alias("entities"))
+    seen = services.select("file_id", "rule_ord", "first_seen", F.posexplode(named).alias("pos", "entity"))
+    seen = seen.groupBy("file_id", "rule_ord", "entity").agg(F.min(F.struct("first_seen", "pos")).alias("at"))
+    first = seen.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "rule_ord").orderBy("at"))).filter(F.col("rank") <= limit + 1)
+    return first.groupBy("file_id", "rule_ord").agg(in_order(F.col("entity"), F.col("rank")).alias("entities"))
 
 
 def html(entities: Column, limit: int | None = None) -> Column:
@@ -38,7 +45,7 @@ def html(entities: Column, limit: int | None = None) -> Column:
 def findings(entries: DataFrame, services: DataFrame, limit: int | None = None) -> DataFrame:
     """type, finding_id and affected_entities of rules that have an internal id and affect anything."""
     checked_limit(limit)
-    rows = entries.filter("has_internal_id").select("file_id", "rule_ord", "internal_id").join(entities(services).filter(F.size("entities") > 0), ["file_id", "rule_ord"])
+    rows = entries.filter("has_internal_id").select("file_id", "rule_ord", "internal_id").join(entities(services, limit).filter(F.size("entities") > 0), ["file_id", "rule_ord"])
     return rows.select("file_id", "rule_ord", F.lit("stock").alias("type"), F.col("internal_id").alias("finding_id"), html(F.col("entities"), limit).alias("affected_entities"))
 
 

@@ -8,6 +8,8 @@ call serves one report or a directory of them, and each aggregate shuffles on it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +60,11 @@ def family_counts(plugins: DataFrame) -> DataFrame:
 
 
 def host_severities(items: DataFrame) -> DataFrame:
-    """Distinct plugins of each host and label, by each item's own severity."""
-    label = severity_label(F.col("severity"))
-    return items.groupBy("file_id", "host_ord").agg(*[F.count_distinct(F.when(label == x, F.col("plugin_id"))).alias(x.lower()) for x in SEVERITIES.values()])
+    """Distinct plugins of each host and label, by each item's own severity. The labels of a plugin on a host are first put into one mask of bits."""
+    label, labels = severity_label(F.col("severity")), list(SEVERITIES.values())
+    bit = reduce(lambda other, k: F.when(label == labels[k], F.lit(1 << k)).otherwise(other), range(len(labels)), F.lit(0))
+    masks = items.filter(F.col("plugin_id").isNotNull()).groupBy("file_id", "host_ord", "plugin_id").agg(F.bit_or(bit).alias("mask"))
+    return masks.groupBy("file_id", "host_ord").agg(*[F.count_if(F.col("mask").bitwiseAND(1 << k) != 0).alias(x.lower()) for k, x in enumerate(labels)])
 
 
 def host_ports(items: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ import re
 from functools import reduce
 from importlib import resources
 from pathlib import Path
+from re import _constants, _parser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +113,77 @@ def output_patterns(rule: dict) -> list[str]:
 
 def within_a_line(pattern: str) -> bool:
     """Whether a match surely has no line break and depends on nothing beyond its line; what may have one is never said to be within."""
-    return not re.search(r"\\[nrRsSWDHVvfxuUZzAGBbNpPXkQE0-9]|\[\^|\(\?|\n|\r", pattern)
+    return not re.search(r"\\[nrRsSWDHVvfxuUZzAGBNpPXkQE0-9]|\[\^|\(\?|\n|\r", pattern)
+
+
+#: Spellings of a stretch of any text, line ends included; the first is the one that is tested.
+GAPS = (r"[\s\S]*?", r"[\s\S]*", *(f"{group}{body}){again}{rest}" for group in ("(", "(?:") for body, rest in ((r".*\n", ".*"), (r".|\n", "")) for again in ("*?", "*")))
+
+
+def halves(pattern: str) -> tuple[str, str] | None:
+    """What a pattern asks for before and after any text, if that is all it asks for; each lies within a line, but that the first may end in white space
+    and one line break."""
+    parts, depth, at = [""], 0, 0
+    while at < len(pattern):
+        gap = max((g for g in GAPS if pattern.startswith(g, at)), key=len, default="") if depth == 0 else ""
+        if gap:
+            parts.append("")
+            at += len(gap)
+            continue
+        c = pattern[at]
+        end = at + 1
+        if c == "\\":
+            end = at + 2
+        elif c == "[":
+            end = pattern.index("]", at + (3 if pattern.startswith("[^", at) else 2)) + 1
+            if "[" in pattern[at + 1 : end] or "\\]" in pattern[at:end]:
+                return None
+        elif c == "|" and depth == 0:
+            return None
+        depth += (c == "(") - (c == ")")
+        parts[-1] += pattern[at:end]
+        at = end
+    if len(parts) != 2 or not all(parts):
+        return None
+    line = re.sub(r"(\\s\*\??)?(\\n)?$", "", parts[0])
+    return (parts[0], parts[1]) if line and within_a_line(line) and within_a_line(parts[1]) and not recursive(parts[0]) and not recursive(parts[1]) else None
+
+
+def recursive(pattern: str) -> bool:
+    """Whether a group may be repeated without end. Java's matcher goes a call deeper each time and fails on long texts; Python's does not."""
+
+    def within(tree) -> bool:
+        for op, arg in tree:
+            if op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT, _constants.POSSESSIVE_REPEAT):
+                least, most, body = arg
+                one = len(body) == 1 and body[0][0] in (_constants.LITERAL, _constants.NOT_LITERAL, _constants.ANY, _constants.IN, _constants.CATEGORY)
+                if (most == _constants.MAXREPEAT or most > DEEPEST) and not one or within(body):
+                    return True
+            elif op is _constants.BRANCH:
+                if any(within(x) for x in arg[1]):
+                    return True
+            elif isinstance(arg, tuple) and any(within(x) for x in arg if isinstance(x, _parser.SubPattern)):
+                return True
+            elif isinstance(arg, _parser.SubPattern) and within(arg):
+                return True
+        return False
+
+    return within(_parser.parse(pattern))
+
+
+#: Repetitions of a group that are left to Java.
+DEEPEST = 200
+
+
+def python_matches(text: Column, patterns: list[str]) -> Column:
+    """Array: of each pattern, whether a text matches it. For those that are too deep for Java."""
+    found = [re.compile(p, re.IGNORECASE | re.MULTILINE) for p in patterns]
+
+    @F.pandas_udf("array<boolean>")
+    def matches(text: pd.Series) -> pd.Series:
+        return pd.Series([[bool(p.search(x or "")) for p in found] for x in text])
+
+    return matches(text)
 
 
 def output_match(output: Column, pattern: str) -> Column:

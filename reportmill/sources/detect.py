@@ -1,6 +1,7 @@
 """Kinds of report files: by their suffix and root element, else by their first characters.
 
-``detect`` and the checks read a local file on the driver; ``detect_in_store`` reads the first bytes of a file or folder in any store.
+``detect`` and ``check`` read a local file on the driver; ``detect_in_store`` reads the first bytes of a file or folder in any store, and
+``check_in_store`` has the executors check whole files.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from reportmill import kinds  # noqa: F401 (registers the built-in kinds)
@@ -78,22 +81,47 @@ def detect(path: str | Path) -> str:
     raise ValueError(f"{path} is no report of a known kind")
 
 
-def head(spark: SparkSession, path: str, n: int = 1024) -> str:
-    """The first n bytes of a file in any store that Spark reads, or of the first file of a folder or pattern. Raises FileNotFoundError."""
+def _files(spark: SparkSession, path: str) -> list:
+    """The files of a path, folder or pattern in any store, sorted; hidden ones and those of folders within are left out."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = list(fs.globStatus(at) or [])
     files = [f for x in found for f in (fs.listStatus(x.getPath()) if x.isDirectory() else [x]) if f.isFile() and not f.getPath().getName().startswith((".", "_"))]
     if not files:
         raise FileNotFoundError(path)
-    at = min((f.getPath() for f in files), key=lambda f: f.toString())
-    stream = fs.open(at)
+    return sorted((f.getPath() for f in files), key=lambda f: f.toString())
+
+
+def head(spark: SparkSession, path: str, n: int = 1024) -> str:
+    """The first n bytes of a file in any store that Spark reads, or of the first file of a folder or pattern. Raises FileNotFoundError."""
+    at = _files(spark, path)[0]
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
     try:
         return bytes(b & 255 for b in spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, n))).decode("utf-8", "replace")
     finally:
         stream.close()
 
 
+def check_in_store(spark: SparkSession, path: str, kind: str) -> None:
+    """The strict checks of files in any store. Hosts are checked by those tasks that read them, and what lies outside of them as a document of its own,
+    so files of any size are. Raises FileNotFoundError or ValueError."""
+    adapter, files = adapters.adapter(kind), _files(spark, path)
+    for f in files:
+        if not f.getName().lower().endswith(tuple(adapter.suffixes)):
+            raise ValueError(f"{f.toString()} does not end in {' or '.join(adapter.suffixes)}")
+    r = adapter.read(spark, path, {"strict": False, "port_status": "all"})
+    if r.damaged is not None and (bad := r.damaged.first()):
+        raise ValueError(f"{bad.file_id} is not well-formed: {bad.cause}")
+    try:
+        rows = [] if r.root is None else r.root.collect()
+    except (PySparkException, Py4JJavaError) as e:
+        if "SAXParseException" not in str(e):
+            raise
+        raise ValueError(f"{path} is not well-formed outside of hosts") from e
+    if kind == "net" and (other := [x.file_id for x in rows if x.root not in adapter.roots]):
+        raise ValueError(f"{other[0]} is no port scan")
+
+
 def detect_in_store(spark: SparkSession, path: str) -> str:
     """The kind of a file, or of a folder by its first file, in any store; by its first characters."""
     if found := adapters.by_head(head(spark, path)):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportmill.functions.scalars import in_order
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +70,62 @@ def net_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Hosts of a written report.
+HOSTS_OF_A_FILE = 25
+
+
+def _escaped(x: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(raw), F.lit(safe))
+    return x
+
+
+def said(items: DataFrame) -> Column:
+    """An output with characters that XML keeps for itself, and with tags."""
+    return F.concat(F.col("plugin_output"), F.lit(" <&> </ReportHost><ReportHost> "), F.col("plugin_id"))
+
+
+def address(host_ord: Column) -> Column:
+    """One for each host."""
+    return F.concat_ws(".", F.lit("10"), F.floor(host_ord / 65536), F.floor(host_ord / 256) % 256, host_ord % 256)
+
+
+def _written(spark: SparkSession, hosts: DataFrame, before: str, after: str) -> str:
+    """hosts: host_ord, x (an element). A folder with reports of some hosts each, without white space between them."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local["):
+        root = tempfile.mkdtemp(prefix="reportmill-")
+    folder = f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files = hosts.groupBy(F.floor(F.col("host_ord") / HOSTS_OF_A_FILE).alias("file")).agg(F.array_join(in_order(F.col("x"), F.col("host_ord")), "").alias("x"))
+    files.select("file", F.concat(F.lit(before), "x", F.lit(after)).alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    return folder + "/file=*/"
+
+
+def write_vulnerabilities(spark: SparkSession, sf_dir: str) -> str:
+    """The findings as reports in XML; returns their pattern. Outputs are escaped or in character data sections, and comments hold tags."""
+    rows, n = items(spark, sf_dir), F.col("ord.l_linenumber")
+    attributes = [F.concat(F.lit(f' {a}="'), _escaped(F.col(c).cast("string")), F.lit('"')) for a, c in (("port", "port"), ("svc_name", "svc_name"), ("protocol", "protocol"), ("severity", "severity"), ("pluginID", "plugin_id"), ("pluginName", "name"), ("pluginFamily", "family"))]
+    output = F.when(n % 2 == 0, F.concat(F.lit("<![CDATA["), said(rows), F.lit("]]>"))).otherwise(_escaped(said(rows)))
+    aside = F.when(n % 3 == 0, "<!-- </ReportHost><ReportHost name='none'> -->").when(n % 3 == 1, "\n").otherwise("")
+    element = F.concat(aside, F.lit("<ReportItem"), *attributes, F.lit("><plugin_output>"), output, F.lit("</plugin_output></ReportItem>"))
+    found = rows.groupBy("host_ord").agg(F.array_join(in_order(element, F.col("ord")), "").alias("items"))
+    head = F.concat(F.lit('<ReportHost name="h"><HostProperties><tag name="host-ip">'), address(F.col("host_ord")), F.lit("</tag></HostProperties>"))
+    hosts = found.select("host_ord", F.concat(head, "items", F.lit("</ReportHost>")).alias("x"))
+    return _written(spark, hosts, '<?xml version="1.0"?><NessusClientData_v2><Report name="r">', "</Report></NessusClientData_v2>")
+
+
+def write_scans(spark: SparkSession, sf_dir: str) -> str:
+    """The ports as port scans in XML; returns their pattern."""
+    rows = net_ports(spark, sf_dir)
+    service = F.when(F.col("service_name") != "", F.concat(F.lit('<service name="'), "service_name", F.lit('" product="'), "product", F.lit('" version="'), "version", F.lit('"/>'))).otherwise("")
+    element = F.concat(F.lit('<port protocol="'), "protocol", F.lit('" portid="'), "port_id", F.lit('"><state state="'), "status", F.lit('"/>'), service, F.lit("</port>"))
+    found = rows.groupBy("host_ord").agg(F.array_join(in_order(element, F.col("ord")), "").alias("ports"))
+    hosts = found.select("host_ord", F.concat(F.lit('<host><status state="up"/><address addr="'), address(F.col("host_ord")), F.lit('" addrtype="ipv4"/><ports>'), "ports", F.lit("</ports></host>")).alias("x"))
+    return _written(spark, hosts, '<?xml version="1.0"?><nmaprun start="1" version="7">', '<runstats><finished time="61"/></runstats></nmaprun>')
+
+
 #: The same tables in SQL.
 SQL = r"""
 items as (

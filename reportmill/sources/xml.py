@@ -1,11 +1,13 @@
 """Reports in XML as canonical tables. Every leaf is read as a string and cast later.
 
-Hosts are most of a report and independent of each other. So a file is read as text whose lines end in a host's closing tag, which Spark splits
-over tasks however large the file is; each host is then parsed by itself. What lies outside of hosts is put together again to a small
-document, which has the context.
-
-Files are in UTF-8, compressed ones included (which are not split). Ordinals are taken where a row is read (file, block, running id), before any shuffle, so they follow document order. Hosts are numbered
-by block: ranks within the blocks, and the sums of the blocks before.
+Hosts are most of a report and independent of each other. So a file is read as text whose rows end where a host's closing tag begins, which Spark
+splits over tasks however large the file is; each host is then parsed by itself. What lies outside of hosts is put together again to a small
+document, which has the context. Where rows end is settled in :mod:`scan`: neither comments, character data sections and instructions
+that hold such tags, nor other encodings, move a boundary.
+
+Ordinals are taken where a row is read (file, block, running id), before any shuffle, so they follow document order. Hosts are numbered
+by block: ranks within the blocks, and the sums of the blocks before. Elements that are damaged keep their number, are in no other table, and
+have a row in ``damaged`` each.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import scalars as S
 from reportmill.functions.scalars import in_order
+from reportmill.sources import scan
 
 _CHILDREN = "risk_factor cvss_base_score cvss_temporal_score cvss_vector cvss3_base_score cvss3_temporal_score cvss3_vector description synopsis solution plugin_output".split()
 _ATTRIBUTES = "pluginID pluginName pluginFamily severity port protocol svc_name".split()
@@ -32,53 +35,97 @@ NET_HOST = (
 
 @dataclass
 class Report:
-    """Lazy tables of a report or of many: context, hosts and items (vulnerability reports) or ports (port scans)."""
+    """Lazy tables of a report or of many: context, hosts and items (vulnerability reports) or ports (port scans).
+
+    damaged: file_id, host_ord (null for what is no host), cause and start (how the element begins) of what could not be read.
+    elements: what all but the context is made of, parsed once where it is kept. root: file_id and the root's name; reading it
+    parses what lies outside of hosts."""
 
     kind: str
     context: DataFrame
     hosts: DataFrame
     items: DataFrame | None = None
     ports: DataFrame | None = None
+    damaged: DataFrame | None = None
+    elements: DataFrame | None = None
+    root: DataFrame | None = None
 
 
 #: A start tag's attributes, whose values may hold any character but their quotes and "<".
 _ATTRIBUTE = r"""(\s+[\w:.-]+\s*=\s*("[^"]*"|'[^']*'))*\s*"""
+#: Characters of a damaged element that its row shows.
+SHOWN = 200
+FOREIGN = "not in the encoding it says"
 
 
 def _pieces(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
-    """file_id, place, pieces: text that ends before a closing tag of ``tag``, cut before each of its start tags."""
-    rows = spark.read.option("lineSep", f"</{tag}>").text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    return rows.select(F.col("_metadata.file_path").alias("file_id"), place.alias("place"), F.split("value", rf"(?=<{tag}[\s/>])").alias("pieces"))
-
-
-def _elements(pieces: DataFrame, tag: str, schema: str, only: str | None = None) -> DataFrame:
-    """One row for each element: its fields, file_id, place and host_ord, from 1 in document order. What is not whole is left out.
-
-    only: of the element's text no more than the first child of that name is parsed."""
-    alone = rf"^<{tag}{_ATTRIBUTE}/>"
-    found = pieces.select("file_id", "place", F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("pos", "x"))
-    number = found.select("file_id", F.struct("place.block", "place.id", "pos").alias("place"), F.when(F.col("x").rlike(alone), F.regexp_extract("x", alone, 0)).otherwise(F.concat("x", F.lit(f"</{tag}>"))).alias("x"))
-    blocks = number.groupBy("file_id", "place.block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    if only:
-        child = F.regexp_extract("x", rf"(?s)<{only}\s*/>|<{only}[\s>].*?</{only}>", 0)
-        number = number.withColumn("x", F.concat(F.lit(f"<{tag}>"), child, F.lit(f"</{tag}>")))
-    # Hosts are parsed by the tasks that read them; only the columns that are asked for go on.
+    """file_id, place, valid (whether it is in its encoding), pieces: text up to a closing tag of ``tag``, cut before each of its start tags. The first
+    piece lies outside of all."""
+    rows = scan.rows(spark, path, tag)
+    text = F.when(scan.marked(F.col("value")), scan.plain(F.col("value"))).otherwise(F.col("value"))
+    # The line break keeps a start tag at the very beginning from being taken for the first piece.
+    outside = F.concat(F.lit("\n"), F.regexp_replace(text, r"^\s*>", ""))
+    return rows.select("file_id", "place", F.is_valid_utf8("value").alias("valid"), F.split(outside, rf"(?=<{tag}[\s/>])").alias("pieces"))
+
+
+def _alone(tag: str) -> str:
+    return rf"^<{tag}{_ATTRIBUTE}/>"
+
+
+def _numbered(pieces: DataFrame, tag: str) -> DataFrame:
+    """One row for each start tag: file_id, place, valid, host_ord (from 1 in document order), x (the element's text) and open, if it has no end."""
+    found = pieces.select("file_id", "place", "valid", F.size("pieces").alias("n"), F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("pos", "x"))
+    alone = F.col("x").rlike(_alone(tag))
+    # Of a row only the last element can have an end tag behind it.
+    number = found.select(
+        "file_id", "valid", F.struct("place.block", "place.id", "pos").alias("place"), F.when(alone, F.regexp_extract("x", _alone(tag), 0)).otherwise(F.concat("x", F.lit(f"</{tag}>"))).alias("x"),
+        (~alone & (F.col("pos") < F.col("n") - 2)).alias("open"), alone.alias("alone"))
+    blocks = pieces.groupBy("file_id", "place.block").agg(F.sum(F.size("pieces") - 1).alias("n"), F.max("place.id").alias("last"))
+    upto = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    final = F.max("block").over(Window.partitionBy("file_id")) == F.col("block")
+    blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.when(final, F.col("last")).alias("last"))
+    ranked = number.withColumn("block", F.col("place.block")).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("place")))
+    joined = ranked.join(blocks, ["file_id", "block"])
+    ended = F.col("open") | (~F.col("alone") & F.coalesce(F.col("place.id") == F.col("last"), F.lit(False)))
+    return joined.select("file_id", "place", "valid", (F.col("before") + F.col("rank")).cast("long").alias("host_ord"), "x", ended.alias("open"))
+
+
+def _elements(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
+    """One row for each element: file_id, host_ord, cause (null for those that are whole), start (how a damaged one begins) and its fields."""
     options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = number.select("file_id", "place", F.col("place.block").alias("block"), F.from_xml("x", f"{schema}, _corrupt string", options).alias("e")).select("file_id", "place", "block", "e.*")
-    ranked = parsed.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("place")))
-    joined = ranked.join(blocks, ["file_id", "block"]).filter("_corrupt is null").withColumn("host_ord", (F.col("before") + F.col("rank")).cast("long"))
-    return joined.drop("block", "before", "rank", "_corrupt")
+    parsed = _numbered(pieces, tag).select("*", F.from_xml("x", f"{schema}, _corrupt string", options).alias("e"))
+    cause = F.when(F.col("open"), f"no end tag of {tag}").when(~F.col("valid"), FOREIGN).when(F.col("e._corrupt").isNotNull(), "not well-formed")
+    named = parsed.withColumn("cause", cause)
+    return named.select("file_id", "host_ord", "cause", F.when(F.col("cause").isNotNull(), F.left("x", F.lit(SHOWN))).alias("start"), "e.*").drop("_corrupt")
+
+
+def _whole(elements: DataFrame) -> DataFrame:
+    return elements.filter("cause is null").drop("cause", "start")
+
+
+def _damaged(pieces: DataFrame, elements: DataFrame, tag: str) -> DataFrame:
+    """file_id, host_ord, cause, start: elements that are not whole, and end tags that end nothing."""
+    last = pieces.groupBy("file_id").agg(F.max("place").alias("last"))
+    # A row without an open element that is not the file's last ends with a tag too many.
+    idle = (F.size("pieces") < 2) | F.element_at("pieces", -1).rlike(_alone(tag))
+    stray = pieces.filter(idle).select("file_id", "place", F.left(F.element_at("pieces", -1), F.lit(SHOWN)).alias("start")).join(last, "file_id").filter("place < last")
+    outside = stray.withColumn("cause", F.lit(f"an end tag of {tag} without a start"))
+    foul = pieces.filter(~F.col("valid") & (F.size("pieces") < 2)).select("file_id", F.left(F.get("pieces", 0), F.lit(SHOWN)).alias("start"), F.lit(FOREIGN).alias("cause"))
+    stray = outside.select("file_id", "start", "cause").unionByName(foul).withColumn("host_ord", F.lit(None).cast("long"))
+    return elements.filter("cause is not null").select("file_id", "host_ord", "cause", "start").unionByName(stray)
 
 
 def _context(pieces: DataFrame, tag: str) -> DataFrame:
     """file_id and x, the file without its elements of ``tag``."""
-    alone = rf"^<{tag}{_ATTRIBUTE}/>"
+    alone = _alone(tag)
     outside = F.concat(F.get("pieces", 0), F.array_join(F.transform(F.filter(F.slice("pieces", 2, F.size("pieces")), lambda x: x.rlike(alone)), lambda x: F.regexp_replace(x, alone, "")), ""))
-    joined = pieces.select("file_id", "place", outside.alias("x")).filter("trim(x) <> ''").groupBy("file_id").agg(F.array_join(in_order(F.col("x"), F.col("place")), "").alias("x"))
-    return joined.withColumn("x", F.regexp_replace("x", r"^\uFEFF|<!DOCTYPE[^>\[]*(\[[^\]]*\])?\s*>", ""))
+    joined = pieces.select("file_id", "place", outside.alias("x")).filter(r"x rlike '\\S'").groupBy("file_id").agg(F.array_join(in_order(F.col("x"), F.col("place")), "").alias("x"))
+    return joined.withColumn("x", F.regexp_replace("x", r"^\s*\uFEFF|<!DOCTYPE[^>\[]*(\[[^\]]*\])?\s*>", ""))
+
+
+def _root(outside: DataFrame) -> DataFrame:
+    """file_id, root: the name of each file's root element; what is not well-formed raises."""
+    return outside.select("file_id", F.xpath_string("x", F.lit("name(/*)")).alias("root"))
 
 
 def _at(path: str) -> Column:
@@ -99,13 +146,14 @@ def _number(x: Column, strict: bool) -> Column:
 def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: bool = False) -> Report:
     """Vulnerability reports. strict: numbers that are none raise, else they are null."""
     pieces = _pieces(spark, path, "ReportHost")
-    hosts = _elements(pieces, "ReportHost", PROPERTIES, "HostProperties")
+    elements = _elements(pieces, "ReportHost", VULN_HOST)
+    hosts = _whole(elements)
     start, end = S.report_time(_tag("HOST_START")), S.report_time(_tag("HOST_END"))
     table = hosts.select(
         "file_id", "host_ord", _tag("host-ip").alias("ip"), _tag("host-fqdn").alias("fqdn"), S.host_names(_tag("host-fqdns"), _tag("host-fqdn")).alias("fqdns"),
         _tag("operating-system").alias("os"), S.time_text(start).alias("scan_start"), S.time_text(end).alias("scan_end"),
         S.flag(_tag("Credentialed_Scan")).alias("credentialed"), F.col("HostProperties").isNotNull().alias("has_properties"))
-    exploded = _elements(pieces, "ReportHost", VULN_HOST).filter(F.col("HostProperties").isNotNull()).select("file_id", "host_ord", F.posexplode("ReportItem").alias("pos", "i"))
+    exploded = hosts.filter(F.col("HostProperties").isNotNull()).select("file_id", "host_ord", F.posexplode("ReportItem").alias("pos", "i"))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"i.{name}"), F.lit(""))
@@ -118,18 +166,20 @@ def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: boo
         F.coalesce((F.col("i._severity").cast("int") if strict else F.col("i._severity").try_cast("int")), F.lit(0)).alias("severity"), text("_pluginName").alias("name"), text("_pluginFamily").alias("family"),
         text("risk_factor").alias("risk_factor"), score("cvss").alias("cvss"), score("cvss3").alias("cvss3"), *[text(c).alias(c) for c in ("description", "synopsis", "solution", "plugin_output")],
         S.lines(F.get("i.see_also", 0)).alias("see_also"), *[F.coalesce(F.col(f"i.{c}"), F.array().cast("array<string>")).alias(c) for c in ("cve", "cwe", "xref")])
-    context = _context(pieces, "ReportHost").select(
+    outside = _context(pieces, "ReportHost")
+    context = outside.select(
         "file_id", _at("//Report/@name").alias("scan_name"), _at("//Policy//policyName/text()").alias("policy_name"),
         *[S.report_time(_at(f"(//preference[name='scan_{x}_timestamp'])[last()]/value/text()")).alias(x) for x in ("start", "end")])
     seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
     context = context.select("file_id", "scan_name", "policy_name", S.time_text(F.col("start")).alias("scan_start"), S.time_text(F.col("end")).alias("scan_end"), S.clock(seconds).alias("scan_duration"))
-    return Report("vuln", context, table, items=items)
+    return Report("vuln", context, table, items=items, damaged=_damaged(pieces, elements, "ReportHost"), elements=elements, root=_root(outside))
 
 
 def read_scans(spark: SparkSession, path: str | list[str], status: str = "all") -> Report:
     """Port scans; hosts without an IPv4 address keep their number but are left out. status: exact state of the ports, or all."""
     pieces = _pieces(spark, path, "host")
-    hosts = _elements(pieces, "host", NET_HOST)
+    elements = _elements(pieces, "host", NET_HOST)
+    hosts = _whole(elements)
     ip = F.get(F.filter("address", lambda a: a["_addrtype"] == "ipv4"), 0)["_addr"]
     hosts = hosts.withColumn("ip", ip).filter("ip <> ''")
     table = hosts.select("file_id", "host_ord", "ip", F.coalesce(F.get("hostnames.hostname", 0)["_name"], F.lit("")).alias("hostname"), F.coalesce("status._state", F.lit("unknown")).alias("host_status"))
@@ -146,5 +196,6 @@ def read_scans(spark: SparkSession, path: str | list[str], status: str = "all")
     # Without a finish, or where a time is no number, there is no duration; a finish without a time counts as 0.
     finished = F.size(F.xpath("x", F.lit("/nmaprun/runstats/finished"))) > 0
     seconds = F.coalesce(_at("/nmaprun/runstats/finished/@time"), F.lit("0")).try_cast("long") - _at("/nmaprun/@start").try_cast("long")
-    context = _context(pieces, "host").select("file_id", *[F.coalesce(_at(f"/nmaprun/{x}"), F.lit("")).alias(name) for name, x in (("scanner_version", "@version"), ("scan_command", "@args"), ("scan_type", "scaninfo/@type"), ("scan_start", "@startstr"), ("scan_end", "runstats/finished/@timestr"))], S.spoken(F.when(finished, seconds)).alias("scan_duration"))
-    return Report("net", context, table, ports=ports)
+    outside = _context(pieces, "host")
+    context = outside.select("file_id", *[F.coalesce(_at(f"/nmaprun/{x}"), F.lit("")).alias(name) for name, x in (("scanner_version", "@version"), ("scan_command", "@args"), ("scan_type", "scaninfo/@type"), ("scan_start", "@startstr"), ("scan_end", "runstats/finished/@timestr"))], S.spoken(F.when(finished, seconds)).alias("scan_duration"))
+    return Report("net", context, table, ports=ports, damaged=_damaged(pieces, elements, "host"), elements=elements, root=_root(outside))

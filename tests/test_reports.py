@@ -1,9 +1,12 @@
 """Reports on hand-written fixtures."""
 
 import json
+import random
+import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 import reportmill
 from reportmill import api, cli, display
@@ -294,3 +297,56 @@ def test_default_rules(spark):
     expected["Ping the remote host"] = {"javascript"}
     del expected["PHP Unsupported Version Detection"]
     assert matched == expected and not R.problems(R.load()) and not R.warnings(R.load())
+
+
+def test_several_reports(spark, vuln, tmp_path):
+    """Two reports of one folder keep their own summaries and documents."""
+    other = VULN.replace('name="weekly"', 'name="other"').replace('severity="3"', 'severity="1"').replace("10.0.0.1<", "10.9.9.9<")
+    (tmp_path / "s.nessus").write_text(other)
+    rules = tmp_path / "rules.json"
+    rules.write_text(json.dumps({"consolidation_rules": [_rule()]}))
+    out = tmp_path / "out"
+    done = api.process(spark, f"{tmp_path}/*.nessus", consolidate=True, api_format=True, rules_file=str(rules), output_dir=str(out), output_name="x.json", documents_too=True)
+    said = display.summaries(done, False)
+    first, second = said.split("s.nessus\n")
+    assert "r.nessus" in first and all(x.count("VULNERABILITY REPORT") == 1 and "categories: 1" in x and "hosts: 2" in x for x in (first, second))
+    docs = {p.name: documents.read_json(p) for p in out.iterdir() if p.is_file()}
+    assert len(docs) == 6 and all(done["written"].values())
+    assert [docs[f"x_{k}.json"]["context"]["scan_name"] for k in ("1_r", "2_s")] == ["weekly", "other"]
+    assert [docs[f"x_{k}.json"]["hosts"]["1"]["ip"] for k in ("1_r", "2_s")] == ["10.0.0.1", "10.9.9.9"]
+    assert [docs[f"x_{k}.json"]["hosts"]["1"]["vulnerabilities"]["high"] for k in ("1_r", "2_s")] == [1, 0]
+    assert "10.9.9.9" in docs["x_2_s_API_Ready.json"][0]["affected_entities"] and "10.9.9.9" not in docs["x_1_r_API_Ready.json"][0]["affected_entities"]
+    api.release(done)
+
+
+PATTERNS = [
+    r"aa", r"^a b$", r"b\sa", r"a\nb", r"a\s*\n[\s\S]*?b", r"a\n(.*\n)*?.*b a", r"^b[\s\S]*a$", r"b(.|\n)*c", r"(ab)+c", r"(a|b)*c", r"a[\s\S]*b[\s\S]*c", r"c|a[\s\S]*b", r"[^a]b", r"(?=a)ab", r"a\n[\s\S]*\nb",
+    r"a$[\s\S]*^b", r"\Aa", r"c\Z", r"[]a][\s\S]*c", r"a{2,}[\s\S]*?c", r"((a b)+\n)+c",
+]
+
+
+def test_output_patterns_as_of_the_joined_text(spark):
+    """However a pattern is tested, its result is that of the outputs one after the other."""
+    rng = random.Random(12)
+    outputs = [["".join(rng.choices(["a", "b", "c", " ", "\n", "a b", "ab", "c\n"], k=rng.randint(0, 7))) for _ in range(rng.randint(0, 5))] for _ in range(150)]
+    rows = [("f", str(k), h, h, x) for k, texts in enumerate(outputs) for h, x in enumerate(texts)]
+    plugins = spark.createDataFrame([("f", str(k), "n", "g", k) for k in range(len(outputs))], "file_id string, plugin_id string, name string, family string, ord int")
+    hosts = spark.createDataFrame(rows, "file_id string, plugin_id string, host_ord int, ord int, plugin_output string")
+    rules = [_rule(plugin_output_patterns=[p]) | {"rule_name": str(k)} for k, p in enumerate(PATTERNS)]
+    assert not R.problems(rules)
+    found = {(int(r.rule_name), int(r.plugin_id)) for r in C.evaluate_rules(plugins, hosts, rules).filter("matched").collect()}
+    for k, p in enumerate(PATTERNS):
+        want = {n for n, texts in enumerate(outputs) if re.search(p, "\n".join(x for x in texts if x), re.I | re.M) and any(texts)}
+        assert {n for r, n in found if r == k} == want, p
+    assert R.halves(r"a\n(.*\n)*?.*b a") == (r"a\n", "b a") and R.halves("c|a[\\s\\S]*b") is None and R.halves(r"a\n[\s\S]*\nb") is None
+    assert R.recursive(r"(ab)+c") and R.recursive(r"x(a(bc)*)?") and not R.recursive(r"(ab){1,9}[a-z]+\d*?(x|y)?")
+    assert not any(R.recursive(p) or not (R.within_a_line(p) or R.halves(p)) for r in R.load() for p in R.output_patterns(r))
+
+
+def test_long_outputs(spark):
+    """Many lines of many hosts, with the shipped rules and with patterns that are too deep for Java."""
+    plugins = spark.createDataFrame([("f", "1", "n", "g", 1)], "file_id string, plugin_id string, name string, family string, ord int")
+    text = F.when(F.col("id") == 3, "x.js\n").when(F.col("id") == 2990, "Installed version : 1\nq" + "ab" * 100_000 + "z").otherwise(F.repeat(F.lit("a line of no interest\n"), 400))
+    hosts = spark.range(3000).select(F.lit("f").alias("file_id"), F.lit("1").alias("plugin_id"), F.col("id").alias("host_ord"), F.col("id").alias("ord"), text.alias("plugin_output"))
+    rules = [*R.enabled(R.load()), _rule(plugin_output_patterns=[r"q(ab)+z"]), _rule(plugin_output_patterns=[r"installed version[\s\S]*\.js$"]) | {"rule_name": "not"}]
+    assert sorted(r.rule_name for r in C.evaluate_rules(plugins, hosts, rules).filter("matched").collect()) == ["javascript", "r"]

@@ -14,7 +14,7 @@ SEPARATORS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys that are joined by broadcast have this many rows at least, and there are so many of them at most.
 HOT_ROWS, HOT_KEYS = 1000, 2000
-#: Keys of 8 bytes that are broadcast at most. Beyond that, rows are shuffled to meet them.
+#: Keys of rows (ids and hashes) that are broadcast at most. Beyond that, rows are shuffled to meet them.
 MOST_BROADCAST = 2_000_000
 
 
@@ -105,7 +105,12 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> D
     return rows.join(hot, key).unionByName(cold)
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """rows whose key is not among ``keys`` (one column of 8 bytes), which are counted to decide how they meet."""
-    keys = materialize(keys, "without")
-    return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, key, "left_anti")
+
+def remaining(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """marks: key and twins, each key once. The rows whose key has no mark, and of those whose mark says ``twins`` one for each key.
+
+    Few marks are broadcast, so rows stay where they are; their number is counted for that."""
+    marks = materialize(marks, "marks")
+    marked = rows.join(F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks, key, "left")
+    first = marked.filter("twins").groupBy(key).agg(F.first("row").alias("row"))
+    return marked.filter(F.col("twins").isNull()).select("row").unionAll(first.select("row"))

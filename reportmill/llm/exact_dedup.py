@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportmill.llm.common import SEPARATORS, materialize, without
+from reportmill.llm.common import SEPARATORS, materialize, remaining
 
 #: Candidates asked of the summary, and counters that it may hold: both bound what is broadcast.
 TOP, COUNTERS = 1000, 10_000
@@ -61,7 +61,10 @@ def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "do
     """The rows of ``docs`` that stay, with all their columns."""
     row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit(""))
     packed = docs.select(row, F.col(id_col).alias("id"), text_digest(text).alias("digest"), F.char_length(text).alias("len"))
-    # Rows are written with a number of their own, so what goes is named by it, and texts are digested and moved once.
-    base = materialize(packed.withColumn("rid", F.monotonically_increasing_id()), "dedup-rows")
-    lost = _decide(base.select("id", "digest", "len", "rid"), heavy_rows).filter(F.col("rid") != F.col("keep_rid")).select("rid")
-    return without(base, lost, "rid").select("row.*")
+    base = materialize(packed.select("id", "digest", "len").withColumn("rid", F.monotonically_increasing_id()), "dedup-digests")
+    decided = _decide(base, heavy_rows)
+    # A loser may agree with its winner in id, digest and length; of such rows, which nothing tells apart, one is taken.
+    key = F.struct("id", "digest", "len").alias("key")
+    lost, won = F.col("rid") != F.col("keep_rid"), F.col("rid") == F.col("keep_rid")
+    marks = decided.groupBy(key).agg(F.bool_or(lost).alias("lost"), F.bool_or(won).alias("twins")).filter("lost").select("key", "twins")
+    return remaining(packed.select("row", key), marks, "key").select("row.*")

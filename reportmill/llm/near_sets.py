@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import materialize, n_partitions, small_batches, without
+from reportmill.llm.common import materialize, n_partitions, remaining, small_batches
 from reportmill.llm.simhash import SEED, _hashes, components, grouped, shards
 
 #: Words of a shingle, least Jaccard similarity.
@@ -282,10 +282,10 @@ def near_dedup_similar(docs: DataFrame, similarity: float = SIMILARITY, text_col
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Of each component the row with the smallest id (null ids last; of rows with one id any one), with all its columns.
 
-    Rows are told apart by a number of their own, so ids may be null or repeated."""
+    Rows are told apart by id and text, so ids may be null or repeated; of rows that agree in both one is taken."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    base = materialize(docs.select(row, F.monotonically_increasing_id().alias("uid")), "simhash-rows")
-    key = F.struct(F.col(f"row.`{id_col}`").isNull().alias("no_id"), F.col(f"row.`{id_col}`").alias("id"), "uid").alias("key")
-    found = near_dedup_similar(base.select(key, F.col(f"row.`{text_col}`").alias("text")), similarity, "text", "key")
-    gone = found.filter(F.col("key") != F.col("component_id")).select("key.uid")
-    return without(base, gone, "uid").select("row.*")
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("key")
+    found = near_dedup_similar(docs.select(key, F.col(text_col).alias("text")), similarity, "text", "key")
+    seen = found.groupBy("key").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    marks = seen.filter("key <> first or n > 1").select("key", (F.col("key") == F.col("first")).alias("twins"))
+    return remaining(docs.select(row, key), marks, "key").select("row.*")

@@ -68,8 +68,11 @@ def host_severities(items: DataFrame) -> DataFrame:
 
 
 def host_ports(items: DataFrame) -> DataFrame:
-    """Each host's ports: the first service, and plugins by first sight. Rows of a plugin are reduced to the first before they are listed."""
+    """Each host's ports: the first service, and plugins by first sight. Rows of a plugin are reduced to the first before they are listed.
+
+    Plugins hardly repeat on a port, so rows are dealt by port once, for both steps."""
     keyed = items.withColumn("port_key", port_key(F.col("port"), F.col("protocol"))).filter("port_key is not null")
+    keyed = keyed.select("file_id", "host_ord", "port_key", "plugin_id", "ord", "svc_name").repartition("file_id", "host_ord", "port_key")
     first = keyed.groupBy("file_id", "host_ord", "port_key", "plugin_id").agg(F.min("ord").alias("ord"), F.min_by("svc_name", "ord").alias("svc_name"))
     return first.groupBy("file_id", "host_ord", "port_key").agg(F.min_by("svc_name", "ord").alias("service"), in_order(F.col("plugin_id"), F.col("ord")).alias("plugin_ids"))
 

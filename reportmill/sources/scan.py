@@ -41,38 +41,50 @@ def _parts(value: Column) -> Column:
     return F.split(value, _CUTS)
 
 
+def _whole(part: Column, k: int) -> Column:
+    """Whether a part is a stretch of the kind k from its beginning to its end."""
+    open_, close = STRETCHES[k - 1]
+    return part.startswith(open_) & part.endswith(close) & (F.length(part) >= len(open_) + len(close))
+
+
 def _next(state: Column, part: Column) -> Column:
     """The state after a part that begins in ``state``."""
-    ends = [part.endswith(close) for _, close in STRETCHES]
-    begun = F.lit(0)
-    for k, (open_, close) in reversed(list(enumerate(STRETCHES))):
-        whole = ends[k] & (F.length(part) >= len(open_) + len(close))
-        begun = F.when(part.startswith(open_), F.when(whole, 0).otherwise(k + 1)).otherwise(begun)
-    within = reduce(lambda other, k: F.when((state == k + 1) & ends[k], 0).otherwise(other), range(len(STRETCHES)), state)
+    kinds = range(len(STRETCHES), 0, -1)
+    begun = reduce(lambda other, k: F.when(part.startswith(STRETCHES[k - 1][0]), F.when(_whole(part, k), 0).otherwise(k)).otherwise(other), kinds, F.lit(0))
+    within = reduce(lambda other, k: F.when((state == k) & part.endswith(STRETCHES[k - 1][1]), 0).otherwise(other), kinds, state)
     return F.when(state == 0, begun).otherwise(within)
 
 
+def _settled(parts: Column) -> Column:
+    """Whether all parts begin outside of stretches, if the first does."""
+    return F.forall(parts, lambda part: reduce(lambda a, b: a & b, [~part.startswith(STRETCHES[k - 1][0]) | _whole(part, k) for k in range(1, len(STRETCHES) + 1)]))
+
+
 def after(value: Column, state: int = 0) -> Column:
     """The state in which a text ends that begins in ``state``."""
-    return F.aggregate(_parts(value), F.lit(state), _next)
+    found = F.aggregate(_parts(value), F.lit(state), _next)
+    return found if state else F.when(_settled(_parts(value)), 0).otherwise(found)
+
+
+def _said(part: Column, state: Column) -> Column:
+    """What a part says that begins in ``state``: sections escaped, comments and instructions left out."""
+    open_, close = STRETCHES[SECTION - 1]
+    begins = (state == 0) & part.startswith(open_)
+    inner = F.when(begins, F.substr(part, F.lit(len(open_) + 1))).otherwise(part)
+    inner = F.when(inner.endswith(close), F.left(inner, F.length(inner) - len(close))).otherwise(inner)
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        inner = F.replace(inner, F.lit(raw), F.lit(safe))
+    dropped = reduce(lambda a, b: a | b, [part.startswith(o) for k, (o, _) in enumerate(STRETCHES, 1) if k != SECTION])
+    return F.when(begins | (state == SECTION), inner).when((state != 0) | dropped, "").otherwise(part)
 
 
 def plain(value: Column) -> Column:
     """A text that begins outside of all stretches without its comments and instructions; character data sections become escaped text."""
     parts = _parts(value)
+    # A section may hold what looks like the beginning or end of others; only then does it take more than its parts one by one.
     states = F.aggregate(parts, F.array(F.lit(0)), lambda seen, part: F.array_append(seen, _next(F.element_at(seen, -1), part)))
-    open_, close = STRETCHES[SECTION - 1]
-
-    def said(part: Column, state: Column) -> Column:
-        begins = (state == 0) & part.startswith(open_)
-        inner = F.when(begins, F.substr(part, F.lit(len(open_) + 1))).otherwise(part)
-        inner = F.when(inner.endswith(close), F.left(inner, F.length(inner) - len(close))).otherwise(inner)
-        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-            inner = F.replace(inner, F.lit(raw), F.lit(safe))
-        dropped = reduce(lambda a, b: a | b, [part.startswith(o) for k, (o, _) in enumerate(STRETCHES, 1) if k != SECTION])
-        return F.when(begins | (state == SECTION), inner).when(state != 0, "").when(dropped, "").otherwise(part)
-
-    return F.array_join(F.zip_with(parts, F.slice(states, F.lit(1), F.size(parts)), said), "")
+    nested = F.zip_with(parts, F.slice(states, F.lit(1), F.size(parts)), _said)
+    return F.array_join(F.when(_settled(parts), F.transform(parts, lambda part: _said(part, F.lit(0)))).otherwise(nested), "")
 
 
 def _lines(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:

@@ -56,6 +56,8 @@ _ATTRIBUTE = r"""(\s+[\w:.-]+\s*=\s*("[^"]*"|'[^']*'))*\s*"""
 #: Characters of a damaged element that its row shows.
 SHOWN = 200
 FOREIGN = "not in the encoding it says"
+#: A character that XML does not have.
+LAST = "\0"
 
 
 def _pieces(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
@@ -64,7 +66,7 @@ def _pieces(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
     rows = scan.rows(spark, path, tag)
     text = F.when(scan.marked(F.col("value")), scan.plain(F.col("value"))).otherwise(F.col("value"))
     # The line break keeps a start tag at the very beginning from being taken for the first piece.
-    outside = F.concat(F.lit("\n"), F.regexp_replace(text, r"^\s*>", ""))
+    outside = F.concat(F.lit("\n"), F.regexp_replace(text, r"^\s*>", ""), F.lit(LAST))
     return rows.select("file_id", "place", F.is_valid_utf8("value").alias("valid"), F.split(outside, rf"(?=<{tag}[\s/>])").alias("pieces"))
 
 
@@ -74,16 +76,17 @@ def _alone(tag: str) -> str:
 
 def _numbered(pieces: DataFrame, tag: str) -> DataFrame:
     """One row for each start tag: file_id, place, valid, host_ord (from 1 in document order), x (the element's text) and open, if it has no end."""
-    found = pieces.select("file_id", "place", "valid", F.size("pieces").alias("n"), F.posexplode(F.slice("pieces", 2, F.size("pieces"))).alias("pos", "x"))
+    found = pieces.select("file_id", "place", "valid", F.posexplode("pieces").alias("pos", "x")).filter("pos > 0")
+    final = F.col("x").endswith(LAST)
     alone = F.col("x").rlike(_alone(tag))
     # Of a row only the last element can have an end tag behind it.
     number = found.select(
-        "file_id", "valid", F.struct("place.block", "place.id", "pos").alias("place"), F.when(alone, F.regexp_extract("x", _alone(tag), 0)).otherwise(F.concat("x", F.lit(f"</{tag}>"))).alias("x"),
-        (~alone & (F.col("pos") < F.col("n") - 2)).alias("open"), alone.alias("alone"))
+        "file_id", "valid", F.struct("place.block", "place.id", "pos").alias("place"), F.when(alone, F.regexp_extract("x", _alone(tag), 0)).otherwise(F.concat(F.rtrim("x", F.lit(LAST)), F.lit(f"</{tag}>"))).alias("x"),
+        (~alone & ~final).alias("open"), alone.alias("alone"))
     blocks = pieces.groupBy("file_id", "place.block").agg(F.sum(F.size("pieces") - 1).alias("n"), F.max("place.id").alias("last"))
     upto = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    final = F.max("block").over(Window.partitionBy("file_id")) == F.col("block")
-    blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.when(final, F.col("last")).alias("last"))
+    at_end = F.max("block").over(Window.partitionBy("file_id")) == F.col("block")
+    blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.when(at_end, F.col("last")).alias("last"))
     ranked = number.withColumn("block", F.col("place.block")).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("place")))
     joined = ranked.join(blocks, ["file_id", "block"])
     ended = F.col("open") | (~F.col("alone") & F.coalesce(F.col("place.id") == F.col("last"), F.lit(False)))
@@ -119,7 +122,7 @@ def _context(pieces: DataFrame, tag: str) -> DataFrame:
     """file_id and x, the file without its elements of ``tag``."""
     alone = _alone(tag)
     outside = F.concat(F.get("pieces", 0), F.array_join(F.transform(F.filter(F.slice("pieces", 2, F.size("pieces")), lambda x: x.rlike(alone)), lambda x: F.regexp_replace(x, alone, "")), ""))
-    joined = pieces.select("file_id", "place", outside.alias("x")).filter(r"x rlike '\\S'").groupBy("file_id").agg(F.array_join(in_order(F.col("x"), F.col("place")), "").alias("x"))
+    joined = pieces.select("file_id", "place", F.replace(outside, F.lit(LAST), F.lit("")).alias("x")).filter(r"x rlike '\\S'").groupBy("file_id").agg(F.array_join(in_order(F.col("x"), F.col("place")), "").alias("x"))
     return joined.withColumn("x", F.regexp_replace("x", r"^\s*\uFEFF|<!DOCTYPE[^>\[]*(\[[^\]]*\])?\s*>", ""))
 
 

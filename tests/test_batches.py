@@ -1,9 +1,9 @@
 """Rollups over files that arrive, change, are copied, and runs that end early."""
 
 import pytest
+from test_reports import NET, VULN
 
 from reportmill.operators import batches
-from tests.test_reports import NET, VULN
 
 
 def table(df):

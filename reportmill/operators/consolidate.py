@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions.scalars import distinct_in_order, in_order, port_key, risk_priority, strip
 from reportmill.operators import stats
+from reportmill.plans import many, prefilter
 from reportmill.plans import rules as R
 
 log = logging.getLogger("reportmill")
@@ -18,7 +19,7 @@ log = logging.getLogger("reportmill")
 
 @dataclass
 class Consolidated:
-    """Lazy results: evaluation of every rule and plugin, entries by rule, services by rule and key, outputs by service and plugin, and the metadata row."""
+    """Lazy results: evaluation of rules and plugins (rows that matched or have a reason), entries by rule, services by rule and key, outputs by service and plugin, and the metadata row."""
 
     evaluation: DataFrame
     entries: DataFrame
@@ -38,13 +39,18 @@ def _passing(readers: list[dict], name: Column, family: Column) -> Column:
     return wanted
 
 
-def evaluate_rules(plugins: DataFrame, plugin_hosts: DataFrame, rules: list[dict]) -> DataFrame:
-    """One row for each plugin and rule: rule_ord, rule_name, matched, reason. Rules do not exclude each other.
+def evaluate_rules(plugins: DataFrame, plugin_hosts: DataFrame, rules: list[dict], noted: bool = False) -> DataFrame:
+    """One row for each plugin and rule: rule_ord, rule_name, matched, reason. Rules do not exclude each other. noted: only rows that matched or
+    have a reason.
 
     The outputs of a plugin count as one text, one host's after the other's. A pattern that cannot reach over a line's end is tested
     host by host, so that only one bit for each pattern is shuffled. One that asks for something, any text, and something else is tested in each
     output, and beyond that its first half must be found in an output before one that has its second half: two places are shuffled. Outputs are
-    joined for other patterns alone, and only of plugins that such a rule lets through so far."""
+    joined for other patterns alone, and only of plugins that such a rule lets through so far.
+
+    Of rules with over ``many.MANY`` patterns, those are tried whose required literals a text holds (``evaluate_many``)."""
+    if len(many.patterns_of(rules)) > many.MANY:
+        return evaluate_many(plugins, plugin_hosts, rules, noted)
     name, family = F.coalesce(F.col("name"), F.lit("")), F.col("family")
     readers = [r for r in rules if R.reads_output(r)]
     base = plugins.select("file_id", "plugin_id", "name", "family", F.col("ord").alias("plugin_ord"))
@@ -85,9 +91,61 @@ def evaluate_rules(plugins: DataFrame, plugin_hosts: DataFrame, rules: list[dict
         held |= {p: F.coalesce(F.get("rest", k), F.lit(False)) for k, p in enumerate(rest)}
     spoken = F.coalesce(F.col("spoken"), F.lit(False)) if patterns else F.lit(False)
     results = F.array(*[R.evaluate(k, r, name, family, spoken, held) for k, r in enumerate(rules)])
+    if noted:
+        results = F.filter(results, lambda r: r["matched"] | r["reason"].isNotNull())
     return base.select("file_id", "plugin_id", "name", "plugin_ord", F.explode(results).alias("r")).select("file_id", "plugin_id", "name", "plugin_ord", "r.*")
 
 
+def _held_by_output(said: DataFrame, patterns: list[str], parted: dict[str, tuple[str, str]]) -> DataFrame:
+    """file_id, plugin_id, spoken, held: places of the patterns that some output matches, or of whose halves one output has the first and a later one the
+    second. Outputs become hits before they are shuffled, and hits are combined by pattern."""
+    whole = [p for p in patterns if p not in parted or parted[p]]
+    asked = [p if p not in parted else parted[p][0] + R.GAPS[0] + parted[p][1] for p in whole]
+    halved = [p for p in patterns if parted.get(p)]
+    output = F.col("plugin_output")
+
+    def placed(found: Column, of: list[str], part: int) -> Column:
+        at = F.array(*[F.lit(patterns.index(p)) for p in of]) if of else F.array().cast("array<int>")
+        return F.transform(found, lambda k: F.struct(F.get(at, k).alias("at"), F.lit(part).alias("part")))
+
+    parts = [placed(prefilter.hits(output, asked), whole, 0)]
+    if halved:
+        parts += [placed(prefilter.hits(output, [parted[p][0] for p in halved], "\n"), halved, 1), placed(prefilter.hits(output, [parted[p][1] for p in halved]), halved, 2)]
+    rows = said.select("file_id", "plugin_id", "ord", F.explode_outer(F.concat(*parts)).alias("hit")).select("file_id", "plugin_id", "ord", "hit.*")
+    at = rows.groupBy("file_id", "plugin_id", "at").agg(F.bool_or(F.col("part") == 0).alias("one"), *[(F.min, F.max)[part - 1](F.when(F.col("part") == part, F.col("ord"))).alias(f"part{part}") for part in (1, 2)])
+    held = F.coalesce(F.col("one"), F.lit(False)) | F.coalesce(F.col("part1") < F.col("part2"), F.lit(False))
+    return at.groupBy("file_id", "plugin_id").agg(F.lit(True).alias("spoken"), F.collect_list(F.when(held, F.col("at"))).alias("held"))
+
+
+def evaluate_many(plugins: DataFrame, plugin_hosts: DataFrame, rules: list[dict], noted: bool = False) -> DataFrame:
+    """The rows of ``evaluate_rules`` for any number of rules: one pass over names and one over outputs, each with one automaton for all patterns."""
+    name, key = F.coalesce(F.col("name"), F.lit("")), ["file_id", "plugin_id"]
+    base = plugins.select("file_id", "plugin_id", "name", "family", F.col("ord").alias("plugin_ord"))
+    patterns = sorted({p for r in rules for p in R.output_patterns(r)})
+    spoken, held = F.lit(False), F.array().cast("array<int>")
+    if patterns:
+        parted = {p: R.halves(p) for p in patterns if not R.within_a_line(p)}
+        said = plugin_hosts.filter(F.col("plugin_output") != "").join(base.filter(many.may_read(name, F.col("family"), rules)).select(*key), key, "left_semi")
+        base = base.join(_held_by_output(said, patterns, parted), key, "left")
+        spoken, held = F.coalesce(F.col("spoken"), F.lit(False)), F.coalesce(F.col("held"), held)
+        if rest := [p for p in patterns if p in parted and not parted[p]]:
+            wide = [r for r in rules if set(R.output_patterns(r)) & set(rest)]
+            some = base.filter(many.may_read(name, F.col("family"), wide)).select(*key)
+            joined = plugin_hosts.filter(F.col("plugin_output") != "").join(some, key, "left_semi").groupBy(*key).agg(F.array_join(in_order(F.col("plugin_output"), F.col("ord")), "\n").alias("outputs"))
+            places = F.array(*[F.lit(patterns.index(p)) for p in rest])
+            base = base.join(joined.select(*key, prefilter.hits(F.col("outputs"), rest).alias("rest")), key, "left")
+            held = F.concat(held, F.transform(F.coalesce(F.col("rest"), F.array().cast("array<int>")), lambda k: F.get(places, k)))
+    verdict = F.explode(many.verdicts(name, F.col("family"), spoken, held, rules, patterns)).alias("r")
+    names = F.broadcast(R.rules_frame(plugins.sparkSession, rules).select("rule_ord", "rule_name"))  # as many rows as the configuration has rules
+    columns = ["file_id", "plugin_id", "name", "plugin_ord", "rule_ord", "rule_name", "matched", "reason"]
+    found = base.select("file_id", "plugin_id", "name", "plugin_ord", verdict).select("file_id", "plugin_id", "name", "plugin_ord", "r.*")
+    if noted:
+        return found.join(names, "rule_ord").select(*columns)
+    every = plugins.select("file_id", "plugin_id", "name", F.col("ord").alias("plugin_ord"), F.explode(F.array(*[F.lit(k) for k in range(len(rules))])).alias("rule_ord"))
+    judged = found.select("file_id", "plugin_id", "rule_ord", "matched", "reason")
+    return every.join(judged, [*key, "rule_ord"], "left").withColumn("matched", F.coalesce("matched", F.lit(False))).join(names, "rule_ord").select(*columns)
+
+
 def _best(score: Column, struct: Column, ord_: Column) -> Column:
     """The struct with the largest positive score, the first of ties."""
     return F.max_by(F.when(score > 0, F.struct(struct.alias("x"))), F.when(score > 0, F.struct(score, ord_)))["x"]
@@ -171,7 +229,7 @@ def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None, ke
         log.warning("%s", x)
     spark = items.sparkSession
     found, affected = stats.plugins(items), stats.plugin_hosts(items)
-    evaluation = evaluate_rules(found, affected, live)
+    evaluation = evaluate_rules(found, affected, live, noted=True)
     if keep:
         evaluation.persist(StorageLevel.MEMORY_AND_DISK)
     matches = evaluation.filter("matched")

@@ -332,6 +332,33 @@ def q_rule_name_match(spark, d):
     return C.evaluate_rules(stats.plugins(items), stats.plugin_hosts(items), rule).filter("matched").select("plugin_id")
 
 
+def _many_rules() -> list[dict]:
+    """A rule for every letter, vowel and letter in names; every second asks for an output too, every third leaves a family out."""
+    letters, rules = [chr(97 + k) for k in range(26)], []
+    for k, word in enumerate(a + v + b for a in letters for v in "aeiou" for b in letters):
+        filters = {"name_patterns": [word]}
+        if k % 2 == 0:
+            filters["plugin_output_patterns"] = [rf"^installed version : {k % 9}\.1$"]
+        if k % 3 == 0:
+            filters["exclude_families"] = ["ECONOMY"]
+        rules.append({"rule_name": word, "title": word, "filters": filters, "grouping_criteria": []})
+    return rules
+
+
+@query("""
+, letters as (select unnest(range(26)) as n), words as (
+  select x.n * 130 + v.n * 26 + y.n as k, chr((97 + x.n)::int) || v.c || chr((97 + y.n)::int) as word
+  from letters x, (values (0, 'a'), (1, 'e'), (2, 'i'), (3, 'o'), (4, 'u')) v(n, c), letters y),
+judged as (
+  select word as rule_name, plugin_id, case when k % 3 = 0 and family = 'ECONOMY' then 'exclude_families'
+    when k % 2 = 0 and not contains(chr(10) || lower(coalesce(outputs, '')) || chr(10), chr(10) || 'installed version : ' || (k % 9) || '.1' || chr(10)) then 'plugin_output_patterns' end as reason
+  from plugins join words on contains(lower(name), word) left join outputs using (plugin_id))
+select rule_name, plugin_id, reason is null as matched, reason from judged""")
+def q_rules_by_thousands(spark, d):
+    items = synth.items(spark, d)
+    return C.evaluate_rules(stats.plugins(items), stats.plugin_hosts(items), _many_rules(), noted=True).select("rule_name", "plugin_id", "matched", "reason")
+
+
 @query(f"{RULES_SQL} select rule_name, reason, count(*) as n from evaluation where named and reason is not null and not (rule_name = 'all_output' and reason = 'plugin_families') group by 1, 2")
 def q_rule_exclusion_reason(spark, d):
     return _consolidated(spark, d).evaluation.filter("reason is not null").groupBy("rule_name", "reason").agg(F.count("*").alias("n"))

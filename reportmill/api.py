@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportmill import kinds  # noqa: F401 (registers the built-in kinds)
+from reportmill.functions.scalars import port_key
 from reportmill.operators import consolidate as C
 from reportmill.operators import exclusions, stats
 from reportmill.operators import report as P
 from reportmill.plans import rules as R
-from reportmill.sources import adapters, detect, documents, xml
+from reportmill.sources import adapters, detect, documents, large, xml
 
 log = logging.getLogger("reportmill")
 
@@ -26,6 +27,9 @@ log = logging.getLogger("reportmill")
 WRITERS, SHOWN_DAMAGE = 8, 5
 #: Reports whose documents are written in one call, at most.
 MOST_DOCUMENTS = 1000
+#: Columns of findings that are no plugin's, and of entries that are none of their documents'.
+NOT_OF_A_PLUGIN = ("file_id", "host_ord", "ord", "plugin_id", "port", "protocol", "svc_name", "plugin_output")
+NOT_OF_AN_ENTRY = ("file_id", "rule_ord", "rule_name", "title", "internal_id", "has_internal_id", "grouping", "consolidated_plugins")
 
 
 def setup_logging(level: int = logging.INFO, format_string: str = "%(asctime)s - %(levelname)s - %(message)s") -> logging.Logger:
@@ -164,12 +168,27 @@ def _by_name(rows: list[dict], key: str, value: str) -> dict:
     return {r[key]: r[value] for r in rows}
 
 
+def _one(df: DataFrame) -> dict:
+    return {k: v for k, v in (documents.rows(df) or [{}])[0].items() if k != "file_id"}
+
+
+def _net_counts(s: dict[str, DataFrame], services: int) -> dict:
+    return {"hosts": _one(s["hosts"]) | {"by_status": _by_name(documents.rows(s["by_host_status"]), "host_status", "n")}, "ports": {"by_status": _by_name(documents.rows(s["ports_by_status"]), "status", "n"), "by_port": _by_name(documents.rows(s["ports_by_port"]), "port_id", "n")}, "services": {"total": services, "by_service": _by_name(documents.rows(s["services"]), "service_name", "n")}}
+
+
+def _vuln_counts(s: dict[str, DataFrame], plugins: int) -> dict:
+    return {"hosts": _one(s["hosts"]), "ports": _one(s["ports"]), "services": {"unique_counts": _by_name(documents.rows(s["service_instances"]), "svc_name", "n_instances"), "findings_counts": _by_name(documents.rows(s["service_findings"]), "svc_name", "n_findings")}, "vulnerabilities": {"total": plugins, "by_severity": _by_name(documents.rows(s["by_severity"]), "severity", "n_plugins"), "by_family": _by_name(documents.rows(s["by_family"]), "family", "n_plugins")}}
+
+
+def _affected_hosts(r: xml.Report) -> DataFrame:
+    affected = stats.plugin_hosts(r.items).join(stats.affected_ids(r.hosts), ["file_id", "host_ord"]).join(r.hosts.select("file_id", "host_ord", "ip", "fqdn"), ["file_id", "host_ord"])
+    return affected.select("plugin_id", "affected_host_id", "ord", "ip", "fqdn", port_key(F.col("port"), F.col("protocol")).alias("port"), "plugin_output")
+
+
 def parsed_document(results: dict[str, object]) -> dict:
     """Context, statistics, hosts and findings or ports of one report as a nested object."""
     r, s = results["report"], results["stats"]
-    context = (documents.rows(r.context) or [{}])[0]
-    context.pop("file_id", None)
-    one = lambda df: {k: v for k, v in (documents.rows(df) or [{}])[0].items() if k != "file_id"}
+    context = _one(r.context)
     if r.kind == "net":
         hosts = {str(h["host_ord"]): {"ip": h["ip"], "hostname": h["hostname"], "status": h["host_status"], "ports": {}} for h in documents.rows(r.hosts, "host_ord")}
         for p in documents.rows(stats.last_ports(r.ports), "host_ord", "ord"):
@@ -178,21 +197,17 @@ def parsed_document(results: dict[str, object]) -> dict:
         for p in documents.rows(s["port_summary"]):
             hosts[str(p["host_ord"])]["port_summary"] = {x: p[x] for x in ("open", "closed", "filtered")}
         services = {x["service_id"]: {"host": x["host_ord"], "port": x["port_id"], "protocol": x["protocol"], "status": x["status"], "name": x["service_name"]} for x in documents.rows(stats.service_ids(r.ports).select("service_id", "host_ord", "ord", "port_id", "protocol", "status", "service_name"), "host_ord", "ord")}
-        counts = {"hosts": one(s["hosts"]) | {"by_status": _by_name(documents.rows(s["by_host_status"]), "host_status", "n")}, "ports": {"by_status": _by_name(documents.rows(s["ports_by_status"]), "status", "n"), "by_port": _by_name(documents.rows(s["ports_by_port"]), "port_id", "n")}, "services": {"total": len(services), "by_service": _by_name(documents.rows(s["services"]), "service_name", "n")}}
+        counts = _net_counts(s, len(services))
         return {"context": context, "stats": counts, "hosts": hosts, "services": services}
     hosts = {str(h["host_ord"]): {k: h[k] for k in ("ip", "fqdns", "os", "scan_start", "scan_end", "credentialed")} | {"vulnerabilities": {}, "ports": {}} for h in documents.rows(r.hosts.filter("has_properties"), "host_ord")}
     for x in documents.rows(s["host_severities"]):
         hosts[str(x["host_ord"])]["vulnerabilities"] = {k: v for k, v in x.items() if k not in ("file_id", "host_ord")}
     for x in documents.rows(s["host_ports"], "host_ord", "port_key"):
         hosts[str(x["host_ord"])]["ports"][x["port_key"]] = {"service": x["service"], "vulnerabilities": x["plugin_ids"]}
-    found = {x["plugin_id"]: {k: v for k, v in x.items() if k not in ("file_id", "host_ord", "ord", "plugin_id", "port", "protocol", "svc_name", "plugin_output")} | {"affected_hosts": {}} for x in documents.rows(stats.plugins(r.items), "ord")}
-    affected = stats.plugin_hosts(r.items).join(stats.affected_ids(r.hosts), ["file_id", "host_ord"]).join(r.hosts.select("file_id", "host_ord", "ip", "fqdn"), ["file_id", "host_ord"])
-    from reportmill.functions.scalars import port_key
-
-    affected = affected.select("plugin_id", "affected_host_id", "ord", "ip", "fqdn", port_key(F.col("port"), F.col("protocol")).alias("port"), "plugin_output")
-    for x in documents.rows(affected, "ord"):
+    found = {x["plugin_id"]: {k: v for k, v in x.items() if k not in NOT_OF_A_PLUGIN} | {"affected_hosts": {}} for x in documents.rows(stats.plugins(r.items), "ord")}
+    for x in documents.rows(_affected_hosts(r), "ord"):
         found[x["plugin_id"]]["affected_hosts"][str(x["affected_host_id"])] = {"ip": x["ip"], "fqdn": x["fqdn"], "ports": [x["port"]] if x["port"] else [], "plugin_output": x["plugin_output"]}
-    counts = {"hosts": one(s["hosts"]), "ports": one(s["ports"]), "services": {"unique_counts": _by_name(documents.rows(s["service_instances"]), "svc_name", "n_instances"), "findings_counts": _by_name(documents.rows(s["service_findings"]), "svc_name", "n_findings")}, "vulnerabilities": {"total": len(found), "by_severity": _by_name(documents.rows(s["by_severity"]), "severity", "n_plugins"), "by_family": _by_name(documents.rows(s["by_family"]), "family", "n_plugins")}}
+    counts = _vuln_counts(s, len(found))
     return {"context": context, "stats": counts, "hosts": hosts, "vulnerabilities": found}
 
 
@@ -200,7 +215,7 @@ def consolidated_document(done: C.Consolidated) -> dict:
     metadata = {k: v for k, v in (documents.rows(done.metadata) or [{}])[0].items() if k != "file_id"} | {"consolidated_at": f"{datetime.now():%Y-%m-%d %H:%M:%S}"}
     out = {}
     for e in documents.rows(done.entries, "rule_ord"):
-        rest = {k: v for k, v in e.items() if k not in ("file_id", "rule_ord", "rule_name", "title", "internal_id", "has_internal_id", "grouping", "consolidated_plugins")}
+        rest = {k: v for k, v in e.items() if k not in NOT_OF_AN_ENTRY}
         named = {"internal_vulnerability_id": e["internal_id"]} if e["has_internal_id"] else {}
         out[e["rule_name"]] = {"rule_name": e["rule_name"], "title": e["title"], **named, **rest, "consolidated_plugins": {p["id"]: p["name"] for p in e["consolidated_plugins"]}, "affected_services": {}}
     for x in documents.rows(C.with_outputs(done.services, done.outputs), "rule_ord", "first_seen"):
@@ -208,6 +223,74 @@ def consolidated_document(done: C.Consolidated) -> dict:
     return {"consolidation_metadata": metadata, "consolidated_vulnerabilities": out}
 
 
+def _ports_of_hosts(df: DataFrame, key: Column, value: Column) -> DataFrame:
+    """file_id, host_ord, ports: a text of JSON. A host has at most as many ports as there are."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", large.member(key, value).alias("text"))))
+    members = F.array_join(F.transform(listed, lambda x: x["text"]), "")
+    return df.groupBy("file_id", "host_ord").agg(F.concat(F.lit("{"), F.substring(members, F.lit(2), F.length(members)), F.lit("}")).alias("ports"))
+
+
+def large_document(results: dict[str, object], kind: str) -> list[str | large.Rows]:
+    """The sections of a document of one report (``Parsed``, ``Consolidated``, ``API_Ready`` or ``Flat``) for ``large.write``; as JSON they are what
+    the documents on the driver are."""
+    r, s, done = results["report"], results["stats"], results.get("consolidated")
+    key, dump = ["file_id", "host_ord"], documents.json.dumps
+    if kind == "API_Ready":
+        return ["[", large.Rows(results["findings"], ("rule_ord",), F.concat(F.lit(","), large.as_json(F.struct(*P.REQUIRED)))), "]"]
+    if kind == "Flat":
+        df = results["flat"]
+        # Rows leave out what a port does not have.
+        row = F.to_json(F.struct(*[c for c in df.columns if c not in ("file_id", "host_ord", "ord")]))
+        return ["[", large.Rows(df, ("host_ord", "ord"), F.concat(F.lit(","), row)), "]"]
+    if kind == "Consolidated":
+        rows = done.entries.withColumn("plugins", F.map_from_entries("consolidated_plugins")).withColumn("ord", F.col("rule_ord"))
+        rest = [c for c in done.entries.columns if c not in NOT_OF_AN_ENTRY]
+
+        def fields(*named: Column) -> Column:
+            return large.as_json(F.struct("rule_name", "title", *named, *rest, F.col("plugins").alias("consolidated_plugins")))
+
+        # Rules without an internal id have no such member.
+        rows = rows.withColumn("json", F.when(F.col("has_internal_id"), fields(F.col("internal_id").alias("internal_vulnerability_id"))).otherwise(fields()))
+        services = C.with_outputs(done.services, done.outputs).withColumn("ord", F.col("first_seen"))
+        listed = large.nested(rows, services, ["file_id", "rule_ord"], "affected_services", F.col("rule_name"), F.col("json"), F.col("service_key"), F.struct("ip", "fqdn", "port", "issues_found", "plugin_outputs"))
+        metadata = _one(done.metadata) | {"consolidated_at": f"{datetime.now():%Y-%m-%d %H:%M:%S}"}
+        return [f'{{"consolidation_metadata":{dump(metadata)},"consolidated_vulnerabilities":{{', listed, "}}"]
+    empty, json_of = F.lit("{}"), large.as_json
+    if r.kind == "net":
+        value = F.concat(F.lit('{"status":'), large.quoted(F.col("status")), F.lit(',"service":'), large.quoted(F.col("service_name")), F.lit(',"details":'), F.coalesce("service_details", F.lit("null")), F.lit(',"scripts":'), json_of(F.col("script_output")), F.lit("}"))
+        ports = _ports_of_hosts(stats.last_ports(r.ports), F.concat_ws("/", "protocol", "port_id"), value)
+        hosts = r.hosts.join(ports, key, "left").join(s["port_summary"].select(*key, json_of(F.struct("open", "closed", "filtered")).alias("summary")), key, "left")
+        summary = F.coalesce(F.concat(F.lit(',"port_summary":'), "summary"), F.lit(""))
+        head = json_of(F.struct("ip", "hostname", F.col("host_status").alias("status")))
+        text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"ports":'), F.coalesce("ports", empty), summary, F.lit("}"))
+        services = stats.service_ids(r.ports)
+        of_service = F.struct(F.col("host_ord").alias("host"), F.col("port_id").alias("port"), "protocol", "status", F.col("service_name").alias("name"))
+        top = dump(_one(r.context)), dump(_net_counts(s, services.count()))
+        return [f'{{"context":{top[0]},"stats":{top[1]},"hosts":{{', large.Rows(hosts, ("host_ord",), large.member(F.col("host_ord"), text)), '},"services":{', large.Rows(services, ("host_ord", "ord"), large.member(F.col("service_id"), json_of(of_service))), "}}"]
+    ports = _ports_of_hosts(s["host_ports"].withColumn("ord", F.col("port_key")), F.col("port_key"), json_of(F.struct("service", F.col("plugin_ids").alias("vulnerabilities"))))
+    severities = s["host_severities"]
+    severities = severities.select(*key, json_of(F.struct(*[c for c in severities.columns if c not in key])).alias("severities"))
+    hosts = r.hosts.filter("has_properties").join(ports, key, "left").join(severities, key, "left")
+    head = json_of(F.struct("ip", "fqdns", "os", "scan_start", "scan_end", "credentialed"))
+    text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"vulnerabilities":'), F.coalesce("severities", empty), F.lit(',"ports":'), F.coalesce("ports", empty), F.lit("}"))
+    found = stats.plugins(r.items)
+    of_host = F.struct("ip", "fqdn", F.when(F.col("port") != "", F.array("port")).otherwise(F.array().cast("array<string>")).alias("ports"), "plugin_output")
+    fields = F.struct(*[c for c in found.columns if c not in NOT_OF_A_PLUGIN])
+    listed = large.nested(found, _affected_hosts(r), ["plugin_id"], "affected_hosts", F.col("plugin_id"), json_of(fields), F.col("affected_host_id"), of_host)
+    top = dump(_one(r.context)), dump(_vuln_counts(s, found.count()))
+    return [f'{{"context":{top[0]},"stats":{top[1]},"hosts":{{', large.Rows(hosts, ("host_ord",), large.member(F.col("host_ord"), text)), '},"vulnerabilities":{', listed, "}}"]
+
+
+def write_large_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, str]:
+    """The documents of one report, of any size and in any store: the executors write their parts. Paths by kind; what is there already raises."""
+    if len(files_of(results, 2)) > 1:
+        raise ValueError("these are the results of several reports; ask for those of one (of_file)")
+    kinds_ = ["Parsed", *(k for k, x in (("Consolidated", "consolidated"), ("API_Ready", "findings"), ("Flat", "flat")) if results.get(x) is not None)]
+    spark = results["report"].hosts.sparkSession
+    paths = {k: f"{output_dir.rstrip('/')}/{documents.custom_name(k, name) if name else documents.output_name(k, source, results['kind'])}" for k in kinds_}
+    return {k: large.write(spark, large_document(results, k), path) for k, path in paths.items()}
+
+
 def write_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
     """Single JSON documents, those of one report each, whose results have to fit the driver. Says which were written.
 

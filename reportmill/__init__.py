@@ -2,10 +2,10 @@
 
 __version__ = "0.2.0"
 __description__ = "Scanner reports to tables, statistics and consolidated findings on Spark"
-__all__ = ["ConsolidationError", "FormatterError", "__version__", "detect", "find_reports", "process", "release", "supported_kinds", "version_info", "write"]
+__all__ = ["ConsolidationError", "FormatterError", "__version__", "detect", "find_reports", "process", "release", "supported_kinds", "version_info", "write", "write_documents", "write_large_documents"]
 
 #: Exports by the module that has them; loaded when first asked for, so that the version costs no import of Spark.
-_EXPORTS = {"process": "api", "write": "api", "release": "api", "detect": "sources.detect", "find_reports": "sources.detect", "ConsolidationError": "plans.rules", "FormatterError": "operators.report"}
+_EXPORTS = {"process": "api", "write": "api", "write_documents": "api", "write_large_documents": "api", "release": "api", "detect": "sources.detect", "find_reports": "sources.detect", "ConsolidationError": "plans.rules", "FormatterError": "operators.report"}
 
 
 def __getattr__(name: str) -> object:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields, is_dataclass, replace
 from datetime import datetime
@@ -56,13 +57,13 @@ def ignored_options(kind: str, options: dict[str, object]) -> list[str]:
     return [x for x in other.get(kind, ()) if options.get(x)]
 
 
-def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str = "all", consolidate: bool = False, api_format: bool = False, rules_file: str | None = None, entity_limit: int | None = None, output_dir: str | None = None, output_name: str | None = None, flat_json: bool = False, strict: bool = False, log_exclusions: bool = False, documents_too: bool = False, keep: bool = True, damage: str = "raise") -> dict[str, object]:
+def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str = "all", consolidate: bool = False, api_format: bool = False, rules_file: str | None = None, entity_limit: int | None = None, output_dir: str | None = None, output_name: str | None = None, flat_json: bool = False, strict: bool = False, log_exclusions: bool = False, documents_too: bool | str = False, keep: bool = True, damage: str = "raise") -> dict[str, object]:
     """Results by name: report, stats, and where asked for consolidated, findings and flat. Options of the other kind are ignored.
 
     path: a file, a folder or a pattern, in any store. strict: also checks suffixes, roots and what lies outside of hosts. damage: elements that
     cannot be read raise a ValueError, or ("report") are left out, logged and given as the table ``Parsed_damaged``. log_exclusions: writes why plugins
     were left out beside the results (or to the current folder). documents_too: also writes single JSON documents, for reports that fit the
-    driver. keep: the parsed tables are kept on the executors (in memory, else on disk), since all results read them; ``release`` lets them go."""
+    driver, or ("large") for those of any size. keep: the parsed tables are kept on the executors (in memory, else on disk), since all results read them; ``release`` lets them go."""
     P.checked_limit(entity_limit)
     if kind == "auto":
         kind = detect.detect(path) if Path(path).is_file() else detect.detect_in_store(spark, path)
@@ -90,7 +91,8 @@ def process(spark: SparkSession, path: str, kind: str = "auto", port_status: str
     if output_dir:
         results["written"] = write(results, path, output_dir, output_name)
         if documents_too:
-            results["written"] |= write_documents(results, path, output_dir, output_name)
+            put = write_large_documents if documents_too == "large" else write_documents
+            results["written"] |= put(results, path, output_dir, output_name)
     return results
 
 
@@ -281,31 +283,41 @@ def large_document(results: dict[str, object], kind: str) -> list[str | large.Ro
     return [f'{{"context":{top[0]},"stats":{top[1]},"hosts":{{', large.Rows(hosts, ("host_ord",), large.member(F.col("host_ord"), text)), '},"vulnerabilities":{', listed, "}}"]
 
 
-def write_large_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, str]:
-    """The documents of one report, of any size and in any store: the executors write their parts. Paths by kind; what is there already raises."""
-    if len(files_of(results, 2)) > 1:
-        raise ValueError("these are the results of several reports; ask for those of one (of_file)")
-    kinds_ = ["Parsed", *(k for k, x in (("Consolidated", "consolidated"), ("API_Ready", "findings"), ("Flat", "flat")) if results.get(x) is not None)]
-    spark = results["report"].hosts.sparkSession
-    paths = {k: f"{output_dir.rstrip('/')}/{documents.custom_name(k, name) if name else documents.output_name(k, source, results['kind'])}" for k in kinds_}
-    return {k: large.write(spark, large_document(results, k), path) for k, path in paths.items()}
-
-
-def write_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
-    """Single JSON documents, those of one report each, whose results have to fit the driver. Says which were written.
+def _each_report(results: dict[str, object], source: str, name: str | None) -> Iterator[tuple[str, dict[str, object], str, str | None]]:
+    """Results of one report after the other, with what goes before the kinds of its documents, and its source and name.
 
     Of several reports each has its own documents, named by its file as well."""
     files = files_of(results, MOST_DOCUMENTS + 1)
     if len(files) > MOST_DOCUMENTS:
         raise ValueError(f"documents of more than {MOST_DOCUMENTS} reports are not written at once; write the tables instead")
     if len(files) < 2:
-        return _write_documents(results, source, output_dir, name)
-    written = {}
+        yield "", results, source, name
+        return
     for k, file_id in enumerate(files, 1):
         # Files of different folders may have one name.
         stem = f"{k}_{Path(unquote(file_id)).stem}"
-        found = _write_documents(of_file(results, file_id), stem, output_dir, f"{Path(name).stem}_{stem}.json" if name else None)
-        written |= {f"{stem}_{kind}": done for kind, done in found.items()}
+        yield f"{stem}_", of_file(results, file_id), stem, f"{Path(name).stem}_{stem}.json" if name else None
+
+
+def write_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
+    """Single JSON documents, those of one report each, whose results have to fit the driver. Says which were written."""
+    return {before + kind: done for before, *report in _each_report(results, source, name) for kind, done in _write_documents(report[0], report[1], output_dir, report[2]).items()}
+
+
+def write_large_documents(results: dict[str, object], source: str, output_dir: str, name: str | None = None) -> dict[str, bool]:
+    """The same documents, of any size and in any store: the executors write their parts. Says which were written; what is there already stays as it is."""
+    written = {}
+    for before, one, of, named in _each_report(results, source, name):
+        for kind, result in (("Parsed", "report"), ("Consolidated", "consolidated"), ("API_Ready", "findings"), ("Flat", "flat")):
+            if one.get(result) is None:
+                continue
+            path = f"{output_dir.rstrip('/')}/{documents.custom_name(kind, named) if named else documents.output_name(kind, of, one['kind'])}"
+            try:
+                large.write(one["report"].hosts.sparkSession, large_document(one, kind), path)
+                written[f"{before}{kind}.json"] = True
+            except Exception as e:  # one document that fails does not keep the others from being written
+                log.error("%s could not be written: %s", path, str(e).split("\n", 1)[0])
+                written[f"{before}{kind}.json"] = False
     return written
 
 

@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--port-status", default="all")
     p.add_argument("-fj", "--flat-json", action="store_true")
     p.add_argument("--documents", action="store_true", help="also write single JSON documents")
+    p.add_argument("--large-documents", action="store_true", help="also write them, of any size and to any store, by the executors")
     p.add_argument("--strict", action="store_true", help="check suffix, root and well-formedness first")
     p.add_argument("--no-output", action="store_true")
     p.add_argument("--no-colour", action="store_true")
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
             kind = detect.detect(o.input) if Path(o.input).is_file() else detect.detect_in_store(spark, o.input)
             print(f"kind: {display.paint(kind, 'green', colour)}")
         folder = None if o.no_output else o.output_folder
-        results = api.process(spark, o.input, kind, o.port_status, o.consolidate, o.api_format, o.rules_file, o.entity_limit, folder, o.output_name, o.flat_json, o.strict, o.log_exclusions, o.documents)
+        results = api.process(spark, o.input, kind, o.port_status, o.consolidate, o.api_format, o.rules_file, o.entity_limit, folder, o.output_name, o.flat_json, o.strict, o.log_exclusions, "large" if o.large_documents else o.documents)
         print(display.summaries(results, colour))
         api.release(results)
         failed = [k for k, ok in results.get("written", {}).items() if not ok]

@@ -41,8 +41,8 @@ def test_vulnerability_documents(spark, tmp_path, hosts):
     rules = [{"rule_name": n, "title": 't "x"', "filters": f, "grouping_criteria": g} | extra for n, f, g, extra in (("all", {}, ["ip", "port"], {"internal_vulnerability_id": None}), ('q"', {"name_patterns": ["[24]"]}, ["port"], {"internal_vulnerability_id": 7}), ("none", {"name_patterns": ["zz"]}, ["ip"], {}), ("no id", {"name_patterns": ["3"]}, ["ip"], {}))]
     (tmp_path / "rules.json").write_text(json.dumps({"consolidation_rules": rules}))
     done = api.process(spark, str(tmp_path / "r.nessus"), consolidate=True, api_format=True, rules_file=str(tmp_path / "rules.json"))
-    paths = api.write_large_documents(done, "r.nessus", f"file://{tmp_path}/out", "x.json")
-    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == ["x.json", "x_API_Ready.json", "x_Consolidated_Findings.json"] and len(paths) == 3
+    written = api.write_large_documents(done, "r.nessus", f"file://{tmp_path}/out", "x.json")
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == ["x.json", "x_API_Ready.json", "x_Consolidated_Findings.json"] and written == dict.fromkeys(["Parsed.json", "Consolidated.json", "API_Ready.json"], True)
     assert _document(tmp_path / "out" / "x.json") == api.parsed_document(done)
     got, want = _document(tmp_path / "out" / "x_Consolidated_Findings.json"), api.consolidated_document(done["consolidated"])
     for x in (got, want):
@@ -50,17 +50,22 @@ def test_vulnerability_documents(spark, tmp_path, hosts):
     assert got == want and len(got["consolidated_vulnerabilities"]) == (3 if hosts else 0)
     assert [list(x["affected_services"]) for x in got["consolidated_vulnerabilities"].values()] == [list(x["affected_services"]) for x in want["consolidated_vulnerabilities"].values()]
     assert _document(tmp_path / "out" / "x_API_Ready.json") == [{k: x[k] for k in ("type", "finding_id", "affected_entities")} for x in api.documents.rows(done["findings"], "rule_ord")]
-    with pytest.raises(FileExistsError):
-        api.write_large_documents(done, "r.nessus", f"file://{tmp_path}/out", "x.json")
+    before = (tmp_path / "out" / "x.json").read_bytes()
+    assert not any(api.write_large_documents(done, "r.nessus", f"file://{tmp_path}/out", "x.json").values()) and (tmp_path / "out" / "x.json").read_bytes() == before
     api.release(done)
 
 
 def test_scan_documents(spark, tmp_path):
-    (tmp_path / "r.xml").write_text(_scan(13))
-    done = api.process(spark, str(tmp_path / "r.xml"), flat_json=True)
-    api.write_large_documents(done, "r.xml", f"file://{tmp_path}/out", "x.json")
-    assert _document(tmp_path / "out" / "x.json") == api.parsed_document(done)
-    assert _document(tmp_path / "out" / "x_Flat.json") == [{k: v for k, v in x.items() if k not in ("file_id", "host_ord", "ord")} for x in api.documents.rows(done["flat"], "host_ord", "ord", nulls=False)]
+    """Of two reports of a folder, each with its own."""
+    (tmp_path / "in").mkdir()
+    for k in (8, 13):
+        (tmp_path / "in" / f"r{k}.xml").write_text(_scan(k))
+    done = api.process(spark, str(tmp_path / "in"), flat_json=True, output_dir=f"file://{tmp_path}/out", output_name="x.json", documents_too="large")
+    assert all(done["written"].values()) and {"1_r13_Parsed.json", "2_r8_Flat.json"} <= set(done["written"])
+    for k, file_id in enumerate(api.files_of(done, 3), 1):
+        one, stem = api.of_file(done, file_id), f"x_{k}_r{(13, 8)[k - 1]}"
+        assert _document(tmp_path / "out" / f"{stem}.json") == api.parsed_document(one)
+        assert _document(tmp_path / "out" / f"{stem}_Flat.json") == [{k: v for k, v in x.items() if k not in ("file_id", "host_ord", "ord")} for x in api.documents.rows(one["flat"], "host_ord", "ord", nulls=False)]
     api.release(done)
 
 

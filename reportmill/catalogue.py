@@ -369,9 +369,10 @@ def q_multi_rule_match(spark, d):
     return _consolidated(spark, d).evaluation.filter("matched").select("rule_name", "plugin_id")
 
 
-@query("select * from (values (0, 'gears'), (1, 'not_old'), (2, 'any_output'), (3, 'all_output'), (4, 'clean_output'), (5, 'everything')) t(rule_ord, rule_name)")
+@query(f"{RULES_SQL} select rule_ord, rule_name, count(*) as n_plugins from matches group by all")
 def q_rules_enabled(spark, d):
-    return R.rules_frame(spark, R.enabled(RULES)).select("rule_ord", "rule_name")
+    """A disabled rule without filters would match every plugin."""
+    return _consolidated(spark, d).evaluation.filter("matched").groupBy("rule_ord", "rule_name").agg(F.count("*").alias("n_plugins"))
 
 
 # Consolidation

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,3 +115,17 @@ def remaining(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     marked = rows.join(F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks, key, "left")
     first = marked.filter("twins").groupBy(key).agg(F.first("row").alias("row"))
     return marked.filter(F.col("twins").isNull()).select("row").unionAll(first.select("row"))
+
+
+def one_of_each(docs: DataFrame, link: Callable[[DataFrame], DataFrame], text_col: str, id_col: str) -> DataFrame:
+    """link: from rows (key, text) to key and component_id, the least key of its component. Of each component the row with the smallest id (null
+    ids last; of rows with one id any one), with all its columns.
+
+    Rows are told apart by id and text, so ids may be null or repeated; of rows that agree in both one is taken."""
+    small_batches(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("key")
+    found = link(docs.select(key, F.col(text_col).alias("text")))
+    seen = found.groupBy("key").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    marks = seen.filter("key <> first or n > 1").select("key", (F.col("key") == F.col("first")).alias("twins"))
+    return remaining(docs.select(row, key), marks, "key").select("row.*")

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reportmill.llm.common import MOST_BROADCAST, discard, join_hot, materialize, n_partitions, small_batches
-from reportmill.llm.near_sets import SAMPLE, TASK_ROWS, _frequencies, _key, prefix_length, shingle_set
-from reportmill.llm.simhash import components, grouped, shards
+from reportmill.llm.simhash import SEED, _hashes, components, grouped, shards
 
 #: Words of a shingle, least Jaccard similarity.
 WORDS, SIMILARITY = 3, 0.9
+#: Texts that are counted to find common shingles, about; rows of a task that ties sets, about.
+SAMPLE, TASK_ROWS = 20_000, 500_000
 #: Odd factors, one for each order of shingles; share of the hash space whose shingles the first order counts.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 COUNTED = 0.2
@@ -44,6 +45,33 @@ COUNTED = 0.2
 COMMON, SET_PART, PART_SHINGLES, PIVOTS, TASK_SHINGLES = 50_000, 4096, 1_000_000, 16, 3_000_000
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    found = list(_hashes(text, shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _key(found: np.ndarray) -> int:
+    """One value for each set of shingles."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(found.astype("<u8", copy=False).tobytes(), SEED)
+
+
+def prefix_length(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Of sets of n shingles in one order of all shingles: two that are as similar share one of so many first ones."""
+    n = np.asarray(n)
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _frequencies(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Counts of shingles; common: sorted shingles and their counts, the others have 0."""
+    if not common.size:
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(common[0], h), common.shape[1] - 1)
+    return np.where(common[0][at] == h, common[1][at], 0)
+
+
 def prefix(found: np.ndarray, counts: np.ndarray, factor: int, similarity: float) -> np.ndarray:
     """The first shingles of a set under one order; counts: of each, in the sample."""
     order = np.lexsort((found * np.uint64(factor), counts))
@@ -249,14 +277,14 @@ def _solved(placed: DataFrame, common: np.ndarray, similarity: float, shingles:
     return dealt.mapInPandas(search, "a long, b long").filter("a <> b").distinct()
 
 
-def _parts(sets: Column, shingles: Column) -> Column:
-    return F.ceil(F.greatest(sets / SET_PART, shingles / PART_SHINGLES)).cast("int")
+def _parts(sets: Column, shingles: Column, most: int) -> Column:
+    return F.ceil(F.greatest(sets / most, shingles / PART_SHINGLES)).cast("int")
 
 
-def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """held: fp, firsts, hashes; members: fp, n, g. Edges (a, b) whose components are those of all pairs in one group that are as similar."""
+def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float, most: int) -> DataFrame:
+    """held: fp, firsts, hashes; members: fp, n, g; most: sets of a part. Edges (a, b) whose components are those of all pairs in one group that are as similar."""
     sizes = members.groupBy("g").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("g", F.col("sets").alias("n"), "sets", _parts(F.col("sets"), F.col("shingles")).alias("parts"))
+    sizes = sizes.select("g", F.col("sets").alias("n"), "sets", _parts(F.col("sets"), F.col("shingles"), most).alias("parts"))
     members = materialize(join_hot(members.withColumnRenamed("n", "size"), sizes, ["g"], members.count()).select("fp", "size", "g", "sets", "parts"), "jaccard-members")
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     pivot = F.pmod(F.xxhash64("fp", F.lit("pivot")), F.col("sets")) < PIVOTS
@@ -269,9 +297,9 @@ def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity
     # Classes so far: large ones have blocks of their own, the others of a group share blocks.
     root = components(edges)
     classes = materialize(large.join(root, large.fp == root.node, "left").select("fp", "size", "g", F.coalesce("root", "fp").alias("class")), "jaccard-classes")
-    weights = classes.groupBy("g", "class").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("own", _parts(2 * F.col("n"), 2 * F.col("shingles")) > 1)
-    groups = weights.groupBy("g").agg(F.count("*").alias("classes"), _parts(F.sum(F.when(~F.col("own"), F.col("n"))), F.sum(F.when(~F.col("own"), F.col("shingles")))).alias("bins"))
-    weights = weights.join(groups.filter("classes > 1"), "g").withColumn("blocks", F.when(F.col("own"), _parts(F.col("n"), F.col("shingles"))).otherwise(F.col("bins")))
+    weights = classes.groupBy("g", "class").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("own", _parts(2 * F.col("n"), 2 * F.col("shingles"), most) > 1)
+    groups = weights.groupBy("g").agg(F.count("*").alias("classes"), _parts(F.sum(F.when(~F.col("own"), F.col("n"))), F.sum(F.when(~F.col("own"), F.col("shingles"))), most).alias("bins"))
+    weights = weights.join(groups.filter("classes > 1"), "g").withColumn("blocks", F.when(F.col("own"), _parts(F.col("n"), F.col("shingles"), most)).otherwise(F.col("bins")))
     weights = weights.select("g", F.col("class"), "n", "own", "blocks")
     # A block's name: its class and number. A group has about as many as it has sets by SET_PART.
     owner = [(~F.col("own")).alias("shared"), F.when(F.col("own"), F.col("class")).otherwise(F.lit(0)).alias("class")]
@@ -290,12 +318,12 @@ def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity
     return materialize(edges.unionAll(across), "jaccard-edges")
 
 
-def parted(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+def parted(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float, most: int) -> DataFrame:
     """members (fp, n, g), of which groups of over a part's sets are parted by the further orders."""
-    large = members.groupBy("g").agg(F.count("*").alias("sets")).filter(F.col("sets") > SET_PART)
+    large = members.groupBy("g").agg(F.count("*").alias("sets")).filter(F.col("sets") > most)
     if large.isEmpty():
         return members
-    # Groups of so many sets are few: one for each SET_PART of them at most.
+    # Groups of so many sets are few: one for each part's sets at most.
     rest = members.join(large.select("g"), "g", "left_anti").select("fp", "n", "g")
     parts = held.join(members.join(large.select("g"), "g", "left_semi"), "fp").select("fp", "n", "g", _prefixes(common, similarity)("hashes").alias("prefixes"))
     parts = materialize(parts, "jaccard-parts")
@@ -307,14 +335,16 @@ def parted(held: DataFrame, members: DataFrame, common: np.ndarray, similarity:
     return rest.unionByName(parts.select("fp", "n", "g"))
 
 
-def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, n_shingles (long) and component_id, the smallest id that links of sets reach."""
+def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, text_col: str = "text", id_col: str = "doc_id", part: int | None = None, empty: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles (long) and component_id, the smallest id that links of sets reach.
+
+    part: sets of a part of a group (SET_PART unless given). empty: whether empty sets are linked with each other."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
     common = common_shingles(texts, shingle)
     found = texts.select("id", "row", _firsts(common, similarity, shingle)("text").alias("s"))
     marked = materialize(found.select("id", "row", "s.*").withColumn("uid", F.monotonically_increasing_id()), "jaccard-firsts")
-    full = marked.filter("n > 0")
+    full = marked if empty else marked.filter("n > 0")
     points = materialize(full.groupBy("fp").agg(F.min("id").alias("first"), F.min("uid").alias("uid"), F.min("row").alias("row"), F.min("n").alias("n"), F.count("*").alias("docs")), "jaccard-points")
     # Of equal sets one stands for all.
     sets = full.join(points.select("uid"), "uid", "left_semi").select("fp", "n", "own", "more", "free")
@@ -326,9 +356,13 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     left = read.select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
     firsts = postings.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("h").alias("firsts"))
     held = materialize(left.join(firsts, "fp"), "jaccard-held")
-    edges = verified(held, parted(held, members.drop("row"), common, similarity), common, similarity)
+    discard(postings, read)
+    most = part or SET_PART
+    edges = verified(held, parted(held, members.drop("row"), common, similarity, most), common, similarity, most)
     named = grouped(full.select(F.struct("id", "n").alias("id"), "fp"), points.select("fp", "first", "docs"), edges, "of")
     named = named.select(F.col("of.id").alias(id_col), F.col("of.n").alias("n_shingles"), "component_id")
+    if empty:
+        return named
     return named.unionAll(marked.filter("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 

@@ -1,291 +1,32 @@
-"""Near copies by the similarity of their shingles: the pipeline's near-duplicate stage.
+"""Near copies by the similarity of their shingles: what the pipeline's near-duplicate stage looks for after SimHash.
 
 Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them and no others. The 64-bit
-fingerprints of :mod:`simhash` cannot tell that: two texts at 0.8 differ in about ten bits, as do many at 0.7. So fingerprints are not asked;
-components and the handling of shards are the same.
+fingerprints of :mod:`simhash` cannot tell that: two texts at 0.8 differ in about ten bits, as do many at 0.7.
 
-Of two sets of n shingles or fewer that are as similar, each has one of the other's among its first n - ceil(similarity n) + 1, in any
-one order of all shingles (prefix filter); the order is by hash, with shingles common in a sample last. Sets that share a shingle of their
-prefixes are tied to the next one by size. What is tied together goes to one task (in parts, where it is much: every pair of parts to a task):
-first the prefixes alone, to part what differs too much in them, then the sets themselves, each to be compared with all that share a
-shingle of its prefix and are not linked to it yet.
+The search is that of :mod:`jaccard_join`. There a large group of sets that meet by chance is parted by further orders of shingles, and a large
+group of near copies by what is linked already, so what is moved grows with the input. (Pairing all parts of a large group, as was done
+here before, grows with its square.)
 
 Defined results: null text is empty; texts without words have the empty set, which links like any other; null ids take part, and
-a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each, and :func:`drop_near_copies`
-keeps one row of each component, extra columns included; an empty table gives an empty result.
+a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from pyspark.sql import DataFrame
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from reportmill.llm.common import one_of_each
+from reportmill.llm.jaccard_join import jaccard_classes
 
-from reportmill.llm.common import materialize, n_partitions, remaining, small_batches
-from reportmill.llm.simhash import SEED, _hashes, components, grouped, shards
-
-#: Words of a shingle, least Jaccard similarity.
-WORDS, SIMILARITY = 5, 0.8
-#: Rows of a task of the search, about; sets of a part, about.
-TASK_ROWS, SET_PART = 500_000, 2048
-#: Texts that are counted to find common shingles, about; shingles that are ordered by it; shingles of a part; shingles of a task, about.
-SAMPLE, COMMON, PART_SHINGLES, TASK_SHINGLES = 20_000, 50_000, 1_000_000, 3_000_000
-
-
-def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
-    found = list(_hashes(text, shingle))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def _key(found: np.ndarray) -> int:
-    """One value for each set of shingles."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(found.astype("<u8", copy=False).tobytes(), SEED)
-
-
-def prefix_length(n: np.ndarray | int, similarity: float) -> np.ndarray:
-    """Of sets of n shingles in one order of all shingles: two that are as similar share one of so many first ones."""
-    n = np.asarray(n)
-    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-
-
-@F.pandas_udf(T.StructType().add("fp", "long").add("hashes", "binary"))
-def _sets(text: pd.Series) -> pd.DataFrame:
-    found = [shingle_set(x) for x in text]
-    return pd.DataFrame({"fp": np.array([_key(x) for x in found], np.uint64).view(np.int64), "hashes": [x.tobytes() for x in found]})
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _shingles(text: pd.Series) -> pd.Series:
-    return pd.Series([shingle_set(x).view(np.int64) for x in text])
-
-
-def _frequencies(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Counts of shingles; common: sorted shingles and their counts, the others have 0."""
-    if not common.size:
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(common[0], h), common.shape[1] - 1)
-    return np.where(common[0][at] == h, common[1][at], 0)
-
-
-def _prefixes(common: np.ndarray, similarity: float) -> Callable:
-    """The key of a text's set, its size and its prefix; common: shingles that come last, by their counts."""
-
-    @F.pandas_udf(T.StructType().add("fp", "long").add("n", "long").add("prefix", T.ArrayType(T.LongType())))
-    def prefixes(text: pd.Series) -> pd.DataFrame:
-        keys, sizes, firsts = [], [], []
-        for x in text:
-            found = shingle_set(x)
-            keys.append(_key(found))
-            sizes.append(len(found))
-            h = found.view(np.int64)
-            order = np.argsort(_frequencies(h, common), kind="stable")
-            firsts.append(h[order[: int(prefix_length(len(h), similarity))]])
-        return pd.DataFrame({"fp": np.array(keys, np.uint64).view(np.int64), "n": sizes, "prefix": firsts})
-
-    return prefixes
-
-
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """texts: text, row (a hash of it). The most frequent shingles of a sample and their counts; any order of shingles is right, this one is fast."""
-    share = max(1, texts.count() // SAMPLE)
-    sample = texts.filter(F.pmod("row", F.lit(share)) == 0).select(F.explode(_shingles("text")).alias("h"))
-    counted = sample.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    return np.array(sorted((r.h, r.n) for r in counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()), np.int64).T
-
-
-def _chains(similarity: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows by shingle and size: ties each set to the next of its shingle if their sizes allow a link. Any two whose sizes do are so tied."""
-
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for df in batches:
-            df = df if last is None else pd.concat([last, df], ignore_index=True)
-            h, n, fp = df.h.to_numpy(), df.n.to_numpy(), df.fp.to_numpy()
-            tied = (h[1:] == h[:-1]) & (fp[1:] != fp[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9)
-            a, b = fp[:-1][tied], fp[1:][tied]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-            last = df.iloc[-1:]
-
-    return chain
-
-
-def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Edges (i, j) of a forest whose components are those of all pairs of sets that are as similar.
-
-    Sets meet in the shingles of their prefixes, those of the fewest sets first. What is tied already is not compared."""
-    by_size = np.argsort([len(x) for x in sets], kind="stable")
-    n = np.array([len(sets[k]) for k in by_size], np.int64)
-    if not n.sum():
-        return []
-    _, shingle, counts = np.unique(np.concatenate([sets[k] for k in by_size]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    owner = np.repeat(np.arange(len(n)), n)
-    shingle = rank[shingle]
-    shingle = shingle[np.lexsort((shingle, owner))]
-    starts = np.concatenate([[0], np.cumsum(n)])
-    first = np.flatnonzero((np.arange(len(owner)) - starts[owner] < prefix_length(n, similarity)[owner]) & (np.sort(counts)[shingle] > 1))
-    # The prefixes' shingles with the sets that have them, sets by size; for each set its places there.
-    order = np.lexsort((owner[first], shingle[first]))
-    listed, of = shingle[first][order], owner[first][order]
-    begin = np.searchsorted(listed, listed)
-    places = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[places], np.arange(len(n) + 1))
-    least = np.searchsorted(n, similarity * n - 1e-9)
-    label, marked, edges = np.arange(len(n)), np.zeros(len(counts), bool), []
-    for x in np.flatnonzero(np.diff(cuts)):
-        at = places[cuts[x] : cuts[x + 1]]
-        length = at - begin[at]
-        total = int(length.sum())
-        if not total:
-            continue
-        met = of[np.arange(total) + np.repeat(begin[at] - np.cumsum(length) + length, length)]
-        shared = np.bincount(met, minlength=x)
-        shared[: least[x]] = 0
-        near = np.flatnonzero(shared)
-        near = near[np.argsort(-shared[near], kind="stable")]
-        mine = shingle[starts[x] : starts[x + 1]]
-        marked[mine] = True
-        step = 8
-        while len(near := near[label[near] != label[x]]):
-            step = min(2 * step, max(1, (1 << 20) // int(n[x])))
-            y, near = near[:step], near[step:]
-            ends = np.cumsum(n[y])
-            within = marked[shingle[np.arange(ends[-1]) + np.repeat(starts[y] - ends + n[y], n[y])]]
-            both = np.add.reduceat(within, ends - n[y], dtype=np.int64)
-            for z in y[both >= similarity * (n[x] + n[y] - both) - 1e-9].tolist():
-                if label[z] != label[x]:
-                    label[label == label[z]] = label[x]
-                    edges.append((int(by_size[x]), int(by_size[z])))
-        marked[mine] = False
-    return edges
-
-
-def perhaps_similar(prefixes: list[np.ndarray], n: np.ndarray, common: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges (i, j) of a forest whose components are those of all pairs that prefixes of sets of n shingles do not rule out.
-
-    Up to the lesser of two prefixes' last shingles all of both sets is known, and what differs there is no more than what may differ at all."""
-    by_size = np.argsort(n, kind="stable")
-    n, length = n[by_size], np.array([len(prefixes[k]) for k in by_size], np.int64)
-    if not length.sum():
-        return []
-    distinct, shingle, counts = np.unique(np.concatenate([prefixes[k] for k in by_size]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.argsort(_frequencies(distinct.view(np.int64), common), kind="stable")] = np.arange(len(distinct))
-    owner, starts = np.repeat(np.arange(len(n)), length), np.concatenate([[0], np.cumsum(length)])
-    flat = np.sort(owner * len(distinct) + rank[shingle])
-    last = np.where(length > 0, flat[np.maximum(starts[1:] - 1, 0)] % len(distinct), -1)
-    met_twice = counts[shingle] > 1
-    order = np.lexsort((owner[met_twice], shingle[met_twice]))
-    listed, of = shingle[met_twice][order], owner[met_twice][order]
-    begin = np.searchsorted(listed, listed)
-    places = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[places], np.arange(len(n) + 1))
-    least = np.searchsorted(n, similarity * n - 1e-9)
-    label, edges = np.arange(len(n)), []
-    for x in np.flatnonzero(np.diff(cuts)):
-        at = places[cuts[x] : cuts[x + 1]]
-        each = at - begin[at]
-        total = int(each.sum())
-        if not total:
-            continue
-        shared = np.bincount(of[np.arange(total) + np.repeat(begin[at] - np.cumsum(each) + each, each)], minlength=x)
-        shared[: least[x]] = 0
-        y = np.flatnonzero(shared)
-        y = y[label[y] != label[x]]
-        upto = np.minimum(last[x], last[y])
-        known = np.searchsorted(flat, x * len(distinct) + upto, "right") - starts[x] + np.searchsorted(flat, y * len(distinct) + upto, "right") - starts[y]
-        both = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - 1e-9)
-        for z in y[known - 2 * shared[y] <= n[x] + n[y] - 2 * both].tolist():
-            if label[z] != label[x]:
-                label[label == label[z]] = label[x]
-                edges.append((int(by_size[x]), int(by_size[z])))
-    return edges
-
-
-def _members(points: DataFrame, root: DataFrame, size: Column, sets: int, shingles: int) -> DataFrame:
-    """points: fp, row, n; root: node, root. Those of components of several, with the number of their component's parts and their part."""
-    nodes = root.select("node", "root").unionAll(root.select(F.col("root").alias("node"), "root").distinct())
-    members = points.join(nodes, points.fp == nodes.node).select("fp", "row", "n", "root")
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum(size).alias("shingles"))
-    sizes = sizes.select("root", F.ceil(F.greatest(F.col("sets") / sets, F.col("shingles") / shingles)).cast("int").alias("parts"))
-    return materialize(members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), "simhash-members")
-
-
-def _cuts(group: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and ends of the runs of equal values."""
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
-    return starts, [*starts[1:], len(group)]
-
-
-def _solved(members: DataFrame, held: DataFrame, size: Column, column: str, solve: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    """Edges that ``solve`` finds in components; of one in parts, every pair of parts goes to a task, so that no link is lost."""
-    place = ["root", "low", "high"]
-    total = members.agg(F.sum(size * F.greatest(F.lit(1), F.col("parts") - 1))).first()[0] or 0
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: (k != F.col("part")) | (F.col("parts") == 1))
-    both = F.transform(others, lambda k: F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high")))
-    placed = members.join(held, "fp").select("fp", "n", column, "root", F.explode(both).alias("pair")).select("fp", "n", column, "root", "pair.low", "pair.high")
-    tasks = max(n_partitions(members.sparkSession), -(-int(total) // TASK_SHINGLES))
-    dealt = placed.repartition(tasks, *place).sortWithinPartitions(*place)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for many, shard in shards(batches, place):
-            # Whole shards, as many at once as have about PART_SHINGLES; one shard may have two parts.
-            weight = np.cumsum(np.bincount(shard, many[column].map(len)))
-            group = np.searchsorted(np.arange(1, 2 + int(weight[-1]) // PART_SHINGLES) * PART_SHINGLES, weight, "left")[shard]
-            for a, b in zip(*_cuts(group), strict=True):
-                df = many.iloc[a:b]
-                fp = df.fp.to_numpy()
-                edges = np.array(solve(df), np.int64).reshape(-1, 2)
-                x, y = fp[edges[:, 0]], fp[edges[:, 1]]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return dealt.mapInPandas(search, "a long, b long").filter("a <> b").distinct()
-
-
-def link_sets(texts: DataFrame, marked: DataFrame, points: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """texts: text, row; marked: fp, n, prefix; points: fp, row, n. Edges (a, b) whose components are those of all pairs as similar."""
-    rows = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    postings = marked.select("fp", "n", F.explode("prefix").alias("h")).repartition(max(n_partitions(texts.sparkSession), -(-rows // TASK_ROWS)), "h")
-    root = components(postings.sortWithinPartitions("h", "n", "fp").mapInPandas(_chains(similarity), "a long, b long").distinct())
-    # What is tied by single shingles is parted by whole prefixes, so that few sets need to be moved.
-    size = F.ceil(F.col("n") * (1 - similarity)) + 1
-    members = _members(points, root, size, 4 * SET_PART, PART_SHINGLES)
-    prefixes = marked.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("prefix").alias("prefix"))
-    root = components(_solved(members, prefixes, size, "prefix", lambda df: perhaps_similar([np.asarray(x, np.int64).view(np.uint64) for x in df.prefix], df.n.to_numpy(), common, similarity)))
-    members = _members(points, root, F.col("n"), SET_PART, PART_SHINGLES)
-    sets = texts.join(members.select("row").distinct(), "row", "left_semi").select(_sets("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
-    return _solved(members, sets, F.col("n"), "hashes", lambda df: similar_sets([np.frombuffer(x, np.uint64) for x in df.hashes], similarity))
+#: Words of a shingle, least Jaccard similarity; sets of a part of a group, about.
+WORDS, SIMILARITY, SET_PART = 5, 0.8, 4096
 
 
 def near_dedup_similar(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Links by similarity of five-word shingles. One row per document: id, fp (long), component_id.
-
-    Here fp is a hash of the set of shingles; texts with one set are linked. A text is found again by a hash of its own, whatever its id."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
-    common = common_shingles(texts)
-    found = _prefixes(common, similarity)(F.col("text")).alias("s")
-    marked = materialize(texts.select("id", "row", found).select("id", "row", "s.fp", "s.n", "s.prefix"), "simhash")
-    points = materialize(marked.groupBy("fp").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.count("*").alias("docs")), "simhash-points")
-    edges = link_sets(texts, marked, points, common, similarity)
-    return grouped(marked.select("id", "fp"), points.select("fp", "first", "docs"), edges, id_col)
+    """Links by similarity of five-word shingles. One row per document: id, component_id."""
+    return jaccard_classes(docs, similarity, WORDS, text_col, id_col, SET_PART, empty=True).select(id_col, "component_id")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Of each component the row with the smallest id (null ids last; of rows with one id any one), with all its columns.
-
-    Rows are told apart by id and text, so ids may be null or repeated; of rows that agree in both one is taken."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("key")
-    found = near_dedup_similar(docs.select(key, F.col(text_col).alias("text")), similarity, "text", "key")
-    seen = found.groupBy("key").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
-    marks = seen.filter("key <> first or n > 1").select("key", (F.col("key") == F.col("first")).alias("twins"))
-    return remaining(docs.select(row, key), marks, "key").select("row.*")
+    """Of each component the row with the smallest id, with all its columns, as :func:`common.one_of_each` takes it."""
+    return one_of_each(docs, lambda keyed: near_dedup_similar(keyed, similarity, "text", "key"), text_col, id_col)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import types as T
 
-from reportmill.llm import near_sets, simhash
+from reportmill.llm import jaccard_join, near_sets, simhash
 
 SCHEMA = T.StructType().add("doc_id", "long").add("text", "string")
 
@@ -69,3 +69,19 @@ def test_links_through_rows_without_an_id(spark):
     found = near_sets.near_dedup_similar(spark.createDataFrame(rows, SCHEMA)).collect()
     by_id = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
     assert len(found) == 60 and all(by_id[2 * k] == by_id[2 * k + 1] == 2 * k for k in range(20))
+
+
+def test_large_groups_of_near_copies_are_moved_in_proportion(spark, monkeypatch):
+    """Every pair of parts of a group would be 100 sets to each of 50 parts."""
+    rng, moved, solved = random.Random(26), [], jaccard_join._solved
+    template = some_words(rng, 200)
+    text = {k: " ".join([*template[:k], f"x{k}", *template[k + 1 :]]) for k in range(100)}
+
+    def counted(placed, *args):
+        moved.append(placed.count())
+        return solved(placed, *args)
+
+    monkeypatch.setattr(jaccard_join, "_solved", counted)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    monkeypatch.setattr(near_sets, "SET_PART", 2)
+    assert set(linked(spark, text).values()) == {0} and len(moved) > 0 and sum(moved) < 500

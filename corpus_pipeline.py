@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import exact_dedup, mixing, near_sets, sentencepiece, toxicity
+from reportmill.llm import exact_dedup, mixing, near_sets, sentencepiece, simhash, toxicity
 from reportmill.llm.common import discard, materialize, table
 
 
@@ -25,8 +25,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
-    return near_sets.drop_near_copies(docs)
+    """One document of each group of near copies by SimHash (op9's trees and components); of these, one of each group of texts whose five-word
+    shingles are similar by 0.8 or more, which fingerprints alone do not find."""
+    return near_sets.drop_near_copies(simhash.drop_near_copies(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

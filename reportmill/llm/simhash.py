@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reportmill.llm.common import discard, join_hot, materialize, n_partitions
+from reportmill.llm.common import discard, join_hot, materialize, n_partitions, one_of_each
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Points of a leaf, which are compared with each other; points of a shard, about; points of a part of a shard that could not be split; rows of a task of the search, about.
@@ -345,3 +345,8 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     marked = materialize(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp")), "simhash")
     points = materialize(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("docs")), "simhash-points")
     return grouped(marked, points, link_fingerprints(points.select("fp"), points.count()), id_col)
+
+
+def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of each component the row with the smallest id, with all its columns, as :func:`common.one_of_each` takes it."""
+    return one_of_each(docs, lambda keyed: near_dedup(keyed, "text", "key"), text_col, id_col)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from reportmill.llm import jaccard_join, near_sets, simhash
 
 SCHEMA = T.StructType().add("doc_id", "long").add("text", "string")
@@ -71,6 +72,15 @@ def test_links_through_rows_without_an_id(spark):
     assert len(found) == 60 and all(by_id[2 * k] == by_id[2 * k + 1] == 2 * k for k in range(20))
 
 
+def test_the_near_stage_drops_what_simhash_links(spark):
+    """Lines that are there again and again fill the fingerprints, while few of the distinct shingles are shared."""
+    rng, same = random.Random(25), "one line that is there for ever "
+    text = {k: same * 300 + " ".join(some_words(rng, 300)) for k in (4, 2)} | {9: " ".join(some_words(rng, 300))}
+    assert linked(spark, text) == {k: k for k in text}
+    docs = spark.createDataFrame(list(text.items()), SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.drop_near(spark, docs, "").collect()} == {2, 9}
+
+
 def test_large_groups_of_near_copies_are_moved_in_proportion(spark, monkeypatch):
     """Every pair of parts of a group would be 100 sets to each of 50 parts."""
     rng, moved, solved = random.Random(26), [], jaccard_join._solved

@@ -19,13 +19,16 @@ log = logging.getLogger("reportmill")
 
 @dataclass
 class Consolidated:
-    """Lazy results: evaluation of rules and plugins (rows that matched or have a reason), entries by rule, services by rule and key, outputs by service and plugin, and the metadata row."""
+    """Lazy results: evaluation of rules and plugins (rows that matched or have a reason), entries by rule, services by rule and key, outputs by service and plugin, and the metadata row.
+
+    places: services without their issues, which cost much less to find."""
 
     evaluation: DataFrame
     entries: DataFrame
     services: DataFrame
     outputs: DataFrame
     metadata: DataFrame
+    places: DataFrame
 
 
 def _passing(readers: list[dict], name: Column, family: Column) -> Column:
@@ -204,6 +207,22 @@ def affected_services(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFr
     ).select(*_SERVICE, "first_seen", "seen.ip", "seen.fqdn", F.col("seen.port_key").alias("port"), "issues_found")
 
 
+def service_places(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of :func:`affected_services` without issues.
+
+    A key depends on the rule, the address and the port. So firsts are found for each of these and for the plugins that match the same rules, and only
+    they are multiplied by rules."""
+    sets = matches.groupBy("file_id", "plugin_id", "plugin_ord").agg(F.array_sort(F.collect_list("rule_ord")).alias("rules"))
+    ports = plugin_hosts.withColumn("port_key", port_key(F.col("port"), F.col("protocol"))).filter("port_key is not null")
+    rows = ports.select("file_id", "plugin_id", "host_ord", "port_key", F.col("ord").alias("host_item")).join(sets, ["file_id", "plugin_id"])
+    rows = rows.join(hosts.select("file_id", "host_ord", "ip", "fqdn"), ["file_id", "host_ord"])
+    at = F.struct("plugin_ord", "host_item")
+    firsts = rows.groupBy("file_id", "rules", "ip", "port_key").agg(F.min_by("fqdn", at).alias("fqdn"), F.min(at).alias("at"))
+    keyed = firsts.withColumn("rule_ord", F.explode("rules")).join(rules.select("rule_ord", "rule_name", "grouping"), "rule_ord").withColumn("service_key", service_key(F.col("grouping"), F.col("ip"), F.col("port_key")))
+    seen = keyed.groupBy(*_SERVICE).agg(F.min("at").alias("first_seen"), F.min_by(F.struct("ip", "fqdn", "port_key"), "at").alias("seen"))
+    return seen.select(*_SERVICE, "first_seen", "seen.ip", "seen.fqdn", F.col("seen.port_key").alias("port"))
+
+
 def service_outputs(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each file, rule, service key and plugin that said anything there: its last output, and the place of its first."""
     said = _affected(matches, plugin_hosts, hosts, rules).filter(F.coalesce("plugin_output", F.lit("")) != "")
@@ -238,4 +257,4 @@ def consolidate(items: DataFrame, hosts: DataFrame, rules: list[dict] | None, ke
     metadata = metadata.select("file_id", "original_plugins_count", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("consolidated_count", "distinct_consolidated")], F.array(*[F.lit(r["rule_name"]) for r in live]).alias("rules_applied"))
     full = entries(matches, found).join(frame.drop("rule_name"), "rule_ord")
     parts = (matches, affected, hosts, frame)
-    return Consolidated(evaluation, full, affected_services(*parts), service_outputs(*parts), metadata)
+    return Consolidated(evaluation, full, affected_services(*parts), service_outputs(*parts), metadata, service_places(*parts))

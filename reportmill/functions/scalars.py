@@ -89,7 +89,7 @@ def sniff(content: Column) -> Column:
 
 def in_order(value: Column, ord_: Column) -> Column:
     """Aggregate: values in order of ``ord_``."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(ord_.alias("o"), value.alias("v")))), lambda x: x["v"])
+    return F.transform(F.sort_array(F.collect_list(F.struct(ord_.alias("o"), value.alias("v")))), lambda x: x["v"])
 
 
 def distinct_in_order(value: Column, ord_: Column) -> Column:

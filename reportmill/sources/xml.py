@@ -39,7 +39,7 @@ class Report:
 
     damaged: file_id, host_ord (null for what is no host), cause and start (how the element begins) of what could not be read.
     elements: what all but the context is made of, parsed once where it is kept. root: file_id and the root's name; reading it
-    parses what lies outside of hosts."""
+    parses what lies outside of hosts. located: items or ports with ``ip``, their host's address, for what would read both tables only to join them."""
 
     kind: str
     context: DataFrame
@@ -49,6 +49,7 @@ class Report:
     damaged: DataFrame | None = None
     elements: DataFrame | None = None
     root: DataFrame | None = None
+    located: DataFrame | None = None
 
 
 #: A start tag's attributes, whose values may hold any character but their quotes and "<".
@@ -61,13 +62,13 @@ LAST = "\0"
 
 
 def _pieces(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
-    """file_id, place, valid (whether it is in its encoding), pieces: text up to a closing tag of ``tag``, cut before each of its start tags. The first
+    """file_id, place, parted (whether the file has other blocks), valid (whether it is in its encoding), pieces: text up to a closing tag of ``tag``, cut before each of its start tags. The first
     piece lies outside of all."""
     rows = scan.rows(spark, path, tag)
     text = F.when(scan.marked(F.col("value")), scan.plain(F.col("value"))).otherwise(F.col("value"))
     # The line break keeps a start tag at the very beginning from being taken for the first piece.
     outside = F.concat(F.lit("\n"), F.regexp_replace(text, r"^\s*>", ""), F.lit(LAST))
-    return rows.select("file_id", "place", F.is_valid_utf8("value").alias("valid"), F.split(outside, rf"(?=<{tag}[\s/>])").alias("pieces"))
+    return rows.select("file_id", "place", "parted", F.is_valid_utf8("value").alias("valid"), F.split(outside, rf"(?=<{tag}[\s/>])").alias("pieces"))
 
 
 def _alone(tag: str) -> str:
@@ -76,27 +77,34 @@ def _alone(tag: str) -> str:
 
 def _numbered(pieces: DataFrame, tag: str) -> DataFrame:
     """One row for each start tag: file_id, place, valid, host_ord (from 1 in document order), x (the element's text) and open, if it has no end."""
-    found = pieces.select("file_id", "place", "valid", F.posexplode("pieces").alias("pos", "x")).filter("pos > 0")
+    found = pieces.select("file_id", "place", "parted", "valid", F.posexplode("pieces").alias("pos", "x"))
+    # What lies outside of elements is left as a row without text, by which the last row of a block is known.
+    element = F.col("pos") > 0
     final = F.col("x").endswith(LAST)
     alone = F.col("x").rlike(_alone(tag))
     # Of a row only the last element can have an end tag behind it.
     number = found.select(
-        "file_id", "valid", F.struct("place.block", "place.id", "pos").alias("place"), F.when(alone, F.regexp_extract("x", _alone(tag), 0)).otherwise(F.concat(F.rtrim("x", F.lit(LAST)), F.lit(f"</{tag}>"))).alias("x"),
+        "file_id", "parted", "valid", "pos", F.struct("place.block", "place.id", "pos").alias("place"),
+        F.when(element, F.when(alone, F.regexp_extract("x", _alone(tag), 0)).otherwise(F.concat(F.rtrim("x", F.lit(LAST)), F.lit(f"</{tag}>")))).alias("x"),
         (~alone & ~final).alias("open"), alone.alias("alone"))
-    blocks = pieces.groupBy("file_id", "place.block").agg(F.sum(F.size("pieces") - 1).alias("n"), F.max("place.id").alias("last"))
+    # A file of one block is numbered by its ranks; only the others are read for the sums of the blocks before.
+    blocks = pieces.filter("parted").groupBy("file_id", "place.block").agg(F.sum(F.size("pieces") - 1).alias("n"), F.max("place.id").alias("last"))
     upto = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at_end = F.max("block").over(Window.partitionBy("file_id")) == F.col("block")
     blocks = blocks.select("file_id", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.when(at_end, F.col("last")).alias("last"))
-    ranked = number.withColumn("block", F.col("place.block")).withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "block").orderBy("place")))
-    joined = ranked.join(blocks, ["file_id", "block"])
-    ended = F.col("open") | (~F.col("alone") & F.coalesce(F.col("place.id") == F.col("last"), F.lit(False)))
-    return joined.select("file_id", "place", "valid", (F.col("before") + F.col("rank")).cast("long").alias("host_ord"), "x", ended.alias("open"))
+    of_block = Window.partitionBy("file_id", "block")
+    ranked = number.withColumn("block", F.col("place.block")).withColumn("rank", F.count_if(F.col("pos") > 0).over(of_block.orderBy("place"))).withColumn("own_last", F.max("place.id").over(of_block))
+    joined = ranked.filter("pos > 0").join(blocks, ["file_id", "block"], "left")
+    last = F.when(F.col("parted"), F.col("last")).otherwise(F.col("own_last"))
+    ended = F.col("open") | (~F.col("alone") & F.coalesce(F.col("place.id") == last, F.lit(False)))
+    return joined.select("file_id", "place", "valid", (F.coalesce("before", F.lit(0)) + F.col("rank")).cast("long").alias("host_ord"), "x", ended.alias("open"))
 
 
 def _elements(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
     """One row for each element: file_id, host_ord, cause (null for those that are whole), start (how a damaged one begins) and its fields."""
     options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = _numbered(pieces, tag).select("*", F.from_xml("x", f"{schema}, _corrupt string", options).alias("e"))
+    # Exploded, since conditions on fields of an expression are else pushed down with it, and each parses the text once more.
+    parsed = _numbered(pieces, tag).select("*", F.explode(F.array(F.from_xml("x", f"{schema}, _corrupt string", options))).alias("e"))
     cause = F.when(F.col("open"), f"no end tag of {tag}").when(~F.col("valid"), FOREIGN).when(F.col("e._corrupt").isNotNull(), "not well-formed")
     named = parsed.withColumn("cause", cause)
     return named.select("file_id", "host_ord", "cause", F.when(F.col("cause").isNotNull(), F.left("x", F.lit(SHOWN))).alias("start"), "e.*").drop("_corrupt")
@@ -156,7 +164,7 @@ def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: boo
         "file_id", "host_ord", _tag("host-ip").alias("ip"), _tag("host-fqdn").alias("fqdn"), S.host_names(_tag("host-fqdns"), _tag("host-fqdn")).alias("fqdns"),
         _tag("operating-system").alias("os"), S.time_text(start).alias("scan_start"), S.time_text(end).alias("scan_end"),
         S.flag(_tag("Credentialed_Scan")).alias("credentialed"), F.col("HostProperties").isNotNull().alias("has_properties"))
-    exploded = hosts.filter(F.col("HostProperties").isNotNull()).select("file_id", "host_ord", F.posexplode("ReportItem").alias("pos", "i"))
+    exploded = hosts.filter(F.col("HostProperties").isNotNull()).select("file_id", "host_ord", _tag("host-ip").alias("ip"), F.posexplode("ReportItem").alias("pos", "i"))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"i.{name}"), F.lit(""))
@@ -164,18 +172,18 @@ def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: boo
     def score(prefix: str) -> Column:
         return F.struct(_number(F.col(f"i.{prefix}_base_score"), strict).alias("base_score"), _number(F.col(f"i.{prefix}_temporal_score"), strict).alias("temporal_score"), text(f"{prefix}_vector").alias("vector"))
 
-    items = exploded.select(
+    located = exploded.select(
         "file_id", "host_ord", F.struct("host_ord", "pos").alias("ord"), text("_pluginID").alias("plugin_id"), text("_port").alias("port"), text("_protocol").alias("protocol"), text("_svc_name").alias("svc_name"),
         F.coalesce((F.col("i._severity").cast("int") if strict else F.col("i._severity").try_cast("int")), F.lit(0)).alias("severity"), text("_pluginName").alias("name"), text("_pluginFamily").alias("family"),
         text("risk_factor").alias("risk_factor"), score("cvss").alias("cvss"), score("cvss3").alias("cvss3"), *[text(c).alias(c) for c in ("description", "synopsis", "solution", "plugin_output")],
-        S.lines(F.get("i.see_also", 0)).alias("see_also"), *[F.coalesce(F.col(f"i.{c}"), F.array().cast("array<string>")).alias(c) for c in ("cve", "cwe", "xref")])
+        S.lines(F.get("i.see_also", 0)).alias("see_also"), *[F.coalesce(F.col(f"i.{c}"), F.array().cast("array<string>")).alias(c) for c in ("cve", "cwe", "xref")], "ip")
     outside = _context(pieces, "ReportHost")
     context = outside.select(
         "file_id", _at("//Report/@name").alias("scan_name"), _at("//Policy//policyName/text()").alias("policy_name"),
         *[S.report_time(_at(f"(//preference[name='scan_{x}_timestamp'])[last()]/value/text()")).alias(x) for x in ("start", "end")])
     seconds = F.unix_timestamp("end") - F.unix_timestamp("start")
     context = context.select("file_id", "scan_name", "policy_name", S.time_text(F.col("start")).alias("scan_start"), S.time_text(F.col("end")).alias("scan_end"), S.clock(seconds).alias("scan_duration"))
-    return Report("vuln", context, table, items=items, damaged=_damaged(pieces, elements, "ReportHost"), elements=elements, root=_root(outside))
+    return Report("vuln", context, table, items=located.drop("ip"), located=located, damaged=_damaged(pieces, elements, "ReportHost"), elements=elements, root=_root(outside))
 
 
 def read_scans(spark: SparkSession, path: str | list[str], status: str = "all") -> Report:
@@ -187,18 +195,18 @@ def read_scans(spark: SparkSession, path: str | list[str], status: str = "all")
     hosts = hosts.withColumn("ip", ip).filter("ip <> ''")
     table = hosts.select("file_id", "host_ord", "ip", F.coalesce(F.get("hostnames.hostname", 0)["_name"], F.lit("")).alias("hostname"), F.coalesce("status._state", F.lit("unknown")).alias("host_status"))
     listed = F.col("ports.port") if status == "all" else F.filter("ports.port", lambda p: p["state"]["_state"] == status)
-    exploded = hosts.select("file_id", "host_ord", F.posexplode(listed).alias("ord", "p"))
+    exploded = hosts.select("file_id", "host_ord", "ip", F.posexplode(listed).alias("ord", "p"))
     s = {c: F.nullif(F.col(f"p.service._{c}"), F.lit("")) for c in ("product", "version", "extrainfo", "method", "conf")}
     details = F.to_json(F.struct(*[x.alias(c) for c, x in s.items()], S.combined_info(F.col("p.service._product"), F.col("p.service._version")).alias("combined_info")))
     # Of scripts with one id the last counts.
     scripts = F.filter(F.coalesce(F.col("p.script"), F.array().cast("array<struct<_id:string,_output:string>>")), lambda x: F.coalesce(x["_id"], F.lit("")) != "")
     lasts = F.filter(scripts, lambda x, k: ~F.exists(F.slice(scripts, k + 2, F.size(scripts)), lambda y: y["_id"] == x["_id"]))
-    ports = exploded.select(
+    located = exploded.select(
         "file_id", "host_ord", "ord", F.coalesce("p._portid", F.lit("")).alias("port_id"), F.lower(F.coalesce("p._protocol", F.lit(""))).alias("protocol"), F.coalesce("p.state._state", F.lit("")).alias("status"),
-        F.coalesce("p.service._name", F.lit("")).alias("service_name"), details.alias("service_details"), F.map_from_entries(lasts).alias("script_output"))
+        F.coalesce("p.service._name", F.lit("")).alias("service_name"), details.alias("service_details"), F.map_from_entries(lasts).alias("script_output"), "ip")
     # Without a finish, or where a time is no number, there is no duration; a finish without a time counts as 0.
     finished = F.size(F.xpath("x", F.lit("/nmaprun/runstats/finished"))) > 0
     seconds = F.coalesce(_at("/nmaprun/runstats/finished/@time"), F.lit("0")).try_cast("long") - _at("/nmaprun/@start").try_cast("long")
     outside = _context(pieces, "host")
     context = outside.select("file_id", *[F.coalesce(_at(f"/nmaprun/{x}"), F.lit("")).alias(name) for name, x in (("scanner_version", "@version"), ("scan_command", "@args"), ("scan_type", "scaninfo/@type"), ("scan_start", "@startstr"), ("scan_end", "runstats/finished/@timestr"))], S.spoken(F.when(finished, seconds)).alias("scan_duration"))
-    return Report("net", context, table, ports=ports, damaged=_damaged(pieces, elements, "host"), elements=elements, root=_root(outside))
+    return Report("net", context, table, ports=located.drop("ip"), located=located, damaged=_damaged(pieces, elements, "host"), elements=elements, root=_root(outside))

@@ -99,12 +99,13 @@ def _written(spark: SparkSession, hosts: DataFrame, before: str, after: str) ->
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     files = hosts.groupBy(F.floor(F.col("host_ord") / HOSTS_OF_A_FILE).alias("file")).agg(F.array_join(in_order(F.col("x"), F.col("host_ord")), "").alias("x"))
-    files.select("file", F.concat(F.lit(before), "x", F.lit(after)).alias("value")).repartition("file").write.partitionBy("file").text(folder)
-    return folder + "/file=*/"
+    # One row is one report; all lie in one folder, which is listed at once.
+    files.select(F.concat(F.lit(before), "x", F.lit(after)).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
 
 
 def write_vulnerabilities(spark: SparkSession, sf_dir: str) -> str:
-    """The findings as reports in XML; returns their pattern. Outputs are escaped or in character data sections, and comments hold tags."""
+    """The findings as reports in XML; returns their folder. Outputs are escaped or in character data sections, and comments hold tags."""
     rows, n = items(spark, sf_dir), F.col("ord.l_linenumber")
     attributes = [F.concat(F.lit(f' {a}="'), _escaped(F.col(c).cast("string")), F.lit('"')) for a, c in (("port", "port"), ("svc_name", "svc_name"), ("protocol", "protocol"), ("severity", "severity"), ("pluginID", "plugin_id"), ("pluginName", "name"), ("pluginFamily", "family"))]
     output = F.when(n % 2 == 0, F.concat(F.lit("<![CDATA["), said(rows), F.lit("]]>"))).otherwise(_escaped(said(rows)))
@@ -117,7 +118,7 @@ def write_vulnerabilities(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_scans(spark: SparkSession, sf_dir: str) -> str:
-    """The ports as port scans in XML; returns their pattern."""
+    """The ports as port scans in XML; returns their folder."""
     rows = net_ports(spark, sf_dir)
     service = F.when(F.col("service_name") != "", F.concat(F.lit('<service name="'), "service_name", F.lit('" product="'), "product", F.lit('" version="'), "version", F.lit('"/>'))).otherwise("")
     element = F.concat(F.lit('<port protocol="'), "protocol", F.lit('" portid="'), "port_id", F.lit('"><state state="'), "status", F.lit('"/>'), service, F.lit("</port>"))

@@ -199,11 +199,13 @@ def affected_services(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFr
 
     Findings without a port affect no service."""
     rows = _affected(matches, plugin_hosts, hosts, rules)
-    # All rows of a plugin lie between those of its neighbours, so plugins can be reduced to their first row each before they are listed.
-    plugins = rows.groupBy(*_SERVICE, "plugin_id", "name").agg(F.min_by(F.struct("ip", "fqdn", "port_key"), "at").alias("seen"), F.min("at").alias("at"))
+    # All rows of a plugin lie between those of its neighbours, so plugins can be reduced to their first row each before they are listed, and are listed by
+    # their own places. The least (at, place) has the place that is first seen.
+    plugins = rows.groupBy(*_SERVICE, "plugin_id", "name", "plugin_ord").agg(F.min(F.struct("host_item", F.struct("ip", "fqdn", "port_key").alias("seen"))).alias("first"))
     issue = F.struct(F.col("plugin_id").alias("id"), F.col("name").alias("name"))
+    at = F.struct("plugin_ord", F.col("first.host_item").alias("host_item"))
     return plugins.groupBy(*_SERVICE).agg(
-        F.min("at").alias("first_seen"), F.min_by("seen", "at").alias("seen"), in_order(issue, F.col("at")).alias("issues_found")
+        F.min(at).alias("first_seen"), F.min_by("first.seen", at).alias("seen"), in_order(issue, F.col("plugin_ord")).alias("issues_found")
     ).select(*_SERVICE, "first_seen", "seen.ip", "seen.fqdn", F.col("seen.port_key").alias("port"), "issues_found")
 
 
@@ -212,7 +214,7 @@ def service_places(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFrame
 
     A key depends on the rule, the address and the port. So firsts are found for each of these and for the plugins that match the same rules, and only
     they are multiplied by rules."""
-    sets = matches.groupBy("file_id", "plugin_id", "plugin_ord").agg(F.array_sort(F.collect_list("rule_ord")).alias("rules"))
+    sets = matches.groupBy("file_id", "plugin_id", "plugin_ord").agg(F.sort_array(F.collect_list("rule_ord")).alias("rules"))
     ports = plugin_hosts.withColumn("port_key", port_key(F.col("port"), F.col("protocol"))).filter("port_key is not null")
     rows = ports.select("file_id", "plugin_id", "host_ord", "port_key", F.col("ord").alias("host_item")).join(sets, ["file_id", "plugin_id"])
     rows = rows.join(hosts.select("file_id", "host_ord", "ip", "fqdn"), ["file_id", "host_ord"])
@@ -231,7 +233,8 @@ def service_outputs(matches: DataFrame, plugin_hosts: DataFrame, hosts: DataFram
 
 def with_outputs(services: DataFrame, outputs: DataFrame) -> DataFrame:
     """Services with ``plugin_outputs``, a map from plugin to output."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_said", "plugin_id", "plugin_output"))), lambda x: F.struct(x["plugin_id"], x["plugin_output"]))
+    # A service has a plugin once, so plugins' own places order them.
+    listed = in_order(F.struct("plugin_id", "plugin_output"), F.col("first_said.plugin_ord"))
     maps = outputs.groupBy(*_SERVICE).agg(F.map_from_entries(listed).alias("plugin_outputs"))
     return services.join(maps, _SERVICE, "left").withColumn("plugin_outputs", F.coalesce("plugin_outputs", F.create_map().cast("map<string,string>")))
 

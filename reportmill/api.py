@@ -117,7 +117,7 @@ def _look_for_damage(r: xml.Report, damage: str) -> None:
 def release(results: dict[str, object]) -> None:
     """Let the parsed tables go that ``process`` keeps."""
     r, done = results["report"], results.get("consolidated")
-    for df in (*_read_often(r), *([done.evaluation] if done else [])):
+    for df in (*_read_often(r), *([done.judged] if done else [])):
         df.unpersist()
 
 

@@ -18,11 +18,25 @@ from reportmill.functions.scalars import SEVERITIES, in_order, port_key, severit
 
 def first_wins(rows: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
     """The first row of each key in document order. Partial minima combine before the shuffle; each column has its own, so that those not asked for are never read."""
-    return rows.groupBy(*keys).agg(*[(F.min(ord_) if c == ord_ else F.min_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
+    found = rows.groupBy(*_sorted_by(keys)).agg(*[(F.min(ord_) if c == ord_ else F.min_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
+    return found.select(*keys, *[c for c in rows.columns if c not in keys])
+
+
+def _sorted_by(keys: list[str]) -> list[str]:
+    """Rows are sorted by keys to find firsts. A sort compares by the first key's first bytes, so the file, which many rows share, comes last."""
+    return [k for k in keys if k != "file_id"] + [k for k in keys if k == "file_id"]
+
+
+def first_rows(rows: DataFrame, keys: list[str], columns: list[str], ord_: str = "ord") -> DataFrame:
+    """:func:`first_wins` with the columns named, which all are read: rows are compared once, and not once for each column."""
+    # Keys are read from the rows that are found: what one reader asks of keys then does not part its aggregate from that of another reader.
+    first = F.min(F.struct(ord_, *keys, *[c for c in columns if c != ord_])).alias("_first")
+    return rows.groupBy(*_sorted_by(keys)).agg(first).select(*[F.col(f"_first.{c}") for c in (*keys, ord_, *[c for c in columns if c != ord_])])
 
 
 def last_wins(rows: DataFrame, keys: list[str], ord_: str = "ord") -> DataFrame:
-    return rows.groupBy(*keys).agg(*[(F.max(ord_) if c == ord_ else F.max_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
+    found = rows.groupBy(*_sorted_by(keys)).agg(*[(F.max(ord_) if c == ord_ else F.max_by(F.col(c), F.col(ord_))).alias(c) for c in rows.columns if c not in keys])
+    return found.select(*keys, *[c for c in rows.columns if c not in keys])
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, first: Column | None = None) -> DataFrame:
@@ -40,13 +54,16 @@ def numbered(rows: DataFrame, order: list[str], name: str, first: Column | None
 HOSTS_OF_A_TASK = 1000
 
 
-def plugins(items: DataFrame) -> DataFrame:
-    return first_wins(items, ["file_id", "plugin_id"])
+def plugins(items: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """columns: those wanted besides the keys and ord, if not all."""
+    keys = ["file_id", "plugin_id"]
+    return first_wins(items, keys) if columns is None else first_rows(items, keys, columns)
 
 
-def plugin_hosts(items: DataFrame) -> DataFrame:
-    """One port a plugin and host: the first."""
-    return first_wins(items, ["file_id", "plugin_id", "host_ord"])
+def plugin_hosts(items: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One port a plugin and host: the first. columns: as of :func:`plugins`."""
+    keys = ["file_id", "plugin_id", "host_ord"]
+    return first_wins(items, keys) if columns is None else first_rows(items, keys, columns)
 
 
 def severity_counts(plugins: DataFrame) -> DataFrame:

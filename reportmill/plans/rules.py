@@ -210,14 +210,20 @@ def reads_output(rule: dict) -> bool:
     return bool(rule["filters"].get("plugin_output_patterns") or rule["filters"].get("exclude_plugin_output_patterns"))
 
 
-def evaluate(rule_ord: int, rule: dict, name: Column, family: Column, spoken: Column, held: dict[str, Column]) -> Column:
-    """Struct: rule_ord, rule_name, matched, reason (the filter that excluded a plugin whose name passed)."""
+def verdict(rule: dict, name: Column, family: Column, spoken: Column, held: dict[str, Column]) -> Column:
+    """Empty where the name does not pass, null where the rule matches, or else the filter that excluded the plugin."""
     passes, later = name_filters(rule, name, family)
     later = later + output_filters(rule, spoken, held)
     reason = F.coalesce(*[F.when(~ok, F.lit(k)) for k, ok in later]) if later else F.lit(None).cast("string")
+    return F.when(~passes, F.lit("")).otherwise(reason)
+
+
+def result(rule_ord: int, rule: dict, found: Column) -> Column:
+    """Of a verdict, the struct: rule_ord, rule_name, matched, reason (the filter that excluded a plugin whose name passed)."""
+    reason = F.nullif(found, F.lit(""))
     # Without name patterns, plugins of other families are no exclusions worth a note.
-    logged = F.when(passes, reason) if rule["filters"].get("name_patterns") else F.nullif(reason, F.lit("plugin_families"))
-    return F.struct(F.lit(rule_ord).alias("rule_ord"), F.lit(rule["rule_name"]).alias("rule_name"), (passes & reason.isNull()).alias("matched"), logged.alias("reason"))
+    logged = reason if rule["filters"].get("name_patterns") else F.nullif(reason, F.lit("plugin_families"))
+    return F.struct(F.lit(rule_ord).alias("rule_ord"), F.lit(rule["rule_name"]).alias("rule_name"), found.isNull().alias("matched"), logged.alias("reason"))
 
 
 def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:

@@ -7,14 +7,16 @@ The first order begins with the shingles of one part of the hash space (``COUNTE
 sets; then come the others, and last those that are common in a sample of the texts. A set's prefix is then mostly of shingles that
 no other set has, which meet nothing. The further orders are by other hashes. Any orders give right results; these make them cheap.
 
-Filters are intersected twice. First by groups: sets that share a prefix shingle under the first order are tied to the next one by size, and what
-is tied together is a group; under further orders only members of one group tie, which parts groups that are larger than a task. Then by
-pairs, in the tasks that verify a group: whoever shares a prefix shingle under every order, fits by size and is not linked yet is compared
+Filters follow each other. Sets that share a prefix shingle under the first order are tied to the next one by size, and what is tied together
+is a group. A group is parted by sketches, which have one or two bits for each shingle and not 64: a bit is the parity of the shingles that fall on it,
+so sketches differ in no more bits than sets in shingles, and sets whose sketches differ in more than a link allows are not linked. Sets that
+no other one of their group fits go. What is left is parted into the components of those that fit, which are mostly near copies, and only then whole sets
+are moved: in the tasks that verify a group, whoever shares a prefix shingle under every further order, fits by size and is not linked yet is compared
 by the whole sets.
 
-Large groups are cut. First each part is solved alone, with a few sets of its group that all parts get, so that parts of near copies link up
-over them. Then blocks of sets that are not linked meet pairwise: every block of a large class with the sets outside of it, but never
-with the class itself. So a group of near copies costs in proportion to its size.
+Large groups are cut, for sketches as for whole sets. First each part is solved alone, with a few sets of its group that all parts get, so that parts of
+near copies link up over them. Then blocks of sets that are not linked meet pairwise: every block of a large class with the sets outside of it, but never
+with the class itself. So a group of near copies costs in proportion to its size. Sets that meet by chance meet as sketches, of which a part holds many.
 
 Defined results: null texts and texts without words have the empty set, which is linked with nothing, so their component is their own id; null
 ids take part, and a component's id is its smallest that is not null (null if there is none); repeated rows get one result each; extra columns
@@ -23,7 +25,7 @@ are ignored; an empty table gives an empty result. Sets are compared by 64-bit h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 COUNTED = 0.2
 #: Shingles that are ordered by their counts in a sample; sets and shingles of a part; sets that all parts of a group get; shingles of a task, about.
 COMMON, SET_PART, PART_SHINGLES, PIVOTS, TASK_SHINGLES = 50_000, 4096, 1_000_000, 16, 3_000_000
+#: Bits of a sketch, least and most; sets of a part of sketches for each set of a part, and shingles for each shingle.
+SKETCH_BITS, SKETCH_SETS, SKETCH_SHINGLES = (64, 1 << 17), 4, 16
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -51,6 +55,22 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Of each place, by a hash's low bits, whether an odd number of shingles falls on it. Places are a power of 2, one or two for each shingle (within SKETCH_BITS)."""
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (max(1, len(found)) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one in each row, of sets as they would be with so many words of 64 bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _key(found: np.ndarray) -> int:
     """One value for each set of shingles."""
     import xxhash
@@ -89,31 +109,20 @@ def first_shingles(found: np.ndarray, counts: np.ndarray, similarity: float) ->
 
 
 def _firsts(common: np.ndarray, similarity: float, shingle: int):
-    """The key of a text's set, its size, and what the first order needs."""
+    """The key of a text's set, its size, what the first order needs, and its sketch."""
 
-    @F.pandas_udf(T.StructType().add("fp", "long").add("n", "integer").add("own", T.ArrayType(T.LongType())).add("more", T.ArrayType(T.LongType())).add("free", "integer"))
+    @F.pandas_udf(T.StructType().add("fp", "long").add("n", "integer").add("own", T.ArrayType(T.LongType())).add("more", T.ArrayType(T.LongType())).add("free", "integer").add("sketch", "binary"))
     def firsts(text: pd.Series) -> pd.DataFrame:
         rows = []
         for x in text:
             found = shingle_set(x, shingle)
             own, more, free = first_shingles(found, _frequencies(found.view(np.int64), common), similarity)
-            rows.append((np.array([_key(found)], np.uint64).view(np.int64)[0], len(found), own.view(np.int64), more.view(np.int64), free))
-        return pd.DataFrame(rows, columns=["fp", "n", "own", "more", "free"])
+            rows.append((np.array([_key(found)], np.uint64).view(np.int64)[0], len(found), own.view(np.int64), more.view(np.int64), free, sketch(found).tobytes()))
+        return pd.DataFrame(rows, columns=["fp", "n", "own", "more", "free", "sketch"])
 
     return firsts
 
 
-def _prefixes(common: np.ndarray, similarity: float):
-    """Under every further order, the prefix of a set."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-    def prefixes(hashes: pd.Series) -> pd.Series:
-        sets = [np.frombuffer(x, "<u8") for x in hashes]
-        return pd.Series([[p.view(np.int64) for p in further(x, common, similarity)] for x in sets])
-
-    return prefixes
-
-
 def further(found: np.ndarray, common: np.ndarray, similarity: float) -> list[np.ndarray]:
     counts = _frequencies(found.view(np.int64), common)
     return [prefix(found, counts, factor, similarity) for factor in ORDERS[1:]]
@@ -254,52 +263,115 @@ def linked_sets(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], simila
     return edges
 
 
-def _solved(placed: DataFrame, common: np.ndarray, similarity: float, shingles: int) -> DataFrame:
-    """placed: g, low, high, fp, n, class, firsts, hashes, of about so many shingles in all. Edges between classes within each (g, low, high)."""
+def fitting_sketches(sketches: list[np.ndarray], n: np.ndarray, similarity: float, classes: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (i, j) of a forest whose components are those of all pairs whose sizes n and sketches allow a link.
+
+    classes: of each set, what it is tied to already; only edges between classes are returned."""
+    by_size = np.argsort(n, kind="stable")
+    n = np.asarray(n, np.int64)[by_size]
+    least = np.searchsorted(n, similarity * n - 1e-9)
+    label = np.unique(classes, return_inverse=True)[1][by_size]
+    # Larger sets have as many words or more: a matrix for each number of words, of rows from starts on.
+    words = np.array([len(sketches[k]) for k in by_size])
+    kinds, starts = np.unique(words, return_index=True)
+    ends = [*starts[1:], len(n)]
+    held = [np.array([sketches[k] for k in by_size[i:j]]) for i, j in zip(starts, ends, strict=True)]
+    edges = []
+    for x in range(1, len(n)):
+        mine = held[np.searchsorted(kinds, words[x])][x - starts[np.searchsorted(kinds, words[x])]][None]
+        for kind, start, end, rows in zip(kinds.tolist(), starts.tolist(), ends, held, strict=True):
+            low, high = max(start, int(least[x])), min(end, x)
+            if low >= high:
+                continue
+            own, step = folded(mine, kind), 64
+            # The nearest by size first: of near copies these tie soon, and the others then have the label of x.
+            while low < high:
+                step = min(8 * step, max(64, (1 << 21) // kind))
+                at = max(low, high - step)
+                y = at + np.flatnonzero(label[at:high] != label[x])
+                high = at
+                if not len(y):
+                    continue
+                apart = np.bitwise_count(rows[y - start] ^ own).sum(1, dtype=np.int64)
+                for z in y[(1 + similarity) * apart <= (1 - similarity) * (n[x] + n[y]) + 1e-6].tolist():
+                    if label[z] != label[x]:
+                        label[label == label[z]] = label[x]
+                        edges.append((int(by_size[x]), int(by_size[z])))
+    return edges
+
+
+def _fitting(similarity: float):
+    """Of parts, one after the other, the edges between sets whose sketches fit."""
+
+    def edges(df: pd.DataFrame) -> np.ndarray:
+        place, found = df[["g", "low", "high"]].to_numpy(), []
+        for at in np.split(np.arange(len(df)), np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1):
+            part = df.iloc[at]
+            fp = part.fp.to_numpy()
+            pairs = fitting_sketches([np.frombuffer(x, "<u8") for x in part.held], part.n.to_numpy(), similarity, part["class"].to_numpy())
+            found.append(fp[np.array(pairs, np.int64).reshape(-1, 2)])
+        return np.concatenate(found)
+
+    return edges
+
+
+def _similar(common: np.ndarray, similarity: float):
+    """Of parts, all at once, the edges between sets that are as similar."""
+
+    def edges(df: pd.DataFrame) -> np.ndarray:
+        df = df.drop_duplicates("fp")
+        sets = [np.frombuffer(x, "<u8") for x in df.held]
+        found = linked_sets(sets, [further(x, common, similarity) for x in sets], similarity, df["class"].to_numpy())
+        return df.fp.to_numpy()[np.array(found, np.int64).reshape(-1, 2)]
+
+    return edges
+
+
+def _solved(placed: DataFrame, edges: Callable[[pd.DataFrame], np.ndarray], shingles: int, scale: int) -> DataFrame:
+    """placed: g, low, high, fp, n, class, held, of about so many shingles in all. What ``edges`` finds between classes within each (g, low, high).
+
+    scale: how many times PART_SHINGLES a part has."""
     place = ["g", "low", "high"]
-    tasks = max(n_partitions(placed.sparkSession), -(-shingles // TASK_SHINGLES))
+    tasks = max(n_partitions(placed.sparkSession), -(-shingles // (TASK_SHINGLES * scale)))
     dealt = placed.repartition(tasks, *place).sortWithinPartitions(*place)
+    most = PART_SHINGLES * scale
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for many, shard in shards(batches, place):
-            # Whole shards, as many at once as have about PART_SHINGLES.
+            # Whole shards, as many at once as have about a part's shingles.
             weight = np.cumsum(np.bincount(shard, many.n))
-            group = np.searchsorted(np.arange(1, 2 + int(weight[-1]) // PART_SHINGLES) * PART_SHINGLES, weight, "left")[shard]
+            group = np.searchsorted(np.arange(1, 2 + int(weight[-1]) // most) * most, weight, "left")[shard]
             for k in np.unique(group):
-                df = many.iloc[np.flatnonzero(group == k)].drop_duplicates("fp")
-                sets = [np.frombuffer(x, "<u8") for x in df.hashes]
-                prefixes = [[np.asarray(f, np.int64).view(np.uint64), *further(x, common, similarity)] for f, x in zip(df.firsts, sets, strict=True)]
-                edges = np.array(linked_sets(sets, prefixes, similarity, df["class"].to_numpy()), np.int64).reshape(-1, 2)
-                fp = df.fp.to_numpy()
-                x, y = fp[edges[:, 0]], fp[edges[:, 1]]
+                x, y = edges(many.iloc[np.flatnonzero(group == k)]).T
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return dealt.mapInPandas(search, "a long, b long").filter("a <> b").distinct()
 
 
-def _parts(sets: Column, shingles: Column, most: int) -> Column:
-    return F.ceil(F.greatest(sets / most, shingles / PART_SHINGLES)).cast("int")
+def _parts(sets: Column, shingles: Column, most: int, scale: int) -> Column:
+    return F.ceil(F.greatest(sets / most, shingles / (PART_SHINGLES * scale))).cast("int")
 
 
-def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float, most: int) -> DataFrame:
-    """held: fp, firsts, hashes; members: fp, n, g; most: sets of a part. Edges (a, b) whose components are those of all pairs in one group that are as similar."""
+def verified(held: DataFrame, members: DataFrame, search: Callable[[pd.DataFrame], np.ndarray], most: int, scale: int = 1) -> DataFrame:
+    """held: fp, held; members: fp, n, g; most: sets of a part; scale: how many times PART_SHINGLES it has. Edges (a, b) whose components are those of all
+    pairs in one group that ``search`` finds."""
     sizes = members.groupBy("g").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("g", F.col("sets").alias("n"), "sets", _parts(F.col("sets"), F.col("shingles"), most).alias("parts"))
+    sizes = sizes.select("g", F.col("sets").alias("n"), "sets", _parts(F.col("sets"), F.col("shingles"), most, scale).alias("parts"))
     members = materialize(join_hot(members.withColumnRenamed("n", "size"), sizes, ["g"], members.count()).select("fp", "size", "g", "sets", "parts"), "jaccard-members")
     own = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     pivot = F.pmod(F.xxhash64("fp", F.lit("pivot")), F.col("sets")) < PIVOTS
     alone = held.join(members, "fp").withColumn("low", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     total = int(members.agg(F.sum("size")).first()[0] or 0)
-    edges = materialize(_solved(alone.select("g", "low", F.col("low").alias("high"), "fp", F.col("size").alias("n"), F.col("fp").alias("class"), "firsts", "hashes"), common, similarity, total), "jaccard-alone")
+    edges = materialize(_solved(alone.select("g", "low", F.col("low").alias("high"), "fp", F.col("size").alias("n"), F.col("fp").alias("class"), "held"), search, total, scale), "jaccard-alone")
     large = members.filter("parts > 1")
     if large.isEmpty():
         return edges
     # Classes so far: large ones have blocks of their own, the others of a group share blocks.
     root = components(edges)
     classes = materialize(large.join(root, large.fp == root.node, "left").select("fp", "size", "g", F.coalesce("root", "fp").alias("class")), "jaccard-classes")
-    weights = classes.groupBy("g", "class").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("own", _parts(2 * F.col("n"), 2 * F.col("shingles"), most) > 1)
-    groups = weights.groupBy("g").agg(F.count("*").alias("classes"), _parts(F.sum(F.when(~F.col("own"), F.col("n"))), F.sum(F.when(~F.col("own"), F.col("shingles"))), most).alias("bins"))
-    weights = weights.join(groups.filter("classes > 1"), "g").withColumn("blocks", F.when(F.col("own"), _parts(F.col("n"), F.col("shingles"), most)).otherwise(F.col("bins")))
+    weights = classes.groupBy("g", "class").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).withColumn("own", _parts(2 * F.col("n"), 2 * F.col("shingles"), most, scale) > 1)
+    groups = weights.groupBy("g").agg(F.count("*").alias("classes"), _parts(F.sum(F.when(~F.col("own"), F.col("n"))), F.sum(F.when(~F.col("own"), F.col("shingles"))), most, scale).alias("bins"))
+    weights = weights.join(groups.filter("classes > 1"), "g").withColumn("blocks", F.when(F.col("own"), _parts(F.col("n"), F.col("shingles"), most, scale)).otherwise(F.col("bins")))
     weights = weights.select("g", F.col("class"), "n", "own", "blocks")
     # A block's name: its class and number. A group has about as many as it has sets by SET_PART.
     owner = [(~F.col("own")).alias("shared"), F.when(F.col("own"), F.col("class")).otherwise(F.lit(0)).alias("class")]
@@ -314,27 +386,10 @@ def verified(held: DataFrame, members: DataFrame, common: np.ndarray, similarity
     dealt = dealt.select("fp", "size", "g", "class", at.alias("at"), F.explode(meets).alias("other"))
     dealt = materialize(dealt.select("fp", F.col("size").alias("n"), "g", "class", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high")), "jaccard-blocks")
     total = int(dealt.agg(F.sum("n")).first()[0] or 0)
-    across = _solved(held.join(dealt, "fp").select("g", "low", "high", "fp", "n", "class", "firsts", "hashes"), common, similarity, total)
+    across = _solved(held.join(dealt, "fp").select("g", "low", "high", "fp", "n", "class", "held"), search, total, scale)
     return materialize(edges.unionAll(across), "jaccard-edges")
 
 
-def parted(held: DataFrame, members: DataFrame, common: np.ndarray, similarity: float, most: int) -> DataFrame:
-    """members (fp, n, g), of which groups of over a part's sets are parted by the further orders."""
-    large = members.groupBy("g").agg(F.count("*").alias("sets")).filter(F.col("sets") > most)
-    if large.isEmpty():
-        return members
-    # Groups of so many sets are few: one for each part's sets at most.
-    rest = members.join(large.select("g"), "g", "left_anti").select("fp", "n", "g")
-    parts = held.join(members.join(large.select("g"), "g", "left_semi"), "fp").select("fp", "n", "g", _prefixes(common, similarity)("hashes").alias("prefixes"))
-    parts = materialize(parts, "jaccard-parts")
-    for order in range(len(ORDERS) - 1):
-        postings = parts.select("g", F.explode(F.get("prefixes", order)).alias("h"), "n", "fp")
-        old, parts = parts, materialize(grouped_sets(parts, tied(postings, similarity)), "jaccard-parts")
-        discard(old)
-    # Groups are named by a set of theirs, so the names of parts are no others'.
-    return rest.unionByName(parts.select("fp", "n", "g"))
-
-
 def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, text_col: str = "text", id_col: str = "doc_id", part: int | None = None, empty: bool = False) -> DataFrame:
     """One row per document: id, n_shingles (long) and component_id, the smallest id that links of sets reach.
 
@@ -349,16 +404,20 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     # Of equal sets one stands for all.
     sets = full.join(points.select("uid"), "uid", "left_semi").select("fp", "n", "own", "more", "free")
     postings = materialize(first_postings(sets), "jaccard-postings")
-    members = materialize(grouped_sets(points.select("fp", "row", "n"), tied(postings.select(F.lit(0).cast("long").alias("g"), "h", "n", "fp"), similarity)), "jaccard-members")
+    tied_sets = materialize(grouped_sets(points.select("fp", "row", "n"), tied(postings.select(F.lit(0).cast("long").alias("g"), "h", "n", "fp"), similarity)), "jaccard-tied")
+    discard(postings)
+    most = part or SET_PART
+    # Groups are named by a set of theirs, so the names of their parts are no others'.
+    sketches = full.join(points.select("uid"), "uid", "left_semi").select("fp", F.col("sketch").alias("held"))
+    fit = verified(sketches, tied_sets.drop("row"), _fitting(similarity), most * SKETCH_SETS, SKETCH_SHINGLES)
+    members = materialize(grouped_sets(tied_sets, fit), "jaccard-members")
     # Only what is left in groups is read again.
     rows = members.select("row")
     read = materialize(texts.select("row", "text").join(F.broadcast(rows) if members.count() <= MOST_BROADCAST else rows.distinct(), "row", "left_semi"), "jaccard-texts")
-    left = read.select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("hashes"))
-    firsts = postings.join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.collect_list("h").alias("firsts"))
-    held = materialize(left.join(firsts, "fp"), "jaccard-held")
-    discard(postings, read)
-    most = part or SET_PART
-    edges = verified(held, parted(held, members.drop("row"), common, similarity, most), common, similarity, most)
+    held = materialize(read.select(_sets(shingle)("text").alias("s")).groupBy("s.fp").agg(F.first("s.hashes").alias("held")), "jaccard-held")
+    discard(read)
+    edges = verified(held, members.drop("row"), _similar(common, similarity), most)
+    discard(held)
     named = grouped(full.select(F.struct("id", "n").alias("id"), "fp"), points.select("fp", "first", "docs"), edges, "of")
     named = named.select(F.col("of.id").alias(id_col), F.col("of.n").alias("n_shingles"), "component_id")
     if empty:

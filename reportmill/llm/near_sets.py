@@ -3,9 +3,8 @@
 Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them and no others. The 64-bit
 fingerprints of :mod:`simhash` cannot tell that: two texts at 0.8 differ in about ten bits, as do many at 0.7.
 
-The search is that of :mod:`jaccard_join`. There a large group of sets that meet by chance is parted by further orders of shingles, and a large
-group of near copies by what is linked already, so what is moved grows with the input. (Pairing all parts of a large group, as was done
-here before, grows with its square.)
+The search is that of :mod:`jaccard_join`. There a large group of sets that meet by chance is parted by sketches, so that whole sets are moved only
+where sketches fit, and a large group of near copies by what is linked already.
 
 Defined results: null text is empty; texts without words have the empty set, which links like any other; null ids take part, and
 a component's id is its smallest id that is not null (null if there is none); repeated rows get one result each; an empty table gives an empty result.

@@ -37,9 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, ids (pieces of the text) and decoded_sha256 (of the text read back from them)."""
-    to_ids, to_text = sentencepiece.coders(sentencepiece.vocabulary(sentencepiece.model_path(spark)), spark)
-    coded = docs.select("doc_id", "source", to_ids("text").alias("ids"))
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(to_text("ids"), 256).alias("decoded_sha256"))
+    both = sentencepiece.read_back(sentencepiece.vocabulary(sentencepiece.model_path(spark)), spark)
+    coded = docs.select("doc_id", "source", both("text").alias("s"))
+    return coded.select("doc_id", "source", F.size("s.ids").cast("long").alias("n_pieces"), "s.ids", F.sha2("s.text", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -17,9 +17,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     vocabulary = sentencepiece.vocabulary(model or sentencepiece.model_path(spark))
-    to_ids, to_text = sentencepiece.coders(vocabulary, spark)
-    coded = table(spark, sf_dir, "documents").select("doc_id", "text", to_ids("text").alias("ids"))
-    coded = coded.select("doc_id", "text", "ids", to_text("ids").alias("decoded"))
+    both = sentencepiece.read_back(vocabulary, spark)
+    coded = table(spark, sf_dir, "documents").select("doc_id", "text", both("text").alias("s"))
+    coded = coded.select("doc_id", "text", "s.ids", F.col("s.text").alias("decoded"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), sentencepiece.byte_pieces(F.col("ids"), vocabulary).cast("long").alias("n_byte_pieces"),
         F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),

@@ -63,6 +63,9 @@ class Vocabulary:
         self.out = [p.replace(mark, b" ") for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             self.out[i] = bytes([b])
+        # The same one after the other, for texts of many pieces.
+        self.flat, self.widths = np.frombuffer(b"".join(self.out), np.uint8), np.array([len(p) for p in self.out], np.int64)
+        self.places = np.cumsum(self.widths) - self.widths
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -250,7 +253,11 @@ def encode(texts: list[str | None], vocabulary: Vocabulary) -> list[np.ndarray |
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
-    data = b"".join(map(vocabulary.out.__getitem__, ids.tolist()))
+    v = vocabulary
+    if 200 < len(ids) < 200_000:
+        data = v.flat[_ragged(v.places[ids], v.widths[ids])].tobytes()
+    else:
+        data = b"".join(map(v.out.__getitem__, ids.tolist()))
     return data[1:].decode("utf-8", "surrogatepass") if data[:1] == b" " else data.decode("utf-8", "surrogatepass")
 
 
@@ -275,6 +282,20 @@ def coders(vocabulary: Vocabulary, spark) -> tuple:
     return to_ids, to_text
 
 
+def read_back(vocabulary: Vocabulary, spark):
+    """Column function: text to a struct of ``ids`` and ``text``, which is read back from them. Where both are wanted, texts are encoded once; with the two
+    functions of :func:`coders`, one over the other, Spark calls the first for each."""
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("text", T.StringType()))
+    def both(text: pd.Series) -> pd.DataFrame:
+        ids = encode([None if x is None or x is pd.NA else x for x in text], held.value)
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": pd.Series([None if x is None else decode(x, held.value) for x in ids], dtype=object)})
+
+    return both
+
+
 def byte_pieces(ids: Column, vocabulary: Vocabulary) -> Column:
     """How many of the ids are byte pieces (which lie together in a model)."""
     low, high = int(vocabulary.byte_ids.min()), int(vocabulary.byte_ids.max())

@@ -50,6 +50,23 @@ def numbered(rows: DataFrame, order: list[str], name: str, first: Column | None
     return ranked.join(sums, ["file_id", "_group"]).withColumn(name, F.col("_before") + F.col("_rank") + (F.lit(0) if first is None else first)).drop("_group", "_before", "_rank")
 
 
+#: Values that are joined at once.
+PIECE = 1 << 15
+
+
+def joined_in_order(rows: DataFrame, keys: list[str], value: str, order: list[str], by: str = "|") -> DataFrame:
+    """keys and ``value``: of each key the values, joined in order (nulls left out).
+
+    Rows are dealt by ranges and sorted, then joined in pieces of at most PIECE rows, and the pieces once more. So the values of one key
+    are shared out over tasks, none of which holds more of them than the text that they make."""
+    # Ids grow with the rows' order, within a range and from one to the next.
+    dealt = rows.select(*keys, *order, value).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = dealt.select(*keys, value, F.monotonically_increasing_id().alias("_at")).withColumn("_piece", F.floor(F.col("_at") / PIECE))
+    text = F.when(F.count(value) > 0, F.array_join(in_order(F.col(value), F.col("_at")), by))
+    pieces = placed.groupBy("_piece", *keys).agg(text.alias(value))
+    return pieces.groupBy(*keys).agg(F.array_join(in_order(F.col(value), F.col("_piece")), by).alias(value))
+
+
 #: Hosts whose rows are numbered by one task.
 HOSTS_OF_A_TASK = 1000
 

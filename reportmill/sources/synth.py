@@ -15,8 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return _items(_lines(spark, sf_dir))
+
+
+def _items(rows: DataFrame) -> DataFrame:
     quantity, none = F.col("l_quantity").cast("int"), F.array().cast("array<string>")
     base = (F.col("p_size") % 11).cast("double")
     output = F.when(quantity % 3 == 0, "").otherwise(F.concat(F.lit("Installed version : "), (quantity % 9).cast("string"), F.lit(".1\nFixed version : 9.0")))
@@ -56,12 +63,16 @@ def net_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _net_ports(_table(spark, sf_dir, "orders"))
+
+
+def _net_ports(rows: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     names = F.create_map(*[F.lit(x) for k, s in enumerate(["", "http", "ssh", "ftp", "smtp", "dns", "ntp", "snmp"]) for x in (k, s)])
     product = F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("prod"), (key % 4).cast("string")))
     version = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("1."), (key % 3).cast("string")))
     script = F.when(key % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("out"), (key % 6).cast("string")))
-    return _table(spark, sf_dir, "orders").select(
+    return rows.select(
         F.lit("synthetic").alias("file_id"), F.col("o_custkey").alias("host_ord"), key.alias("ord"), (key % 1024).cast("string").alias("port_id"),
         F.when(key % 2 == 0, "tcp").otherwise("udp").alias("protocol"),
         F.when(F.col("o_orderstatus") == "F", "open").when(F.col("o_orderstatus") == "O", "closed").otherwise("filtered").alias("status"),
@@ -90,40 +101,51 @@ def address(host_ord: Column) -> Column:
     return F.concat_ws(".", F.lit("10"), F.floor(host_ord / 65536), F.floor(host_ord / 256) % 256, host_ord % 256)
 
 
+def _file(host_ord: Column) -> Column:
+    """The report that a host goes to."""
+    return F.floor(host_ord / HOSTS_OF_A_FILE)
+
+
+def _dealt(rows: DataFrame, host_ord: str) -> DataFrame:
+    """Rows of tables by report. They are dealt once, as what they are: text is made where it is written."""
+    return rows.repartition(_file(F.col(host_ord)))
+
+
 def _written(spark: SparkSession, hosts: DataFrame, before: str, after: str) -> str:
-    """hosts: host_ord, x (an element). A folder with reports of some hosts each, without white space between them."""
+    """hosts: file, host_ord, x (an element). A folder with compressed reports of some hosts each, without white space between them."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.startswith("local["):
         root = tempfile.mkdtemp(prefix="reportmill-")
     folder = f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/reports-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    files = hosts.groupBy(F.floor(F.col("host_ord") / HOSTS_OF_A_FILE).alias("file")).agg(F.array_join(in_order(F.col("x"), F.col("host_ord")), "").alias("x"))
+    files = hosts.groupBy("file").agg(F.array_join(in_order(F.col("x"), F.col("host_ord")), "").alias("x"))
     # One row is one report; all lie in one folder, which is listed at once.
-    files.select(F.concat(F.lit(before), "x", F.lit(after)).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    files.select(F.concat(F.lit(before), "x", F.lit(after)).alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
     return folder
 
 
 def write_vulnerabilities(spark: SparkSession, sf_dir: str) -> str:
     """The findings as reports in XML; returns their folder. Outputs are escaped or in character data sections, and comments hold tags."""
-    rows, n = items(spark, sf_dir), F.col("ord.l_linenumber")
+    rows = _items(_dealt(_lines(spark, sf_dir), "l_suppkey"))
+    n = F.col("ord.l_linenumber")
     attributes = [F.concat(F.lit(f' {a}="'), _escaped(F.col(c).cast("string")), F.lit('"')) for a, c in (("port", "port"), ("svc_name", "svc_name"), ("protocol", "protocol"), ("severity", "severity"), ("pluginID", "plugin_id"), ("pluginName", "name"), ("pluginFamily", "family"))]
     output = F.when(n % 2 == 0, F.concat(F.lit("<![CDATA["), said(rows), F.lit("]]>"))).otherwise(_escaped(said(rows)))
     aside = F.when(n % 3 == 0, "<!-- </ReportHost><ReportHost name='none'> -->").when(n % 3 == 1, "\n").otherwise("")
     element = F.concat(aside, F.lit("<ReportItem"), *attributes, F.lit("><plugin_output>"), output, F.lit("</plugin_output></ReportItem>"))
-    found = rows.groupBy("host_ord").agg(F.array_join(in_order(element, F.col("ord")), "").alias("items"))
+    found = rows.groupBy(_file(F.col("host_ord")).alias("file"), "host_ord").agg(F.array_join(in_order(element, F.col("ord")), "").alias("items"))
     head = F.concat(F.lit('<ReportHost name="h"><HostProperties><tag name="host-ip">'), address(F.col("host_ord")), F.lit("</tag></HostProperties>"))
-    hosts = found.select("host_ord", F.concat(head, "items", F.lit("</ReportHost>")).alias("x"))
+    hosts = found.select("file", "host_ord", F.concat(head, "items", F.lit("</ReportHost>")).alias("x"))
     return _written(spark, hosts, '<?xml version="1.0"?><NessusClientData_v2><Report name="r">', "</Report></NessusClientData_v2>")
 
 
 def write_scans(spark: SparkSession, sf_dir: str) -> str:
     """The ports as port scans in XML; returns their folder."""
-    rows = net_ports(spark, sf_dir)
+    rows = _net_ports(_dealt(_table(spark, sf_dir, "orders"), "o_custkey"))
     service = F.when(F.col("service_name") != "", F.concat(F.lit('<service name="'), "service_name", F.lit('" product="'), "product", F.lit('" version="'), "version", F.lit('"/>'))).otherwise("")
     element = F.concat(F.lit('<port protocol="'), "protocol", F.lit('" portid="'), "port_id", F.lit('"><state state="'), "status", F.lit('"/>'), service, F.lit("</port>"))
-    found = rows.groupBy("host_ord").agg(F.array_join(in_order(element, F.col("ord")), "").alias("ports"))
-    hosts = found.select("host_ord", F.concat(F.lit('<host><status state="up"/><address addr="'), address(F.col("host_ord")), F.lit('" addrtype="ipv4"/><ports>'), "ports", F.lit("</ports></host>")).alias("x"))
+    found = rows.groupBy(_file(F.col("host_ord")).alias("file"), "host_ord").agg(F.array_join(in_order(element, F.col("ord")), "").alias("ports"))
+    hosts = found.select("file", "host_ord", F.concat(F.lit('<host><status state="up"/><address addr="'), address(F.col("host_ord")), F.lit('" addrtype="ipv4"/><ports>'), "ports", F.lit("</ports></host>")).alias("x"))
     return _written(spark, hosts, '<?xml version="1.0"?><nmaprun start="1" version="7">', '<runstats><finished time="61"/></runstats></nmaprun>')
 
 

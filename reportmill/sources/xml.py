@@ -23,9 +23,20 @@ from reportmill.sources import scan
 
 _CHILDREN = "risk_factor cvss_base_score cvss_temporal_score cvss_vector cvss3_base_score cvss3_temporal_score cvss3_vector description synopsis solution plugin_output".split()
 _ATTRIBUTES = "pluginID pluginName pluginFamily severity port protocol svc_name".split()
-_ITEM = ", ".join([f"_{a}: string" for a in _ATTRIBUTES] + [f"{c}: string" for c in _CHILDREN] + [f"{c}: array<string>" for c in ("see_also", "cve", "cwe", "xref")])
+_ITEM = {f"_{a}": "string" for a in _ATTRIBUTES} | dict.fromkeys(_CHILDREN, "string") | dict.fromkeys(("see_also", "cve", "cwe", "xref"), "array<string>")
 PROPERTIES = "HostProperties struct<tag: array<struct<_name: string, _VALUE: string>>>"
-VULN_HOST = f"{PROPERTIES}, ReportItem array<struct<{_ITEM}>>"
+#: What columns of items come from; the others are of a field with their own name.
+_SOURCES = {"plugin_id": ["_pluginID"], "port": ["_port"], "protocol": ["_protocol"], "svc_name": ["_svc_name"], "severity": ["_severity"], "name": ["_pluginName"], "family": ["_pluginFamily"]}
+_SOURCES |= {c: [f"{c}_base_score", f"{c}_temporal_score", f"{c}_vector"] for c in ("cvss", "cvss3")}
+
+
+def vuln_host(wanted: list[str] | None = None) -> str:
+    """The schema of a host. wanted: columns of items, all unless given."""
+    fields = list(_ITEM) if wanted is None else [f for c in wanted for f in _SOURCES.get(c, [c])]
+    return f"{PROPERTIES}, ReportItem array<struct<{', '.join(f'{f}: {_ITEM[f]}' for f in fields)}>>"
+
+
+VULN_HOST = vuln_host()
 NET_HOST = (
     "status struct<_state: string>, address array<struct<_addr: string, _addrtype: string>>, hostnames struct<hostname: array<struct<_name: string>>>, "
     "ports struct<port: array<struct<_portid: string, _protocol: string, state: struct<_state: string>, "
@@ -75,18 +86,23 @@ def _alone(tag: str) -> str:
     return rf"^<{tag}{_ATTRIBUTE}/>"
 
 
-def _numbered(pieces: DataFrame, tag: str) -> DataFrame:
-    """One row for each start tag: file_id, place, valid, host_ord (from 1 in document order), x (the element's text) and open, if it has no end."""
+def _numbered(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
+    """One row for each start tag: file_id, place, valid, host_ord (from 1 in document order), start (how the element begins), e (its fields) and open, if it has no end.
+
+    Elements are parsed by the tasks that read them, so that fields are shuffled to be numbered, and not the text."""
     found = pieces.select("file_id", "place", "parted", "valid", F.posexplode("pieces").alias("pos", "x"))
     # What lies outside of elements is left as a row without text, by which the last row of a block is known.
     element = F.col("pos") > 0
     final = F.col("x").endswith(LAST)
     alone = F.col("x").rlike(_alone(tag))
     # Of a row only the last element can have an end tag behind it.
-    number = found.select(
+    options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
+    cut = found.select(
         "file_id", "parted", "valid", "pos", F.struct("place.block", "place.id", "pos").alias("place"),
         F.when(element, F.when(alone, F.regexp_extract("x", _alone(tag), 0)).otherwise(F.concat(F.rtrim("x", F.lit(LAST)), F.lit(f"</{tag}>")))).alias("x"),
         (~alone & ~final).alias("open"), alone.alias("alone"))
+    # Exploded, since conditions on fields of an expression are else pushed down with it, and each parses the text once more.
+    number = cut.withColumn("start", F.left("x", F.lit(SHOWN))).withColumn("e", F.explode(F.array(F.from_xml("x", f"{schema}, _corrupt string", options)))).drop("x")
     # A file of one block is numbered by its ranks; only the others are read for the sums of the blocks before.
     blocks = pieces.filter("parted").groupBy("file_id", "place.block").agg(F.sum(F.size("pieces") - 1).alias("n"), F.max("place.id").alias("last"))
     upto = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,17 +113,14 @@ def _numbered(pieces: DataFrame, tag: str) -> DataFrame:
     joined = ranked.filter("pos > 0").join(blocks, ["file_id", "block"], "left")
     last = F.when(F.col("parted"), F.col("last")).otherwise(F.col("own_last"))
     ended = F.col("open") | (~F.col("alone") & F.coalesce(F.col("place.id") == last, F.lit(False)))
-    return joined.select("file_id", "place", "valid", (F.coalesce("before", F.lit(0)) + F.col("rank")).cast("long").alias("host_ord"), "x", ended.alias("open"))
+    return joined.select("file_id", "place", "valid", (F.coalesce("before", F.lit(0)) + F.col("rank")).cast("long").alias("host_ord"), "start", "e", ended.alias("open"))
 
 
 def _elements(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
     """One row for each element: file_id, host_ord, cause (null for those that are whole), start (how a damaged one begins) and its fields."""
-    options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
-    # Exploded, since conditions on fields of an expression are else pushed down with it, and each parses the text once more.
-    parsed = _numbered(pieces, tag).select("*", F.explode(F.array(F.from_xml("x", f"{schema}, _corrupt string", options))).alias("e"))
     cause = F.when(F.col("open"), f"no end tag of {tag}").when(~F.col("valid"), FOREIGN).when(F.col("e._corrupt").isNotNull(), "not well-formed")
-    named = parsed.withColumn("cause", cause)
-    return named.select("file_id", "host_ord", "cause", F.when(F.col("cause").isNotNull(), F.left("x", F.lit(SHOWN))).alias("start"), "e.*").drop("_corrupt")
+    named = _numbered(pieces, tag, schema).withColumn("cause", cause)
+    return named.select("file_id", "host_ord", "cause", F.when(F.col("cause").isNotNull(), F.col("start")).alias("start"), "e.*").drop("_corrupt")
 
 
 def _whole(elements: DataFrame) -> DataFrame:
@@ -154,10 +167,11 @@ def _number(x: Column, strict: bool) -> Column:
     return F.when(x.isNull(), F.lit(0.0)).otherwise(x.cast("double") if strict else x.try_cast("double"))
 
 
-def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: bool = False) -> Report:
-    """Vulnerability reports. strict: numbers that are none raise, else they are null."""
+def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: bool = False, wanted: list[str] | None = None) -> Report:
+    """Vulnerability reports. strict: numbers that are none raise, else they are null. wanted: columns of items besides file_id, host_ord and ord, all unless
+    given; what the others come from is not read."""
     pieces = _pieces(spark, path, "ReportHost")
-    elements = _elements(pieces, "ReportHost", VULN_HOST)
+    elements = _elements(pieces, "ReportHost", vuln_host(wanted))
     hosts = _whole(elements)
     start, end = S.report_time(_tag("HOST_START")), S.report_time(_tag("HOST_END"))
     table = hosts.select(
@@ -172,11 +186,12 @@ def read_vulnerabilities(spark: SparkSession, path: str | list[str], strict: boo
     def score(prefix: str) -> Column:
         return F.struct(_number(F.col(f"i.{prefix}_base_score"), strict).alias("base_score"), _number(F.col(f"i.{prefix}_temporal_score"), strict).alias("temporal_score"), text(f"{prefix}_vector").alias("vector"))
 
-    located = exploded.select(
-        "file_id", "host_ord", F.struct("host_ord", "pos").alias("ord"), text("_pluginID").alias("plugin_id"), text("_port").alias("port"), text("_protocol").alias("protocol"), text("_svc_name").alias("svc_name"),
-        F.coalesce((F.col("i._severity").cast("int") if strict else F.col("i._severity").try_cast("int")), F.lit(0)).alias("severity"), text("_pluginName").alias("name"), text("_pluginFamily").alias("family"),
-        text("risk_factor").alias("risk_factor"), score("cvss").alias("cvss"), score("cvss3").alias("cvss3"), *[text(c).alias(c) for c in ("description", "synopsis", "solution", "plugin_output")],
-        S.lines(F.get("i.see_also", 0)).alias("see_also"), *[F.coalesce(F.col(f"i.{c}"), F.array().cast("array<string>")).alias(c) for c in ("cve", "cwe", "xref")], "ip")
+    columns = {
+        "plugin_id": text("_pluginID"), "port": text("_port"), "protocol": text("_protocol"), "svc_name": text("_svc_name"),
+        "severity": F.coalesce((F.col("i._severity").cast("int") if strict else F.col("i._severity").try_cast("int")), F.lit(0)), "name": text("_pluginName"), "family": text("_pluginFamily"),
+        "risk_factor": text("risk_factor"), "cvss": score("cvss"), "cvss3": score("cvss3"), **{c: text(c) for c in ("description", "synopsis", "solution", "plugin_output")},
+        "see_also": S.lines(F.get("i.see_also", 0)), **{c: F.coalesce(F.col(f"i.{c}"), F.array().cast("array<string>")) for c in ("cve", "cwe", "xref")}}
+    located = exploded.select("file_id", "host_ord", F.struct("host_ord", "pos").alias("ord"), *[x.alias(c) for c, x in columns.items() if wanted is None or c in wanted], "ip")
     outside = _context(pieces, "ReportHost")
     context = outside.select(
         "file_id", _at("//Report/@name").alias("scan_name"), _at("//Policy//policyName/text()").alias("policy_name"),
